@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query name -> module that has the function of that name
 MODULES = {
+    "op3_simhash": "simhash",
+    "op5_packing": "packing",
     "op6_token_ids": "token_output",
 }
 
