@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+_SPACE = re.compile(r"\s")
 
 
 class _Units(dict):
@@ -19,7 +20,7 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         out = self.old.get(unit)
         if out is None:
-            out = self.encode(unit)
+            out = self.encode(unit, self)
         if len(unit) <= 48:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -28,6 +29,10 @@ class _Units(dict):
         return out
 
 
+#: Latin letters (not the dotted capital I, whose lower case ends in a mark), then anything that starts with ASCII punctuation: no token spans that place
+_TAIL = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~].*)\Z", re.S)
+
+
 class TextEncoder:
     """``ids(text)``: the little-endian unsigned 32-bit ids of ``tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -37,7 +42,8 @@ class TextEncoder:
     * byte-level with the usual expression (a space belongs to the next token),
     * a split that drops white space.
 
-    Other tokenizers, texts with white space next to a space, and texts that contain an added token's string are
+    A unit that is not held is cut again, at single line feeds between other characters and between a letter and ASCII
+    punctuation, where no token of the two expressions can span either. Other tokenizers, texts with white space next to a space, and texts that contain an added token's string are
     encoded in one piece. ``keep`` bounds the units held per generation.
     """
 
@@ -49,13 +55,24 @@ class TextEncoder:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.mode = _mode(spec)
-        self.first = _Units(self.whole, keep // 10)
-        self.next = _Units((lambda w: self.whole(" " + w)) if self.mode == "keep" else self.whole, keep)
+        self.first = _Units(lambda w, held: self.cut(w, held, ""), keep // 3)
+        lead = " " if self.mode == "keep" else ""
+        self.next = _Units(lambda w, held: self.cut(w, held, lead), keep)
+        self.line = self.whole("\n")
         # any white space that stands before a space, in Python's wide sense
         self.unsafe = re.compile(r"\s ")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def cut(self, unit: str, held: _Units, lead: str) -> bytes:
+        if "\n" in unit:
+            lines = unit.split("\n")
+            if all(lines) and not any(_SPACE.search(x) for x in lines):
+                return held[lines[0]] + b"".join(self.line + self.first[x] for x in lines[1:])
+        elif (m := _TAIL.match(unit)) and not _SPACE.search(unit):
+            return held[m[1]] + self.first[m[2]]
+        return self.whole(lead + unit)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
