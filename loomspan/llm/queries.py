@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that has the function of that name
 MODULES = {
+    "op4_decontaminate": "decontaminate",
     "op8_embeddings": "embeddings",
     "op3_simhash": "simhash",
     "op5_packing": "packing",
