@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that has the function of that name
 MODULES = {
+    "op7_quality": "quality",
     "op10_language_model": "language_model",
     "op4_decontaminate": "decontaminate",
     "op8_embeddings": "embeddings",
