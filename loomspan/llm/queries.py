@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that has the function of that name
 MODULES = {
+    "op9_lines": "lines",
     "op7_quality": "quality",
     "op10_language_model": "language_model",
     "op4_decontaminate": "decontaminate",
@@ -21,4 +22,4 @@ def _query(name: str):
 
 
 QUERIES = {name: _query(name) for name in MODULES}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_lines": import_module(f"{__package__}.lines").OP9_SQL}
