@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that has the function of that name
 MODULES = {
+    "op1_warc": "warc",
     "op9_lines": "lines",
     "op7_quality": "quality",
     "op10_language_model": "language_model",
@@ -22,4 +23,4 @@ def _query(name: str):
 
 
 QUERIES = {name: _query(name) for name in MODULES}
-ORACLES: dict[str, str] = {"op9_lines": import_module(f"{__package__}.lines").OP9_SQL}
+ORACLES: dict[str, str] = {"op1_warc": import_module(f"{__package__}.warc").OP1_SQL, "op9_lines": import_module(f"{__package__}.lines").OP9_SQL}
