@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 WORDS, SHAPES, DIM, PLAIN = 2048, 512, 32, 5
-_RUNS = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-Þ]+", "X"), (r"[a-zß-￿]+", "x"), (r"[0-9]+", "9"), (r"\s+", "_"))]
-_SAME = re.compile(r"(.)\1+")
+_CAPITALS, _LETTERS, _DIGITS, _SAME = (re.compile(p) for p in (r"[A-Z\u00c0-\u00de]+", r"[a-z\u00df-\uffff]+", r"[0-9]+", r"(.)\1+"))
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -36,11 +35,9 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 
 
 def shape(token: str) -> str:
-    """The token's pattern: runs of capitals, letters and digits as one sign each, other characters as they are, once."""
-    token = token[:64]
-    for pattern, sign in _RUNS:
-        token = pattern.sub(sign, token) if sign != "X" else pattern.sub(lambda m: "X" if len(m[0]) == 1 else "\x00", token)
-    return _SAME.sub(r"\1", token)
+    """The token's pattern: one sign for a capital, a run of capitals, of letters and of digits; other characters once."""
+    token = _CAPITALS.sub(lambda m: "X" if len(m[0]) == 1 else "C", token[:64])
+    return _SAME.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("x", token)))
 
 
 class _Buckets(dict):
@@ -100,29 +97,16 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (own + context / np.maximum(size, 1e-9) * np.sqrt(8)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, x``: the pooled vectors of each whole text (array of float); zeros for a text without a word."""
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        buckets, table = _Buckets(), held.value
-        for batch in batches:
-            x = np.zeros((batch.num_rows, 2 * DIM + PLAIN), np.float32)
-            for i, text in enumerate(batch.column(1)):
-                w, s = _tokens(text.as_py(), buckets)
-                n = len(w)
-                if not n:
-                    continue
-                x[i, :DIM] = np.bincount(w, minlength=WORDS) @ table[:WORDS] / n
-                x[i, DIM : 2 * DIM] = np.bincount(s, minlength=SHAPES) @ table[WORDS:] / n
-                kinds = len(np.unique(w))
-                x[i, 2 * DIM :] = np.log1p(n) / 8, kinds / min(n, WORDS), (w[1:] == w[:-1]).mean() if n > 1 else 0, len(np.unique(s)) / min(n, SHAPES), len(text.as_py()) / n / 20
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]) if len(x) else pa.array([], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat.cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, x array<float>")
+def pool(text: str | None, buckets: _Buckets, table: np.ndarray) -> np.ndarray:
+    """A whole text's vector: the means of its tokens' vectors and plain ratios; zeros without a word."""
+    x = np.zeros(2 * DIM + PLAIN, np.float32)
+    w, s = _tokens(text, buckets)
+    if n := len(w):
+        x[:DIM] = np.bincount(w, minlength=WORDS) @ table[:WORDS] / n
+        x[DIM : 2 * DIM] = np.bincount(s, minlength=SHAPES) @ table[WORDS:] / n
+        same = (w[1:] == w[:-1]).mean() if n > 1 else 0
+        x[2 * DIM :] = np.log1p(n) / 8, len(np.unique(w)) / min(n, WORDS), same, len(np.unique(s)) / min(n, SHAPES), len(text) / n / 20
+    return x
 
 
 class Network:
@@ -171,42 +155,82 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def quality_scores(
-    docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality"
-) -> DataFrame:
-    """``doc_id, score``: the probability of label 1 for each row of ``docs``, null and empty texts included.
+class QualityModel:
+    """Bucket vectors and a network; ``scores`` gives the probability of label 1 for whole texts."""
 
-    ``labels`` holds the rows to learn from, with values 0 and 1; null ids and labels are left out, and an id with several
-    labels counts once for each. At most about ``sample`` of them are used, by hash of the id. Repeated rows are scored each and
-    null ids kept; other columns are not read. Without labels of both kinds every score is 0.5, or the only label. An
-    empty table gives no rows.
+    def __init__(self, vectors: np.ndarray, network: Network | None, plain: float):
+        self.vectors, self.network, self.plain, self.buckets = vectors, network, plain, None
+
+    def scores(self, texts) -> np.ndarray:
+        self.buckets = self.buckets or _Buckets()
+        if self.network is None:
+            return np.full(len(texts), self.plain)
+        x = np.zeros((len(texts), 2 * DIM + PLAIN))
+        for i, text in enumerate(texts):
+            x[i] = pool(text.as_py(), self.buckets, self.vectors)
+        return self.network.probability(x)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
+    """Learn vectors from all rows of ``docs`` and the network from those that ``labels`` holds.
+
+    Labels are 0 and 1; null ids and other labels are left out, and an id with several labels counts once for each. About
+    ``sample`` labels are used, by hash of the id, and at most twice as many rows.
     """
-    spark = docs.sparkSession
-    features = C.written(pooled(docs, word_vectors(docs, text_col), id_col, text_col), "features")
-    known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    known = labels.select(F.col(label_id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
     n = known.count()
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    rows = features.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id", "x").alias("h")).limit(2 * sample).toArrow()
+        known = known.where(F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    vectors = word_vectors(docs, text_col)
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        buckets = _Buckets()
+        for batch in batches:
+            x = [pool(t.as_py(), buckets, held.value) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), *batch.columns[1:]], names=["x", "y", "h"])
+
+    # about ``sample`` rows, so every task can have them
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known.limit(2 * sample)), "i")
+    rows = rows.select("t", "y", F.xxhash64("i", "t").alias("h")).mapInArrow(run, "x array<float>, y int, h long").limit(2 * sample).toArrow()
     y = rows.column("y").to_numpy()
-    net = None
-    if len(y) and 0 < y.mean() < 1:
-        order = np.argsort(rows.column("h").to_numpy(), kind="stable")
-        x = np.stack(rows.column("x").to_numpy())[order].astype(float)
-        net = Network.fit(x, y[order])
-    plain = 0.5 if not len(y) else float(y[0])
-    held = spark.sparkContext.broadcast(net)
+    if not len(y) or y.min() == y.max():
+        return QualityModel(vectors, None, float(y[0]) if len(y) else 0.5)
+    order = np.argsort(rows.column("h").to_numpy(), kind="stable")
+    x = np.stack(rows.column("x").to_numpy())[order].astype(float)
+    return QualityModel(vectors, Network.fit(x, y[order]), 0.5)
+
+
+def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score``: the probability of label 1 for each row of ``docs``.
+
+    Null and empty texts are scored like any other, repeated rows each, and null ids are kept; other columns are not read. A model of
+    labels of one kind gives that label, one without labels 0.5. An empty table gives no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1)))], names=["doc_id", "score"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``; no shuffle."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        net = held.value
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-            score = net.probability(x) if net is not None else np.full(batch.num_rows, plain)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield batch.filter(pa.array(held.value.scores(batch.column(at)) >= least))
 
-    return features.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _held_out(column: str):
@@ -214,5 +238,6 @@ def _held_out(column: str):
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    scored = quality_scores(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels").where(~_held_out("doc_id")))
+    docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
+    scored = quality_scores(docs, fit_quality(docs, labels.where(~_held_out("doc_id"))))
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
