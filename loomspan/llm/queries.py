@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that has the function of that name
 MODULES = {
+    "op2_licences": "licenses",
     "op1_warc": "warc",
     "op9_lines": "lines",
     "op7_quality": "quality",
