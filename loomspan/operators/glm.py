@@ -47,12 +47,12 @@ def shuffle_rows(df: DataFrame, key: list[str], frame: str, value: str, seed: in
 
 
 def lag_expand(df: DataFrame, key: list[str], frame: str, value: str, lags: list[int], wrap: bool = True) -> DataFrame:
-    """``key, frame, lag, x``: the value ``lag`` frames before, around the end of the recording (``wrap``) or 0 past it.
+    """``key, frame, lag, x``: the value ``lag`` frames on, around the end of the recording (``wrap``) or 0 past it.
 
     Frames count from 0 without gaps.
     """
     rows = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("lag", F.explode(F.lit(lags)))
-    to = F.col(frame) + F.col("lag")
+    to = F.col(frame) - F.col("lag")
     if wrap:
         return rows.select(*key, F.pmod(to, F.col("_n")).alias(frame), "lag", F.col(value).alias("x"))
     shifted = rows.select(*key, to.alias(frame), "lag", F.col(value).alias("x"))
@@ -61,13 +61,17 @@ def lag_expand(df: DataFrame, key: list[str], frame: str, value: str, lags: list
 
 
 def gauss_expand(df: DataFrame, key: list[str], frame: str, value: str, sigma: float, shifts: list[int]) -> DataFrame:
-    """``key, frame, lag, x``: the value smoothed with a normalised Gaussian kernel centred on each shift; 0 past the ends."""
-    r = int(4 * sigma + 0.5)
-    g = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    taps = [(int(k), float(c)) for k, c in zip(range(-r, r + 1), g / g.sum())]
-    tap = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in taps])).alias("_t")
-    spread = df.where(F.col(value) != 0).select(*key, frame, value, F.explode(F.lit(shifts)).alias("lag"), tap)
-    sums = spread.groupBy(*key, (F.col(frame) + F.col("lag") + F.col("_t.k")).alias(frame), "lag").agg(F.sum(F.col(value) * F.col("_t.c")).alias("x"))
+    """``key, frame, lag, x``: the value smoothed with a normalised Gaussian kernel centred on each shift; 0 past the ends.
+
+    The kernel reaches ``max(abs(shifts)) + int(sigma + 5)`` frames each way and is rolled within that reach.
+    """
+    r = max(abs(k) for k in shifts) + int(sigma + 5)
+    g = np.exp(-0.5 * (np.arange(-r, r + 1) / int(sigma)) ** 2)
+    g /= g.sum()
+    taps = [(int(k), (i + k + r) % (2 * r + 1) - r, float(g[i + r])) for k in shifts for i in range(-r, r + 1)]
+    tap = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lit(j).alias("j"), F.lit(c).alias("c")) for k, j, c in taps])).alias("_t")
+    spread = df.where(F.col(value) != 0).select(*key, frame, value, tap).withColumn("lag", F.col("_t.lag"))
+    sums = spread.groupBy(*key, (F.col(frame) + F.col("_t.j")).alias(frame), "lag").agg(F.sum(F.col(value) * F.col("_t.c")).alias("x"))
     every = df.select(*key, frame, F.explode(F.lit(shifts)).alias("lag"))
     return every.join(sums, [*key, frame, "lag"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
 

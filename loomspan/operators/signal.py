@@ -319,8 +319,7 @@ def occupancy(points: DataFrame, bounds: DataFrame, key: list[str], frame: str,
     """Labels left of, right of and inside the zone around ``bounds.x`` in each frame."""
     b = bounds.select(*key, (F.col(x) - left).cast("int").alias("_l"), (F.col(x) + right).cast("int").alias("_r"))
     j = points.join(b, key)
-    n = lambda cond: F.count_if(cond)
-    v = F.col(x)
+    n, v = F.count_if, F.col(x)
     return j.groupBy(*key, frame).agg(n(v < F.col("_l")).alias("n_left"), n(v > F.col("_r")).alias("n_right"), n((v >= F.col("_l")) & (v <= F.col("_r"))).alias("n_in"))
 
 

@@ -178,11 +178,12 @@ def rotate_ccw(points: DataFrame, key: list[str], x: str = "x", y: str = "y") ->
     return rows.withColumns({x: F.col("_cx") - (F.col(y) - F.col("_cy")), y: F.col("_cy") + (F.col(x) - F.col("_cx"))}).drop("_cx", "_cy")
 
 
-def mirror_x(points: DataFrame, key: list[str], size: float = 300, x: str = "x") -> DataFrame:
-    """Left to right about the centre of the grid cells that the key's points span."""
+def mirror_y(points: DataFrame, key: list[str], size: float = 300, y: str = "y") -> DataFrame:
+    """Upside down about the centre of the grid cells that the key's points span, so the grid stays the same."""
     w = Window.partitionBy(key)
-    lo, hi = F.floor(F.min(x).over(w) / size) * size, (F.floor(F.max(x).over(w) / size) + 1) * size
-    return points.withColumn(x, lo + hi - F.col(x))
+    row = -F.ceil(F.col(y) / size)
+    rows = points.withColumn("_twice", -size * (F.min(row).over(w) + F.max(row).over(w) + 1))
+    return rows.withColumn(y, F.col("_twice") - F.col(y)).drop("_twice")
 
 
 def mean_absent_zero(df: DataFrame, unit: str, by: list[str], cell: list[str], value: str, out: str = "mean") -> DataFrame:
