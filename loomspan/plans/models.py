@@ -1 +1,191 @@
-"""Queries, registered on import."""
+"""Encoding models: purchases as events on the clock of a user's events; vectors as targets of designed columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import glm as L
+from ..operators import imaging as M
+from .arrays import pixels
+from .registry import query, recordings, rounded, table as T
+
+K = ["user_id"]
+
+
+def _clock(s, d):
+    e = recordings(s, d)
+    return e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'").select("user_id", "t", (F.col("t") + 3600).alias("t_end"))
+
+
+_HITS = "c AS (SELECT * FROM {events} WHERE event_type <> 'purchase'), ev AS (SELECT user_id, t FROM {events} WHERE event_type = 'purchase' UNION ALL SELECT user_id, t + 3600 FROM {events} WHERE event_type = 'purchase'), h AS (SELECT ev.user_id, coalesce(min(c.i) FILTER (c.t >= ev.t), max(c.i)) AS i FROM ev JOIN c ON c.user_id = ev.user_id GROUP BY ev.user_id, ev.t)"
+
+
+@query("g1_event_regressor", "WITH " + _HITS + " SELECT c.user_id, c.i, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.user_id = c.user_id AND h.i = c.i) THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM c")
+def _(s, d):
+    clock, ev = _clock(s, d)
+    return L.event_regressor(ev, clock, K, "t", "t", "i", which="both", end_t="t_end")
+
+
+@query("g2_trial_regressor", "WITH c AS (SELECT * FROM {events} WHERE event_type <> 'purchase'), h AS (SELECT ev.user_id, coalesce(min(c.i) FILTER (c.t >= ev.t), max(c.i)) AS i FROM (SELECT user_id, t FROM {events} WHERE event_type = 'purchase' AND value > 10) ev JOIN c ON c.user_id = ev.user_id GROUP BY ev.user_id, ev.t) SELECT c.user_id, sum(CASE WHEN h.i IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE AS n FROM c LEFT JOIN (SELECT DISTINCT * FROM h) h ON h.user_id = c.user_id AND h.i = c.i GROUP BY 1")
+def _(s, d):
+    e = recordings(s, d)
+    valve = e.where("event_type = 'purchase' AND value > 10").select("user_id", "t")
+    return L.event_regressor(valve, e.where("event_type <> 'purchase'"), K, "t", "t", "i").groupBy("user_id").agg(F.sum("x").alias("n"))
+
+
+_INTERP = "k AS (SELECT c.user_id, c.i, c.t, max(p.t) FILTER (p.t <= c.t) AS ta, min(p.t) FILTER (p.t >= c.t) AS tb, arg_max(p.value, p.t) FILTER (p.t <= c.t) AS va, arg_min(p.value, p.t) FILTER (p.t >= c.t) AS vb FROM {events} c JOIN {events} p ON p.user_id = c.user_id AND p.event_type = 'purchase' WHERE c.event_type <> 'purchase' GROUP BY ALL), x AS (SELECT user_id, i, CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END AS x FROM k)"
+
+
+@query("g3_analog_regressor", "WITH " + _INTERP + " SELECT user_id, i, round((x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END, 6) AS x FROM x WINDOW w AS (PARTITION BY user_id)")
+def _(s, d):
+    e = recordings(s, d)
+    return rounded(L.analog_regressor(e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'"), K, "t", "value", "i", zscore=True), "x", digits=6)
+
+
+@query("g4_zscore", "SELECT event_id, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 7) AS value FROM events WINDOW w AS (PARTITION BY user_id)")
+def _(s, d):
+    return rounded(L.standardise(recordings(s, d), K, "value").select("event_id", "value"), "value")
+
+
+@query("g5_shuffle", "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total, round(sum(value * value), 4) AS squares FROM events GROUP BY 1")
+def _(s, d):
+    out = L.shuffle_rows(recordings(s, d).select("user_id", "i", "value"), K, "i", "value").groupBy("user_id")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares"))
+
+
+_LAG = "SELECT a.user_id, a.i, k AS lag, b.value AS x FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) a CROSS JOIN (SELECT unnest(range(-3, 4)) AS k) JOIN {events} b ON b.user_id = a.user_id AND b.i = ((a.i + k) % n + n) % n"
+
+
+@query("g6_lag_expand", _LAG)
+def _(s, d):
+    return L.lag_expand(recordings(s, d).select("user_id", "i", "value"), K, "i", "value", list(range(-3, 4)))
+
+
+def _kernel_sql() -> str:
+    import numpy as np
+
+    shifts, sigma = [-4, 0, 4], 2.0
+    r = max(map(abs, shifts)) + int(sigma + 5)
+    g = np.exp(-0.5 * (np.arange(-r, r + 1) / int(sigma)) ** 2)
+    g /= g.sum()
+    return ", ".join(f"({k}, {(i + k + r) % (2 * r + 1) - r}, {float(g[i + r])!r})" for k in shifts for i in range(-r, r + 1))
+
+
+@query("g7_gauss_expand", "SELECT e.user_id, e.i, v.lag, round(sum(CASE WHEN b.event_type = 'purchase' THEN c ELSE 0 END), 9) AS x FROM {events} e CROSS JOIN (VALUES " + _kernel_sql() + ") v(lag, j, c) LEFT JOIN {events} b ON b.user_id = e.user_id AND b.i = e.i - j GROUP BY 1, 2, 3")
+def _(s, d):
+    e = recordings(s, d).select("user_id", "i", F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("v"))
+    return rounded(L.gauss_expand(e, K, "i", "v", 2.0, [-4, 0, 4]), "x", digits=9)
+
+
+@query("g8_design_matrix", "WITH l AS (SELECT user_id, i, 'value' AS reg, lag, x FROM (" + _LAG + ") UNION ALL SELECT user_id, i, 'click', 0, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END FROM {events} UNION ALL SELECT user_id, i, 'never', 0, 0.0 FROM {events}) SELECT user_id, i, reg, lag, round((x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END, 6) AS x FROM (SELECT * FROM l QUALIFY max(abs(x)) OVER (PARTITION BY user_id, reg) > 0) WINDOW w AS (PARTITION BY user_id, reg, lag)")
+def _(s, d):
+    e = recordings(s, d)
+    lagged = L.lag_expand(e.select("user_id", "i", "value"), K, "i", "value", list(range(-3, 4)))
+    click = e.select("user_id", "i", F.when(F.col("event_type") == "click", 1.0).otherwise(0.0).alias("x"))
+    return rounded(L.design_matrix({"value": lagged, "click": click, "never": e.select("user_id", "i", F.lit(0.0).alias("x"))}, K, "i"), "x", digits=6)
+
+
+@query("g9_model_table", "SELECT 'full_without_' || r.reg AS model_name, v.reg AS reg_name, v.reg = r.reg AS shuffle, v.lo AS lag, e.n AS users FROM (VALUES ('cue', -60), ('reach', -60), ('pupil', 0)) v(reg, lo) CROSS JOIN (VALUES ('cue'), ('reach'), ('pupil')) r(reg) CROSS JOIN (SELECT count(DISTINCT user_id) AS n FROM events) e")
+def _(s, d):
+    full = L.model_table(s, "full", {"cue": list(range(-60, 61)), "reach": list(range(-60, 61)), "pupil": [0]})
+    users = T(s, d, "events").agg(F.count_distinct("user_id").alias("users"))
+    return L.reduced_models(full).crossJoin(F.broadcast(users)).select("model_name", "reg_name", "shuffle", F.col("lag_frames")[0].alias("lag"), "users")
+
+
+_FOLD = "(SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {events}))"
+
+
+@query("g10_kfold", f"SELECT event_id, fold FROM {_FOLD}")
+def _(s, d):
+    return L.kfold(recordings(s, d), K, ["i"], 5).select("event_id", "fold")
+
+
+_XY = "xy AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE * 0.5 + embedding[1]::DOUBLE AS y, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings))"
+
+
+def _xy(s, d):
+    """Rows with arrays ``x`` and ``y`` and a fold; contiguous folds of the whole table from its number of rows and ids."""
+    e = T(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    q, r = n // 5, n % 5
+    i = F.col("vec_id")  # ids count from 0 without gaps
+    fold = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / max(q, 1))).cast("int")
+    return e.withColumn("fold", fold)
+
+
+_FIT = _XY + """, g AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) AS xx, sum(x * y) AS xy FROM xy JOIN (SELECT DISTINCT fold FROM xy) f ON f.fold <> xy.fold GROUP BY 1),
+co AS (SELECT fold, (xy - n * mx * my) / (xx - n * mx * mx + 3.0) AS b, my, mx FROM g)"""
+
+
+def _fit_one(s, d):
+    rows = _xy(s, d).select("vec_id", "fold", F.array(F.col("v")[0]).alias("x"), F.array(F.col("v")[1] * 0.5 + F.col("v")[0]).alias("y"))
+    return rows, L.ridge_cv(rows, 1, 1, [3.0])
+
+
+@query("g11_ridge", "WITH " + _FIT + " SELECT fold, round(b, 7) AS coefficient, round(my - b * mx, 7) AS intercept FROM co")
+def _(s, d):
+    rows, fit = _fit_one(s, d)
+    table = s.createDataFrame([(f, float(b[0, 0]), float(fit["intercepts"][f][0])) for f, b in fit["coefficients"].items()], "fold int, coefficient double, intercept double")
+    return rounded(rows.select("fold").distinct().join(table, "fold"), "coefficient", "intercept")
+
+
+@query("g11_ridge_alphas")
+def _(s, d):
+    rows = _xy(s, d).select("vec_id", "fold", F.slice("v", 1, 4).alias("x"), F.transform(F.slice("v", 1, 8), lambda x, i: x + F.col("v")[0] * i).alias("y"))
+    alphas = [10.0**k for k in range(-2, 5)]
+    fit = L.ridge_cv(rows, 4, 8, alphas)
+    scores = [(float(a), k, float(v)) for a, row in zip(alphas, fit["scores"]) for k, v in enumerate(row)]
+    table = s.createDataFrame(scores, "alpha double, fold int, r2 double")
+    return rows.select("fold").distinct().join(table, "fold")
+
+
+_PAIRS = "pq AS (SELECT p - 1 AS pixel, embedding[p]::DOUBLE AS v, embedding[p % 64 + 1]::DOUBLE * 0.3 AS w FROM embeddings, (SELECT unnest(range(1, 65)) AS p))"
+
+
+@query("g12_weighted_r2", "WITH " + _PAIRS + " SELECT round(1 - sum(sse) / sum(sst), 7) AS r2 FROM (SELECT pixel, sum(pow(v - w, 2)) AS sse, var_pop(v) * count(*) AS sst FROM pq GROUP BY 1)")
+def _(s, d):
+    e = T(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    rows = e.select("v", F.posexplode("v").alias("pixel", "a")).select("pixel", "a", (F.element_at("v", F.pmod(F.col("pixel") + 1, F.lit(64)) + 1) * 0.3).alias("b"))
+    return rounded(L.weighted_r2(rows, [], "pixel", "a", "b"), "r2")
+
+
+@query("g13_r2_map", "WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS t0, embedding[2]::DOUBLE AS t1, embedding[3]::DOUBLE AS p0, embedding[4]::DOUBLE AS p1 FROM embeddings), u AS (SELECT vec_id AS pixel, embedding[5]::DOUBLE AS u0, embedding[6]::DOUBLE AS u1 FROM embeddings WHERE vec_id < 64) SELECT pixel, round(pow(corr(u0 * t0 + u1 * t1, u0 * p0 + u1 * p1), 2), 6) AS r2 FROM u CROSS JOIN m GROUP BY 1")
+def _(s, d):
+    e = T(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    u = e.where("vec_id < 64").select(F.col("vec_id").alias("pixel"), F.slice("v", 5, 2).alias("u"))
+    return rounded(L.r2_map(e.select(F.slice("v", 1, 2).alias("truth"), F.slice("v", 3, 2).alias("pred")), u, 2), "r2", digits=6)
+
+
+@query("g14_predict", "WITH " + _FIT + " SELECT vec_id, round(my + b * (x - mx), 7) AS predicted FROM xy JOIN co USING (fold)")
+def _(s, d):
+    rows, fit = _fit_one(s, d)
+    return rounded(L.predict(rows, fit).select("vec_id", F.col("predicted")[0].alias("predicted")), "predicted")
+
+
+@query("g15_coefficient_map", "WITH c AS (SELECT unnest([0.5, -1.0, 2.0]::DOUBLE[]) AS c, unnest([0, 1, 2]) AS component) SELECT vec_id AS pixel, round(sum(embedding[component + 1]::DOUBLE * c), 9) AS value FROM embeddings CROSS JOIN c GROUP BY 1")
+def _(s, d):
+    u = pixels(s, d).where("pixel < 3").select(F.col("vec_id").alias("pixel"), F.col("pixel").alias("component"), F.col("v").alias("u"))
+    c = s.createDataFrame([(0, 0, 0.5), (1, 0, -1.0), (2, 0, 2.0)], "component int, frame int, s double")
+    return rounded(M.reconstruct(u, c).select("pixel", "value"), "value", digits=9)
+
+
+@query("g16_fold_average", f"SELECT user_id, round(avg(m), 7) AS value FROM (SELECT user_id, fold, avg(value) AS m FROM {_FOLD} GROUP BY 1, 2) GROUP BY 1")
+def _(s, d):
+    folds = L.kfold(recordings(s, d), K, ["i"], 5)
+    return rounded(L.fold_average(L.fold_average(folds, ["user_id", "fold"], "value"), ["user_id"], "value"), "value")
+
+
+@query("g17_roi_predictions", "WITH " + _FIT + " SELECT label AS roi, round(avg(my + b * (x - mx)), 7) AS mean FROM xy JOIN co USING (fold) GROUP BY 1")
+def _(s, d):
+    rows, fit = _fit_one(s, d)
+    out = L.predict(rows, fit).select("vec_id", F.col("predicted")[0].alias("p"))
+    rois = T(s, d, "embeddings").select("vec_id", F.col("label").alias("roi"))
+    return rounded(out.join(rois, "vec_id").groupBy("roi").agg(F.avg("p").alias("mean")), "mean")
+
+
+@query("g18_unique_contribution", "SELECT l_suppkey, round(pow(corr(l_extendedprice, l_quantity), 2) - pow(corr(l_extendedprice, l_tax), 2), 7) AS delta_r2 FROM lineitem GROUP BY 1")
+def _(s, d):
+    li = T(s, d, "lineitem").groupBy("l_suppkey")
+    full = li.agg(F.pow(F.corr("l_extendedprice", "l_quantity"), 2).alias("r2"))
+    reduced = li.agg(F.pow(F.corr("l_extendedprice", "l_tax"), 2).alias("r2"))
+    return rounded(L.unique_contribution(full, reduced, ["l_suppkey"]).select("l_suppkey", "delta_r2"), "delta_r2")
