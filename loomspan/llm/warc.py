@@ -181,7 +181,7 @@ class WarcReader(DataSourceReader):
         def batch(rows: list[tuple]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        for name in partition.files:
+        for name in partition.files if partition else []:  # none without a file
             rows, held = [], 0
             size = files.get_file_info(name).size
             with files.open_input_file(name) as f:
