@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import oracle
 from loomspan.llm import language_model as B
@@ -48,8 +49,6 @@ def words(text):
 
 @pytest.mark.parametrize("head", [100_000, 30])
 def test_language_model(spark, head):
-    from pyspark.sql import functions as F
-
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(9001, None), (9002, ""), (9003, "Ünseen\x1cword \xa0 É É"), (None, "the of"), (3, "the the the")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'w' word", "1 n", "2 row")
     out = B.class_model_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, own=40, endings=40, classes=12, head=head).orderBy("row_no").collect()
@@ -80,8 +79,6 @@ def test_exchange_finds_alternating_classes():
 
 def test_class_probabilities_sum_to_one(spark):
     """Over all known words, the end and one unseen word, after a given text."""
-    from pyspark.sql import functions as F
-
     train = [(k, t) for k, t in enumerate(["the cat sat", "the dog sat", "a cat ran", "a dog ran the cat"] * 4 + ["one off", "two offs"])]
     known = sorted({w for _, t in train for w in t.split()})
     probe = [(100 + k, f"the {w}") for k, w in enumerate([*known, "zzzq"])] + [(99, "the")]
@@ -140,7 +137,8 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
         path = f"file://{tmp_path}/warc-{len(options)}"
         warc.register(spark)
         if options:
-            spark.read.format("warc").load(f"file://{tmp_path}/warc-0").select("record_type", "record_id", "target_uri", "payload", "payload_digest", "refers_to", spark.read.format("warc").load(f"file://{tmp_path}/warc-0").http_headers["content-length"].alias("payload_length")).write.format("warc").mode("append").options(**options).save(path)
+            first = spark.read.format("warc").load(f"file://{tmp_path}/warc-0").withColumn("payload_length", F.col("http_headers")["content-length"])
+            first.select("record_type", "record_id", "target_uri", "payload", "payload_digest", "refers_to", "payload_length").write.format("warc").mode("append").options(**options).save(path)
         else:
             warc.write_pages(pages, path)
         got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_pages(spark, path).collect())
