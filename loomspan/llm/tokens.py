@@ -30,9 +30,17 @@ class _Units(dict):
 
 
 #: Latin letters (not the dotted capital I, whose lower case ends in a mark), then anything that starts with ASCII punctuation: no token spans that place
+_LETTERS = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+\Z")
 _TAIL = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~].*)\Z", re.S)
 
 
+def _byte_signs() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class TextEncoder:
     """``ids(text)``: the little-endian unsigned 32-bit ids of ``tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -43,7 +51,8 @@ class TextEncoder:
     * a split that drops white space.
 
     A unit that is not held is cut again, at single line feeds between other characters and between a letter and ASCII
-    punctuation, where no token of the two expressions can span either. Other tokenizers, texts with white space next to a space, and texts that contain an added token's string are
+    punctuation, where no token of the two expressions can span either. What is then a run of Latin letters is one word to
+    both expressions and goes to the library's model as it is, in the byte-level alphabet. Other tokenizers, texts with white space next to a space, and texts that contain an added token's string are
     encoded in one piece. ``keep`` bounds the units held per generation.
     """
 
@@ -59,6 +68,7 @@ class TextEncoder:
         lead = " " if self.mode == "keep" else ""
         self.next = _Units(lambda w, held: self.cut(w, held, lead), keep)
         self.line = self.whole("\n")
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
         # any white space that stands before a space, in Python's wide sense
         self.unsafe = re.compile(r"\s ")
 
@@ -72,6 +82,11 @@ class TextEncoder:
                 return held[lines[0]] + b"".join(self.line + self.first[x] for x in lines[1:])
         elif (m := _TAIL.match(unit)) and not _SPACE.search(unit):
             return held[m[1]] + self.first[m[2]]
+        elif _LETTERS.match(unit):
+            word = unit.lower() if self.mode == "drop" else lead + unit
+            if lead or not word.isascii():
+                word = "".join([self.signs[b] for b in word.encode()])
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return self.whole(lead + unit)
 
     def ids(self, text: str | None) -> bytes:
