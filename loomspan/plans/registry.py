@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGSHIP = "c9_phase"
-_MODULES = ("algebra", "metadata", "signals", "intervals", "arrays", "models", "statistics", "files")
+_MODULES = ("algebra", "metadata", "signals", "intervals", "arrays", "models", "statistics", "files", "scalars")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
