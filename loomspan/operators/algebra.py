@@ -118,13 +118,32 @@ def insert_new(table: DataFrame, rows: DataFrame, pk: list[str]) -> DataFrame:
     return table.unionByName(rows.dropDuplicates(pk).join(table.select(pk), pk, "left_anti"))
 
 
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Rows numbered from 0 in an order over the whole table, without bringing them into one task.
+
+    Rows are range-partitioned and numbered inside their partition, written once, and shifted by the sizes of the
+    partitions before: one row per partition.
+    """
+    from ..sources.files import scratch
+
+    spark, path = df.sparkSession, scratch(df.sparkSession, "numbered")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    rows.withColumn("_l", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_s"))
+    return rows.join(shift, "_p").withColumn(out, F.col("_s") + F.col("_l")).drop("_p", "_l", "_s")
+
+
 def next_counter(table: DataFrame, rows: DataFrame, order: list, counter: str, group: list[str] | None = None) -> DataFrame:
     """``rows`` numbered on from the largest counter of their group in ``table``, or from 0."""
-    group = group or []
-    most = table.groupBy(group).agg(F.max(counter).alias("_most"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group or [F.lit(0)]).orderBy(*order)))
-    joined = numbered.join(most, group, "left") if group else numbered.crossJoin(F.broadcast(most))
-    return joined.withColumn(counter, F.coalesce("_most", F.lit(-1)) + F.col("_n")).drop("_most", "_n")
+    if not group:
+        most = table.agg(F.max(counter).alias("_most"))  # one row
+        joined = numbered(rows, order, "_n").crossJoin(F.broadcast(most))
+    else:
+        most = table.groupBy(group).agg(F.max(counter).alias("_most"))
+        joined = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).join(most, group, "left")
+    return joined.withColumn(counter, F.coalesce("_most", F.lit(-1)) + 1 + F.col("_n")).drop("_most", "_n")
 
 
 def check_constraints(df: DataFrame, pk: list[str], not_null: list[str] = (), enums: Mapping[str, list] | None = None, parent: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .algebra import numbered
 from .signal import interp, searchsorted
 
 
@@ -32,10 +33,13 @@ def analog_regressor(signal: DataFrame, samples: DataFrame, key: list[str], t: s
 
 
 def standardise(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Less the mean, over the population deviation; a constant column becomes 0."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    d = F.stddev_pop(column).over(w)
-    return df.withColumn(column, (F.col(column) - F.avg(column).over(w)) / F.when(d == 0, 1.0).otherwise(d))
+    """Less the mean, over the population deviation; a constant column becomes 0. Rows whose ``by`` is null are left out.
+
+    Moments are combined inside tasks first, so a frequent key costs no more than another.
+    """
+    m = df.groupBy(by).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_d"))
+    rows = df.join(m, by) if by else df.crossJoin(F.broadcast(m))
+    return rows.withColumn(column, (F.col(column) - F.col("_m")) / F.when(F.col("_d") == 0, 1.0).otherwise(F.col("_d"))).drop("_m", "_d")
 
 
 def shuffle_rows(df: DataFrame, key: list[str], frame: str, value: str, seed: int = 42) -> DataFrame:
@@ -103,9 +107,11 @@ def reduced_models(full: DataFrame) -> DataFrame:
 
 def kfold(df: DataFrame, key: list[str], order: list, k: int, out: str = "fold") -> DataFrame:
     """Contiguous folds in order; the first n mod k are one longer."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key) if key else Window.partitionBy(F.lit(0)))
-    i = F.row_number().over((Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order)) - 1
-    rows = df.withColumns({"_i": i, "_n": n})
+    if key:
+        w = Window.partitionBy(key)
+        rows = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    else:
+        rows = numbered(df, order, "_i").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
     q, r = F.floor(F.col("_n") / k), F.col("_n") % k
     long = r * (q + 1)
     fold = F.when(F.col("_i") < long, F.floor(F.col("_i") / (q + 1))).otherwise(r + F.floor((F.col("_i") - long) / F.greatest(q, F.lit(1))))

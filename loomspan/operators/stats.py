@@ -59,7 +59,7 @@ def contrast(df: DataFrame, by: list[str], group: str, value: str, a, b) -> Data
 
 
 def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "p_adjusted") -> DataFrame:
-    """Benjamini-Hochberg within each group."""
+    """Benjamini-Hochberg within each group; without groups all p-values, one per test, meet in one sort."""
     part = Window.partitionBy(by or [F.lit(0)])
     rows = df.withColumns({"_m": F.count(p).over(part), "_r": F.row_number().over(part.orderBy(p))})
     rows = rows.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))

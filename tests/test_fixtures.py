@@ -186,3 +186,16 @@ def test_readers(spark, tmp_path):
 def test_session_id(spark):
     df = spark.createDataFrame([("u", 7, dt.date(2024, 3, 5), 2)], "user string, mouse int, day date, num int")
     assert df.select(S.session_id("user", "mouse", "day", "num")).first()[0] == "session_u_M007_2024-03-05_02"
+
+
+def test_numbering_without_groups(spark):
+    from loomspan.operators import algebra as A
+
+    rows = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("v"))
+    assert [(r.v, r.n) for r in A.numbered(rows, ["v"], "n").orderBy("v").collect()] == [(k, k) for k in range(500)]
+    table = spark.createDataFrame([(4,), (9,)], "c long")
+    got = A.next_counter(table, rows, ["v"], "c").orderBy("v").collect()
+    assert [r.c for r in got] == list(range(10, 510))
+    assert [r.c for r in A.next_counter(table.where("false"), rows.limit(3), ["v"], "c").orderBy("v").collect()] == [0, 1, 2]
+    folds = L.kfold(rows, [], ["v"], 3).groupBy("fold").count().orderBy("fold").collect()
+    assert [(r["fold"], r["count"]) for r in folds] == [(0, 167), (1, 167), (2, 166)]
