@@ -161,3 +161,30 @@ def test_contamination(spark):
     kept = D.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted([0, *range(200, 220), 300, 301])
     assert D.find_contamination(docs.where("false"), bench).count() == D.find_contamination(docs, bench.where("false")).count() == 0
+
+
+def test_wide_fingerprints_group_similar_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    rows, base = [], {}
+    for g in range(40):
+        words = [word() for _ in range(300)]
+        for c in range(4):
+            own = list(words)
+            for k in rng.sample(range(300), 4 * (c > 0)):
+                own[k] = word()
+            rows.append((10 * g + c, " ".join(own) if c % 2 else " ".join(own).upper()))
+            base[10 * g + c] = 10 * g
+    rows += [(9001, None), (9000, ""), (9002, " \n"), (None, "a null id"), (7, "repeated row"), (7, "repeated row"), (9100, "word " * 30_000)]
+    shingles = {i: {" ".join(t.lower().split()[k : k + 5]) for k in range(296)} for i, t in rows[:160]}
+    similar = [(a, b) for a in base for b in base if a < b and base[a] == base[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(similar) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 node", "'f' f0", "2 least")
+    for sizes in ({}, {"leaf": 20, "block": 6}):
+        got = S.near_duplicate_groups(docs, **sizes).collect()
+        assert len(got) == len(rows)
+        group = {r.doc_id: r.component_id for r in got}
+        assert sum(group[a] == group[b] for a, b in similar) >= 0.98 * len(similar)
+        assert all(base[i] == base[group[i]] for i in base)
+        assert group[9000] == group[9001] == group[9002] == 9000 and group[None] is None and group[7] == 7
+    assert S.near_duplicate_groups(docs.where("false")).count() == 0
