@@ -58,36 +58,76 @@ def bucket_keys(x: np.ndarray, tables: int, probes: int, seed: int = 11) -> np.n
     return out
 
 
-def _meet(ids, unit, keys, many, home, table: int, least: float, rows: int = 512):
-    """Links of one shard: each item's number of links first found here, and a spanning forest of all links."""
-    at = np.flatnonzero(home)
-    order = np.concatenate([at, np.flatnonzero(~home)])
-    ids, unit, keys, many, n = ids[order], unit[order], keys[order], many[order], len(at)
-    links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-    for lo in range(0, len(ids), rows):
-        hi = min(lo + rows, len(ids))
-        upto = hi if hi <= n else n
-        i, j = np.nonzero(unit[lo:hi] @ unit[:upto].T >= least)
+def _first_here(i, j, ids, keys, table, home) -> np.ndarray:
+    """Whether no earlier table finds the link of i and the home j, nor, in this table, the other of two buckets."""
+    first, t = np.ones(len(i), bool), table[i]
+    for k in range(int(t.max(initial=0))):
+        a, b = keys[i, k], keys[j, k]
+        first &= (k >= t) | ~((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1))
+    a, b = keys[i, t], keys[j, t]
+    apart = a[:, 0] != b[:, 0]  # else homes of one bucket in two of its cuts
+    back = (b == a[:, :1]).any(1) & ~home[i] & apart  # a visitor that the home also visits
+    return first & (~back | (ids[i] < ids[j]))
+
+
+def _pairs_in_small(starts: np.ndarray, sizes: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one shard, the second of which is a home, for all shards at a time, in bounded parts."""
+    rows = np.repeat(starts, sizes) + _within(sizes)
+    later = np.repeat(sizes, sizes) - 1 - _within(sizes)
+    part = np.cumsum(later) // 200_000
+    for k in range(int(part[-1]) + 1 if len(part) else 0):
+        own = part == k
+        i = np.repeat(rows[own], later[own])
+        j = i + 1 + _within(later[own])
+        i, j = np.where(home[j], i, j), np.where(home[j], j, i)
+        use = home[j]
+        yield i[use], j[use]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of consecutive runs."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _pairs_in_large(start: int, size: int, home: np.ndarray, unit: np.ndarray, least: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of one shard, a block of rows against all homes at a time."""
+    at = start + np.flatnonzero(home[start : start + size])
+    order = np.concatenate([at, start + np.flatnonzero(~home[start : start + size])])
+    for lo in range(0, size, rows):
+        upto = min(lo + rows, len(at)) if lo + rows <= len(at) else len(at)
+        i, j = np.nonzero(unit[order[lo : lo + rows]] @ unit[at[:upto]].T >= least)
         i += lo
-        one = (i < n) & (i <= j)  # a pair of homes once, and none with itself
-        i, j = i[~one], j[~one]
+        use = (i >= len(at)) | (i > j)  # two homes once, and none with itself
+        yield order[i[use]], order[j[use]]
+
+
+def _meet(shard: np.ndarray, ids, unit, keys, many, home, table, least: float, small: int = 64):
+    """Links within shards (equal, consecutive ``shard``): rows with links first found here, and spanning edges."""
+    n = len(ids)
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    sizes = np.diff(np.append(starts, n))
+    links, forest = np.zeros(n, np.int64), Forest(n)
+
+    def add(i, j):
         if not len(i):
-            continue
+            return
         forest.add(i, j)
-        first = np.ones(len(i), bool)
-        for t in range(table):
-            a, b = keys[i, t], keys[j, t]
-            first &= ~((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1))
-        # a visitor that the home also visits: in one of the two buckets only
-        apart = keys[i, table, 0] != keys[j, table, 0]  # else homes of one bucket in two of its cuts
-        back = (keys[j, table] == keys[i, table][:, :1]).any(1) & (i >= n) & apart
-        first &= ~back | (ids[i] < ids[j])
+        first = _first_here(i, j, ids, keys, table, home)
         i, j = i[first], j[first]
-        links += np.bincount(i, many[j], len(ids)).astype(np.int64) + np.bincount(j, many[i], len(ids)).astype(np.int64)
+        links[:] += np.bincount(i, many[j], n).astype(np.int64) + np.bincount(j, many[i], n).astype(np.int64)
+
+    few = sizes <= small
+    for i, j in _pairs_in_small(starts[few], sizes[few], home):
+        close = np.einsum("nd,nd->n", unit[i], unit[j]) >= least
+        add(i[close], j[close])
+    for start, size in zip(starts[~few], sizes[~few]):
+        for i, j in _pairs_in_large(start, size, home, unit, least):
+            add(i, j)
     child, root = forest.roots()
-    up = np.full(len(ids), -1, np.int64)
+    up = np.full(n, -1, np.int64)
     up[child] = ids[root]
-    return ids, links, up
+    use = (links > 0) | (up >= 0)
+    return ids[use], links[use], up[use]
 
 
 def embedding_duplicates(
@@ -139,27 +179,40 @@ def embedding_duplicates(
     sent = sent.withColumn("own", F.when(F.col("s.home"), own).otherwise(cuts)).withColumn("cut", F.explode(F.sequence(F.lit(0), F.when(F.col("s.home"), F.col("own")).otherwise(cuts - 1))))
     sent = sent.select("bucket", "cut", F.col("s.t").alias("t"), (F.col("cut") == F.col("own")).alias("home"), "cls", "many", "keys", "unit")
 
-    def meet(table):
+    def meet(batches: Iterator) -> Iterator:
+        """Batches come sorted by shard; the last shard of a batch waits for the next one."""
         import pyarrow as pa
 
-        get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
-        home = get("home")
-        if len(home) < 2 or not home.any():
-            none = pa.array([], pa.int64())
-            return pa.table({"cls": none, "links": none, "up": none})
-        keys = np.stack(table.column("keys").to_numpy(zero_copy_only=False)).reshape(len(home), tables, width)
-        units = table.column("unit").to_pylist()
-        sizes = np.array([len(x) for x in units])
-        parts = []
-        for d in np.unique(sizes):  # one length, but for a hash collision
-            at = np.flatnonzero(sizes == d)
-            unit = np.frombuffer(b"".join([units[i] for i in at])).reshape(len(at), -1)
-            parts.append(_meet(get("cls")[at], unit, keys[at], get("many")[at], home[at], int(get("t")[0]), cosine))
-        ids, links, up = (np.concatenate(x) for x in zip(*parts))
-        use = (links > 0) | (up >= 0)
-        return pa.table({"cls": pa.array(ids[use]), "links": pa.array(links[use]), "up": pa.array(up[use])})
-
-    found = C.written(sent.groupBy("bucket", "cut").applyInArrow(meet, "cls long, links long, up long"), "vector-links")
+        import pyarrow.compute as pc
+
+        def whole(table):
+            sizes = pc.binary_length(table.column("unit")).to_numpy()
+            for d in np.unique(sizes):
+                own = table.filter(pa.array(sizes == d)) if (sizes != d).any() else table
+                unit = np.frombuffer(b"".join(own.column("unit").to_pylist())).reshape(own.num_rows, -1)
+                keys = pc.list_flatten(own.column("keys")).to_numpy().reshape(own.num_rows, tables, width)
+                get = lambda c, own=own: own.column(c).to_numpy()
+                b, c = get("bucket"), get("cut")
+                shard = np.concatenate([[0], np.cumsum((b[1:] != b[:-1]) | (c[1:] != c[:-1]))])
+                out = _meet(shard, get("cls"), unit, keys, get("many"), own.column("home").to_numpy(), get("t"), cosine)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["cls", "links", "up"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py())
+            same = (batch.column(0).to_numpy() == last[0]) & (batch.column(1).to_numpy() == last[1])
+            cut = int(np.argmax(same))
+            if cut or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != last):
+                yield from whole(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from whole(pa.Table.from_batches(held))
+
+    sorted_rows = sent.repartition(C.shuffle_partitions(spark), "bucket", "cut").sortWithinPartitions("bucket", "cut")
+    found = C.written(sorted_rows.mapInArrow(meet, "cls long, links long, up long"), "vector-links")
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     tree = C.connected_components(found.where("up >= 0").select(F.col("cls").alias("a"), F.col("up").alias("b"))).select(F.col("node").alias("cls"), "root")
     named = classes.select("h1", "h2", "cls", "many", "least").join(degree, "cls", "left").join(tree, "cls", "left")
