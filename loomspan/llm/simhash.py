@@ -144,12 +144,12 @@ def hamming_components(fps: DataFrame, radius: int = 4, leaf: int = 4000, block:
     spark = fps.sparkSession
     distinct = C.written(fps.select("fp").where(F.col("fp").isNotNull()).distinct(), "fingerprints")
     parts = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("fp", BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for b in range(BANDS)])).alias("p")
-    held = distinct.select(parts).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 4 x 65,536 rows
+    held = distinct.select(parts).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 4 x 65,536 rows
     near = radius // BANDS
     trees = []
     for b in range(BANDS):
-        own = held[held["band"] == b]
-        trees.append(VantageTree(own["value"].to_numpy(), own["n"].to_numpy(), near, leaf))
+        own = held.filter(np.equal(held.column("band").to_numpy(), b))
+        trees.append(VantageTree(own.column("value").to_numpy(), own.column("n").to_numpy(), near, leaf))
     cuts = [np.array([max(1, -(-s // block)) for s in t.sizes], dtype=np.int64) for t in trees]
     sent = spark.sparkContext.broadcast((trees, cuts))
 
@@ -292,11 +292,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
     classes = C.written(fps.groupBy(names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-classes")
     places = [(w, b) for b in range(BANDS) for w in range(WIDE)][:WIDE_BANDS]
     parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(names[w], BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for k, (w, b) in enumerate(places)]
-    held = classes.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 12 x 65,536 rows
+    held = classes.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 12 x 65,536 rows
     trees = []
     for k in range(len(places)):
-        own = held[held["band"] == k]
-        trees.append(VantageTree(own["value"].to_numpy(), own["n"].to_numpy(), 1, leaf))
+        own = held.filter(np.equal(held.column("band").to_numpy(), k))
+        trees.append(VantageTree(own.column("value").to_numpy(), own.column("n").to_numpy(), 1, leaf))
     cuts = [np.array([max(1, -(-s // block)) for s in t.sizes], dtype=np.int64) for t in trees]
     sent = spark.sparkContext.broadcast((trees, cuts))
 
