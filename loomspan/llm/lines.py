@@ -46,9 +46,9 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     bad = boilerplate_lines(docs, id_col=id_col, text_col=text_col, **options)
     line = F.explode(F.split(text_col, "\n")).alias("line")
-    held = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), line).select("doc", *_line_keys(F.col("line"))).distinct()
+    held = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), line).select("doc", *_line_keys(F.col("line")))
     hit = held.join(bad, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("first_doc")))
-    gone = hit.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone")).select(F.col("doc").alias("_doc"), "_gone")
+    gone = hit.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).select(F.col("doc").alias("_doc"), "_gone")
     kept = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.struct(*_line_keys(x))))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = docs.join(gone, F.col("_doc").eqNullSafe(F.col(id_col)), "left").withColumn(text_col, text)
