@@ -172,7 +172,8 @@ def embedding_duplicates(
     spots = F.explode(F.array(*[F.struct(F.lit(k // width).alias("t"), F.lit(k % width == 0).alias("home"), F.col("keys")[k].alias("key")) for k in range(tables * width)])).alias("s")
     bucket = F.xxhash64("bucket_of", "s.t", "s.key").alias("bucket")
     heavy = hashed.select("bucket_of", "keys", spots).where("s.home").select(bucket).groupBy("bucket").count().where(F.col("count") > block)
-    heavy = heavy.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("cuts"))
+    # written, so that its size is known when the join is planned: mostly empty, it is broadcast and the vectors stay where they are
+    heavy = C.written(heavy.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("cuts")), "heavy-buckets")
     sent = hashed.select("cls", "many", "keys", "unit", spots, bucket).join(heavy, "bucket", "left")
     cuts = F.coalesce("cuts", F.lit(1))
     own = F.pmod(F.xxhash64("cls"), cuts).cast("int")
