@@ -6,17 +6,22 @@ import numpy as np
 
 
 class Forest:
-    """Labels of ``n`` items; ``add`` joins items pairwise, ``roots`` gives the items that have another one as root."""
+    """Labels of ``n`` items; ``add`` joins items pairwise, ``roots`` gives the items that have another one as root.
+
+    ``add`` returns the places of the pairs that joined two trees; of several pairs that could, it takes the earliest.
+    """
 
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = self.label[i], self.label[j]
-        apart = a != b
-        if not apart.any():
-            return
-        pairs = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], 1), axis=0)
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return apart
+        a, b = a[apart], b[apart]
+        first = np.sort(np.unique(np.minimum(a, b) * len(self.label) + np.maximum(a, b), return_index=True)[1])
+        used = np.zeros(len(first), bool)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -25,14 +30,16 @@ class Forest:
                 x = up
             return x
 
-        for x, y in pairs.tolist():
+        for k, (x, y) in enumerate(zip(a[first].tolist(), b[first].tolist())):
             x, y = find(x), find(y)
             if x != y:
                 root[max(x, y)] = min(x, y)
+                used[k] = True
         moved = np.arange(len(self.label))
         for x in list(root):
             moved[x] = find(x)
         self.label = moved[self.label]
+        return apart[first[used]]
 
     def roots(self) -> tuple[np.ndarray, np.ndarray]:
         tied = np.flatnonzero(self.label != np.arange(len(self.label)))

@@ -12,9 +12,10 @@ the forests. A leaf with more homes than a block allows is cut into several shar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,28 +220,35 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 # Wide fingerprints: near-duplicates at a similarity of 0.8 of five-word shingles.
 #
 # At that similarity a 64-bit fingerprint differs in about ten bits, too noisy a measure and too large a radius for any
-# tree. Four words with the hash's four seeds differ in 39 of 256 bits on average (standard deviation 6), so the radius is 46. A pair
-# is searched within one bit in each of twelve 16-bit bands, three of each word, and met if any band has it: 0.98 of pairs at
-# a similarity of 0.8 and more above it; links of a group connect through any of its pairs.
+# tree. Four words with the hash's four seeds differ in 39 of 256 bits on average (standard deviation 6). Fingerprints only name
+# candidates: pairs within 58 bits (three deviations more) that are within one bit in any of the sixteen 16-bit bands, by
+# expectation 0.99 of isolated pairs at 0.8 and more above it. A link is a candidate whose shingle sets have a measured
+# Jaccard similarity of 0.8 or more.
 
-WIDE, WIDE_RADIUS, WIDE_BANDS = 4, 46, 12
+WIDE, WIDE_RADIUS, SIMILAR = 4, 58, 0.8
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, ...]:
-    """Four fingerprints, of the shingles' XXH64 and of three multiplicative mixes of it."""
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted distinct XXH64 values of the text's word shingles; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return (0,) * WIDE
+        return np.zeros(0, np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     joined = b" ".join(found)
     k = min(words, len(found))
     first, last = starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, len(first)))
+
+
+def _wide_of(hashes: np.ndarray) -> tuple[int, ...]:
+    if not len(hashes):
+        return (0,) * WIDE
     counts, step = np.zeros((WIDE, 8, 256), np.int64), 100_000
-    for at in range(0, len(first), step):
-        h = np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[at : at + step], last[at : at + step])], dtype="<u8"))
+    for at in range(0, len(hashes), step):
+        h = hashes[at : at + step]
         for w in range(WIDE):
             mixed = h
             if w:
@@ -248,51 +256,96 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, ...]:
                 mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB + 2 * w)
                 mixed = mixed ^ (mixed >> np.uint64(29))
             counts[w] += np.bincount((mixed.view("u1").reshape(-1, 8) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
-    n = int(counts[0, 0].sum())
-    bits = (2 * (counts @ _BYTE_BITS) > n).astype("u1").reshape(WIDE, 64)
+    bits = (2 * (counts @ _BYTE_BITS) > len(hashes)).astype("u1").reshape(WIDE, 64)
     return tuple(int(x) for x in np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel())
 
 
-def _wide_forest(homes: np.ndarray, visitors: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (places in homes, then visitors) of links at ``radius``: the first word refuses most pairs."""
-    from .forest import Forest
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, ...]:
+    """Four fingerprints, of the distinct shingles' XXH64 and of three multiplicative mixes of it."""
+    return _wide_of(shingle_hashes(text, words))
 
-    items, n = np.concatenate([homes, visitors]), len(homes)
-    forest, loose = Forest(len(items)), radius // WIDE + 9
+
+def _wide_pairs(items: np.ndarray, sizes: np.ndarray, part: Callable[[], np.ndarray], n: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (item, earlier home) of different parts, closest first in each block; the first ``n`` items are homes.
+
+    A pair whose numbers of shingles rule out a Jaccard similarity of SIMILAR is none.
+    """
+    rows = int(np.clip(2**20 // max(n, 1), 16, 256))
     for at in range(0, len(items), rows):
         upto = n if at + rows > n else at + rows
-        i, j = np.nonzero(np.bitwise_count(items[at : at + rows, None, 0] ^ homes[None, :upto, 0]) <= loose)
+        own = items[at : at + rows]
+        half = np.bitwise_count(own[:, None, 0] ^ items[None, :upto, 0]) + np.bitwise_count(own[:, None, 1] ^ items[None, :upto, 1])
+        i, j = np.nonzero(half <= radius)
         i += at
-        use = forest.label[i] != forest.label[j]  # joined already, as all pairs of a group of copies soon are
+        label = part()
+        use = (j < i) & (label[i] != label[j])
         i, j = i[use], j[use]
-        close = np.bitwise_count(items[i] ^ homes[j]).sum(1, dtype=np.int64) <= radius
-        forest.add(i[close], j[close])
-    return forest.roots()
+        bits = np.bitwise_count(items[i] ^ items[j]).sum(1, dtype=np.int64)
+        use = (bits <= radius) & (np.minimum(sizes[i], sizes[j]) >= SIMILAR * np.maximum(sizes[i], sizes[j]))
+        order = np.flatnonzero(use)[np.argsort(bits[use], kind="stable")]
+        if len(order):
+            yield i[order], j[order]
+
+
+def _measured(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """``a, b, similar``: whether the shingle sets of two classes have a Jaccard similarity of SIMILAR or more.
+
+    A shingle counts by 32 bits of its hash, so that two of a text of n shingles are one with a probability of n / 2^33.
+    """
+
+    def compare(batches: Iterator) -> Iterator:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= SIMILAR * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = C.written(fps.select("node", "shingles").join(linked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "wide-sets")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    out = C.written(two.mapInArrow(compare, "a long, b long, similar boolean"), "wide-measured")
+    C.drop_written(sets)
+    return out
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, component_id`` by wide fingerprints: one row per row of ``docs``.
+    """``doc_id, text_hash, component_id``: one row per row of ``docs``.
+
+    Groups are the components of links between texts whose five-word shingles, each counted once, have a Jaccard similarity of 0.8 or
+    more; wide fingerprints find the candidates and every link is measured. Null and empty texts are one group. ``component_id`` is the
+    smallest id of the group; null ids are kept. ``text_hash`` tells rows of one id apart. An empty table gives no rows; ``leaf`` and
+    ``block`` do not change the result.
 
-    Groups are the components of links between texts whose five-word shingles, each counted once, are similar to about 0.8 or more. Null
-    and empty texts are one group. ``component_id`` is the smallest id of the group; null ids are kept. ``text_hash`` tells rows of one
-    id apart. An empty table gives no rows; ``leaf`` and ``block`` do not change the result.
+    Shards first emit a spanning forest of their candidates, never all pairs of a group of copies. Where the measure refuses a
+    link of a tree, the tree's texts meet again and every candidate between the parts that are left is measured.
     """
+    from xxhash import xxh64_intdigest
+
+    from .forest import Forest
+
     spark = docs.sparkSession
     names = [f"f{w}" for w in range(WIDE)]
+    columns = ["node", "size", "part", *names]
+    types = ", ".join(f"{c} long" for c in columns)
 
     def prints(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
-            found = np.array([wide_fingerprint(x.as_py(), words) for x in batch.column(2)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in found.T)], names=["doc_id", "text_hash", *names])
+            sets = [shingle_hashes(x.as_py(), words) for x in batch.column(2)]
+            found = np.array([_wide_of(h) for h in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            node = np.array([xxh64_intdigest(h.tobytes(), 42) for h in sets], dtype=np.uint64).view(np.int64)
+            held = [np.unique(h.astype("<u4")).tobytes() for h in sets]
+            arrays = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(c) for c in found.T), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["doc_id", "text_hash", "node", "size", *names, "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string"))
-    fps = C.written(rows.mapInArrow(prints, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in names)), "wide-fingerprints")
-    classes = C.written(fps.groupBy(names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-classes")
-    places = [(w, b) for b in range(BANDS) for w in range(WIDE)][:WIDE_BANDS]
+    fps = C.written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary"), "wide-fingerprints")
+    classes = C.written(fps.groupBy("node", "size", *names).agg(F.min("doc_id").alias("least")), "wide-classes")
+    places = [(w, b) for b in range(BANDS) for w in range(WIDE)]
     parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(names[w], BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for k, (w, b) in enumerate(places)]
-    held = classes.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 12 x 65,536 rows
+    held = classes.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 16 x 65,536 rows
     trees = []
     for k in range(len(places)):
         own = held.filter(np.equal(held.column("band").to_numpy(), k))
@@ -301,14 +354,12 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
     sent = spark.sparkContext.broadcast((trees, cuts))
 
     def send(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         trees, cuts = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            fp = np.stack([c.to_numpy() for c in batch.columns[1:]], 1).view(np.uint64)
+            fp = np.stack([c.to_numpy() for c in batch.columns[3:]], 1).view(np.uint64)
             shard, home, row = [], [], []
 
             def put(key, is_home, rows):
@@ -325,21 +376,38 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
                     for c in range(c_all):  # a home visits the cuts before its own
                         put((k << 56) + (leaf_no << 24) + c, True, rows[own == c])
                         put((k << 56) + (leaf_no << 24) + c, False, rows[own > c])
-            at = np.concatenate(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(np.concatenate(home)), pa.array(node[at]), *(pa.array(fp[at, w].view(np.int64)) for w in range(WIDE))], names=["shard", "home", "node", *names])
-
-    def meet(table):
-        import pyarrow as pa
-
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        fp = np.stack([table.column(c).to_numpy() for c in names], 1).view(np.uint64)
-        node = np.concatenate([(own := table.column("node").to_numpy())[home], own[~home]])
-        a, b = _wide_forest(fp[home], fp[~home], radius)
-        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
-
-    types = ", ".join(f"{c} long" for c in names)
-    edges = classes.select("node", *names).mapInArrow(send, f"shard long, home boolean, node long, {types}").groupBy("shard").applyInArrow(meet, "a long, b long")
-    named = classes.join(C.connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(np.concatenate(home)), *(c.take(at) for c in batch.columns)], names=["shard", "home", *columns])
+
+    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
+        """``a, b``: a spanning forest of each shard's candidates, or every candidate, between different parts."""
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches))
+            home = table.column("home").to_numpy(zero_copy_only=False)
+            order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
+            node, size, part = (table.column(c).to_numpy()[order] for c in columns[:3])
+            fp = np.stack([table.column(c).to_numpy()[order] for c in names], 1).view(np.uint64)
+            forest = Forest(len(order))
+            for i, j in _wide_pairs(fp, size, (lambda: part) if every else (lambda: forest.label), int(home.sum()), radius):
+                if not every:
+                    used = forest.add(i, j)
+                    i, j = i[used], j[used]
+                a, b = node[i], node[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        return nodes.select(*columns).mapInArrow(send, f"shard long, home boolean, {types}").groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+
+    first = C.written(candidates(classes.withColumn("part", F.col("node")), False), "wide-candidates")
+    measured = _measured(first, fps)
+    links = measured.where("similar").select("a", "b")
+    if not measured.where("NOT similar").isEmpty():
+        trees_of = C.connected_components(first).withColumnRenamed("root", "tree")
+        torn = measured.where("NOT similar").join(trees_of, F.col("a") == F.col("node")).select("tree").distinct()
+        left = trees_of.join(torn, "tree", "left_semi").join(C.connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+        rest = candidates(classes.join(left, "node"), True).join(measured, ["a", "b"], "left_anti")
+        links = links.unionByName(_measured(C.written(rest, "wide-candidates"), fps).where("similar").select("a", "b"))
+    named = classes.join(C.connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(*names, "component_id")
-    return fps.join(named, names).select("doc_id", "text_hash", "component_id")
+    named = named.join(least, "root").select("node", "component_id")
+    return fps.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component_id")

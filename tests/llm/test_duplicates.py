@@ -188,3 +188,39 @@ def test_wide_fingerprints_group_similar_texts(spark):
         assert all(base[i] == base[group[i]] for i in base)
         assert group[9000] == group[9001] == group[9002] == 9000 and group[None] is None and group[7] == 7
     assert S.near_duplicate_groups(docs.where("false")).count() == 0
+
+
+def test_near_duplicate_links_are_measured(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for g in range(600):  # isolated pairs: six changed words leave a Jaccard of 266 / 326, seven leave 261 / 331
+        words = [word() for _ in range(300)]
+        own = list(words)
+        for k in range(6 + g % 2):
+            own[20 + 40 * k] = word() + "z"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in S.near_duplicate_groups(docs).collect()}
+    linked = [group[2 * g] == group[2 * g + 1] for g in range(600)]
+    assert sum(linked[::2]) >= 0.97 * 300 and not any(linked[1::2])
+
+
+def test_groups_with_refused_links_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for _ in range(12):  # chains of edits: neighbours above and below the limit
+        own = [word() for _ in range(120)]
+        for _ in range(12):
+            own = list(own)
+            for k in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+                own[k] = word()
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    want = components(np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sizes in ({}, {"leaf": 20, "block": 6}):
+        group = {r.doc_id: r.component_id for r in S.near_duplicate_groups(docs, **sizes).collect()}
+        assert sum(group[i] == want[i] for i in range(len(texts))) >= 0.97 * len(texts)
+        assert len({(int(want[i]), group[i]) for i in range(len(texts))}) <= len(set(want.tolist())) + 4
