@@ -29,11 +29,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a shingle similarity of 0.8 or more stays: that with the smallest id.
 
-    Of repeated rows of that id one stays. Rows with a null id all stay.
+    Rows are told apart by id and text, so another text under a repeated id is judged by its own group. Of rows equal in both
+    one stays. Rows with a null id all stay.
     """
-    ids = near_duplicate_groups(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    first = near_duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash")).distinct()
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,12 +312,13 @@ def _measured(pairs: DataFrame, fps: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, component_id``: one row per row of ``docs``.
+    """``doc_id, text_hash, component_id, kept``: one row per row of ``docs``.
 
     Groups are the components of links between texts whose five-word shingles, each counted once, have a Jaccard similarity of 0.8 or
     more; wide fingerprints find the candidates and every link is measured. Null and empty texts are one group. ``component_id`` is the
-    smallest id of the group; null ids are kept. ``text_hash`` tells rows of one id apart. An empty table gives no rows; ``leaf`` and
-    ``block`` do not change the result.
+    smallest id of the group; null ids are kept. ``text_hash`` tells rows of one id apart. ``kept`` marks the group's row of the smallest
+    id and, of several texts under it, the smallest hash; it is false for null ids. An empty table gives no rows; ``leaf`` and ``block``
+    do not change the result.
 
     Shards first emit a spanning forest of their candidates, never all pairs of a group of copies. Where the measure refuses a
     link of a tree, the tree's texts meet again and every candidate between the parts that are left is measured.
@@ -342,7 +343,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
 
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string"))
     fps = C.written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary"), "wide-fingerprints")
-    classes = C.written(fps.groupBy("node", "size", *names).agg(F.min("doc_id").alias("least")), "wide-classes")
+    classes = C.written(fps.groupBy("node", "size", *names).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")), "wide-classes")
     places = [(w, b) for b in range(BANDS) for w in range(WIDE)]
     parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(names[w], BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for k, (w, b) in enumerate(places)]
     held = classes.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 16 x 65,536 rows
@@ -408,6 +409,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
         rest = candidates(classes.join(left, "node"), True).join(measured, ["a", "b"], "left_anti")
         links = links.unionByName(_measured(C.written(rest, "wide-candidates"), fps).where("similar").select("a", "b"))
     named = classes.join(C.connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    return fps.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(least, "root").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    kept = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")), F.lit(False))
+    return fps.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component_id", kept.alias("kept"))

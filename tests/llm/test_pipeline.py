@@ -40,6 +40,17 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark):
     assert got in (["2", "7", "None"], ["2", "4", "7", "None"])
 
 
+def test_near_duplicates_keep_other_texts_of_a_repeated_id(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(50))
+    rows = [(k, text(f"a{k}") + " end") for k in range(10)]
+    for k in range(10):
+        rows += [(100 + k, text(f"a{k}")), (100 + k, text(f"b{k}")), (100 + k, text(f"c{k}")), (100 + k, text(f"c{k}")), (100 + k, text(f"c{k}").upper())]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text.lower()) for r in P.near_duplicates(spark, docs, "").collect())
+    want = [(k, text(f"a{k}") + " end") for k in range(10)] + [(100 + k, text(f"{c}{k}")) for k in range(10) for c in "bc"]
+    assert got == Counter(want)
+
+
 def test_an_empty_corpus(spark):
     docs = C.read(spark, SMALL, "documents").where("false")
     for _, stage in P.STAGES:
