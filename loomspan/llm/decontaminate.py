@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Words are runs of ASCII letters and digits and of non-ASCII characters, after lower-casing. Every test item gives its
-word n-grams as seeds but for those that many items share (an item always keeps its rarest ones). The seeds' hashes fill
-a bitmap of at most 8 MB, which is what tasks get, whatever the benchmark's size. One pass over whole texts, vectorised
-over bytes, keeps the regions around n-grams that the bitmap knows; an equi-join on the n-gram then names the items, and
-region and item are aligned word by word. The score is the best local alignment's share of a full match (match 2,
-mismatch and gap -1), so copies with changed, dropped or added words are found and chance n-grams are not.
+"""Benchmark decontamination: word-pair seeds find passages, Smith-Waterman alignment scores them.
+
+Words are runs of ASCII letters and digits and of non-ASCII characters, after lower-casing. The score is the best local
+alignment's share of a full match (match 2, mismatch and gap -1). Seeds are pairs of words that are next to each other or have
+one word between them, in item and text. They lose nothing that the score accepts: m matches and e errors score 2m - e, which
+is at least 2sn for a share s of n words, so at least sn - 1 of the m - 1 steps from match to match hold one error at most, and
+each such step is a pair of both. An item leaves out the commonest half of that many starts of pairs and needs the other half.
+A shorter item, of which one matching word is enough, has its words as seeds.
+
+The seeds' hashes fill a bitmap of at most 8 MB, which is what tasks get, whatever the benchmark's size. One pass over whole texts,
+vectorised over bytes, keeps windows with enough pairs that the bitmap knows; an equi-join on the pair then names the items,
+and window and item are aligned word by word. Items of equal words are one until the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,14 +55,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U)), starts, ends
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, _U)
-    h = np.full(m, n, _U)
-    for k in range(n):
-        h = h * _U(_M) + words[k : k + m]
-    return _mix(h)
+def pair_hashes(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of the pairs of words ``apart`` places from each other; of single words if ``apart`` is zero."""
+    if not apart:
+        return _mix(words ^ _U(1))
+    return _mix(words[:-apart] * _U(_M) + words[apart:]) if len(words) > apart else np.zeros(0, _U)
 
 
 def _chunks(data: bytes, size: int = 1_000_000) -> Iterator[bytes]:
@@ -75,27 +77,43 @@ def _low(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
-def benchmark_seeds(items: DataFrame, words: int, most_items: int, least_seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """``gram, item_id, n_words``: rare n-grams of each item; an item shorter than ``words`` has itself as its only one."""
+def benchmark_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item_id, item, item_words``: ``item`` is the same number for items of the same words; items without words are left out."""
 
-    def grams(batches: Iterator) -> Iterator:
+    def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, _, _ = word_hashes(_low(text))
-                n = min(words, len(found))
-                if n:
-                    out += [(g, item, len(found), n) for g in np.unique(gram_hashes(found, n)).view(np.int64).tolist()]
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "item_id", "n_words", "n"])
+            words = [word_hashes(_low(x))[0].view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "item_words"])
 
     rows = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    out = rows.mapInArrow(grams, "gram long, item_id long, n_words long, n long").distinct()
-    out = out.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("shared", "gram")))
-    return C.written(out.where((F.col("shared") <= most_items) | (F.col("rank") <= least_seeds)).select("gram", "item_id", "n_words", "n"), "seeds")
+    found = rows.mapInArrow(split, "item_id long, item_words array<long>").where(F.size("item_words") > 0)
+    return C.written(found.select("item_id", F.xxhash64("item_words").alias("item"), "item_words"), "items")
+
+
+def benchmark_seeds(texts: DataFrame, least_score: float) -> DataFrame:
+    """``gram, item, n_words, apart, need``: seeds of each distinct item, and the number of seeds that an accepted passage has."""
+
+    def grams(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.array(words, np.int64).view(_U)
+                for apart in (1, 2) if least_score * len(found) > 1 else (0,):
+                    out += [(g, item, start, len(found), min(apart, 1)) for start, g in enumerate(pair_hashes(found, apart).view(np.int64).tolist())]
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "item", "start", "n_words", "apart"])
+
+    rows = texts.select("item", "item_words").mapInArrow(grams, "gram long, item long, start long, n_words long, apart long")
+    bound = F.when(F.col("apart") == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_words") * least_score - 1 - 1e-9))).cast("long")
+    out = rows.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("gram"))).withColumn("bound", bound)
+    out = out.withColumn("common", F.max("shared").over(Window.partitionBy("item", "start")))
+    out = out.withColumn("rank", F.dense_rank().over(Window.partitionBy("item").orderBy(F.desc("common"), "start")))
+    left = out.where(F.col("rank") > F.floor(F.col("bound") / 2)).withColumn("need", F.col("bound") - F.floor(F.col("bound") / 2))
+    return C.written(left.select("gram", "item", "n_words", "apart", "need").distinct(), "seeds")
 
 
 def _bitmap(seeds: DataFrame, most_bits: int) -> np.ndarray:
@@ -130,19 +148,22 @@ def align(region: list[list[int]], item: list[list[int]]) -> np.ndarray:
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, words: int = 3, least_score: float = 0.5, most_items: int = 4, least_seeds: int = 8, most_bits: int = 26, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, least_score: float = 0.5, most_bits: int = 26, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, text_hash, item_id, score, word_start, word_end``: the best aligned region of each document and item.
 
     Only scores of at least ``least_score`` are returned; ``word_start`` and ``word_end`` bound the region that was aligned.
-    A region needs two seeds of an item (one, for an item that has a single seed). Null and empty texts and items match nothing; repeated
-    rows of an id are told apart by ``text_hash`` (xxhash64 of the text) and equal rows give one result; a null id is kept.
-    Items with a null id are left out; equal items under several ids each match. Empty tables give no rows.
+    Null and empty texts and items match nothing; repeated rows of an id are told apart by ``text_hash`` (xxhash64 of the text)
+    and equal rows give one result; a null id is kept. Items with a null id are left out; equal items under several ids each match.
+    Empty tables give no rows.
     """
     spark = docs.sparkSession
-    seeds = benchmark_seeds(items, words, most_items, least_seeds, item_col, item_text_col)
-    stats = seeds.agg(F.max("n_words").alias("longest"), F.collect_set("n").alias("lengths")).first()
-    reach, lengths = int(stats["longest"] or 0), sorted(stats["lengths"] or [])  # lengths: at most ``words`` numbers
+    ids = benchmark_items(items, item_col, item_text_col)
+    texts = ids.groupBy("item").agg(F.first("item_words").alias("item_words"))
+    seeds = benchmark_seeds(texts, least_score)
+    stats = seeds.agg(F.max("n_words").alias("longest"), F.min("need").alias("need"), F.min("apart").alias("least"), F.max("apart").alias("most")).first()
+    reach, need = math.ceil(int(stats["longest"] or 0) * (3 - 2 * least_score)), int(stats["need"] or 1)  # words that a passage can span
+    kinds_of = [apart for apart in (0, 1, 2) if stats["most"] is not None and stats["least"] <= min(apart, 1) <= stats["most"]]
     held = spark.sparkContext.broadcast(_bitmap(seeds, most_bits))
 
     def regions(batches: Iterator) -> Iterator:
@@ -159,48 +180,38 @@ def find_contamination(
             out = []
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = _low(text.as_py())
-                parts, base = [], 0
-                for chunk in _chunks(data):
-                    h, s, e = word_hashes(chunk)
-                    parts.append((h, s + base, e + base))
-                    base += len(chunk)
-                if not parts:
+                h = [word_hashes(chunk)[0] for chunk in _chunks(data)]
+                if not h:
                     continue
-                h, s, e = (np.concatenate(x) for x in zip(*parts))
+                h = np.concatenate(h)
                 hits = []
-                for n in lengths:
-                    grams = gram_hashes(h, n)
+                for apart in kinds_of:
+                    grams = pair_hashes(h, apart)
                     at = np.flatnonzero(known(grams))
-                    hits.append((at, at + n, grams[at]))
-                at, to, grams = (np.concatenate(x) for x in zip(*hits))
-                if not len(at):
-                    continue
+                    hits.append((at, grams[at]))
+                at, grams = (np.concatenate(x) for x in zip(*hits))
                 order = np.argsort(at, kind="stable")
-                at, to, grams = at[order], to[order], grams[order]
-                for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > reach) + 1):
-                    lo, hi = max(0, int(at[group[0]]) - reach), min(len(h), int(to[group].max()) + reach)
-                    out.append((doc, key, lo, hi, h[lo:hi].view(np.int64), np.unique(grams[group]).view(np.int64)))
+                at, grams = at[order], grams[order]
+                if len(at) < need:
+                    continue
+                # windows of two reaches, a reach from each other, so that a passage lies whole in one
+                lows = np.unique(np.concatenate([at // reach, np.maximum(at // reach - 1, 0)])) * reach
+                for lo, a, b in zip(lows.tolist(), np.searchsorted(at, lows).tolist(), np.searchsorted(at, lows + 2 * reach).tolist()):
+                    if b - a >= need and (at[a + need - 1 : b] - at[a : b - need + 1] < reach).any():
+                        hi = min(len(h), lo + 2 * reach)
+                        out.append((doc, key, lo, hi, h[lo:hi].astype(np.uint32).view(np.int32), grams[a:b].view(np.int64)))
             columns = list(zip(*out)) if out else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "lo", "hi", "words", "grams"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string"))
-    if not lengths:
+    if not kinds_of:
         rows = rows.where(F.lit(False))
-    found = rows.mapInArrow(regions, "doc_id long, text_hash long, lo long, hi long, words array<long>, grams array<long>")
+    found = rows.mapInArrow(regions, "doc_id long, text_hash long, lo long, hi long, words array<int>, grams array<long>")
     found = C.written(found.withColumn("region", F.monotonically_increasing_id()), "regions")
-    pairs = found.select("region", F.explode("grams").alias("gram")).join(seeds, "gram").groupBy("region", "item_id", "n_words").agg(F.count(F.lit(1)).alias("seeds"))
-    of_item = seeds.groupBy("item_id").agg(F.count(F.lit(1)).alias("all_seeds"))
-    pairs = pairs.join(of_item, "item_id").where("seeds >= least(2, all_seeds)").select("region", "item_id")
-
-    def item_words(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            words = [word_hashes(_low(x))[0].view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "item_words"])
-
-    texts = items.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).mapInArrow(item_words, "item_id long, item_words array<long>")
+    pairs = found.select("region", F.explode("grams").alias("gram")).join(seeds.select("gram", "item", "need"), "gram").groupBy("region", "item").agg(F.count(F.lit(1)).alias("seeds"), F.first("need").alias("need"))
+    pairs = pairs.where("seeds >= need").select("region", "item")
+    of_item = texts.select("item", F.transform("item_words", lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int")).alias("item_words"))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -214,12 +225,13 @@ def find_contamination(
                 number = lambda ws, ids=ids: [ids.setdefault(w, len(ids)) for w in ws]
                 for i, s in zip(own, align([number(a[i]) for i in own], [number(b[i]) for i in own]).tolist()):
                     out[i] = s / (2 * max(1, len(b[i])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], names=["doc_id", "text_hash", "item_id", "lo", "hi", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], names=["doc_id", "text_hash", "item", "lo", "hi", "score"])
 
-    both = pairs.join(found.drop("grams"), "region").join(texts, "item_id").select("words", "item_words", "doc_id", "text_hash", "item_id", "lo", "hi")
-    scored = both.mapInArrow(score, "doc_id long, text_hash long, item_id long, lo long, hi long, score double").where(F.col("score") >= least_score)
+    both = pairs.join(found.drop("grams"), "region").join(of_item, "item").select("words", "item_words", "doc_id", "text_hash", "item", "lo", "hi")
+    scored = both.mapInArrow(score, "doc_id long, text_hash long, item long, lo long, hi long, score double").where(F.col("score") >= least_score)
     best = F.max(F.struct("score", (-F.col("lo")).alias("back"), "hi")).alias("best")
-    return scored.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.score", (-F.col("best.back")).alias("word_start"), F.col("best.hi").alias("word_end"))
+    scored = scored.groupBy("doc_id", "text_hash", "item").agg(best).join(ids.select("item", "item_id"), "item")
+    return scored.select("doc_id", "text_hash", "item_id", "best.score", (-F.col("best.back")).alias("word_start"), F.col("best.hi").alias("word_end"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

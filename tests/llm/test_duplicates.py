@@ -224,3 +224,25 @@ def test_groups_with_refused_links_equal_brute_force(spark):
         group = {r.doc_id: r.component_id for r in S.near_duplicate_groups(docs, **sizes).collect()}
         assert sum(group[i] == want[i] for i in range(len(texts))) >= 0.97 * len(texts)
         assert len({(int(want[i]), group[i]) for i in range(len(texts))}) <= len(set(want.tolist())) + 4
+
+
+def test_contamination_finds_what_the_score_accepts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    shared = [word() for _ in range(40)]
+    items = [(k, " ".join(shared)) for k in range(6)]  # equal items
+    items += [(10 + k, " ".join([*shared[:36], word(), word()])) for k in range(6)]  # and templated ones
+    short = [[word() for _ in range(15)] for _ in range(20)]
+    items += [(100 + k, " ".join(w)) for k, w in enumerate(short)] + [(200, "alpha beta gamma"), (201, "delta epsilon")]
+    edits = lambda w, every: [word() if (i + 1) % every == 0 else x for i, x in enumerate(w)]
+    texts = [edits(shared, 4) for _ in range(10)] + [edits(shared, 3) for _ in range(10)]
+    for w in short:
+        texts += [[word() if i in (2, 5, 8, 11) else x for i, x in enumerate(w)], edits(w, 3), edits(w, 2), [y for x in w for y in (x, word())]]
+    texts += [["alpha", word(), "gamma"], ["delta", word()], ["gamma", word()]]
+    rows = [(k, " ".join([*(word() for _ in range(rng.randint(0, 200))), *t, *(word() for _ in range(60))])) for k, t in enumerate(texts)]
+    number: dict[str, int] = {}
+    of = {k: [number.setdefault(x, len(number)) for x in t.split()] for k, t in items}
+    want = {(d, k): slow_alignment([number.get(x, -1) for x in t.split()], w) / (2 * len(w)) for d, t in rows for k, w in of.items()}
+    want = {pair: score for pair, score in want.items() if score >= 0.5}
+    got = D.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 200
