@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local runs, tests) a temporary folder is made and stored in it.
+    Where the setting is absent, a temporary folder is made for a session whose executors are in the driver's process, and
+    stored in the setting. A cluster has no folder that could be guessed, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.conf.get("spark.master", "local") + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,21 +34,57 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written` once nothing needs it."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written in the block are deleted at its end, but for those taken out of the list that it yields."""
+    scope: list[str] = []
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        for folder in scope:
+            _delete(spark, folder)
+
+
+def join_heavy(big: DataFrame, small: DataFrame, key: str, share: int = 2_000) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row for each ``key``, whatever rows of ``big`` hold one key.
+
+    A key of over 100 rows and more than 1 / ``share`` of all rows with such keys is heavy. There are fewer than ``share`` such keys for any table, so their rows of
+    ``small`` are broadcast; the other keys are joined by a shuffle, in which no key has more than that share. ``big`` is read twice.
+    """
+    counts = written(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 100"), "key-counts")
+    least = (counts.agg(F.sum("_n")).first()[0] or 0) / share
+    heavy = counts.where((F.col("_n") > least) & (F.col("_n") > 100)).select(key)
+    if heavy.isEmpty():
+        return big.join(small, key)
+    heavy = F.broadcast(written(heavy.repartition(1), "heavy-keys"))
+    near = F.broadcast(written(small.join(heavy, key, "left_semi").repartition(1), "heavy-rows"))
+    return big.join(near, key).unionByName(big.join(heavy, key, "left_anti").join(small, key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -22,44 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
+from .hashing import pair_hashes, word_hashes
 
 _U = np.uint64
-_P, _M = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_P_INVERSE = pow(_P, -1, 2**64)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_POWERS = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, p in enumerate((_P, _P_INVERSE)):
-            _POWERS[k] = np.cumprod(np.concatenate([[_U(1)], np.full(2 * n, p, _U)]), dtype=_U)
-    return _POWERS
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
-    h = (h ^ (h >> _U(27))) * _U(0x81DADEF4BC2DD44D)
-    return h ^ (h >> _U(33))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word of lower-cased bytes."""
-    b = np.frombuffer(data, "u1")
-    inside = np.concatenate([[False], _WORD[b], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(b) + 1)
-    total = np.concatenate([[_U(0)], np.cumsum(b * power[: len(b)], dtype=_U)])
-    return _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U)), starts, ends
-
-
-def pair_hashes(words: np.ndarray, apart: int) -> np.ndarray:
-    """Hashes of the pairs of words ``apart`` places from each other; of single words if ``apart`` is zero."""
-    if not apart:
-        return _mix(words ^ _U(1))
-    return _mix(words[:-apart] * _U(_M) + words[apart:]) if len(words) > apart else np.zeros(0, _U)
 
 
 def _chunks(data: bytes, size: int = 1_000_000) -> Iterator[bytes]:
@@ -84,7 +51,7 @@ def benchmark_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            words = [word_hashes(_low(x))[0].view(np.int64) for x in batch.column(1).to_pylist()]
+            words = [word_hashes(_low(x), _WORD)[0].view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "item_words"])
 
     rows = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
@@ -180,7 +147,7 @@ def find_contamination(
             out = []
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = _low(text.as_py())
-                h = [word_hashes(chunk)[0] for chunk in _chunks(data)]
+                h = [word_hashes(chunk, _WORD)[0] for chunk in _chunks(data)]
                 if not h:
                     continue
                 h = np.concatenate(h)

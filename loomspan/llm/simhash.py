@@ -1,18 +1,20 @@
-"""SimHash near-duplicates: exact Hamming-radius links through vantage-point trees.
+"""SimHash near-dedup: exact Hamming-radius links through vantage-point trees.
 
 A tree over all 64 bits prunes little: the distances of unrelated fingerprints lie within a few bits of 32, about as
 wide as the radius. So the fingerprint is cut into ``bands`` of 16 bits. A pair within radius r agrees to within
 r // 4 bits in at least one band, and there a vantage-point tree with that smaller radius separates well. Each tree
 is built from the exact counts of the band's values (at most 65,536 for any corpus). A leaf is a shard. A fingerprint's
 home is one leaf; by the triangle bound it is sent, as a visitor, to the leaves that may hold a home within the radius
-on the far side of a vantage boundary. Inside a shard homes meet homes and visitors in blocks, over the whole 64 bits.
-Shards emit a spanning forest of their links, never all pairs of a group of copies, and a distributed contraction joins
-the forests. A leaf with more homes than a block allows is cut into several shards that its visitors all reach.
+on the far side of a vantage boundary. Leaves with many homes or visitors are cut into blocks of both, and each block of homes meets
+each block of either in a task of its own, so a shard is bounded. Inside a shard only band values within the radius of each other meet, and
+they are measured over all bits. Shards emit a spanning forest of their links, never all pairs of a group of copies, and a
+distributed contraction joins the forests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
+from .forest import Forest
+from .hashing import SPACES, low_bytes, shingles_of, word_hashes
 
 BANDS, BITS = 4, 16
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype(np.int64)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype(float)
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half of the XXH64 values of the text's word shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space
+    found = low_bytes(text).split()  # bytes: ASCII white space only
     if not found:
         return 0
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
@@ -49,8 +53,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, fp``: each row's fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             fp = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
@@ -104,94 +106,121 @@ class VantageTree:
             todo.append((far, home[d > mu], np.concatenate([away[e > mu - r], home[(d <= mu) & (d > mu - r)]])))
 
 
-def _forest(homes: np.ndarray, visitors: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, root) that span the links between homes, and between visitors and homes."""
-    items = np.concatenate([homes, visitors])
-    label, n = np.arange(len(items)), len(homes)
-    for at in range(0, len(items), rows):
-        upto = min(n, at + rows)  # home with earlier homes and its own block; visitors with all homes
-        close = np.bitwise_count(items[at : at + rows, None] ^ homes[None, : n if at + rows > n else upto]) <= radius
-        i, j = np.nonzero(close)
-        a, b = label[i + at], label[j]
-        apart = a != b
-        if apart.any():
-            pairs = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], 1), axis=0)
-            root: dict[int, int] = {}
-
-            def find(x, root=root):
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
-
-            for x, y in pairs.tolist():
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-            moved = np.arange(len(items))
-            for x in list(root):
-                moved[x] = find(x)
-            label = moved[label]
-    tied = label != np.arange(len(items))
-    return items[tied], items[label[tied]]
-
-
-def hamming_components(fps: DataFrame, radius: int = 4, leaf: int = 4000, block: int = 30_000) -> DataFrame:
+class Shards:
+    """Vantage-point trees over bands and the blocks that their leaves are cut into; what tasks need to deal fingerprints.
+
+    ``held`` has, for each band, its values and the number of fingerprints with each of them.
+    """
+
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray]], radius: int, leaf: int, block: int):
+        self.trees, self.cuts = [], []
+        for values, counts in held:
+            tree = VantageTree(values, counts, radius, leaf)
+            visitors = np.zeros(len(tree.sizes), np.int64)
+            for leaf_no, home, rows in tree.route(values.astype(np.uint16)):
+                if not home:
+                    visitors[leaf_no] += int(counts[rows].sum())
+            homes = -(-np.maximum(np.array(tree.sizes, dtype=np.int64), 1) // block)
+            self.trees.append(tree)
+            self.cuts.append((homes, np.where((homes == 1) & (visitors <= 2 * block), 0, -(-visitors // block))))
+
+    def deal(self, band: int, values: np.ndarray, deal_by: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray]]:
+        """(shard, home, rows). A shard is a block of homes and a block that meets it: itself, earlier homes, or visitors."""
+        homes, visitors = self.cuts[band]
+        for leaf_no, is_home, rows in self.trees[band].route(values):
+            if not len(rows):
+                continue
+            h, v = int(homes[leaf_no]), int(visitors[leaf_no])
+            key = (band << 56) + (leaf_no << 36)
+            if h == 1 and not v:
+                yield key, is_home, rows
+                continue
+            if is_home:
+                own = deal_by[rows] % h
+                for c in range(h):
+                    mine = rows[own == c]
+                    for moving in range(c, h + v):
+                        yield key + (moving << 18) + c, True, mine
+                    for fixed in range(c):
+                        yield key + (c << 18) + fixed, False, mine
+            else:
+                own = deal_by[rows] % v
+                for c in range(v):
+                    mine = rows[own == c]
+                    for fixed in range(h):
+                        yield key + (h + c << 18) + fixed, False, mine
+
+
+def band_counts(fps: DataFrame, places: list[tuple[str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Values and counts of each band, a column and the number of a 16-bit part: at most 65,536 rows for each."""
+    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(name, BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for k, (name, b) in enumerate(places)]
+    held = fps.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    band, value, n = (held.column(c).to_numpy() for c in ("band", "value", "n"))
+    out = []
+    for k in range(len(places)):
+        own = np.flatnonzero(band == k)
+        own = own[np.argsort(value[own], kind="stable")]
+        out.append((value[own].astype(np.int64), n[own].astype(np.int64)))
+    return out
+
+
+def near_values(values: np.ndarray, n: int, radius: int, most: int = 2**20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(item, home) pairs of a shard whose band values differ in ``radius`` bits at most, in bounded parts.
+
+    The first ``n`` items are homes. Two homes are a pair once, and no item is one with itself.
+    """
+    values = values.astype(np.int64)
+    order = np.argsort(values[:n], kind="stable")
+    held = values[:n][order]
+    for flips in (f for k in range(radius + 1) for f in combinations(range(BITS), k)):
+        want = values ^ sum(1 << f for f in flips)
+        low, high = np.searchsorted(held, want, "left"), np.searchsorted(held, want, "right")
+        rows = np.flatnonzero(high > low)
+        ends = np.cumsum((high - low)[rows])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            own = rows[at:to]
+            size = (high - low)[own]
+            i = np.repeat(own, size)
+            j = order[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - low[own], size)]
+            use = (i >= n) | (j < i)
+            yield i[use], j[use]
+            at = to
+
+
+def hamming_components(fps: DataFrame, radius: int = 4, leaf: int = 4000, block: int = 200_000) -> DataFrame:
     """``fp, root`` for fingerprints (column ``fp``, long) that link with others at ``radius`` or fewer bits.
 
     Fingerprints without a link may be absent. ``leaf`` is the number of homes at which a tree stops, ``block`` the number
-    of homes in a shard above which a leaf is cut into several shards; neither changes the result.
+    of homes or visitors above which a leaf is cut into several shards; neither changes the result.
     """
     spark = fps.sparkSession
     distinct = C.written(fps.select("fp").where(F.col("fp").isNotNull()).distinct(), "fingerprints")
-    parts = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("fp", BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for b in range(BANDS)])).alias("p")
-    held = distinct.select(parts).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 4 x 65,536 rows
     near = radius // BANDS
-    trees = []
-    for b in range(BANDS):
-        own = held.filter(np.equal(held.column("band").to_numpy(), b))
-        trees.append(VantageTree(own.column("value").to_numpy(), own.column("n").to_numpy(), near, leaf))
-    cuts = [np.array([max(1, -(-s // block)) for s in t.sizes], dtype=np.int64) for t in trees]
-    sent = spark.sparkContext.broadcast((trees, cuts))
+    sent = spark.sparkContext.broadcast(Shards(band_counts(distinct, [("fp", b) for b in range(BANDS)]), near, leaf, block))
 
     def send(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        trees, cuts = sent.value
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(fp):
                 continue
-            shard, home, row = [], [], []
-
-            def put(key, is_home, rows):
-                if len(rows):
-                    shard.append(np.full(len(rows), key, np.int64))
-                    home.append(np.full(len(rows), is_home))
-                    row.append(rows)
-
-            for b, tree in enumerate(trees):
+            deal_by = (fp % np.uint64(1_000_003)).astype(np.int64)
+            for b in range(BANDS):
                 values = ((fp >> np.uint64(BITS * b)) & np.uint64(2**BITS - 1)).astype(np.uint16)
-                for leaf_no, is_home, rows in tree.route(values):
-                    k = int(cuts[b][leaf_no])
-                    key = (b << 56) + (leaf_no << 24)
-                    if k == 1:
-                        put(key, is_home, rows)
-                        continue
-                    own = (fp[rows] % np.uint64(1_000_003) % np.uint64(k)).astype(np.int64) if is_home else np.full(len(rows), k)
-                    for c in range(k):  # a home visits the cuts before its own
-                        put(key + c, True, rows[own == c])
-                        put(key + c, False, rows[own > c])
-            if row:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(np.concatenate(home)), pa.array(fp[np.concatenate(row)].view(np.int64))], names=["shard", "home", "fp"])
-
-    def meet(table):
-        import pyarrow as pa
-
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        a, b = _forest(fp[home], fp[~home], radius)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+                out = [(np.full(len(rows), shard, np.int64), np.full(len(rows), home), fp[rows]) for shard, home, rows in sent.value.deal(b, values, deal_by)]
+                shard, home, rows = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), pa.array(rows.view(np.int64))], names=["shard", "home", "fp"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        home, fp = table.column("home").to_numpy(zero_copy_only=False), table.column("fp").to_numpy().view(np.uint64)
+        items, n, band = np.concatenate([fp[home], fp[~home]]), int(home.sum()), table.column("shard")[0].as_py() >> 56
+        forest = Forest(len(items))
+        for i, j in near_values((items >> np.uint64(BITS * band)) & np.uint64(2**BITS - 1), n, near):
+            close = (np.bitwise_count(items[i] ^ items[j]) <= radius) & (forest.label[i] != forest.label[j])
+            forest.add(i[close], j[close])
+        a, b = (items[x].view(np.int64) for x in forest.roots())
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     edges = distinct.mapInArrow(send, "shard long, home boolean, fp long").groupBy("shard").applyInArrow(meet, "a long, b long")
     found = C.connected_components(edges)
@@ -207,13 +236,18 @@ def simhash_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", tex
     fps = C.written(fingerprints(docs, id_col, text_col), "doc-fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = hamming_components(fps, radius, **sizes)
-    classes = least.join(links, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(of_root, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = C.written(least.join(links, "fp").select("fp", "root", "least"), "linked-fingerprints")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    moved = C.join_heavy(linked, of_root, "root").select("fp", "component_id")
+    named = C.written(least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
+    return C.join_heavy(fps, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: its fingerprint and the smallest id that links of four or fewer bits reach.
+
+    Null, empty and blank texts have fingerprint zero and link like any other; repeated rows and null ids are kept; other columns are not read.
+    """
     return simhash_groups(C.read(spark, sf_dir, "documents"))
 
 
@@ -229,24 +263,15 @@ WIDE, WIDE_RADIUS, SIMILAR = 4, 58, 0.8
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
-    """The sorted distinct XXH64 values of the text's word shingles; a shorter text is one shingle."""
-    from xxhash import xxh64_intdigest
-
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    joined = b" ".join(found)
-    k = min(words, len(found))
-    first, last = starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, len(first)))
+    """The sorted distinct hashes of the text's word shingles; a shorter text is one shingle."""
+    found = word_hashes(low_bytes(text), SPACES)[0]
+    return np.unique(shingles_of(found, min(words, len(found)))) if len(found) else np.zeros(0, np.uint64)
 
 
 def _wide_of(hashes: np.ndarray) -> tuple[int, ...]:
     if not len(hashes):
         return (0,) * WIDE
-    counts, step = np.zeros((WIDE, 8, 256), np.int64), 100_000
+    counts, step, place = np.zeros((WIDE, 2048), np.int64), 100_000, np.arange(8) * 256
     for at in range(0, len(hashes), step):
         h = hashes[at : at + step]
         for w in range(WIDE):
@@ -255,8 +280,8 @@ def _wide_of(hashes: np.ndarray) -> tuple[int, ...]:
                 mixed = (h ^ (h >> np.uint64(29 + w))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * w)
                 mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB + 2 * w)
                 mixed = mixed ^ (mixed >> np.uint64(29))
-            counts[w] += np.bincount((mixed.view("u1").reshape(-1, 8) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
-    bits = (2 * (counts @ _BYTE_BITS) > len(hashes)).astype("u1").reshape(WIDE, 64)
+            counts[w] += np.bincount((mixed.view("u1").reshape(-1, 8) + place).ravel(), minlength=2048)
+    bits = (2 * (counts.reshape(WIDE * 8, 256) @ _BYTE_BITS) > len(hashes)).astype("u1").reshape(WIDE, 64)
     return tuple(int(x) for x in np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel())
 
 
@@ -265,24 +290,18 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, ...]:
     return _wide_of(shingle_hashes(text, words))
 
 
-def _wide_pairs(items: np.ndarray, sizes: np.ndarray, part: Callable[[], np.ndarray], n: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates (item, earlier home) of different parts, closest first in each block; the first ``n`` items are homes.
+def _wide_pairs(items: np.ndarray, sizes: np.ndarray, values: np.ndarray, part: Callable[[], np.ndarray], n: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (item, home) of different parts, closest first in each run; the first ``n`` items are homes.
 
     A pair whose numbers of shingles rule out a Jaccard similarity of SIMILAR is none.
     """
-    rows = int(np.clip(2**20 // max(n, 1), 16, 256))
-    for at in range(0, len(items), rows):
-        upto = n if at + rows > n else at + rows
-        own = items[at : at + rows]
-        half = np.bitwise_count(own[:, None, 0] ^ items[None, :upto, 0]) + np.bitwise_count(own[:, None, 1] ^ items[None, :upto, 1])
-        i, j = np.nonzero(half <= radius)
-        i += at
+    for i, j in near_values(values, n, 1, 2**18):
         label = part()
-        use = (j < i) & (label[i] != label[j])
+        use = (label[i] != label[j]) & (np.minimum(sizes[i], sizes[j]) >= SIMILAR * np.maximum(sizes[i], sizes[j]))
         i, j = i[use], j[use]
         bits = np.bitwise_count(items[i] ^ items[j]).sum(1, dtype=np.int64)
-        use = (bits <= radius) & (np.minimum(sizes[i], sizes[j]) >= SIMILAR * np.maximum(sizes[i], sizes[j]))
-        order = np.flatnonzero(use)[np.argsort(bits[use], kind="stable")]
+        order = np.flatnonzero(bits <= radius)
+        order = order[np.argsort(bits[order], kind="stable")]
         if len(order):
             yield i[order], j[order]
 
@@ -311,7 +330,7 @@ def _measured(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, component_id, kept``: one row per row of ``docs``.
 
     Groups are the components of links between texts whose five-word shingles, each counted once, have a Jaccard similarity of 0.8 or
@@ -325,8 +344,6 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
     """
     from xxhash import xxh64_intdigest
 
-    from .forest import Forest
-
     spark = docs.sparkSession
     names = [f"f{w}" for w in range(WIDE)]
     columns = ["node", "size", "part", *names]
@@ -345,40 +362,19 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
     fps = C.written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary"), "wide-fingerprints")
     classes = C.written(fps.groupBy("node", "size", *names).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")), "wide-classes")
     places = [(w, b) for b in range(BANDS) for w in range(WIDE)]
-    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(names[w], BITS * b).bitwiseAND(2**BITS - 1).cast("int").alias("value")) for k, (w, b) in enumerate(places)]
-    held = classes.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.band", "p.value").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 16 x 65,536 rows
-    trees = []
-    for k in range(len(places)):
-        own = held.filter(np.equal(held.column("band").to_numpy(), k))
-        trees.append(VantageTree(own.column("value").to_numpy(), own.column("n").to_numpy(), 1, leaf))
-    cuts = [np.array([max(1, -(-s // block)) for s in t.sizes], dtype=np.int64) for t in trees]
-    sent = spark.sparkContext.broadcast((trees, cuts))
+    sent = spark.sparkContext.broadcast(Shards(band_counts(classes, [(names[w], b) for w, b in places]), 1, leaf, block))
 
     def send(batches: Iterator) -> Iterator:
-        trees, cuts = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
             fp = np.stack([c.to_numpy() for c in batch.columns[3:]], 1).view(np.uint64)
-            shard, home, row = [], [], []
-
-            def put(key, is_home, rows):
-                if len(rows):
-                    shard.append(np.full(len(rows), key, np.int64))
-                    home.append(np.full(len(rows), is_home))
-                    row.append(rows)
-
             for k, (w, b) in enumerate(places):
                 values = ((fp[:, w] >> np.uint64(BITS * b)) & np.uint64(2**BITS - 1)).astype(np.uint16)
-                for leaf_no, is_home, rows in trees[k].route(values):
-                    c_all = int(cuts[k][leaf_no])
-                    own = (node[rows] % c_all) if is_home else np.full(len(rows), c_all)
-                    for c in range(c_all):  # a home visits the cuts before its own
-                        put((k << 56) + (leaf_no << 24) + c, True, rows[own == c])
-                        put((k << 56) + (leaf_no << 24) + c, False, rows[own > c])
-            at = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(np.concatenate(home)), *(c.take(at) for c in batch.columns)], names=["shard", "home", *columns])
+                out = [(np.full(len(rows), shard, np.int64), np.full(len(rows), home), rows) for shard, home, rows in sent.value.deal(k, values, np.abs(node % 1_000_003))]
+                shard, home, rows = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), *(c.take(pa.array(rows)) for c in batch.columns)], names=["shard", "home", *columns])
 
     def candidates(nodes: DataFrame, every: bool) -> DataFrame:
         """``a, b``: a spanning forest of each shard's candidates, or every candidate, between different parts."""
@@ -389,8 +385,10 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
             order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
             node, size, part = (table.column(c).to_numpy()[order] for c in columns[:3])
             fp = np.stack([table.column(c).to_numpy()[order] for c in names], 1).view(np.uint64)
+            w, b = places[table.column("shard")[0].as_py() >> 56]
+            values = (fp[:, w] >> np.uint64(BITS * b)) & np.uint64(2**BITS - 1)
             forest = Forest(len(order))
-            for i, j in _wide_pairs(fp, size, (lambda: part) if every else (lambda: forest.label), int(home.sum()), radius):
+            for i, j in _wide_pairs(fp, size, values, (lambda: part) if every else (lambda: forest.label), int(home.sum()), radius):
                 if not every:
                     used = forest.add(i, j)
                     i, j = i[used], j[used]
@@ -408,8 +406,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
         left = trees_of.join(torn, "tree", "left_semi").join(C.connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("part"))
         rest = candidates(classes.join(left, "node"), True).join(measured, ["a", "b"], "left_anti")
         links = links.unionByName(_measured(C.written(rest, "wide-candidates"), fps).where("similar").select("a", "b"))
-    named = classes.join(C.connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("first"))
-    named = named.join(least, "root").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    roots = C.connected_components(links)
+    linked = C.written(classes.join(roots, "node").select("node", "least", "root"), "wide-linked")
+    least = C.join_heavy(linked, linked.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
+    first = F.coalesce("first", "least").alias("first")
+    named = classes.join(least, "node", "left").select("node", first).select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
     kept = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")), F.lit(False))
-    return fps.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component_id", kept.alias("kept"))
+    rows = C.join_heavy(fps.select("doc_id", "text_hash", "node"), C.written(named, "wide-named"), "node")
+    return rows.select("doc_id", "text_hash", "component_id", kept.alias("kept"))
