@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read back."""
-    docs = C.read(spark, sf_dir, "documents")
+    docs, before = C.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = C.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with C.temporary_tables(spark) as tables:  # what the operators wrote goes when the stage's result is written
+            docs = C.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            own = tables.pop()
+            tables.extend(before or [])
+            before = [own]
     return docs
