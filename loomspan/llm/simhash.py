@@ -13,7 +13,7 @@ distributed contraction joins the forests.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -290,13 +290,13 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, ...]:
     return _wide_of(shingle_hashes(text, words))
 
 
-def _wide_pairs(items: np.ndarray, sizes: np.ndarray, values: np.ndarray, part: Callable[[], np.ndarray], n: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates (item, home) of different parts, closest first in each run; the first ``n`` items are homes.
+def _wide_pairs(items: np.ndarray, sizes: np.ndarray, values: np.ndarray, forest: Forest, n: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (item, home) of different trees, closest first in each run; the first ``n`` items are homes.
 
     A pair whose numbers of shingles rule out a Jaccard similarity of SIMILAR is none.
     """
     for i, j in near_values(values, n, 1, 2**18):
-        label = part()
+        label = forest.label
         use = (label[i] != label[j]) & (np.minimum(sizes[i], sizes[j]) >= SIMILAR * np.maximum(sizes[i], sizes[j]))
         i, j = i[use], j[use]
         bits = np.bitwise_count(items[i] ^ items[j]).sum(1, dtype=np.int64)
@@ -306,7 +306,18 @@ def _wide_pairs(items: np.ndarray, sizes: np.ndarray, values: np.ndarray, part:
             yield i[order], j[order]
 
 
-def _measured(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILAR * (len(x) + len(y) - both)
+
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, fps: DataFrame) -> DataFrame:
+    """``node, shingles`` of distinct nodes, from one row of ``fps`` for each, so that no row of a copy is moved for another."""
+    rows = classes.select("node", "row").join(nodes, "node", "left_semi")
+    return fps.select("row", "shingles").join(rows, "row").select("node", "shingles")
+
+
+def _measured(pairs: DataFrame, classes: DataFrame, fps: DataFrame) -> DataFrame:
     """``a, b, similar``: whether the shingle sets of two classes have a Jaccard similarity of SIMILAR or more.
 
     A shingle counts by 32 bits of its hash, so that two of a text of n shingles are one with a probability of n / 2^33.
@@ -314,15 +325,10 @@ def _measured(pairs: DataFrame, fps: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator) -> Iterator:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both >= SIMILAR * (len(x) + len(y) - both))
+            out = [_similar(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
 
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = C.written(fps.select("node", "shingles").join(linked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "wide-sets")
+    sets = C.written(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, fps), "wide-sets")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     out = C.written(two.mapInArrow(compare, "a long, b long, similar boolean"), "wide-measured")
@@ -330,23 +336,63 @@ def _measured(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _torn_links(torn: DataFrame, trees_of: DataFrame, links: DataFrame, classes: DataFrame, fps: DataFrame, radius: int, block: int) -> DataFrame:
+    """``a, b``: links that join the parts into which refused links have torn trees of candidates.
+
+    Both ends of such a link lie in one tree. All texts of a tree meet those that are not in its largest part, a block of the one with a block of
+    the other in a task, and there every pair of different parts within the radius is measured until it joins them or is refused.
+    """
+    parts = C.written(trees_of.join(C.connected_components(links), "node", "left").select("node", "tree", F.coalesce("root", "node").alias("part")), "wide-parts")
+    sizes = parts.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("tree").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"))
+    sizes = sizes.join(torn, "tree", "left_semi").select("tree", F.col("main.part").alias("main"), F.ceil(F.col("n") / block).alias("all"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("few"))
+    dealt = C.join_heavy(parts, C.written(sizes, "wide-torn"), "tree").where("few > 0")
+    cut = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    moving = dealt.select("node", "tree", "part", F.lit(False).alias("fixed"), cut(1, "all").alias("m"), every("few").alias("f"))
+    fixed = dealt.where("part <> main").select("node", "tree", "part", F.lit(True).alias("fixed"), cut(2, "few").alias("f"), every("all").alias("m"))
+    names = [f"f{w}" for w in range(WIDE)]
+    nodes = C.written(dealt.select("node"), "wide-torn-nodes")
+    held = classes.select("node", "size", *names).join(_sets_of(nodes, classes, fps), "node")
+
+    def meet(table: pa.Table) -> pa.Table:
+        fixed = table.column("fixed").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(fixed), np.flatnonzero(~fixed)])
+        node, size, part = (table.column(c).to_numpy()[order] for c in ("node", "size", "part"))
+        fp = np.stack([table.column(c).to_numpy()[order] for c in names], 1).view(np.uint64)
+        sets = [np.frombuffer(x, "<u4") for x in table.column("shingles").take(pa.array(order)).to_pylist()]
+        forest, n, out = Forest(len(order)), int(fixed.sum()), []
+        forest.label = np.unique(part, return_inverse=True)[1]
+        for at in range(n, len(order), 256):
+            bits = sum(np.bitwise_count(fp[at : at + 256, None, w] ^ fp[None, :n, w]).astype(np.int16) for w in range(WIDE))
+            i, j = np.nonzero((bits <= radius) & (forest.label[at : at + 256, None] != forest.label[None, :n]))
+            for k in np.argsort(bits[i, j], kind="stable").tolist():
+                x, y = int(i[k]) + at, int(j[k])
+                if forest.label[x] != forest.label[y] and min(size[x], size[y]) >= SIMILAR * max(size[x], size[y]) and _similar(sets[x], sets[y]):
+                    forest.add(np.array([x]), np.array([y]))
+                    out.append((node[x], node[y]))
+        a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return moving.unionByName(fixed).join(held, "node").groupBy("tree", "f", "m").applyInArrow(meet, "a long, b long")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 100_000, torn_block: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, component_id, kept``: one row per row of ``docs``.
 
     Groups are the components of links between texts whose five-word shingles, each counted once, have a Jaccard similarity of 0.8 or
     more; wide fingerprints find the candidates and every link is measured. Null and empty texts are one group. ``component_id`` is the
     smallest id of the group; null ids are kept. ``text_hash`` tells rows of one id apart. ``kept`` marks the group's row of the smallest
-    id and, of several texts under it, the smallest hash; it is false for null ids. An empty table gives no rows; ``leaf`` and ``block``
+    id and, of several texts under it, the smallest hash; it is false for null ids. An empty table gives no rows; ``leaf`` and the blocks
     do not change the result.
 
     Shards first emit a spanning forest of their candidates, never all pairs of a group of copies. Where the measure refuses a
-    link of a tree, the tree's texts meet again and every candidate between the parts that are left is measured.
+    link of a tree, the tree's texts meet again (:func:`_torn_links`), and only links that join two parts leave a task.
     """
     from xxhash import xxh64_intdigest
 
     spark = docs.sparkSession
     names = [f"f{w}" for w in range(WIDE)]
-    columns = ["node", "size", "part", *names]
+    columns = ["node", "size", *names]
     types = ", ".join(f"{c} long" for c in columns)
 
     def prints(batches: Iterator) -> Iterator:
@@ -359,8 +405,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["doc_id", "text_hash", "node", "size", *names, "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string"))
-    fps = C.written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary"), "wide-fingerprints")
-    classes = C.written(fps.groupBy("node", "size", *names).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")), "wide-classes")
+    fps = C.written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary").withColumn("row", F.monotonically_increasing_id()), "wide-fingerprints")
+    classes = C.written(fps.groupBy("node", "size", *names).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least"), F.min("row").alias("row")), "wide-classes")
     places = [(w, b) for b in range(BANDS) for w in range(WIDE)]
     sent = spark.sparkContext.broadcast(Shards(band_counts(classes, [(names[w], b) for w, b in places]), 1, leaf, block))
 
@@ -369,43 +415,36 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RA
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            fp = np.stack([c.to_numpy() for c in batch.columns[3:]], 1).view(np.uint64)
+            fp = np.stack([c.to_numpy() for c in batch.columns[2:]], 1).view(np.uint64)
             for k, (w, b) in enumerate(places):
                 values = ((fp[:, w] >> np.uint64(BITS * b)) & np.uint64(2**BITS - 1)).astype(np.uint16)
                 out = [(np.full(len(rows), shard, np.int64), np.full(len(rows), home), rows) for shard, home, rows in sent.value.deal(k, values, np.abs(node % 1_000_003))]
                 shard, home, rows = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), *(c.take(pa.array(rows)) for c in batch.columns)], names=["shard", "home", *columns])
 
-    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
-        """``a, b``: a spanning forest of each shard's candidates, or every candidate, between different parts."""
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches))
-            home = table.column("home").to_numpy(zero_copy_only=False)
-            order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
-            node, size, part = (table.column(c).to_numpy()[order] for c in columns[:3])
-            fp = np.stack([table.column(c).to_numpy()[order] for c in names], 1).view(np.uint64)
-            w, b = places[table.column("shard")[0].as_py() >> 56]
-            values = (fp[:, w] >> np.uint64(BITS * b)) & np.uint64(2**BITS - 1)
-            forest = Forest(len(order))
-            for i, j in _wide_pairs(fp, size, values, (lambda: part) if every else (lambda: forest.label), int(home.sum()), radius):
-                if not every:
-                    used = forest.add(i, j)
-                    i, j = i[used], j[used]
-                a, b = node[i], node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        return nodes.select(*columns).mapInArrow(send, f"shard long, home boolean, {types}").groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
-
-    first = C.written(candidates(classes.withColumn("part", F.col("node")), False), "wide-candidates")
-    measured = _measured(first, fps)
+    def meet(table: pa.Table) -> pa.Table:
+        """A spanning forest of a shard's candidates."""
+        home = table.column("home").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
+        node, size = (table.column(c).to_numpy()[order] for c in columns[:2])
+        fp = np.stack([table.column(c).to_numpy()[order] for c in names], 1).view(np.uint64)
+        w, b = places[table.column("shard")[0].as_py() >> 56]
+        values = (fp[:, w] >> np.uint64(BITS * b)) & np.uint64(2**BITS - 1)
+        forest, out = Forest(len(order)), [np.zeros((2, 0), np.int64)]
+        for i, j in _wide_pairs(fp, size, values, forest, int(home.sum()), radius):
+            used = forest.add(i, j)
+            out.append(np.stack([node[i[used]], node[j[used]]]))
+        a, b = np.concatenate(out, 1)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    shards = classes.select(*columns).mapInArrow(send, f"shard long, home boolean, {types}").groupBy("shard")
+    first = C.written(shards.applyInArrow(meet, "a long, b long").distinct(), "wide-candidates")
+    measured = _measured(first, classes, fps)
     links = measured.where("similar").select("a", "b")
     if not measured.where("NOT similar").isEmpty():
         trees_of = C.connected_components(first).withColumnRenamed("root", "tree")
         torn = measured.where("NOT similar").join(trees_of, F.col("a") == F.col("node")).select("tree").distinct()
-        left = trees_of.join(torn, "tree", "left_semi").join(C.connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("part"))
-        rest = candidates(classes.join(left, "node"), True).join(measured, ["a", "b"], "left_anti")
-        links = links.unionByName(_measured(C.written(rest, "wide-candidates"), fps).where("similar").select("a", "b"))
+        links = links.unionByName(C.written(_torn_links(torn, trees_of, links, classes, fps, radius, torn_block), "wide-torn-links"))
     roots = C.connected_components(links)
     linked = C.written(classes.join(roots, "node").select("node", "least", "root"), "wide-linked")
     least = C.join_heavy(linked, linked.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")

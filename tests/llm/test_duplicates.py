@@ -220,7 +220,7 @@ def test_groups_with_refused_links_equal_brute_force(spark):
     sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
     want = components(np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for sizes in ({}, {"leaf": 20, "block": 6}):
+    for sizes in ({}, {"leaf": 20, "block": 6, "torn_block": 4}):
         group = {r.doc_id: r.component_id for r in S.near_duplicate_groups(docs, **sizes).collect()}
         assert sum(group[i] == want[i] for i in range(len(texts))) >= 0.97 * len(texts)
         assert len({(int(want[i]), group[i]) for i in range(len(texts))}) <= len(set(want.tolist())) + 4
