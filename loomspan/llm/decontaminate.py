@@ -7,14 +7,15 @@ is at least 2sn for a share s of n words, so at least sn - 1 of the m - 1 steps
 each such step is a pair of both. An item leaves out the commonest half of that many starts of pairs and needs the other half.
 A shorter item, of which one matching word is enough, has its words as seeds.
 
-The seeds' hashes fill a bitmap of at most 8 MB, which is what tasks get, whatever the benchmark's size. One pass over whole texts,
-vectorised over bytes, keeps windows with enough pairs that the bitmap knows; an equi-join on the pair then names the items,
-and window and item are aligned word by word. Items of equal words are one until the result.
+Items are graded by the number of seeds they need, by powers of two, so that windows are as long as the items of a grade and a short
+item's bound does not let windows of long ones through. The seeds' hashes fill a bitmap of at most 8 MB, and one for each grade, which is
+what tasks get, whatever the benchmark's size. One pass over whole texts, vectorised over bytes, keeps windows with enough pairs that a grade's
+bitmap knows; an equi-join on the pair then names the items, and window and item are aligned word by word. Items of equal words are one until
+the result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ def benchmark_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def benchmark_seeds(texts: DataFrame, least_score: float) -> DataFrame:
-    """``gram, item, n_words, apart, need``: seeds of each distinct item, and the number of seeds that an accepted passage has."""
+    """``gram, item, n_words, apart, need, grade``: seeds of each distinct item, and the number of seeds that an accepted passage has."""
 
     def grams(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -80,7 +81,7 @@ def benchmark_seeds(texts: DataFrame, least_score: float) -> DataFrame:
     out = out.withColumn("common", F.max("shared").over(Window.partitionBy("item", "start")))
     out = out.withColumn("rank", F.dense_rank().over(Window.partitionBy("item").orderBy(F.desc("common"), "start")))
     left = out.where(F.col("rank") > F.floor(F.col("bound") / 2)).withColumn("need", F.col("bound") - F.floor(F.col("bound") / 2))
-    return C.written(left.select("gram", "item", "n_words", "apart", "need").distinct(), "seeds")
+    return C.written(left.select("gram", "item", "n_words", "apart", "need", F.floor(F.log2("need")).cast("long").alias("grade")).distinct(), "seeds")
 
 
 def _bitmap(seeds: DataFrame, most_bits: int) -> np.ndarray:
@@ -128,18 +129,19 @@ def find_contamination(
     ids = benchmark_items(items, item_col, item_text_col)
     texts = ids.groupBy("item").agg(F.first("item_words").alias("item_words"))
     seeds = benchmark_seeds(texts, least_score)
-    stats = seeds.agg(F.max("n_words").alias("longest"), F.min("need").alias("need"), F.min("apart").alias("least"), F.max("apart").alias("most")).first()
-    reach, need = math.ceil(int(stats["longest"] or 0) * (3 - 2 * least_score)), int(stats["need"] or 1)  # words that a passage can span
-    kinds_of = [apart for apart in (0, 1, 2) if stats["most"] is not None and stats["least"] <= min(apart, 1) <= stats["most"]]
-    held = spark.sparkContext.broadcast(_bitmap(seeds, most_bits))
+    span = F.ceil(F.col("n_words") * (3 - 2 * least_score)).cast("long")  # words that a passage can span
+    stats = seeds.groupBy("grade").agg(F.max(span).alias("reach"), F.min("need").alias("need"), F.min("apart").alias("least"), F.max("apart").alias("most")).collect()
+    kinds_of = [apart for apart in (0, 1, 2) if any(r["least"] <= min(apart, 1) <= r["most"] for r in stats)]
+    grades = [(r["grade"], r["need"], r["reach"], _bitmap(seeds.where(F.col("grade") == r["grade"]), most_bits)) for r in stats]  # no more than powers of two
+    held = spark.sparkContext.broadcast((_bitmap(seeds, most_bits), grades))
 
     def regions(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bitmap = held.value
-        mask = _U(len(bitmap) * 32 - 1)
+        every, grades = held.value
 
-        def known(grams: np.ndarray) -> np.ndarray:
+        def known(grams: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+            mask = _U(len(bitmap) * 32 - 1)
             a, b = grams & mask, (grams >> _U(32)) & mask
             return (bitmap[a >> _U(5)] >> (a & _U(31)).astype(np.uint32) & 1 & (bitmap[b >> _U(5)] >> (b & _U(31)).astype(np.uint32))).astype(bool)
 
@@ -154,29 +156,32 @@ def find_contamination(
                 hits = []
                 for apart in kinds_of:
                     grams = pair_hashes(h, apart)
-                    at = np.flatnonzero(known(grams))
+                    at = np.flatnonzero(known(grams, every))
                     hits.append((at, grams[at]))
                 at, grams = (np.concatenate(x) for x in zip(*hits))
                 order = np.argsort(at, kind="stable")
-                at, grams = at[order], grams[order]
-                if len(at) < need:
-                    continue
-                # windows of two reaches, a reach from each other, so that a passage lies whole in one
-                lows = np.unique(np.concatenate([at // reach, np.maximum(at // reach - 1, 0)])) * reach
-                for lo, a, b in zip(lows.tolist(), np.searchsorted(at, lows).tolist(), np.searchsorted(at, lows + 2 * reach).tolist()):
-                    if b - a >= need and (at[a + need - 1 : b] - at[a : b - need + 1] < reach).any():
-                        hi = min(len(h), lo + 2 * reach)
-                        out.append((doc, key, lo, hi, h[lo:hi].astype(np.uint32).view(np.int32), grams[a:b].view(np.int64)))
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "lo", "hi", "words", "grams"])
+                places, found = at[order], grams[order]
+                for grade, need, reach, bitmap in grades:
+                    own = known(found, bitmap) if len(found) >= need else np.zeros(len(found), bool)
+                    at, grams = places[own], found[own]
+                    if len(at) < need:
+                        continue
+                    # windows of two reaches, a reach from each other, so that a passage lies whole in one
+                    lows = np.unique(np.concatenate([at // reach, np.maximum(at // reach - 1, 0)])) * reach
+                    for lo, a, b in zip(lows.tolist(), np.searchsorted(at, lows).tolist(), np.searchsorted(at, lows + 2 * reach).tolist()):
+                        if b - a >= need and (at[a + need - 1 : b] - at[a : b - need + 1] < reach).any():
+                            hi = min(len(h), lo + 2 * reach)
+                            out.append((doc, key, grade, lo, hi, h[lo:hi].astype(np.uint32).view(np.int32), grams[a:b].view(np.int64)))
+            columns = list(zip(*out)) if out else [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "grade", "lo", "hi", "words", "grams"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string"))
     if not kinds_of:
         rows = rows.where(F.lit(False))
-    found = rows.mapInArrow(regions, "doc_id long, text_hash long, lo long, hi long, words array<int>, grams array<long>")
+    found = rows.mapInArrow(regions, "doc_id long, text_hash long, grade long, lo long, hi long, words array<int>, grams array<long>")
     found = C.written(found.withColumn("region", F.monotonically_increasing_id()), "regions")
-    pairs = found.select("region", F.explode("grams").alias("gram")).join(seeds.select("gram", "item", "need"), "gram").groupBy("region", "item").agg(F.count(F.lit(1)).alias("seeds"), F.first("need").alias("need"))
+    pairs = found.select("region", "grade", F.explode("grams").alias("gram")).join(seeds.select("gram", "grade", "item", "need"), ["gram", "grade"]).groupBy("region", "item").agg(F.count(F.lit(1)).alias("seeds"), F.first("need").alias("need"))
     pairs = pairs.where("seeds >= need").select("region", "item")
     of_item = texts.select("item", F.transform("item_words", lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int")).alias("item_words"))
 
@@ -194,7 +199,7 @@ def find_contamination(
                     out[i] = s / (2 * max(1, len(b[i])))
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], names=["doc_id", "text_hash", "item", "lo", "hi", "score"])
 
-    both = pairs.join(found.drop("grams"), "region").join(of_item, "item").select("words", "item_words", "doc_id", "text_hash", "item", "lo", "hi")
+    both = pairs.join(found.drop("grams", "grade"), "region").join(of_item, "item").select("words", "item_words", "doc_id", "text_hash", "item", "lo", "hi")
     scored = both.mapInArrow(score, "doc_id long, text_hash long, item long, lo long, hi long, score double").where(F.col("score") >= least_score)
     best = F.max(F.struct("score", (-F.col("lo")).alias("back"), "hi")).alias("best")
     scored = scored.groupBy("doc_id", "text_hash", "item").agg(best).join(ids.select("item", "item_id"), "item")
