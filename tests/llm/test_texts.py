@@ -118,7 +118,7 @@ STATED = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit"
 
 def test_licences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = licenses.fit_licences(docs)
+    model = licenses.fit_licences(spark)
     got = {(r.doc_id, r.family) for r in licenses.scan_licences(docs, model).collect()}
     want = {(r.doc_id, f) for r in docs.collect() for f, p in STATED.items() if p in r.text}
     assert got == want
@@ -127,6 +127,40 @@ def test_licences(spark):
     got = {(r.doc_id, r.family, r.paragraphs) for r in licenses.scan_licences(own, model).collect()}
     assert got == {(1, "unknown", 1), (2, "mit", 1), (None, "mit", 1), (7, "proprietary", 2)}
     assert licenses.scan_licences(own.where("false"), model).count() == 0
+    planted = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit("\nLicensed under the W"), F.col("doc_id").cast("string"), F.lit(" License."))).otherwise(F.col("text")).alias("text"))
+    got = {(r.doc_id, r.family) for r in licenses.scan_licences(planted, model).collect()}
+    ids = [r.doc_id for r in docs.collect() if r.doc_id % 3 == 0]
+    assert sum((i, "unknown") in got for i in ids) >= 0.95 * len(ids) and {x for x in got if x[1] != "unknown"} == want and all(i % 3 == 0 for i, f in got if f == "unknown")
+
+
+WRAPPED = {
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0""",
+    "mpl-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(k, f"code of some kind\n\n{t}\n\nint main") for k, t in enumerate(WRAPPED.values())] + [(9, "Copyright (c) 2020 Some Body"), (10, "they gave permission to build the public road"), (11, "Released under the MIT License.\nReleased under the Zork License.")]
+    got = {(r.doc_id, r.family) for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), licenses.fit_licences(spark)).collect()}
+    assert got == set(enumerate(WRAPPED)) | {(11, "mit"), (11, "unknown")}
 
 
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
