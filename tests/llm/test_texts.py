@@ -51,7 +51,7 @@ def words(text):
 def test_language_model(spark, head):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(9001, None), (9002, ""), (9003, "Ünseen\x1cword \xa0 É É"), (None, "the of"), (3, "the the the")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'w' word", "1 n", "2 row")
-    out = B.class_model_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, own=40, endings=40, classes=12, head=head).orderBy("row_no").collect()
+    out = B.class_model_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, core=30, endings=40, classes=12, head=head).orderBy("row_no").collect()
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
     c = Counter(w for i, t in rows if train(i) for w in words(t))
     n, v = sum(c.values()), len(c)
@@ -77,15 +77,49 @@ def test_exchange_finds_alternating_classes():
     assert len({of[i] for i in a}) == len({of[i] for i in b}) == 1 and of[1] != of[11] and of[0] == 0
 
 
-def test_class_probabilities_sum_to_one(spark):
-    """Over all known words, the end and one unseen word, after a given text."""
-    train = [(k, t) for k, t in enumerate(["the cat sat", "the dog sat", "a cat ran", "a dog ran the cat"] * 4 + ["one off", "two offs"])]
-    known = sorted({w for _, t in train for w in t.split()})
-    probe = [(100 + k, f"the {w}") for k, w in enumerate([*known, "zzzq"])] + [(99, "the")]
-    docs = spark.createDataFrame(train + probe, "doc_id long, text string")
-    out = {r.doc_id: r.score for r in B.class_model_scores(docs, F.col("doc_id") < 50, own=20, endings=0, classes=5).collect()}
-    # P(the w end) / P(end | class of w) is not observed, so only check that longer texts are less likely
-    assert all(out[100 + k] < 0 for k in range(len(known) + 1)) and out[99] > min(out[100 + k] for k in range(len(known) + 1))
+@pytest.mark.parametrize("head", [100_000, 30])
+def test_class_model_equals_a_plain_one(spark, head):
+    """Scores from classes, counts and transitions that plain Python gathers; probabilities after any history sum to one."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(9001, None), (9002, "zzzq zzzq the")]
+    train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    options = {"core": 30, "endings": 40, "classes": 12, "head": head}
+    column = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    model, _ = B.class_model(docs, column, **options)
+    of = {r.word: (r.n, r.k) for r in model.words.collect()}
+    counts = Counter(w for i, t in rows if train(i) for w in words(t))
+    counts[""] = counts.pop("<end>")
+    assert {w: n for w, (n, _) in of.items()} == counts
+    kind = lambda w: of[w][1] if w in of else model.endings.get(w[-3:], model.usual)
+    path = lambda t: [0, *(kind(w) for w in words(t)[:-1]), 0]
+    size = len(model.mass)
+    table = np.zeros((size, size))
+    for i, t in rows:
+        if train(i):
+            for a, b in zip(path(t), path(t)[1:]):
+                table[a, b] += 1
+    share = (table.sum(0) + 0.1) / (table.sum() + 0.1 * size)
+    steps = (table + 5 * share) / (table.sum(1, keepdims=True) + 5)
+    assert np.allclose(10**model.steps, steps) and np.allclose(steps.sum(1), 1)
+    held = [[n for w, (n, k) in of.items() if w and k == c] for c in range(size)]
+    cut = [min(0.95, max(0.05, (h.count(1) + 0.5) / (h.count(1) + 2 * h.count(2) + 1))) for h in held]
+    emit = lambda w: 1.0 if not w else (of[w][0] - cut[kind(w)]) / sum(held[kind(w)]) if w in of else cut[kind(w)] * len(held[kind(w)]) / sum(held[kind(w)])
+    for c in range(1, size):
+        if held[c]:
+            assert math.isclose(sum(emit(w) for w, (_, k) in of.items() if w and k == c) + cut[c] * len(held[c]) / sum(held[c]), 1)
+    want = {i: sum(math.log10(steps[a, b]) for a, b in zip(path(t), path(t)[1:])) + sum(math.log10(emit(w)) for w in words(t)[:-1]) for i, t in rows}
+    got = {r.doc_id: r.score for r in B.class_model_scores(docs, column, **options).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
+def test_a_word_moves_to_the_class_of_its_contexts():
+    rng = np.random.default_rng(3)
+    table = rng.integers(50, 100, (6, 6)).astype(float)
+    table[2, 3] = table[3, 2] = 5000  # classes 2 and 3 alternate
+    table[1] += 400
+    table[:, 1] += 400
+    slots, n = np.array([2, 6 + 2, 3, 6 + 3, 4]), np.array([40.0, 40, 30, 30, 1])
+    assert B.best_classes(slots, n, np.array([0, 2]), table).tolist() == [3, 2]
 
 
 def test_quality(spark):
