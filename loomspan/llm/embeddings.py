@@ -2,10 +2,12 @@
 
 Equal vectors of a label are one class first, so a vector that a third of all rows share is hashed once. A class's home
 bucket in a table is the pair of nearest signed axes after two pseudo-random rotations; it also visits the buckets of the
-next-nearest axes. In a bucket homes meet homes and visitors, and every pair is verified in double precision. A link that
-several tables or probes find is counted only where it is found first, which both ends' bucket lists tell, so links are
-counted without a list of pairs; shards emit a spanning forest for the components. A bucket with more homes than a block
-is cut into several shards that its visitors all reach.
+next-nearest axes. Only a class's number and a sketch of 128 signs are dealt to the buckets, not its vector. In a bucket homes meet homes and
+visitors; pairs with near sketches are candidates, of which a spanning forest leaves the task. Buckets with many homes or visitors are cut into
+blocks of both, each of which meets the others in a task of its own.
+
+The candidates' components then have their vectors, each sent once (to as many tasks as a very large component has blocks), and there every pair
+is verified in double precision, so all links inside a component are found and counted, also those that no bucket has shown.
 
 With four tables of two hashes and three visited buckets, links at a cosine of 0.98 in 64 dimensions are found with
 probability over 0.999 (measured; links above it more often).
@@ -13,15 +15,18 @@ probability over 0.999 (measured; links above it more often).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
 from .forest import Forest
 
+SIGNS, APART = 128, 26  # at a cosine of 0.98, 8 signs of 128 differ on average (standard deviation 3)
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The orthonormal fast Walsh-Hadamard transform of each row; the number of columns is a power of two."""
@@ -58,76 +63,203 @@ def bucket_keys(x: np.ndarray, tables: int, probes: int, seed: int = 11) -> np.n
     return out
 
 
-def _first_here(i, j, ids, keys, table, home) -> np.ndarray:
-    """Whether no earlier table finds the link of i and the home j, nor, in this table, the other of two buckets."""
-    first, t = np.ones(len(i), bool), table[i]
-    for k in range(int(t.max(initial=0))):
-        a, b = keys[i, k], keys[j, k]
-        first &= (k >= t) | ~((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1))
-    a, b = keys[i, t], keys[j, t]
-    apart = a[:, 0] != b[:, 0]  # else homes of one bucket in two of its cuts
-    back = (b == a[:, :1]).any(1) & ~home[i] & apart  # a visitor that the home also visits
-    return first & (~back | (ids[i] < ids[j]))
+def sketches(x: np.ndarray, seed: int = 23) -> np.ndarray:
+    """128 signs of each row after pseudo-random rotations, as two numbers; zeros where there are too few dimensions to rotate."""
+    n, d = x.shape
+    width = 1 << max(1, (d - 1).bit_length())
+    if width < 16:
+        return np.zeros((n, 2), np.uint64)
+    x, out = np.pad(x, ((0, 0), (0, width - d))), []
+    for r in range(-(-SIGNS // width)):
+        y, rng = x, np.random.default_rng((seed, r))
+        for _ in range(3):
+            y = hadamard(y * rng.choice([-1.0, 1.0], width))
+        out.append(y > 0)
+    return np.packbits(np.concatenate(out, 1)[:, :SIGNS], axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def _pairs_in_small(starts: np.ndarray, sizes: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one shard, the second of which is a home, for all shards at a time, in bounded parts."""
-    rows = np.repeat(starts, sizes) + _within(sizes)
-    later = np.repeat(sizes, sizes) - 1 - _within(sizes)
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of consecutive runs."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def near_pairs(starts: np.ndarray, sizes: np.ndarray, home: np.ndarray, own: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], small: int = 64, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of rows of one shard, the second of which is a home, in bounded parts.
+
+    Two homes are a pair only where ``own`` holds, that is in the shard that their block has for itself. Shards are runs of rows. Small ones are paired many at a time, and large ones a block of rows against a block of homes at a time.
+    """
+    few = sizes <= small
+    row, later = np.repeat(starts[few], sizes[few]) + _within(sizes[few]), np.repeat(sizes[few], sizes[few]) - 1 - _within(sizes[few])
     part = np.cumsum(later) // 200_000
     for k in range(int(part[-1]) + 1 if len(part) else 0):
-        own = part == k
-        i = np.repeat(rows[own], later[own])
-        j = i + 1 + _within(later[own])
+        here = part == k
+        i = np.repeat(row[here], later[here])
+        j = i + 1 + _within(later[here])
         i, j = np.where(home[j], i, j), np.where(home[j], j, i)
-        use = home[j]
+        use = home[j] & (own[j] | ~home[i])
+        i, j = i[use], j[use]
+        use = close(i, j)
         yield i[use], j[use]
+    for start, size in zip(starts[~few], sizes[~few]):
+        at = start + np.flatnonzero(home[start : start + size])
+        order = np.concatenate([at, start + np.flatnonzero(~home[start : start + size])])
+        for lo in range(0 if own[start] else len(at), size, rows):
+            for first in range(0, min(len(at), lo + rows), rows):  # a home meets earlier homes and its own block, a visitor all homes
+                i, j = np.meshgrid(np.arange(lo, min(size, lo + rows)), np.arange(first, min(len(at), first + rows)), indexing="ij")
+                use = (i >= len(at)) | (i > j)
+                i, j = order[i[use]], order[j[use]]
+                use = close(i, j)
+                yield i[use], j[use]
+
+
+def whole_shards(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Batches sorted by shard, their first ``keys`` columns, cut anew so that no shard is in two tables."""
+    held: list[pa.RecordBatch] = []
+    of = lambda batch, k: tuple(batch.column(c)[k].as_py() for c in range(keys))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = of(batch, batch.num_rows - 1)
+        same = np.all([batch.column(c).to_numpy() == last[c] for c in range(keys)], axis=0)
+        cut = int(np.argmax(same))
+        if cut or (held and of(held[-1], held[-1].num_rows - 1) != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the shards of a table."""
+    columns = [table.column(c).to_numpy() for c in range(keys)]
+    starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+    return starts, np.diff(np.append(starts, table.num_rows))
+
+
+def _roles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are homes, and which are in the shard of a block with itself."""
+    return table.column("home").to_numpy(), table.column("m").to_numpy() == table.column("f").to_numpy()
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(column) else []
+
+
+def _units(rows: list[np.ndarray]) -> np.ndarray:
+    x = np.stack(rows).astype(float)
+    x /= np.abs(x).max(1, keepdims=True)  # no overflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _bucketed(good: DataFrame, tables: int, probes: int) -> DataFrame:
+    """``vec_id, h1, h2, of, sketch, keys`` of each row; ``of`` is the hash of its label and length."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _vectors(batch.column(4))
+            sizes = np.array([len(x) for x in rows])
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                x = _units([rows[i] for i in own])
+                keys = bucket_keys(x, tables, probes).astype("<u4").reshape(len(own), -1)
+                parts = [batch.column(c).take(pa.array(own)) for c in range(4)]
+                held = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (sketches(x).astype("<u8"), keys)]
+                yield pa.RecordBatch.from_arrays([*parts, *held], names=["vec_id", "h1", "h2", "of", "sketch", "keys"])
 
+    return good.select("vec_id", "h1", "h2", F.xxhash64("label", F.size("v")).alias("of"), "v").mapInArrow(run, "vec_id long, h1 long, h2 long, of long, sketch binary, keys binary")
 
-def _within(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... inside each of consecutive runs."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
+def _candidates(classes: DataFrame, tables: int, probes: int, block: int) -> DataFrame:
+    """``a, b``: a spanning forest of the candidates of each bucket."""
+    spark = classes.sparkSession
+    width = 1 + probes
 
-def _pairs_in_large(start: int, size: int, home: np.ndarray, unit: np.ndarray, least: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of one shard, a block of rows against all homes at a time."""
-    at = start + np.flatnonzero(home[start : start + size])
-    order = np.concatenate([at, start + np.flatnonzero(~home[start : start + size])])
-    for lo in range(0, size, rows):
-        upto = min(lo + rows, len(at)) if lo + rows <= len(at) else len(at)
-        i, j = np.nonzero(unit[order[lo : lo + rows]] @ unit[at[:upto]].T >= least)
-        i += lo
-        use = (i >= len(at)) | (i > j)  # two homes once, and none with itself
-        yield order[i[use]], order[j[use]]
-
-
-def _meet(shard: np.ndarray, ids, unit, keys, many, home, table, least: float, small: int = 64):
-    """Links within shards (equal, consecutive ``shard``): rows with links first found here, and spanning edges."""
-    n = len(ids)
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    sizes = np.diff(np.append(starts, n))
-    links, forest = np.zeros(n, np.int64), Forest(n)
-
-    def add(i, j):
-        if not len(i):
-            return
-        forest.add(i, j)
-        first = _first_here(i, j, ids, keys, table, home)
-        i, j = i[first], j[first]
-        links[:] += np.bincount(i, many[j], n).astype(np.int64) + np.bincount(j, many[i], n).astype(np.int64)
+    def spread(batches: Iterator) -> Iterator:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(n, tables, width)
+            every = np.arange(n)
+            for t in range(tables):
+                for k in range(width):
+                    use = every if k == 0 else np.flatnonzero(np.all(keys[:, t, k : k + 1] != keys[:, t, :k], axis=1))
+                    where = (np.int64(t) << np.int64(32)) + keys[use, t, k].astype(np.int64)
+                    parts = [batch.column(c).take(pa.array(use)) for c in (0, 1, 2)]
+                    yield pa.RecordBatch.from_arrays([*parts, pa.array(where), pa.array(np.full(len(use), k == 0))], names=["cls", "of", "sketch", "place", "home"])
+
+    rows = classes.select("cls", "of", "sketch", "keys").mapInArrow(spread, "cls long, of long, sketch binary, place long, home boolean")
+    rows = rows.select(F.xxhash64("of", "place").alias("bucket"), "cls", "sketch", "home")
+    counts = rows.groupBy("bucket").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors"))
+    # written, so that its size is known when the join is planned: mostly empty, it is broadcast and the rows stay where they are
+    heavy = counts.where((F.col("homes") > block) | ((F.col("homes") > 0) & (F.col("visitors") > 2 * block)))
+    heavy = C.written(heavy.select("bucket", F.ceil(F.col("homes") / block).cast("int").alias("h"), F.ceil(F.col("visitors") / block).cast("int").alias("v")), "heavy-buckets")
+    h, v, last = F.col("h"), F.col("v"), F.col("h") + F.col("v") - 1
+    own = F.pmod(F.xxhash64("cls"), F.greatest(F.when(F.col("home"), h).otherwise(v), F.lit(1))).cast("int")
+    spot = lambda m, f, fixed: F.struct(m.alias("m"), f.alias("f"), F.lit(fixed).alias("fixed"))
+    one = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("f"), F.col("home").alias("fixed")))
+    earlier = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda f: spot(F.col("own"), f, False))).otherwise(F.slice(one, 1, 0))
+    of_home = F.concat(F.transform(F.sequence(F.col("own"), last), lambda m: spot(m, F.col("own"), True)), earlier)
+    of_visitor = F.transform(F.sequence(F.lit(0), h - 1), lambda f: spot(h + F.col("own"), f, False))
+    rows = rows.join(heavy, "bucket", "left").withColumn("own", own)
+    rows = rows.select("bucket", F.explode(F.when(h.isNull(), one).when(F.col("home"), of_home).otherwise(of_visitor)).alias("s"), "cls", "sketch")
+    rows = rows.select("bucket", F.col("s.m").alias("m"), F.col("s.f").alias("f"), F.col("s.fixed").alias("home"), "cls", "sketch")
+
+    def meet(batches: Iterator) -> Iterator:
+        for table in whole_shards(batches, 3):
+            starts, sizes = _runs(table, 3)
+            cls, forest = table.column("cls").to_numpy(), Forest(table.num_rows)
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, 2)
+            close = lambda i, j: (np.bitwise_count(sketch[i, 0] ^ sketch[j, 0]) + np.bitwise_count(sketch[i, 1] ^ sketch[j, 1])) <= APART  # noqa: B023, E731
+            for i, j in near_pairs(starts, sizes, *_roles(table), close):
+                forest.add(i, j)
+            child, root = forest.roots()
+            yield pa.RecordBatch.from_arrays([pa.array(cls[child]), pa.array(cls[root])], names=["a", "b"])
+
+    rows = rows.repartition(C.shuffle_partitions(spark), "bucket", "m", "f").sortWithinPartitions("bucket", "m", "f")
+    return C.written(rows.mapInArrow(meet, "a long, b long").distinct(), "vector-candidates")
 
-    few = sizes <= small
-    for i, j in _pairs_in_small(starts[few], sizes[few], home):
-        close = np.einsum("nd,nd->n", unit[i], unit[j]) >= least
-        add(i[close], j[close])
-    for start, size in zip(starts[~few], sizes[~few]):
-        for i, j in _pairs_in_large(start, size, home, unit, least):
-            add(i, j)
-    child, root = forest.roots()
-    up = np.full(n, -1, np.int64)
-    up[child] = ids[root]
-    use = (links > 0) | (up >= 0)
-    return ids[use], links[use], up[use]
+
+def _links(members: DataFrame, cosine: float, block: int) -> DataFrame:
+    """``cls, links, up``: of ``cls, comp, many, v``, links of each class with others of its component, and edges that span them.
+
+    A class comes once for each pair of blocks that its component is cut into; its links are the sum.
+    """
+    spark = members.sparkSession
+    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"))
+    rows = C.join_heavy(members, C.written(sizes, "component-sizes"), "comp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
+    spot = lambda m, f, fixed: F.struct(m.alias("m"), f.alias("f"), F.lit(fixed).alias("fixed"))
+    fixed = F.transform(F.sequence(F.col("own"), F.col("cuts") - 1), lambda m: spot(m, F.col("own"), True))
+    earlier = F.transform(F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda f: f < F.col("own")), lambda f: spot(F.col("own"), f, False))
+    rows = rows.select("comp", F.explode(F.concat(fixed, earlier)).alias("s"), "cls", "many", "v")
+    rows = rows.select("comp", F.col("s.m").alias("m"), F.col("s.f").alias("f"), F.col("s.fixed").alias("home"), "cls", "many", "v")
+
+    def meet(batches: Iterator) -> Iterator:
+        for table in whole_shards(batches, 3):
+            starts, sizes = _runs(table, 3)
+            cls, many, n = table.column("cls").to_numpy(), table.column("many").to_numpy(), table.num_rows
+            rows = _vectors(table.column("v"))
+            lengths = np.array([len(x) for x in rows])
+            unit = np.zeros((n, int(lengths.max())))
+            for d in np.unique(lengths):
+                own = np.flatnonzero(lengths == d)
+                unit[own, :d] = _units([rows[i] for i in own])
+            links, forest = np.zeros(n), Forest(n)
+            for i, j in near_pairs(starts, sizes, *_roles(table), lambda i, j: np.einsum("nd,nd->n", unit[i], unit[j]) >= cosine):  # noqa: B023
+                forest.add(i, j)
+                links += np.bincount(i, many[j], n) + np.bincount(j, many[i], n)
+            child, root = forest.roots()
+            up = np.full(n, -1, np.int64)
+            up[child] = cls[root]
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(links.astype(np.int64)), pa.array(up)], names=["cls", "links", "up"])
+
+    rows = rows.repartition(C.shuffle_partitions(spark), "comp", "m", "f").sortWithinPartitions("comp", "m", "f")
+    return C.written(rows.mapInArrow(meet, "cls long, links long, up long"), "vector-links")
 
 
 def embedding_duplicates(
@@ -138,93 +270,36 @@ def embedding_duplicates(
     Only rows of equal, non-null labels are compared, and only vectors of equal length. A vector that is null, empty or
     zero or holds a null or a non-finite component has no link. Copies link with each other. Repeated ids give repeated
     rows; a null id is kept, is never a component's smallest id unless all are null, and then ``kept`` is null. An
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read. ``block`` does not change the result. Candidates are meant for a ``cosine``
+    of 0.98 or more.
     """
-    spark = vectors.sparkSession
     v = F.col("v")
     fine = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
     rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), v)).withColumns({"h1": F.xxhash64(F.lit(1), "label", "v"), "h2": F.xxhash64(F.lit(2), "v", "label")})
     good = rows.where(v.isNotNull())
-    grouped = good.groupBy("h1", "h2", "label", "v").agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("least"))
-    classes = C.written(grouped.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
-
-    def hash_rows(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            held = [c.to_pylist() for c in batch.columns]
-            sizes = np.array([len(x) for x in held[3]], dtype=np.int64)
-            for d in np.unique(sizes):
-                own = np.flatnonzero(sizes == d)
-                x = np.array([held[3][i] for i in own])
-                x /= np.abs(x).max(1, keepdims=True)  # no overflow in the norm
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys = bucket_keys(x, tables, probes)
-                out = {"cls": pa.array([held[0][i] for i in own], pa.int64()), "many": pa.array([held[1][i] for i in own], pa.int64()), "bucket_of": pa.array([held[2][i] for i in own], pa.int64())}
-                out["keys"] = pa.array(list(keys.reshape(len(own), -1)), pa.list_(pa.int64()))
-                out["unit"] = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
-
-    hashed = classes.select("cls", "many", F.xxhash64("label", F.size("v")).alias("bucket_of"), "v").mapInArrow(hash_rows, "cls long, many long, bucket_of long, keys array<long>, unit binary")
-    hashed = C.written(hashed, "vector-keys")
-    width = 1 + probes
-    spots = F.explode(F.array(*[F.struct(F.lit(k // width).alias("t"), F.lit(k % width == 0).alias("home"), F.col("keys")[k].alias("key")) for k in range(tables * width)])).alias("s")
-    bucket = F.xxhash64("bucket_of", "s.t", "s.key").alias("bucket")
-    heavy = hashed.select("bucket_of", "keys", spots).where("s.home").select(bucket).groupBy("bucket").count().where(F.col("count") > block)
-    # written, so that its size is known when the join is planned: mostly empty, it is broadcast and the vectors stay where they are
-    heavy = C.written(heavy.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("cuts")), "heavy-buckets")
-    sent = hashed.select("cls", "many", "keys", "unit", spots, bucket).join(heavy, "bucket", "left")
-    cuts = F.coalesce("cuts", F.lit(1))
-    own = F.pmod(F.xxhash64("cls"), cuts).cast("int")
-    sent = sent.withColumn("own", F.when(F.col("s.home"), own).otherwise(cuts)).withColumn("cut", F.explode(F.sequence(F.lit(0), F.when(F.col("s.home"), F.col("own")).otherwise(cuts - 1))))
-    sent = sent.select("bucket", "cut", F.col("s.t").alias("t"), (F.col("cut") == F.col("own")).alias("home"), "cls", "many", "keys", "unit")
-
-    def meet(batches: Iterator) -> Iterator:
-        """Batches come sorted by shard; the last shard of a batch waits for the next one."""
-        import pyarrow as pa
-
-        import pyarrow.compute as pc
-
-        def whole(table):
-            sizes = pc.binary_length(table.column("unit")).to_numpy()
-            for d in np.unique(sizes):
-                own = table.filter(pa.array(sizes == d)) if (sizes != d).any() else table
-                unit = np.frombuffer(b"".join(own.column("unit").to_pylist())).reshape(own.num_rows, -1)
-                keys = pc.list_flatten(own.column("keys")).to_numpy().reshape(own.num_rows, tables, width)
-                get = lambda c, own=own: own.column(c).to_numpy()
-                b, c = get("bucket"), get("cut")
-                shard = np.concatenate([[0], np.cumsum((b[1:] != b[:-1]) | (c[1:] != c[:-1]))])
-                out = _meet(shard, get("cls"), unit, keys, get("many"), own.column("home").to_numpy(), get("t"), cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["cls", "links", "up"])
-
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py())
-            same = (batch.column(0).to_numpy() == last[0]) & (batch.column(1).to_numpy() == last[1])
-            cut = int(np.argmax(same))
-            if cut or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != last):
-                yield from whole(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from whole(pa.Table.from_batches(held))
-
-    sorted_rows = sent.repartition(C.shuffle_partitions(spark), "bucket", "cut").sortWithinPartitions("bucket", "cut")
-    found = C.written(sorted_rows.mapInArrow(meet, "cls long, links long, up long"), "vector-links")
+    keyed = C.written(_bucketed(good, tables, probes), "vector-keys")
+    classes = keyed.groupBy("h1", "h2", "of", "sketch", "keys").agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("least"))
+    classes = C.written(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
+    near = C.connected_components(_candidates(classes, tables, probes, block)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+    live = C.written(classes.select("h1", "h2", "cls", "many").join(near, "cls"), "vector-live")
+    of_class = good.groupBy("h1", "h2").agg(F.first("v").alias("v"))
+    found = _links(C.written(live.join(of_class, ["h1", "h2"]).select("cls", "comp", "many", "v"), "vector-members"), cosine, block // 2)
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     tree = C.connected_components(found.where("up >= 0").select(F.col("cls").alias("a"), F.col("up").alias("b"))).select(F.col("node").alias("cls"), "root")
-    named = classes.select("h1", "h2", "cls", "many", "least").join(degree, "cls", "left").join(tree, "cls", "left")
-    named = named.select("h1", "h2", F.coalesce("root", "cls").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("h1", "h2", "n_links", "component_id")
-    keyed = rows.select("vec_id", "h1", "h2", v.isNotNull().alias("fine"))
-    linked = keyed.where("fine").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    alone = keyed.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = C.written(tree.join(classes.select("cls", "least"), "cls"), "vector-linked")
+    tops = C.join_heavy(linked, linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
+    named = classes.join(degree, "cls", "left").join(tops, "cls", "left")
+    named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    key = F.struct("h1", "h2").alias("key")
+    linked = C.join_heavy(keyed.select("vec_id", key), C.written(named.select(key, "n_links", "component_id"), "vector-named"), "key").select("vec_id", "n_links", "component_id")
+    alone = rows.where(v.isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op8_embeddings(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``embeddings``: the vectors of its label at a cosine of 0.98 or more, and the smallest id that such links reach.
+
+    Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing.
+    """
     return embedding_duplicates(C.read(spark, sf_dir, "embeddings"))

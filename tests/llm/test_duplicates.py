@@ -122,6 +122,21 @@ def test_embedding_recall_over_the_table(spark):
     assert linked >= 0.99 * len(rows + near)
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256, 768])
+def test_embedding_recall_at_the_threshold(spark, dim):
+    """Isolated pairs at a cosine just above 0.98 are found, those just below are not."""
+    rng, rows = np.random.default_rng(dim), []
+    for k in range(300):
+        x, y = rng.normal(size=(2, dim))
+        x /= np.linalg.norm(x)
+        y -= x * (x @ y)
+        y /= np.linalg.norm(y)
+        c = 0.9801 if k % 2 else 0.9799
+        rows += [(2 * k, 1, [float(a) for a in x]), (2 * k + 1, 1, [float(a) for a in c * x + np.sqrt(1 - c * c) * y])]
+    got = {r.vec_id: r.n_links for r in V.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert sum(got[4 * k + 2] for k in range(150)) >= 0.99 * 150 and not any(got[4 * k] for k in range(150))
+
+
 def slow_alignment(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
