@@ -112,24 +112,6 @@ def near_pairs(starts: np.ndarray, sizes: np.ndarray, home: np.ndarray, own: np.
                 yield i[use], j[use]
 
 
-def whole_shards(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Batches sorted by shard, their first ``keys`` columns, cut anew so that no shard is in two tables."""
-    held: list[pa.RecordBatch] = []
-    of = lambda batch, k: tuple(batch.column(c)[k].as_py() for c in range(keys))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = of(batch, batch.num_rows - 1)
-        same = np.all([batch.column(c).to_numpy() == last[c] for c in range(keys)], axis=0)
-        cut = int(np.argmax(same))
-        if cut or (held and of(held[-1], held[-1].num_rows - 1) != last):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _runs(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the shards of a table."""
     columns = [table.column(c).to_numpy() for c in range(keys)]
@@ -211,7 +193,7 @@ def _candidates(classes: DataFrame, tables: int, probes: int, block: int) -> Dat
     rows = rows.select("bucket", F.col("s.m").alias("m"), F.col("s.f").alias("f"), F.col("s.fixed").alias("home"), "cls", "sketch")
 
     def meet(batches: Iterator) -> Iterator:
-        for table in whole_shards(batches, 3):
+        for table in C.whole_shards(batches, 3):
             starts, sizes = _runs(table, 3)
             cls, forest = table.column("cls").to_numpy(), Forest(table.num_rows)
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, 2)
@@ -240,7 +222,7 @@ def _links(members: DataFrame, cosine: float, block: int) -> DataFrame:
     rows = rows.select("comp", F.col("s.m").alias("m"), F.col("s.f").alias("f"), F.col("s.fixed").alias("home"), "cls", "many", "v")
 
     def meet(batches: Iterator) -> Iterator:
-        for table in whole_shards(batches, 3):
+        for table in C.whole_shards(batches, 3):
             starts, sizes = _runs(table, 3)
             cls, many, n = table.column("cls").to_numpy(), table.column("many").to_numpy(), table.num_rows
             rows = _vectors(table.column("v"))

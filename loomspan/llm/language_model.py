@@ -152,32 +152,32 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 6, fixed: int = 1)
     return of
 
 
-def context_counts(train: DataFrame, names, classes: int, text_col: str, flush: int = 150_000) -> DataFrame:
-    """``word, slot, n`` of words out of the core: how often class ``slot`` stands before it, or class ``slot - classes`` after it.
+def context_counts(train: DataFrame, names, classes: int, text_col: str, flush: int = 400_000) -> DataFrame:
+    """``word, held`` of words out of the core: pairs of a slot and a count, as 32-bit numbers, of the classes around it in a part of the texts.
 
-    ``names`` is the broadcast pair of a dictionary that numbers the head, core words first, and the classes of the core. Words of the head are
-    counted as numbers, others as bytes.
+    Class c before the word is slot c, and after it slot ``classes`` + c. ``names`` is the broadcast pair of a dictionary that numbers the head,
+    core words first, and the classes of the core. Words of the head are counted as numbers, others as bytes.
     """
 
     def run(batches: Iterator) -> Iterator:
-        from collections import Counter
+        from array import array
+        from collections import defaultdict
 
         number, of_core = names.value
         place, words_of = _Unit(number, -1), list(number)
-        held, codes, rare = 0, [], Counter()
+        held, codes, rare, entries = 0, [], defaultdict(lambda: array("I")), 0
 
-        def out(words: list, slots, counts):
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(slots, pa.int32()), pa.array(counts, pa.int64())], names=["word", "slot", "n"])
+        def out(words: list, pairs: list):
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(pairs, pa.binary())], names=["word", "held"])
 
         def common():
             found, n = np.unique(np.concatenate(codes), return_counts=True)
-            for k in range(0, len(found), 100_000):
-                own = found[k : k + 100_000]
-                yield out([words_of[i] for i in (own // (2 * classes)).tolist()], own % (2 * classes), n[k : k + 100_000])
-
-        def seldom():
-            words, slots = zip(*rare)
-            return out(list(words), slots, list(rare.values()))
+            own, pairs = found // (2 * classes), np.stack([found % (2 * classes), n], 1).astype("<u4")
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            first = np.concatenate([[0], cuts]) if len(own) else cuts
+            for k in range(0, len(first), 20_000):
+                ends = [*first[k + 1 : k + 20_001].tolist(), len(own)][: len(first[k : k + 20_000])]
+                yield out([words_of[i] for i in own[first[k : k + 20_000]].tolist()], [pairs[x:y].tobytes() for x, y in zip(first[k : k + 20_000].tolist(), ends)])
 
         for batch in batches:
             for text in batch.column(0):
@@ -192,21 +192,22 @@ def context_counts(train: DataFrame, names, classes: int, text_col: str, flush:
                 own = at >= len(of_core)
                 codes += [at[own] * 2 * classes + before[own], at[own] * 2 * classes + after[own]]
                 for i in np.flatnonzero(at < 0).tolist():
-                    rare[words[i], int(before[i])] += 1
-                    rare[words[i], int(after[i])] += 1
+                    rare[words[i]].extend((int(before[i]), 1, int(after[i]), 1))
+                    entries += 1
                 held += len(at)
                 if held > 2_000_000:
                     yield from common()
                     held, codes = 0, []
-                if len(rare) > flush:
-                    yield seldom()
+                if entries > flush:
+                    yield out(list(rare), [x.tobytes() for x in rare.values()])
                     rare.clear()
+                    entries = 0
         if codes:
             yield from common()
         if rare:
-            yield seldom()
+            yield out(list(rare), [x.tobytes() for x in rare.values()])
 
-    return train.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, slot int, n long")
+    return train.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, held binary")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -242,19 +243,25 @@ def best_classes(slots: np.ndarray, n: np.ndarray, starts: np.ndarray, table: np
 
 
 def word_classes(contexts: DataFrame, table: np.ndarray) -> DataFrame:
-    """``word, k``: the class that each word's contexts favour. One shuffle, by word."""
+    """``word, n, k``: each word's count and the class that its contexts favour. One shuffle, by word."""
+    k_all = len(table)
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            if batch.num_rows:
-                lists = batch.column(1)
-                sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
-                slots, n = (flat.field(k).to_numpy() for k in (0, 1))
-                found = best_classes(slots.astype(np.int64), n.astype(float), np.cumsum(sizes) - sizes, table)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["word", "k"])
-
-    rows = contexts.repartition(C.shuffle_partitions(contexts.sparkSession), "word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    return rows.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("held")).mapInArrow(run, "word string, k long")
+        for held in C.whole_shards(batches, 1):
+            words = held.column("word").combine_chunks()
+            codes = words.dictionary_encode()
+            pairs = held.column("held").to_pylist()
+            sizes = np.fromiter(map(len, pairs), np.int64, len(pairs)) // 8
+            flat = np.frombuffer(b"".join(pairs), "<u4").reshape(-1, 2).astype(np.int64)
+            key, where = np.unique(np.repeat(codes.indices.to_numpy().astype(np.int64), sizes) * 2 * k_all + flat[:, 0], return_inverse=True)
+            n = np.bincount(where, flat[:, 1], len(key))
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(key // (2 * k_all)) > 0]))
+            slots = key % (2 * k_all)
+            count = np.add.reduceat(np.where(slots < k_all, n, 0), starts).astype(np.int64)  # a word has one class before it each time
+            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(count), pa.array(best_classes(slots, n, starts, table), pa.int64())], names=["word", "n", "k"])
+
+    rows = contexts.select(F.xxhash64("word").alias("h"), "word", "held").repartition(C.shuffle_partitions(contexts.sparkSession), "h").sortWithinPartitions("h")
+    return rows.mapInArrow(run, "word string, n long, k long")
 
 
 class ClassModel:
@@ -274,7 +281,7 @@ class ClassModel:
         self.steps = np.log10((table + pull * share) / (table.sum(1, keepdims=True) + pull))
 
 
-def _cluster(learn: DataFrame, vocabulary: DataFrame, names: list[bytes], core: int, classes: int, endings: int, tokens: int, distinct: int, text_col: str) -> ClassModel:
+def _cluster(learn: DataFrame, ends: int, names: list[bytes], counts: list[int], core: int, classes: int, endings: int, tokens: int, distinct: int, text_col: str) -> ClassModel:
     spark = learn.sparkSession
     units = {END: 0} | {w: 2 + k for k, w in enumerate(names[:core])}
     size = 2 + len(names[:core])
@@ -287,9 +294,10 @@ def _cluster(learn: DataFrame, vocabulary: DataFrame, names: list[bytes], core:
     one[np.arange(size), of] = 1
     numbers = spark.sparkContext.broadcast(({w: k for k, w in enumerate(names)}, of[2:]))
     moved = word_classes(context_counts(learn, numbers, k_all, text_col), one.T @ bigrams @ one)
-    first = spark.createDataFrame([(w.decode("utf-8", "surrogatepass"), int(k)) for w, k in zip(names[:core], of[2:])], "word string, k long")  # core words
-    known = moved.unionByName(first).unionByName(spark.createDataFrame([("", 0)], "word string, k long"))
-    words = C.written(vocabulary.join(known, "word"), "word-classes")
+    first = [(w.decode("utf-8", "surrogatepass"), int(n), int(k)) for w, n, k in zip(names[:core], counts, of[2:])]  # core words
+    if ends:
+        first.append(("", ends, 0))
+    words = C.written(moved.unionByName(spark.createDataFrame(first, "word string, n long, k long")), "word-classes")
     sums = words.where("k > 0").groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
     mass, cut, unseen, usual = np.ones(k_all), np.full(k_all, 0.5), np.zeros(k_all), (-1, OTHER)
     for r in sums.collect():  # a row for each class
@@ -359,7 +367,9 @@ def _coded(docs: DataFrame, train, model: ClassModel, names: list[bytes], head:
     more = lambda c, m: (F.col(c) + F.coalesce(m, F.lit(0))).alias(c)
     both = rows.select("row", "doc_id", "learn", "n_tokens", "seen", "base", "emitted", "codes").join(of_rare, "row", "left")
     both = both.select("codes", "filled", "row", "doc_id", "learn", "n_tokens", more("seen", "more"), more("base", "more_base"), more("emitted", "more_emitted"))
-    return C.written(both.mapInArrow(fill, "codes binary, row long, doc_id long, learn boolean, n_tokens long, known long, base double, emitted double"), "coded")
+    # lists of a row's words stay in a hash table for more keys than by default
+    with C.conf_set(spark, spark__sql__objectHashAggregate__sortBased__fallbackThreshold="20000"):
+        return C.written(both.mapInArrow(fill, "codes binary, row long, doc_id long, learn boolean, n_tokens long, known long, base double, emitted double"), "coded")
 
 
 def _transitions(coded: DataFrame, k_all: int) -> np.ndarray:
@@ -397,7 +407,8 @@ def class_model(
         least, held = r["grade"], held + r["words"]
     top = vocabulary.where((grade >= least) & (F.col("word") != "")).orderBy(F.desc("n"), "word").toArrow()  # at most ``head`` rows
     names = [w.encode("utf-8", "surrogatepass") for w in top.column("word").to_pylist()]
-    model = _cluster(learn, vocabulary, names, core, classes, endings, tokens, distinct, text_col)
+    ends = vocabulary.where(F.col("word") == "").agg(F.sum("n")).first()[0] or 0
+    model = _cluster(learn, ends, names, top.column("n").to_pylist(), core, classes, endings, tokens, distinct, text_col)
     words = model.words.where(F.col("word") != "")
     coded = _coded(docs, train, model, names, words.where(grade >= least), words.where(grade < least), id_col, text_col)
     model.learn_steps(_transitions(coded, len(model.mass)), pull)
