@@ -50,11 +50,21 @@ def anti(df: DataFrame, *conds) -> DataFrame:
     return df
 
 
-def natural_join(a: DataFrame, *others: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on all common columns, one table after another; without any, a product with a side of a few rows."""
+def natural_join(a: DataFrame, *others: DataFrame, how: str = "inner", most: int = 10_000) -> DataFrame:
+    """Join on all common columns, one table after another.
+
+    Tables without a common column give a product, whose smaller side is broadcast; it is an error if both have more than ``most`` rows.
+    """
     for b in others:
         on = common(a, b)
-        a = a.join(b, on, how) if on else a.crossJoin(b)
+        if on:
+            a = a.join(b, on, how)
+        elif b.limit(most + 1).count() <= most:
+            a = a.crossJoin(F.broadcast(b))
+        elif a.limit(most + 1).count() <= most:
+            a = F.broadcast(a).crossJoin(b)
+        else:
+            raise ValueError(f"no common column, and both sides have more than {most} rows")
     return a
 
 

@@ -175,10 +175,18 @@ def rest_active_mean(samples: DataFrame, key: list[str], rest: str, value: str)
     return samples.groupBy(key).agg(F.avg(F.when(F.col(rest), F.col(value))).alias("rest"), F.avg(F.when(~F.col(rest), F.col(value))).alias("active"))
 
 
-def movement_rates(epoch_classes: DataFrame, durations: DataFrame, key: list[str], classes: list[str]) -> DataFrame:
-    """Counts per class divided by the session's duration, and accuracy = rewarded / (rewarded + miss) in per cent."""
+def movement_rates(epoch_classes: DataFrame, durations: DataFrame, key: list[str], classes: list[str], contra: DataFrame | None = None) -> DataFrame:
+    """Counts per class divided by the session's duration, and accuracy = rewarded / (rewarded + miss) in per cent.
+
+    With ``contra``, the epochs of the other hand, also ``total_movement_rate_contra`` and ``total_movement_rate_ipsi``; the latter sums all
+    rates of the session, as the studied analysis does. A session without such epochs has no contra rate.
+    """
     from .algebra import pivot_counts
 
     counts = pivot_counts(epoch_classes, key, "class", classes)
     rates = counts.join(durations, key).select(*key, *[(F.col(c) / F.col("duration")).alias(f"{c}_rate") for c in classes], F.try_divide(100 * F.col("rewarded"), F.col("rewarded") + F.col("miss")).alias("accuracy"))
-    return rates
+    if contra is None:
+        return rates
+    other = contra.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(durations, key).select(*key, (F.col("_n") / F.col("duration")).alias("total_movement_rate_contra"))
+    every = sum((F.coalesce(c, F.lit(0.0)) for c in [*(f"{c}_rate" for c in classes), "total_movement_rate_contra"]), F.lit(0.0))
+    return rates.join(other, key, "left").withColumn("total_movement_rate_ipsi", every)

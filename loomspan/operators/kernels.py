@@ -115,3 +115,29 @@ def blur(img: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
 
 def block_mean(img: np.ndarray, h: int, w: int) -> np.ndarray:
     return img.reshape(h, img.shape[0] // h, w, img.shape[1] // w).mean((1, 3))
+
+
+def student_two_sided(t: float, dof: float) -> float:
+    """P(|T| >= |t|) of Student's t: the regularised incomplete beta function by its continued fraction; NaN for a missing value."""
+    from math import exp, inf, isnan, lgamma, log
+
+    if t is None or dof is None or isnan(t) or isnan(dof) or dof <= 0:
+        return float("nan")
+    if abs(t) == inf:
+        return 0.0
+    a, b, x = dof / 2, 0.5, dof / (dof + t * t)
+    if x >= 1:
+        return 1.0
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, z = (b, a, 1 - x) if swap else (a, b, x)
+    c, d = 1.0, 1 / (1 - (p + q) * z / (p + 1) or 1e-300)
+    f = d
+    for i in range(1, 500):
+        for u in (i * (q - i) * z / ((p + 2 * i - 1) * (p + 2 * i)), -(p + i) * (p + q + i) * z / ((p + 2 * i) * (p + 2 * i + 1))):
+            d = 1 / (1 + u * d or 1e-300)
+            c = 1 + u / c or 1e-300
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    part = exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * log(z) + q * log(1 - z)) * f / p
+    return 1 - part if swap else part

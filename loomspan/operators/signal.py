@@ -241,11 +241,19 @@ def fill_frames(points: DataFrame, frames: DataFrame, key: list[str], frame: str
     return frames.join(points.withColumn("_in", F.lit(1)), [*key, frame], "left").withColumn("p", F.coalesce("_in", F.lit(0))).drop("_in")
 
 
-def limb_features(points: DataFrame, anchor_x: str, anchor_y: str, key: list[str], order: list, fps: float) -> DataFrame:
-    """Distance to a point, speed and acceleration, from ``x, y``."""
-    out = points.withColumns({"dx": F.col("x") - F.col(anchor_x), "dy": F.col("y") - F.col(anchor_y)}).withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    out = gradient(out, key, order, ["x", "y"], norm="_v").withColumn("v", F.col("_v") * fps).drop("_v", "d_x", "d_y")
-    return gradient(out, key, order, ["v"]).withColumnRenamed("d_v", "a").withColumn("a", F.col("a") * fps)
+def limb_features(points: DataFrame, anchor_x: str, anchor_y: str, key: list[str], order: list, window: int | None = None, degree: int = 2) -> DataFrame:
+    """Distance to a point, velocity and acceleration of ``x, y``, each with its parts and length: nine columns.
+
+    ``x`` and ``y`` are smoothed first if a ``window`` is given. Velocity and acceleration are per sample; the length of the acceleration is that of the
+    gradient of the velocity's parts.
+    """
+    for c in ("x", "y") if window else ():
+        points = savgol(points, key, order, c, window, degree, "_s").withColumn(c, F.col("_s")).drop("_s")
+    length = lambda n: F.sqrt(F.col(f"{n}_x") * F.col(f"{n}_x") + F.col(f"{n}_y") * F.col(f"{n}_y"))
+    out = points.withColumns({"distance_x": F.col("x") - F.col(anchor_x), "distance_y": F.col("y") - F.col(anchor_y)}).withColumn("distance", length("distance"))
+    for name, x, y in (("velocity", "x", "y"), ("acceleration", "velocity_x", "velocity_y")):
+        out = gradient(out, key, order, [x, y]).withColumnsRenamed({f"d_{x}": f"{name}_x", f"d_{y}": f"{name}_y"}).withColumn(name, length(name))
+    return out
 
 
 def wrapped_angle(dy: Column, dx: Column) -> Column:
@@ -254,14 +262,20 @@ def wrapped_angle(dy: Column, dx: Column) -> Column:
     return F.when(a >= 180, a - 360).otherwise(a)
 
 
-def finger_features(points: DataFrame) -> DataFrame:
-    """Columns ``knuckle_x ... tip_y`` to ``angle, bend, abs_bend, rotation, opening`` of a finger."""
+def finger_features(points: DataFrame, key: list[str], finger: str) -> DataFrame:
+    """Shape of a hand from ``knuckle_x ... tip_y`` of its fingers 1 to 4, one row per ``key``; a part without its fingers is null.
+
+    ``rotation_i`` is the knuckle-middle direction of a finger, ``bend_i`` the middle-tip direction less that, ``bend_alt_i`` its size; ``open_i`` is the
+    absolute difference of the rotations of fingers i and i + 1, ``open_alt_24`` that of 2 and 4; ``.._24`` are means over fingers 2 to 4.
+    """
     c = F.col
     upper = wrapped_angle(c("mid_y") - c("knuckle_y"), c("mid_x") - c("knuckle_x"))
     lower = wrapped_angle(c("tip_y") - c("mid_y"), c("tip_x") - c("mid_x"))
-    out = points.withColumns({"angle": wrapped_angle(c("tip_y") - c("knuckle_y"), c("tip_x") - c("knuckle_x")), "bend": lower - upper})
-    opening = F.sqrt((c("tip_x") - c("knuckle_x")) ** 2 + (c("tip_y") - c("knuckle_y")) ** 2)
-    return out.withColumns({"abs_bend": F.abs("bend"), "rotation": upper, "opening": opening})
+    each = points.withColumns({"rotation": upper, "bend": lower - upper}).withColumn("bend_alt", F.abs("bend"))
+    hand = each.groupBy(key).agg(*[F.max(F.when(c(finger) == i, c(v))).alias(f"{v}_{i}") for v in ("bend", "bend_alt", "rotation") for i in range(1, 5)])
+    hand = hand.withColumns({f"open_{i}": F.abs(c(f"rotation_{i + 1}") - c(f"rotation_{i}")) for i in range(1, 4)} | {"open_alt_24": F.abs(c("rotation_4") - c("rotation_2"))})
+    means = {f"{v}_24": (c(f"{v}_2") + c(f"{v}_3") + c(f"{v}_4")) / 3 for v in ("bend", "bend_alt", "rotation")}
+    return hand.withColumns(means | {"open_24": (c("open_2") + c("open_3")) / 2})
 
 
 def closing(df: DataFrame, key: list[str], order: list, flag: str, k: int, out: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +35,36 @@ def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(value).alias("n"), p.alias("_p")).select(*by, "n", F.col("_p")[0].alias("q25"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q75"))
 
 
+def t_p_value(t: Column, dof: Column) -> Column:
+    """The two-sided p-value of Student's t, for one row per test; null and NaN stay null."""
+    from .kernels import student_two_sided
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([student_two_sided(a, b) for a, b in zip(t, dof)], dtype="float64")
+
+    return p(t.cast("double"), dof.cast("double"))
+
+
 def t_test(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
-    """Two-sample t of equal variance from each group's sums: ``mean_a, mean_b, sem_a, sem_b, t, dof``."""
+    """Two-sample t of equal variance from each group's sums: ``mean_a, mean_b, sem_a, sem_b, t, dof, p_value`` (two-sided)."""
     own = lambda g: F.when(F.col(group) == g, F.col(value))
     s = df.agg(*[f(own(g)).alias(f"{n}_{x}") for x, g in (("a", a), ("b", b)) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
     c = F.col
     pooled = ((c("n_a") - 1) * c("var_a") + (c("n_b") - 1) * c("var_b")) / (c("n_a") + c("n_b") - 2)
     t = (c("mean_a") - c("mean_b")) / F.sqrt(pooled * (1 / c("n_a") + 1 / c("n_b")))
-    return s.select("mean_a", "mean_b", F.sqrt(c("var_a") / c("n_a")).alias("sem_a"), F.sqrt(c("var_b") / c("n_b")).alias("sem_b"), t.alias("t"), (c("n_a") + c("n_b") - 2).alias("dof"))
+    return s.select("mean_a", "mean_b", F.sqrt(c("var_a") / c("n_a")).alias("sem_a"), F.sqrt(c("var_b") / c("n_b")).alias("sem_b"), t.alias("t"), (c("n_a") + c("n_b") - 2).alias("dof")).withColumn("p_value", t_p_value(F.col("t"), F.col("dof")))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks within each group; ties share their mean rank."""
+    """Correlation of average ranks within each group, ``rho, n, p_value``; ties share their mean rank. The p-value is two-sided, by t with n - 2 degrees."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
         tie = F.count(F.lit(1)).over(Window.partitionBy(*by, c))
         rows = rows.withColumn(f"_r_{c}", F.rank().over(Window.partitionBy(by).orderBy(c)) + (tie - 1) / 2)
-    return rows.groupBy(by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy(by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
+    t = F.when(F.abs("rho") >= 1, F.lit(float("inf"))).otherwise(F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
+    return out.withColumn("p_value", F.when(F.col("n") > 2, t_p_value(t, F.col("n") - 2)))
 
 
 def contrast(df: DataFrame, by: list[str], group: str, value: str, a, b) -> DataFrame:
@@ -59,14 +73,29 @@ def contrast(df: DataFrame, by: list[str], group: str, value: str, a, b) -> Data
 
 
 def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "p_adjusted") -> DataFrame:
-    """Benjamini-Hochberg within each group; without groups all p-values, one per test, meet in one sort."""
-    part = Window.partitionBy(by or [F.lit(0)])
+    """Benjamini-Hochberg within each group. Without groups all p-values are ranked by a range partitioning, and no task has them all."""
+    if not by:
+        return _bh_over_all(df, p, out)
+    part = Window.partitionBy(by)
     rows = df.withColumns({"_m": F.count(p).over(part), "_r": F.row_number().over(part.orderBy(p))})
     rows = rows.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
     least = F.min("_q").over(part.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(out, F.least(F.lit(1.0), least)).drop("_m", "_r", "_q")
 
 
+def _bh_over_all(df: DataFrame, p: str, out: str, block: int = 100_000) -> DataFrame:
+    """The least of p * m / rank from a rank on: inside its block of ranks by a window, and over later blocks from one row for each block."""
+    from .algebra import numbered
+
+    known = numbered(df.where(F.col(p).isNotNull()), [p], "_r")
+    m = known.count()
+    rows = known.withColumns({"_q": F.col(p) * m / (F.col("_r") + 1), "_b": F.floor(F.col("_r") / block)})
+    later = rows.groupBy("_b").agg(F.min("_q").alias("_q")).select("_b", F.min("_q").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    least = F.min("_q").over(Window.partitionBy("_b").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    done = rows.join(F.broadcast(later), "_b").withColumn(out, F.least(F.lit(1.0), least, F.col("_later"))).select(*df.columns, out)
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
 def bonferroni(df: DataFrame, p: str, by: list[str], out: str = "p_adjusted") -> DataFrame:
     return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.count(p).over(Window.partitionBy(by))))
 
@@ -109,36 +138,27 @@ def mixed_contrasts(df: DataFrame, by: list[str], y: str, g: str, p: str, subjec
     sums = df.groupBy(*by, subject, g, p).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
 
     def fit(pdf):
-        import pandas as pd
-
         pdf = pdf[pdf["n"] > 0]
         cells = sorted({(a, b) for a, b in zip(pdf[g], pdf[p])})
         k = len(cells)
-        at = [cells.index(c) for c in zip(pdf[g], pdf[p])]
-        total, own = pdf["n"].sum(), {}
-        for i, s in enumerate(pdf[subject]):
-            own.setdefault(s, []).append(i)
+        place = {c: i for i, c in enumerate(cells)}
+        at = np.array([place[c] for c in zip(pdf[g], pdf[p])], dtype=np.int64)
+        own, who = np.unique(pdf[subject].astype(str).to_numpy(), return_inverse=True)
         n, s, ss = (pdf[c].to_numpy(dtype=float) for c in ("n", "s", "ss"))
+        total = n.sum()
+        x = np.zeros((len(own), k))  # rows of each subject and cell
+        np.add.at(x, (who, at), n)
+        t, m = np.bincount(who, s, len(own)), x.sum(1)
 
         def state(ratio):
-            """Normal equations for variance ratio between/within, by Woodbury per subject."""
-            a, b, q, logdet = np.zeros((k, k)), np.zeros(k), ss.sum(), 0.0
-            for rows in own.values():
-                x, t = np.zeros(k), 0.0
-                for i in rows:
-                    a[at[i], at[i]] += n[i]
-                    b[at[i]] += s[i]
-                    x[at[i]] += n[i]
-                    t += s[i]
-                m = x.sum()
-                w = ratio / (1 + ratio * m)
-                a -= w * np.outer(x, x)
-                b -= w * x * t
-                q -= w * t * t
-                logdet += np.log1p(ratio * m)
+            """Normal equations for variance ratio between/within, by Woodbury for all subjects."""
+            w = ratio / (1 + ratio * m)
+            a = np.diag(x.sum(0)) - (x * w[:, None]).T @ x
+            b = np.bincount(at, s, k) - x.T @ (w * t)
+            q = ss.sum() - float((w * t * t).sum())
             beta = np.linalg.lstsq(a, b, rcond=None)[0]
             sigma = max((q - b @ beta) / max(total - k, 1), 1e-12)
-            return (total - k) * np.log(sigma) + logdet + np.linalg.slogdet(a + 1e-12 * np.eye(k))[1], beta, sigma, a
+            return (total - k) * np.log(sigma) + np.log1p(ratio * m).sum() + np.linalg.slogdet(a + 1e-12 * np.eye(k))[1], beta, sigma, a
 
         grid = np.concatenate([[0.0], np.exp(np.linspace(-8, 6, 57))])
         best = min(grid, key=lambda r: state(r)[0])

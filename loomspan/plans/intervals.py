@@ -218,8 +218,8 @@ def _(s, d):
     return rounded(out, "mean", digits=6)
 
 
-@query("d48_movement_rates", _EPOCH_CLASS + ", du AS (SELECT user_id, max(t) - min(t) AS duration FROM {events} GROUP BY 1) SELECT user_id, round(count(*) FILTER (class = 'rewarded') / any_value(duration), 12) AS rewarded_rate, round(count(*) FILTER (class = 'miss') / any_value(duration), 12) AS miss_rate, round(100.0 * count(*) FILTER (class = 'rewarded') / nullif(count(*) FILTER (class IN ('rewarded', 'miss')), 0), 6) AS accuracy FROM ec JOIN du USING (user_id) GROUP BY 1")
+@query("d48_movement_rates", _EPOCH_CLASS + ", du AS (SELECT user_id, max(t) - min(t) AS duration FROM {events} GROUP BY 1) SELECT user_id, round(count(*) FILTER (class = 'rewarded') / any_value(duration), 12) AS rewarded_rate, round(count(*) FILTER (class = 'miss') / any_value(duration), 12) AS miss_rate, round(100.0 * count(*) FILTER (class = 'rewarded') / nullif(count(*) FILTER (class IN ('rewarded', 'miss')), 0), 6) AS accuracy, round(any_value(n) / any_value(duration), 12) AS total_movement_rate_contra, round((count(*) FILTER (class IN ('rewarded', 'miss')) + coalesce(any_value(n), 0)) / any_value(duration), 12) AS total_movement_rate_ipsi FROM ec JOIN du USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1) USING (user_id) GROUP BY 1")
 def _(s, d):
     du = recordings(s, d).groupBy(K).agg((F.max("t") - F.min("t")).alias("duration"))
-    out = E.movement_rates(_epoch_class(s, d).select("user_id", "epoch_id", "class"), du, K, ["rewarded", "miss"])
-    return rounded(rounded(out, "accuracy", digits=6), "rewarded_rate", "miss_rate", digits=12)
+    out = E.movement_rates(_epoch_class(s, d).select("user_id", "epoch_id", "class"), du, K, ["rewarded", "miss"], contra=recordings(s, d).where("event_type = 'error'"))
+    return rounded(rounded(out, "accuracy", digits=6), "rewarded_rate", "miss_rate", "total_movement_rate_contra", "total_movement_rate_ipsi", digits=12)

@@ -149,10 +149,17 @@ def _(s, d):
     return rounded(L.weighted_r2(rows, [], "pixel", "a", "b"), "r2")
 
 
-@query("g13_r2_map", "WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS t0, embedding[2]::DOUBLE AS t1, embedding[3]::DOUBLE AS p0, embedding[4]::DOUBLE AS p1 FROM embeddings), u AS (SELECT vec_id AS pixel, embedding[5]::DOUBLE AS u0, embedding[6]::DOUBLE AS u1 FROM embeddings WHERE vec_id < 64) SELECT pixel, round(pow(corr(u0 * t0 + u1 * t1, u0 * p0 + u1 * p1), 2), 6) AS r2 FROM u CROSS JOIN m GROUP BY 1")
+_R2_SUMS = ", ".join(f"covar_pop({a}{i}, {b}{j}) AS {a}{b}{i}{j}" for a, b in ("tt", "pp", "tp") for i in (0, 1) for j in (0, 1))
+_R2_FORM = lambda ab: " + ".join(f"u{i} * u{j} * {ab}{i}{j}" for i in (0, 1) for j in (0, 1))
+
+
+@query(
+    "g13_r2_map",
+    f"WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS t0, embedding[2]::DOUBLE AS t1, embedding[3]::DOUBLE AS p0, embedding[4]::DOUBLE AS p1, embedding[5]::DOUBLE AS u0, embedding[6]::DOUBLE AS u1 FROM embeddings), c AS (SELECT {_R2_SUMS} FROM m) SELECT vec_id AS pixel, round(pow({_R2_FORM('tp')}, 2) / (({_R2_FORM('tt')}) * ({_R2_FORM('pp')})), 6) AS r2 FROM m, c",
+)
 def _(s, d):
     e = T(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    u = e.where("vec_id < 64").select(F.col("vec_id").alias("pixel"), F.slice("v", 5, 2).alias("u"))
+    u = e.select(F.col("vec_id").alias("pixel"), F.slice("v", 5, 2).alias("u"))
     return rounded(L.r2_map(e.select(F.slice("v", 1, 2).alias("truth"), F.slice("v", 3, 2).alias("pred")), u, 2), "r2", digits=6)
 
 

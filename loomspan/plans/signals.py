@@ -157,10 +157,10 @@ def _(s, d):
     return rounded(G.weighted_mean(e, ["user_id", "event_type"], ["value"], "p"), "value")
 
 
-@query("d17_agreement", "SELECT user_id, round(corr(a, b), 6) AS r FROM (SELECT user_id, i // 4 AS frame, avg(value) AS a, min(t) AS b FROM {events} WHERE user_id % 2 = 0 GROUP BY 1, 2) GROUP BY 1")
+@query("d17_agreement", "SELECT user_id, round(corr(a, b), 6) AS r FROM (SELECT user_id, i // 4 AS frame, avg(value) AS a, min(t) FILTER (event_type = 'purchase') AS b FROM {events} GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    e = recordings(s, d).where("user_id % 2 = 0").withColumn("frame", F.floor(F.col("i") / 4))
-    other = e.groupBy("user_id", "frame").agg(F.min("t").alias("value"))
+    e = recordings(s, d).withColumn("frame", F.floor(F.col("i") / 4))
+    other = e.where("event_type = 'purchase'").groupBy("user_id", "frame").agg(F.min("t").alias("value"))  # has some of the frames
     return rounded(G.mean_and_agreement(e, other, K, "frame", "value")[1], "r", digits=6)
 
 
@@ -174,27 +174,41 @@ def _(s, d):
 _GRAD = "CASE WHEN lag({0}) OVER w IS NULL THEN lead({0}) OVER w - {0} WHEN lead({0}) OVER w IS NULL THEN {0} - lag({0}) OVER w ELSE (lead({0}) OVER w - lag({0}) OVER w) / 2 END"
 
 
+_LIMB = ["distance_x", "distance_y", "distance", "velocity_x", "velocity_y", "velocity", "acceleration_x", "acceleration_y", "acceleration"]
+_LENGTH = "sqrt(pow({0}x, 2) + pow({0}y, 2))"
+
+
 @query(
     "d19_limb_features",
-    "WITH a AS (SELECT *, value AS x, value * value / 100 AS y FROM {events}), b AS (SELECT *, sqrt(pow(" + _GRAD.format("x") + ", 2) + pow(" + _GRAD.format("y") + ", 2)) * 150 AS v FROM a WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT event_id, round(sqrt(pow(x - 50, 2) + pow(y - 20, 2)), 7) AS d, round(v, 7) AS v, round((" + _GRAD.format("v") + ") * 150, 2) AS a FROM b WINDOW w AS (PARTITION BY user_id ORDER BY i)",
+    f"""WITH m AS (SELECT user_id, count(*) AS n, list(value ORDER BY i)[1:7] AS first, list(value ORDER BY i)[-7:] AS last FROM {{events}} GROUP BY 1),
+r AS (SELECT *, {_SG} AS mid FROM {{events}} WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+a AS (SELECT event_id, user_id, i, CASE {_HEAD} {_TAIL} ELSE mid END AS x, (CASE {_HEAD} {_TAIL} ELSE mid END) / 4 + 1 AS y FROM r JOIN m USING (user_id)),
+v AS (SELECT *, {_GRAD.format("x")} AS vx, {_GRAD.format("y")} AS vy FROM a WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+c AS (SELECT *, {_GRAD.format("vx")} AS ax, {_GRAD.format("vy")} AS ay, x - 50 AS dx, y - 20 AS dy FROM v WINDOW w AS (PARTITION BY user_id ORDER BY i))
+SELECT event_id, {", ".join(f"round({e}, 6) AS {n}" for e, n in zip(["dx", "dy", _LENGTH.format("d"), "vx", "vy", _LENGTH.format("v"), "ax", "ay", _LENGTH.format("a")], _LIMB))} FROM c""",
 )
 def _(s, d):
-    e = recordings(s, d).withColumns({"x": F.col("value"), "y": F.col("value") * F.col("value") / 100, "ax": F.lit(50.0), "ay": F.lit(20.0)})
-    out = rounded(G.limb_features(e, "ax", "ay", K, I, 150.0).select("event_id", "d", "v", "a"), "d", "v")
-    return rounded(out, "a", digits=2)
+    e = recordings(s, d).withColumns({"x": F.col("value"), "y": F.col("value") / 4 + 1, "ax": F.lit(50.0), "ay": F.lit(20.0)})
+    return rounded(G.limb_features(e, "ax", "ay", K, I, window=7).select("event_id", *_LIMB), *_LIMB, digits=6)
 
 
 _ANGLE = "CASE WHEN 90 - degrees(atan2({0}, {1})) >= 180 THEN 90 - degrees(atan2({0}, {1})) - 360 ELSE 90 - degrees(atan2({0}, {1})) END"
+_HAND = {f"{v}_{i}": f"max({e}) FILTER (f = {i})" for v, e in (("bend", "lo - up"), ("bend_alt", "abs(lo - up)"), ("rotation", "up")) for i in range(1, 5)}
+_OPEN = {f"open_{i}": f"abs(rotation_{i + 1} - rotation_{i})" for i in range(1, 4)} | {"open_alt_24": "abs(rotation_4 - rotation_2)"}
+_MEAN = {f"{v}_24": f"({v}_2 + {v}_3 + {v}_4) / 3" for v in ("bend", "bend_alt", "rotation")} | {"open_24": "(abs(rotation_3 - rotation_2) + abs(rotation_4 - rotation_3)) / 2"}
 
 
 @query(
     "d20_finger_features",
-    "WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS kx, l_tax * 100 AS ky, l_discount * 100 AS mx, l_linenumber * 3.0 AS my, l_extendedprice / 1000 AS tx, l_suppkey / 2.0 AS ty FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(" + _ANGLE.format("ty - ky", "tx - kx") + ", 7) AS angle, round((" + _ANGLE.format("ty - my", "tx - mx") + ") - (" + _ANGLE.format("my - ky", "mx - kx") + "), 7) AS bend, round(sqrt(pow(tx - kx, 2) + pow(ty - ky, 2)), 7) AS opening FROM p",
+    "WITH p AS (SELECT l_orderkey, l_linenumber AS f, l_quantity AS kx, l_tax * 100 AS ky, l_discount * 100 AS mx, l_linenumber * 3.0 AS my, l_extendedprice / 1000 AS tx, l_suppkey / 2.0 AS ty FROM lineitem), "
+    + f"a AS (SELECT l_orderkey, f, {_ANGLE.format('my - ky', 'mx - kx')} AS up, {_ANGLE.format('ty - my', 'tx - mx')} AS lo FROM p), "
+    + f"h AS (SELECT l_orderkey, {', '.join(f'{e} AS {n}' for n, e in _HAND.items())} FROM a GROUP BY 1) "
+    + f"SELECT l_orderkey, {', '.join(f'round({e}, 7) AS {n}' for n, e in ({n: n for n in _HAND} | _OPEN | _MEAN).items())} FROM h",
 )
 def _(s, d):
     li = s.read.parquet(f"{d}/lineitem.parquet")
-    p = li.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity knuckle_x", "l_tax * 100 knuckle_y", "l_discount * 100 mid_x", "l_linenumber * 3.0D mid_y", "l_extendedprice / 1000 tip_x", "l_suppkey / 2.0D tip_y")
-    return rounded(G.finger_features(p).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "angle", "bend", "opening"), "angle", "bend", "opening")
+    p = li.selectExpr("l_orderkey", "l_linenumber", "l_quantity knuckle_x", "l_tax * 100 knuckle_y", "l_discount * 100 mid_x", "l_linenumber * 3.0D mid_y", "l_extendedprice / 1000 tip_x", "l_suppkey / 2.0D tip_y")
+    return rounded(G.finger_features(p, ["l_orderkey"], "l_linenumber"), *_HAND, *_OPEN, *_MEAN)
 
 
 @query("d21_closing", "WITH g AS (SELECT *, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS g FROM {events}) SELECT event_id, min(g) OVER w = 1 AND count(*) OVER w = 3 AS closed FROM g WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")

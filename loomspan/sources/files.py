@@ -39,7 +39,7 @@ def read_params(spark: SparkSession, path: str, renames: dict[str, str], khz: st
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """``group, place, member`` of lines ``group,member,member,...`` of any length; blanks are left out."""
     parts = F.split("value", ",")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.trim(parts[0]).alias("group"), F.posexplode(F.slice(parts, 2, 100_000)).alias("place", "member"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.trim(parts[0]).alias("group"), F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("place", "member"))
     return rows.withColumn("member", F.trim("member")).where("member <> ''")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import epochs as E
@@ -199,3 +200,24 @@ def test_numbering_without_groups(spark):
     assert [r.c for r in A.next_counter(table.where("false"), rows.limit(3), ["v"], "c").orderBy("v").collect()] == [0, 1, 2]
     folds = L.kfold(rows, [], ["v"], 3).groupBy("fold").count().orderBy("fold").collect()
     assert [(r["fold"], r["count"]) for r in folds] == [(0, 167), (1, 167), (2, 166)]
+
+
+def test_p_values_of_student(spark):
+    """Published two-sided critical values of t."""
+    from loomspan.operators import stats
+
+    rows = [(12.706205, 1.0, 0.05), (2.228139, 10.0, 0.05), (3.169273, 10.0, 0.01), (1.959964, 1e7, 0.05), (0.0, 5.0, 1.0), (-2.085963, 20.0, 0.05)]
+    df = spark.createDataFrame(rows, "t double, dof double, want double")
+    assert all(abs(r.p - r.want) < 1e-6 for r in df.withColumn("p", stats.t_p_value(df.t, df.dof)).collect())
+    two = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0), ("b", 3.0), ("b", 4.0)], "g string, v double")
+    r = stats.t_test(two, "g", "v", "a", "b").first()
+    assert abs(r.t + 1.2247449) < 1e-6 and r.dof == 4 and abs(r.p_value - 0.2878641) < 1e-6
+
+
+def test_a_product_of_two_large_tables_is_refused(spark):
+    from loomspan.operators import algebra
+
+    a, b = spark.range(30).toDF("a"), spark.range(30).toDF("b")
+    assert algebra.natural_join(a, b).count() == 900 and algebra.natural_join(a, b, most=29 + 1).count() == 900
+    with pytest.raises(ValueError):
+        algebra.natural_join(a, b, most=10)
