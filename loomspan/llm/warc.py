@@ -288,7 +288,16 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 1000, id_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
     most = rows.where(F.col("payload_length") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(most.where("n > 1").select("sha1", "first"), "sha1", "left")
+    copied = C.written(most.where("n > 1"), "copied-digests")
+    # fewer than 2,000 digests have more than a 2,000th of the copies: these are broadcast, so no task has all rows of a common page
+    least = max(100, (copied.agg(F.sum("n")).first()[0] or 0) // 2_000)
+    common = F.broadcast(copied.where(F.col("n") > least).select("sha1", F.col("first").alias("common")))
+    rows = rows.join(common, "sha1", "left")
+    # short payloads and common ones have nothing to find, and are dealt by their id
+    alone = F.concat(F.lit("-"), F.xxhash64("id", "target_uri").cast("string"))
+    rows = rows.withColumn("key", F.when((F.col("payload_length") >= least_bytes) & F.col("common").isNull(), F.col("sha1")).otherwise(alone))
+    rest = copied.where(F.col("n") <= least).select(F.col("sha1").alias("key"), F.col("first").alias("seldom"))
+    rows = rows.join(rest, "key", "left").withColumn("first", F.coalesce("common", "seldom"))
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     rows.select(
@@ -316,6 +325,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` as its record tells; a null html is an empty payload, and null ids are kept."""
     path = C.new_folder(spark, "warc")
     write_pages(C.read(spark, sf_dir, "pages"), path)
     return read_pages(spark, path).drop("url")
