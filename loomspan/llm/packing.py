@@ -125,7 +125,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
     places = _places(best_two_fit(counts))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = tally.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = pieces.join(shift, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("shift") + F.col("place")).alias("rank"))
+    # grows with the tasks, so it is never broadcast; a key has the pieces of one task only
+    ranked = pieces.join(shift.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("shift") + F.col("place")).alias("rank"))
     held = spark.sparkContext.broadcast(places)  # bounded by the capacity
 
     def place(batches: Iterator) -> Iterator:
@@ -149,6 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every row of ``documents`` with its place; a null or empty text is the end id alone."""
     import public_tokenizers
 
     return pack(C.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
