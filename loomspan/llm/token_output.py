@@ -99,13 +99,16 @@ class EliasFano:
 def segment_bytes(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
     """A segment of documents in ascending id order, nulls first; ids: each document's as unsigned 32-bit numbers."""
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.uint64)
+    every = np.frombuffer(b"".join(ids), "<u4")
+    if len(every) and int(every.max()) >= 1 << 8 * width:
+        raise ValueError(f"id {int(every.max())} does not fit into {width} bytes")
     known = np.array([x for x in doc_ids if x is not None], dtype=np.int64)
     low = int(known[0]) if len(known) else 0
     out = io.BytesIO()
     out.write(MAGIC + struct.pack("<4Qq", len(ids), int(ends[-1]) if len(ends) else 0, len(doc_ids) - len(known), width, low))
     EliasFano.encode(ends).write(out)
     EliasFano.encode(known.astype(np.uint64) - np.uint64(low % 2**64)).write(out)
-    out.write(np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes())
+    out.write(every.astype(f"<u{width}").tobytes())
     return out.getvalue()
 
 
@@ -149,20 +152,30 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+def _width(tokenizer: str, end_id: int | None, encode) -> int:
+    if encode:
+        return 4
+    from tokenizers import Tokenizer
+
+    return 2 if max([end_id or 0, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()]) < 1 << 16 else 4
+
+
 def write_token_ids(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 4_000_000, width: int = 2, encode=None
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 4_000_000, width: int | None = None, encode=None
 ) -> DataFrame:
     """Encode whole texts and write segment files under ``path`` in ascending id order; returns the manifest.
 
     Documents are range-partitioned by id, so every segment covers a range of ids and memory is bounded by one
     segment. A null text has no ids but ``end_id``; rows with a null id come first; repeated ids are kept, in the
-    order of their text's hash. Other columns are not read. ``width`` is 2 for vocabularies up to 65,536 ids, else 4.
+    order of their text's hash. Other columns are not read. ``width`` is the bytes of an id: 2 if the tokenizer's vocabulary and the end have
+    no id above 65,535, else 4; an id that does not fit into a given width is an error.
     Manifest columns: ``segment_part, segment_no, file, n_docs, n_tokens``; an empty input gives none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     rows = rows.repartitionByRange(C.shuffle_partitions(spark), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     tail = b"" if end_id is None else struct.pack("<I", end_id)
+    width = width or _width(tokenizer, end_id, encode)
 
     def encode_part(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -212,7 +225,7 @@ def read_token_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = Segment(get_file(file))
-                ends = np.concatenate([[0], s.ends.decode().astype(np.int64)])
+                ends = np.array([0, *map(s.ends.select, range(s.n_docs))], dtype=np.int64)
                 spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
                 out = {"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(ends[:-1] + base), "n_tokens": pa.array(np.diff(ends))}
                 out["ids_crc32"] = pa.array([zlib.crc32(s.tokens[a:b].astype("<u4")) for a, b in spans], pa.int64())
@@ -224,6 +237,7 @@ def read_token_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def op6_token_ids(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` from its segment file, its place found by ``select``; a null text is the end id alone, null ids come first."""
     import public_tokenizers
 
     docs = C.read(spark, sf_dir, "documents")
