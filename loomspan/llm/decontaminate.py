@@ -214,5 +214,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Each pair of a row of ``documents`` and a row of ``benchmark`` that it holds, by the alignment's score; null and empty texts match nothing."""
     found = find_contamination(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "score", "word_start", "word_end")

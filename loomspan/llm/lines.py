@@ -58,6 +58,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the digest and length of its cleaned text; a null text stays null."""
     cleaned = drop_boilerplate(C.read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
@@ -75,7 +76,6 @@ WITH lines AS (
   WHERE b.line IS NULL OR b.first_doc = l.doc_id
   GROUP BY l.doc_id
 )
-SELECT d.doc_id, md5(coalesce(k.text, '')) AS text_md5, length(coalesce(k.text, '')) AS n_chars
+SELECT d.doc_id, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS text_md5, length(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS n_chars
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
-WHERE d.text IS NOT NULL
 """

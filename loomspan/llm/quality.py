@@ -36,7 +36,7 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 
 def shape(token: str) -> str:
     """The token's pattern: one sign for a capital, a run of capitals, of letters and of digits; other characters once."""
-    token = _CAPITALS.sub(lambda m: "X" if len(m[0]) == 1 else "C", token[:64])
+    token = _CAPITALS.sub(lambda m: "X" if len(m[0]) == 1 else "C", token)
     return _SAME.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("x", token)))
 
 
@@ -238,6 +238,7 @@ def _held_out(column: str):
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its score; null and empty texts have one too. A row with a null id is not held out and has no label."""
     docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
     scored = quality_scores(docs, fit_quality(docs, labels.where(~_held_out("doc_id"))))
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
