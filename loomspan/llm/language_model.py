@@ -152,7 +152,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 6, fixed: int = 1)
     return of
 
 
-def context_counts(train: DataFrame, names, classes: int, text_col: str, flush: int = 400_000) -> DataFrame:
+def context_counts(train: DataFrame, names, classes: int, text_col: str, flush: int = 150_000) -> DataFrame:
     """``word, held`` of words out of the core: pairs of a slot and a count, as 32-bit numbers, of the classes around it in a part of the texts.
 
     Class c before the word is slot c, and after it slot ``classes`` + c. ``names`` is the broadcast pair of a dictionary that numbers the head,
@@ -195,7 +195,7 @@ def context_counts(train: DataFrame, names, classes: int, text_col: str, flush:
                     rare[words[i]].extend((int(before[i]), 1, int(after[i]), 1))
                     entries += 1
                 held += len(at)
-                if held > 2_000_000:
+                if held > 750_000:
                     yield from common()
                     held, codes = 0, []
                 if entries > flush:
