@@ -376,7 +376,7 @@ def _torn_links(torn: DataFrame, trees_of: DataFrame, links: DataFrame, classes:
     return moving.unionByName(fixed).join(held, "node").groupBy("tree", "f", "m").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 100_000, torn_block: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, leaf: int = 4000, block: int = 100_000, torn_block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, component_id, kept``: one row per row of ``docs``.
 
     Groups are the components of links between texts whose five-word shingles, each counted once, have a Jaccard similarity of 0.8 or
