@@ -169,7 +169,10 @@ def find_contamination(
                     # windows of two reaches, a reach from each other, so that a passage lies whole in one
                     lows = np.unique(np.concatenate([at // reach, np.maximum(at // reach - 1, 0)])) * reach
                     for lo, a, b in zip(lows.tolist(), np.searchsorted(at, lows).tolist(), np.searchsorted(at, lows + 2 * reach).tolist()):
-                        if b - a >= need and (at[a + need - 1 : b] - at[a : b - need + 1] < reach).any():
+                        if b - a < need:
+                            continue
+                        first = np.unique(at[a:b])  # each step from match to match starts at a place of its own
+                        if len(first) >= need and (first[need - 1 :] - first[: len(first) - need + 1] < reach).any():
                             hi = min(len(h), lo + 2 * reach)
                             out.append((doc, key, grade, lo, hi, h[lo:hi].astype(np.uint32).view(np.int32), grams[a:b].view(np.int64)))
             columns = list(zip(*out)) if out else [[]] * 7
