@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (``spark.checkpoint.dir``; where that is unset, a temporary one)."""
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or where a local session leaves that unset, in a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.conf.get("spark.master", "local") + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
