@@ -1,9 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network.
 
-A token is a word bucket (hash of its lower-cased form) and a shape bucket (hash of its pattern of capitals, letters,
-digits and other characters). Each bucket has a sparse random index vector; a bucket's context vector is the sum of the
-index vectors of the tokens that follow it, over all documents. Tasks count bucket bigrams in a matrix of fixed size and
-emit one small vector a bucket; Spark adds them. A document is the mean of its tokens' vectors and a few plain ratios.
+A word is a token in lower case. Its index vector is sparse, random and made from the word's hash, so that any word has one
+without a table. A word's context vector is the sum of the index vectors of the words that follow it, over all documents;
+every word that makes up at least 1 / ``SHARE`` of all tokens has one, which no more than ``SHARE`` words can. A first pass counts all
+words, a second sums contexts inside tasks and emits one small vector a word; Spark adds them. The vector of a word is its index vector
+and, if it has one, its context vector scaled to the same length.
+
+Shapes (patterns of capitals, letters, digits and other characters) are treated alike, but for their index vectors, which belong to
+hash buckets. A document is the mean of its tokens' vectors and a few plain ratios.
 
 Only the network is fitted on a sample: at most ``sample`` labelled rows, chosen by hash. One in five of these is kept from
 the weights and sets the temperature, so scores are calibrated probabilities.
@@ -13,99 +17,200 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-WORDS, SHAPES, DIM, PLAIN = 2048, 512, 32, 5
+SHARE, SHAPES, DIM, PLAIN = 100_000, 512, 32, 5
+BLOCK = 1024  # words at a time whose distinct ones are counted, so that the ratio does not fall with length
 _CAPITALS, _LETTERS, _DIGITS, _SAME = (re.compile(p) for p in (r"[A-Z\u00c0-\u00de]+", r"[a-z\u00df-\uffff]+", r"[0-9]+", r"(.)\1+"))
 
 
-def index_vectors(n: int, seed: int) -> np.ndarray:
-    """Sparse random vectors: eight entries of +1 or -1 in each row."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((n, DIM), np.float32)
-    for row in out:
-        row[rng.choice(DIM, 8, replace=False)] = rng.choice([-1.0, 1.0], 8)
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """A sparse random vector for each hash: three of its bits place +1 or -1 in each of the eight groups of four dimensions."""
+    out, every = np.zeros((len(hashes), DIM), np.float32), np.arange(len(hashes))
+    for group in range(DIM // 4):
+        bits = (hashes >> np.uint64(3 * group)).astype(np.int64) & 7
+        out[every, 4 * group + (bits & 3)] = np.where(bits & 4, 1, -1)
     return out
 
 
+def word_hash(token: str) -> int:
+    """Hash of the token's word; 64 bits stand for a word."""
+    return xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"))
+
+
+_SHAPE_INDEX = index_vectors(np.array([xxhash.xxh64_intdigest(b"shape %d" % k) for k in range(SHAPES)], np.uint64))
+
+
 def shape(token: str) -> str:
     """The token's pattern: one sign for a capital, a run of capitals, of letters and of digits; other characters once."""
     token = _CAPITALS.sub(lambda m: "X" if len(m[0]) == 1 else "C", token)
     return _SAME.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("x", token)))
 
 
-class _Buckets(dict):
-    """Word bucket * SHAPES + shape bucket of a token, kept for a bounded number of tokens."""
+class WordVectors:
+    """Sorted hashes of the words with a context vector, these vectors, and those of the shapes."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, shapes: np.ndarray):
+        self.words, self.contexts, self.shapes = words, contexts, shapes
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word among those with a context vector, -1 for the others."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out, at = index_vectors(hashes), self.slots(hashes)
+        out[at >= 0] += self.contexts[at[at >= 0]]
+        return out
+
+
+class _Tokens(dict):
+    """Numbers of tokens, with each one's word hash, slot, shape bucket and vector; kept for a bounded number of tokens."""
+
+    def __init__(self, vectors: WordVectors):
+        super().__init__()
+        self.vectors, self.new = vectors, []
+        self.columns = [np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros((1024, DIM), np.float32)]
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        word = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % WORDS
-        out = self[token] = word * SHAPES + zlib.crc32(shape(token).encode("utf-8", "surrogatepass")) % SHAPES
+        self[token] = out = len(self)
+        self.new.append(token)
         return out
 
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.new:
+            hashes = np.array([word_hash(t) for t in self.new], np.uint64)
+            shapes = np.array([zlib.crc32(shape(t).encode("utf-8", "surrogatepass")) % SHAPES for t in self.new])
+            start, size = len(self) - len(self.new), len(self.columns[0])
+            while size < len(self):
+                size *= 2
+            for k, values in enumerate((hashes, self.vectors.slots(hashes), shapes, self.vectors.of(hashes))):
+                if len(self.columns[k]) < size:
+                    self.columns[k] = np.resize(self.columns[k], (size, *self.columns[k].shape[1:]))
+                self.columns[k][start : len(self)] = values
+            self.new = []
+        return out
 
-def _tokens(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    words = (text or "").split()
-    both = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
-    return both // SHAPES, both % SHAPES
+    def trim(self, most: int = 100_000) -> None:
+        """Forget all tokens if there are more than ``most``; earlier numbers are void then."""
+        if len(self) > most:
+            self.clear()
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """(WORDS + SHAPES) x DIM: each bucket's index vector and, scaled to its length, its context vector of all rows."""
+def frequent_words(docs: DataFrame, text_col: str = "text", flush: int = 100_000) -> np.ndarray:
+    """Sorted hashes of the words that make up at least 1 / ``SHARE`` of all tokens; every word of every row is counted."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        buckets, words, shapes = _Buckets(), np.zeros(WORDS * WORDS, np.int64), np.zeros(SHAPES * SHAPES, np.int64)
+        counts: Counter = Counter()
+
+        def out():
+            hashes = np.array([word_hash(t) for t in counts], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
         for batch in batches:
-            a, b, held = [], [], 0
+            for text in batch.column(0):
+                counts.update((text.as_py() or "").split())
+                if len(counts) > flush:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
+
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = C.written(counts, "quality-words")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / SHARE
+    words = counts.where(F.col("n") >= least).select("word").toArrow().column(0).to_numpy()  # at most SHARE rows
+    C.drop_written(counts)
+    return np.sort(words.view(np.uint64))
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text", held_tokens: int = 200_000) -> WordVectors:
+    """Context vectors of frequent words and of shapes, over all rows."""
+    words = frequent_words(docs, text_col)
+    empty = WordVectors(words, np.zeros((len(words), DIM), np.float32), np.zeros((SHAPES, DIM), np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(empty)
 
-            def add():
-                nonlocal words, shapes
-                words += np.bincount(np.concatenate(a), minlength=WORDS * WORDS)
-                shapes += np.bincount(np.concatenate(b), minlength=SHAPES * SHAPES)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        tokens, n = _Tokens(shared.value), len(shared.value.words)
+        contexts, shapes, pairs, held = np.zeros((DIM, n)), np.zeros(SHAPES * SHAPES, np.int64), [], 0
+
+        def add():
+            before, after = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            _, slots, buckets, index = tokens.columns
+            np.add(shapes, np.bincount(buckets[before] * SHAPES + buckets[after], minlength=SHAPES * SHAPES), out=shapes)
+            at = slots[before]
+            known, following = at[at >= 0], after[at >= 0]
+            if len(known):
+                for k in range(DIM):
+                    contexts[k] += np.bincount(known, index[:, k][following], n)
+            pairs.clear()
+            tokens.trim()
+
+        for batch in batches:
             for text in batch.column(0):
-                w, s = _tokens(text.as_py(), buckets)
-                a.append(w[:-1] * WORDS + w[1:])
-                b.append(s[:-1] * SHAPES + s[1:])
-                held += len(w)
-                if held > 1_000_000:
-                    add()
-                    a, b, held = [], [], 0
-            if a:
-                add()
-        sums = np.concatenate([words.reshape(WORDS, WORDS) @ index_vectors(WORDS, 1), shapes.reshape(SHAPES, SHAPES) @ index_vectors(SHAPES, 2)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), *(pa.array(sums[:, k].astype(float)) for k in range(DIM))], names=["bucket", *(f"v{k}" for k in range(DIM))])
+                split = (text.as_py() or "").split()
+                for k in range(0, len(split) - 1, held_tokens):
+                    rows = tokens.rows(split[k : k + held_tokens + 1])
+                    pairs.append((rows[:-1], rows[1:]))
+                    held += len(rows)
+                    if held > held_tokens:
+                        add()
+                        held = 0
+        if pairs:
+            add()
+        sums = np.concatenate([contexts.T, shapes.reshape(SHAPES, SHAPES) @ _SHAPE_INDEX])
+        used = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, k]) for k in range(DIM))], names=["place", *(f"v{k}" for k in range(DIM))])
 
     columns = [f"v{k}" for k in range(DIM)]
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket long, " + ", ".join(f"{c} double" for c in columns))
-    total = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # WORDS + SHAPES rows
-    context = np.zeros((WORDS + SHAPES, DIM))
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "place long, " + ", ".join(f"{c} double" for c in columns))
+    total = parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # at most SHARE + SHAPES rows
+    context = np.zeros((len(words) + SHAPES, DIM))
     if total.num_rows:
         context[total.column(0).to_numpy()] = np.stack([total.column(c).to_numpy() for c in columns], 1)
-    context -= context.sum(0) / max(1.0, np.abs(context).sum()) * np.abs(context).sum(1, keepdims=True)
-    size = np.linalg.norm(context, axis=1, keepdims=True)
-    own = np.concatenate([index_vectors(WORDS, 1), index_vectors(SHAPES, 2)])
-    return (own + context / np.maximum(size, 1e-9) * np.sqrt(8)).astype(np.float32)
+    for part in (context[: len(words)], context[len(words) :]):  # less what the place's share of all contexts would give
+        part -= part.sum(0) / max(1.0, np.abs(part).sum()) * np.abs(part).sum(1, keepdims=True)
+    context *= np.sqrt(DIM // 4) / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    context = context.astype(np.float32)
+    return WordVectors(words, context[: len(words)], _SHAPE_INDEX + context[len(words) :])
 
 
-def pool(text: str | None, buckets: _Buckets, table: np.ndarray) -> np.ndarray:
+def pool(text: str | None, tokens: _Tokens) -> np.ndarray:
     """A whole text's vector: the means of its tokens' vectors and plain ratios; zeros without a word."""
     x = np.zeros(2 * DIM + PLAIN, np.float32)
-    w, s = _tokens(text, buckets)
-    if n := len(w):
-        x[:DIM] = np.bincount(w, minlength=WORDS) @ table[:WORDS] / n
-        x[DIM : 2 * DIM] = np.bincount(s, minlength=SHAPES) @ table[WORDS:] / n
-        same = (w[1:] == w[:-1]).mean() if n > 1 else 0
-        x[2 * DIM :] = np.log1p(n) / 8, len(np.unique(w)) / min(n, WORDS), same, len(np.unique(s)) / min(n, SHAPES), len(text) / n / 20
+    split = (text or "").split()
+    if n := len(split):
+        total, counts = np.zeros(DIM), np.zeros(SHAPES, np.int64)
+        same, different, patterns, last = 0, 0, 0, None
+        for k in range(0, n, BLOCK):
+            tokens.trim()
+            rows = tokens.rows(split[k : k + BLOCK])
+            words, _, buckets, vectors = (c[rows] for c in tokens.columns)
+            total += vectors.sum(0)
+            here = np.bincount(buckets, minlength=SHAPES)
+            counts += here
+            same += int((words[1:] == words[:-1]).sum()) + int(last == words[0])
+            different += len(np.unique(words))
+            patterns += int((here > 0).sum())
+            last = words[-1]
+        x[:DIM] = total / n
+        x[DIM : 2 * DIM] = counts @ tokens.vectors.shapes / n
+        x[2 * DIM :] = np.log1p(n) / 8, different / n, same / max(1, n - 1), patterns / n, len(text) / n / 20
     return x
 
 
@@ -156,18 +261,18 @@ class Network:
 
 
 class QualityModel:
-    """Bucket vectors and a network; ``scores`` gives the probability of label 1 for whole texts."""
+    """Word vectors and a network; ``scores`` gives the probability of label 1 for whole texts."""
 
-    def __init__(self, vectors: np.ndarray, network: Network | None, plain: float):
-        self.vectors, self.network, self.plain, self.buckets = vectors, network, plain, None
+    def __init__(self, vectors: WordVectors, network: Network | None, plain: float):
+        self.vectors, self.network, self.plain, self.tokens = vectors, network, plain, None
 
     def scores(self, texts) -> np.ndarray:
-        self.buckets = self.buckets or _Buckets()
+        self.tokens = _Tokens(self.vectors) if self.tokens is None else self.tokens
         if self.network is None:
             return np.full(len(texts), self.plain)
         x = np.zeros((len(texts), 2 * DIM + PLAIN))
         for i, text in enumerate(texts):
-            x[i] = pool(text.as_py(), self.buckets, self.vectors)
+            x[i] = pool(text.as_py(), self.tokens)
         return self.network.probability(x)
 
 
@@ -187,9 +292,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        buckets = _Buckets()
+        tokens = _Tokens(held.value)
         for batch in batches:
-            x = [pool(t.as_py(), buckets, held.value) for t in batch.column(0)]
+            x = [pool(t.as_py(), tokens) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), *batch.columns[1:]], names=["x", "y", "h"])
 
     # about ``sample`` rows, so every task can have them

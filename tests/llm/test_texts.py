@@ -138,6 +138,38 @@ def test_quality(spark):
     assert {r.score for r in quality.quality_scores(more, none).collect()} == {0.5}
 
 
+def test_word_vectors_equal_sums_over_all_documents(spark):
+    texts = ["The cat saw the dog", "a CAT saw a cat", None, "", "dog", "the the the " * 30]
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), held_tokens=7)
+    words = sorted({w.lower() for t in texts if t for w in t.split()}, key=quality.word_hash)
+    assert got.words.tolist() == [quality.word_hash(w) for w in words]
+    index = {w: quality.index_vectors(np.array([quality.word_hash(w)], np.uint64))[0] for w in words}
+    assert all((np.abs(v).reshape(8, 4).sum(1) == 1).all() for v in index.values())
+    want = {w: np.zeros(quality.DIM) for w in words}
+    for t in texts:
+        split = (t or "").lower().split()
+        for a, b in zip(split, split[1:]):
+            want[a] += index[b]
+    table = np.array([want[w] for w in words])
+    table -= table.sum(0) / np.abs(table).sum() * np.abs(table).sum(1, keepdims=True)
+    table *= np.sqrt(8) / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(got.contexts, table, atol=1e-5)
+    hashes = np.array([quality.word_hash(w) for w in ("CAT", "never")], np.uint64)
+    assert np.allclose(got.of(hashes)[0], index["cat"] + table[words.index("cat")], atol=1e-5) and (got.of(hashes)[1] == quality.index_vectors(hashes[1:])[0]).all()
+    assert len(quality.word_vectors(spark.createDataFrame([], "text string")).words) == 0
+
+
+def test_pooled_vector_of_a_long_text_does_not_depend_on_blocks(spark):
+    vectors = quality.word_vectors(spark.createDataFrame([("one two three four " * 50,)], "text string"))
+    tokens = quality._Tokens(vectors)
+    words = [f"w{i % 700}" for i in range(5_000)]
+    x = quality.pool(" ".join(words), tokens)
+    each = vectors.of(np.array([quality.word_hash(w) for w in words], np.uint64))
+    assert np.allclose(x[: quality.DIM], each.mean(0), atol=1e-4) and not quality.pool("", tokens).any() and not quality.pool(None, tokens).any()
+    tokens.trim(0)
+    assert np.allclose(quality.pool(" ".join(words), tokens), x)
+
+
 def test_temperature_is_fitted_on_rows_that_the_weights_did_not_see():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 4))
