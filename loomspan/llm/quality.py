@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SHARE, SHAPES, DIM, PLAIN = 100_000, 512, 32, 5
+SHARE, SHAPES, DIM = 100_000, 512, 32
 BLOCK = 1024  # words at a time whose distinct ones are counted, so that the ratio does not fall with length
-_CAPITALS, _LETTERS, _DIGITS, _SAME = (re.compile(p) for p in (r"[A-Z\u00c0-\u00de]+", r"[a-z\u00df-\uffff]+", r"[0-9]+", r"(.)\1+"))
+_CAPITALS, _LETTERS, _DIGITS, _SAME = (re.compile(p) for p in (r"[A-Z\u00c0-\u00de]{2,}", r"[a-z\u00df-\uffff]+", r"[0-9]+", r"(.)\1+"))
+_CAPITAL = re.compile(r"[A-Z\u00c0-\u00de]")
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
@@ -43,16 +44,30 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
 
 def word_hash(token: str) -> int:
     """Hash of the token's word; 64 bits stand for a word."""
-    return xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"))
+    return word_hashes([token])[0]
+
+
+def word_hashes(tokens: list[str]) -> list[int]:
+    """Hashes of tokens without white space, put in lower case all at once."""
+    return list(map(xxhash.xxh64_intdigest, "\n".join(tokens).lower().encode("utf-8", "surrogatepass").split(b"\n"))) if tokens else []
 
 
 _SHAPE_INDEX = index_vectors(np.array([xxhash.xxh64_intdigest(b"shape %d" % k) for k in range(SHAPES)], np.uint64))
 
 
-def shape(token: str) -> str:
-    """The token's pattern: one sign for a capital, a run of capitals, of letters and of digits; other characters once."""
-    token = _CAPITALS.sub(lambda m: "X" if len(m[0]) == 1 else "C", token)
-    return _SAME.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("x", token)))
+class _Shapes(dict):
+    """Bucket of each shape, kept for a bounded number of shapes."""
+
+    def __missing__(self, shape: str) -> int:
+        if len(self) > 20_000:
+            self.clear()
+        out = self[shape] = zlib.crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES
+        return out
+
+    def of(self, tokens: list[str]) -> list[int]:
+        """Buckets of tokens. A shape has one sign for a capital, a run of capitals, of letters and of digits; other characters once."""
+        all_at_once = _CAPITAL.sub("X", _CAPITALS.sub("\x01", "\n".join(tokens)))
+        return list(map(self.__getitem__, _SAME.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("x", all_at_once))).split("\n")))
 
 
 class WordVectors:
@@ -75,12 +90,12 @@ class WordVectors:
 
 
 class _Tokens(dict):
-    """Numbers of tokens, with each one's word hash, slot, shape bucket and vector; kept for a bounded number of tokens."""
+    """Numbers of tokens, with each one's word number, word hash, shape bucket and vector; kept for a bounded number of tokens."""
 
     def __init__(self, vectors: WordVectors):
         super().__init__()
-        self.vectors, self.new = vectors, []
-        self.columns = [np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros((1024, DIM), np.float32)]
+        self.vectors, self.new, self.words, self.shapes = vectors, [], {}, _Shapes()
+        self.columns = [np.zeros(1024, np.int64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros((1024, DIM), np.float32)]
 
     def __missing__(self, token: str) -> int:
         self[token] = out = len(self)
@@ -90,12 +105,13 @@ class _Tokens(dict):
     def rows(self, tokens: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if self.new:
-            hashes = np.array([word_hash(t) for t in self.new], np.uint64)
-            shapes = np.array([zlib.crc32(shape(t).encode("utf-8", "surrogatepass")) % SHAPES for t in self.new])
+            hashes, known = word_hashes(self.new), self.words
+            numbers = [known.setdefault(h, len(known)) for h in hashes]
+            hashes = np.array(hashes, np.uint64)
             start, size = len(self) - len(self.new), len(self.columns[0])
             while size < len(self):
                 size *= 2
-            for k, values in enumerate((hashes, self.vectors.slots(hashes), shapes, self.vectors.of(hashes))):
+            for k, values in enumerate((numbers, hashes, self.shapes.of(self.new), self.vectors.of(hashes))):
                 if len(self.columns[k]) < size:
                     self.columns[k] = np.resize(self.columns[k], (size, *self.columns[k].shape[1:]))
                 self.columns[k][start : len(self)] = values
@@ -106,6 +122,7 @@ class _Tokens(dict):
         """Forget all tokens if there are more than ``most``; earlier numbers are void then."""
         if len(self) > most:
             self.clear()
+            self.words.clear()
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", flush: int = 100_000) -> np.ndarray:
@@ -117,7 +134,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", flush: int = 100_000
         counts: Counter = Counter()
 
         def out():
-            hashes = np.array([word_hash(t) for t in counts], np.uint64).view(np.int64)
+            hashes = np.array(word_hashes(list(counts)), np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
@@ -147,17 +164,16 @@ def word_vectors(docs: DataFrame, text_col: str = "text", held_tokens: int = 200
         import pyarrow as pa
 
         tokens, n = _Tokens(shared.value), len(shared.value.words)
-        contexts, shapes, pairs, held = np.zeros((DIM, n)), np.zeros(SHAPES * SHAPES, np.int64), [], 0
+        codes, shapes, pairs, held = np.zeros((DIM // 4, 8 * n), np.int64), np.zeros(SHAPES * SHAPES, np.int64), [], 0
 
         def add():
             before, after = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-            _, slots, buckets, index = tokens.columns
+            _, hashes, buckets, _ = tokens.columns
             np.add(shapes, np.bincount(buckets[before] * SHAPES + buckets[after], minlength=SHAPES * SHAPES), out=shapes)
-            at = slots[before]
-            known, following = at[at >= 0], after[at >= 0]
-            if len(known):
-                for k in range(DIM):
-                    contexts[k] += np.bincount(known, index[:, k][following], n)
+            at = shared.value.slots(hashes[: len(tokens)])[before]
+            known, following = 8 * at[at >= 0], hashes[after[at >= 0]]
+            for group, count in enumerate(codes):  # how often each of the eight values of the group's bits follows
+                count += np.bincount(known + ((following >> np.uint64(3 * group)) & np.uint64(7)).astype(np.int64), minlength=8 * n)
             pairs.clear()
             tokens.trim()
 
@@ -173,7 +189,9 @@ def word_vectors(docs: DataFrame, text_col: str = "text", held_tokens: int = 200
                         held = 0
         if pairs:
             add()
-        sums = np.concatenate([contexts.T, shapes.reshape(SHAPES, SHAPES) @ _SHAPE_INDEX])
+        counts = codes.reshape(DIM // 4, n, 2, 4)  # by group, word, sign and place
+        contexts = (counts[:, :, 1] - counts[:, :, 0]).transpose(1, 0, 2).reshape(n, DIM)
+        sums = np.concatenate([contexts, shapes.reshape(SHAPES, SHAPES) @ _SHAPE_INDEX])
         used = np.flatnonzero(sums.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, k]) for k in range(DIM))], names=["place", *(f"v{k}" for k in range(DIM))])
 
@@ -190,28 +208,49 @@ def word_vectors(docs: DataFrame, text_col: str = "text", held_tokens: int = 200
     return WordVectors(words, context[: len(words)], _SHAPE_INDEX + context[len(words) :])
 
 
-def pool(text: str | None, tokens: _Tokens) -> np.ndarray:
-    """A whole text's vector: the means of its tokens' vectors and plain ratios; zeros without a word."""
-    x = np.zeros(2 * DIM + PLAIN, np.float32)
-    split = (text or "").split()
-    if n := len(split):
-        total, counts = np.zeros(DIM), np.zeros(SHAPES, np.int64)
-        same, different, patterns, last = 0, 0, 0, None
-        for k in range(0, n, BLOCK):
-            tokens.trim()
-            rows = tokens.rows(split[k : k + BLOCK])
-            words, _, buckets, vectors = (c[rows] for c in tokens.columns)
-            total += vectors.sum(0)
-            here = np.bincount(buckets, minlength=SHAPES)
-            counts += here
-            same += int((words[1:] == words[:-1]).sum()) + int(last == words[0])
-            different += len(np.unique(words))
-            patterns += int((here > 0).sum())
-            last = words[-1]
-        x[:DIM] = total / n
-        x[DIM : 2 * DIM] = counts @ tokens.vectors.shapes / n
-        x[2 * DIM :] = np.log1p(n) / 8, different / n, same / max(1, n - 1), patterns / n, len(text) / n / 20
-    return x
+def pool(texts: Iterable[str | None], n_texts: int, tokens: _Tokens, group: int = 50_000) -> np.ndarray:
+    """A row for each of ``n_texts`` whole texts: the means of its tokens' vectors and plain ratios; zeros without a word.
+
+    Texts are cut into blocks of ``BLOCK`` words, and blocks are handled together, about ``group`` words at a time.
+    """
+    n_words, chars, sums, counted = np.zeros(n_texts), np.zeros(n_texts), np.zeros((n_texts, 2 * DIM)), np.zeros((n_texts, 3))
+    words: list[str] = []
+    of: list[int] = []
+    sizes: list[int] = []
+
+    def add():
+        tokens.trim()
+        rows, owner, size = tokens.rows(words), np.array(of), np.array(sizes)
+        numbers, _, buckets, vectors = (c[rows] for c in tokens.columns)
+        starts, block = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        np.add.at(sums, (owner, slice(0, DIM)), np.add.reduceat(vectors, starts, axis=0))
+        np.add.at(sums, (owner, slice(DIM, None)), np.add.reduceat(tokens.vectors.shapes[buckets], starts, axis=0))
+        again = block[1:][(numbers[1:] == numbers[:-1]) & (block[1:] == block[:-1])]
+        for k, values in enumerate((again, _distinct(block, numbers), _distinct(block, buckets))):
+            np.add.at(counted[:, k], owner[values], 1)
+        words.clear(), of.clear(), sizes.clear()
+
+    for i, text in enumerate(texts):
+        split = (text or "").split()
+        n_words[i], chars[i] = len(split), len(text or "")
+        for k in range(0, len(split), BLOCK):
+            part = split[k : k + BLOCK]
+            words.extend(part)
+            of.append(i)
+            sizes.append(len(part))
+            if len(words) > group:
+                add()
+    if words:
+        add()
+    n = np.maximum(n_words, 1)
+    plain = np.stack([np.log1p(n) / 8, counted[:, 1] / n, counted[:, 0] / np.maximum(n - 1, 1), counted[:, 2] / n, chars / n / 20], 1)
+    return np.concatenate([sums / n[:, None], plain], 1) * (n_words > 0)[:, None]
+
+
+def _distinct(block: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The block of each distinct pair of a block and a value."""
+    pairs = np.sort(block << 32 | values)
+    return pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] >> 32
 
 
 class Network:
@@ -270,10 +309,7 @@ class QualityModel:
         self.tokens = _Tokens(self.vectors) if self.tokens is None else self.tokens
         if self.network is None:
             return np.full(len(texts), self.plain)
-        x = np.zeros((len(texts), 2 * DIM + PLAIN))
-        for i, text in enumerate(texts):
-            x[i] = pool(text.as_py(), self.tokens)
-        return self.network.probability(x)
+        return self.network.probability(pool((t.as_py() for t in texts), len(texts), self.tokens))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
@@ -294,8 +330,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col
 
         tokens = _Tokens(held.value)
         for batch in batches:
-            x = [pool(t.as_py(), tokens) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), *batch.columns[1:]], names=["x", "y", "h"])
+            x = pool((t.as_py() for t in batch.column(0)), batch.num_rows, tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), *batch.columns[1:]], names=["x", "y", "h"])
 
     # about ``sample`` rows, so every task can have them
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known.limit(2 * sample)), "i")

@@ -163,11 +163,13 @@ def test_pooled_vector_of_a_long_text_does_not_depend_on_blocks(spark):
     vectors = quality.word_vectors(spark.createDataFrame([("one two three four " * 50,)], "text string"))
     tokens = quality._Tokens(vectors)
     words = [f"w{i % 700}" for i in range(5_000)]
-    x = quality.pool(" ".join(words), tokens)
+    x, empty, null, short = quality.pool([" ".join(words), "", None, "one two one"], 4, tokens)
     each = vectors.of(np.array([quality.word_hash(w) for w in words], np.uint64))
-    assert np.allclose(x[: quality.DIM], each.mean(0), atol=1e-4) and not quality.pool("", tokens).any() and not quality.pool(None, tokens).any()
+    assert np.allclose(x[: quality.DIM], each.mean(0), atol=1e-4) and not empty.any() and not null.any()
+    assert np.allclose(x[2 * quality.DIM + 1 :], [(4 * 700 + 700) / 5_000, 0, 5 / 5_000, len(" ".join(words)) / 100_000], atol=1e-6)
+    assert np.allclose(short[2 * quality.DIM :], [np.log(4) / 8, 2 / 3, 0, 1 / 3, 11 / 60], atol=1e-6)
     tokens.trim(0)
-    assert np.allclose(quality.pool(" ".join(words), tokens), x)
+    assert np.allclose(quality.pool([" ".join(words)], 1, tokens, group=1), [x])
 
 
 def test_temperature_is_fitted_on_rows_that_the_weights_did_not_see():
