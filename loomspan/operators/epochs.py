@@ -75,9 +75,13 @@ def presence(samples: DataFrame, windows: DataFrame, trials: DataFrame, key: lis
     return inside.groupBy(*key, "trial_id").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.first("threshold").alias("threshold"))
 
 
-def classify_subepochs(sub: DataFrame, outs: DataFrame, reach: DataFrame, search: DataFrame, retract: DataFrame, key: list[str], tol: float = 0.075, exclude: float = 1.0) -> DataFrame:
-    """``class``: excluded near an out-event, else reach, search or retract by membership in that order, else other."""
-    ids = [*key, "epoch_id"]
+def classify_subepochs(sub: DataFrame, outs: DataFrame, reach: DataFrame, search: DataFrame, retract: DataFrame, key: list[str], tol: float = 0.075, exclude: float = 1.0, present: DataFrame | None = None) -> DataFrame:
+    """``class``: excluded near an out-event, else reach, search or retract by membership in that order, else other.
+
+    Sub-epochs are told apart by ``sub_epoch_id`` as well where ``sub`` has it. ``present`` (``key, frame`` of the frames with the lever in reach) adds
+    ``presence_frames`` and ``presence_pct`` over ``[start_frame, end_frame)``.
+    """
+    ids = [*key, "epoch_id", *(["sub_epoch_id"] if "sub_epoch_id" in sub.columns else [])]
     o = outs.select(*key, F.col("t_out"))
     near = within(o, sub.select(*ids, (F.col("start_time") - tol).alias("_a"), F.col("end_time").alias("_b2")), key, "t_out", "_a", "_b2").select(ids)
     during = within(sub.select(*ids, "start_time"), o.select(*key, F.col("t_out").alias("_a"), (F.col("t_out") + exclude).alias("_b2")), key, "start_time", "_a", "_b2").select(ids)
@@ -87,7 +91,12 @@ def classify_subepochs(sub: DataFrame, outs: DataFrame, reach: DataFrame, search
     label = F.lit("other")
     for name in ("retract", "search", "reach", "excluded"):
         label = F.when(F.col(f"_{name}"), name).otherwise(label)
-    return out.withColumn("class", label).drop("_excluded", "_reach", "_search", "_retract")
+    out = out.withColumn("class", label).drop("_excluded", "_reach", "_search", "_retract")
+    if present is None:
+        return out
+    here = within(present.select(*key, F.col("frame").alias("_f")), sub.select(*ids, "start_frame", "end_frame"), key, "_f", "start_frame", "end_frame", closed="left")
+    out = out.join(here.groupBy(ids).agg(F.count(F.lit(1)).alias("presence_frames")), ids, "left").withColumn("presence_frames", F.coalesce("presence_frames", F.lit(0)))
+    return out.withColumn("presence_pct", F.try_divide(100.0 * F.col("presence_frames"), F.col("end_frame") - F.col("start_frame")))
 
 
 def rewarded_epochs(rewards: DataFrame, epochs: DataFrame, key: list[str], t: str = "t", eps: float = 0.01, max_lag: float | None = None) -> DataFrame:

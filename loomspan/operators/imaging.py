@@ -85,7 +85,7 @@ def spatial_process(frames: DataFrame, key: list[str], shape: tuple[int, int], s
             out = []
             for p, a, b in zip(pdf["pixels"], pdf["motion"], pdf["session"]):
                 img = kernels.warp(kernels.warp(np.reshape(p, shape), np.reshape(a, (2, 3))), np.reshape(b, (2, 3)))
-                out.append(kernels.block_mean(kernels.blur(img, sigma, 5), *new_shape).ravel())
+                out.append(kernels.area_mean(kernels.blur(img, sigma, 5), *new_shape).ravel())
             pdf = pdf[[*key, "frame"]].copy()
             pdf["pixels"] = out
             yield pdf
@@ -100,16 +100,19 @@ def frames_to_pixels(frames: DataFrame, key: list[str]) -> DataFrame:
     return long.groupBy(*key, "pixel").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("_s")).select(*key, "pixel", F.transform("_s", lambda x: x["v"]).alias("series"))
 
 
-def temporal_process(pixels: DataFrame, key: list[str], fs: float = 20.0, fcutoff: float = 0.1, sigma: float = 1.0) -> DataFrame:
-    """High-pass and Gaussian smoothing of each pixel's ``series``, its mean kept."""
+def temporal_process(pixels: DataFrame, key: list[str], fs: float = 20.0, fcutoff: float | None = 0.1, sigma: float | None = 1.0, order: int = 2, padlen: int | None = None) -> DataFrame:
+    """High-pass and Gaussian smoothing of each pixel's ``series``, its mean kept; either is left out for None. All series of a length in a batch are filtered together."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for v in pdf["series"]:
-                v = np.asarray(v, dtype=float)
-                f = kernels.highpass(v - v.mean(), fs, fcutoff)
-                out.append((kernels.gauss(f, sigma) if sigma else f) + v.mean())
+            out, length = [None] * len(pdf), np.array([len(v) for v in pdf["series"]], dtype=int)
+            for n in np.unique(length):
+                at = np.flatnonzero(length == n)
+                x = np.stack([np.asarray(pdf["series"].iloc[i], dtype=float) for i in at])
+                mean = x.mean(1, keepdims=True) if n else x
+                f = kernels.highpass(x - mean, fs, fcutoff, order, padlen) if fcutoff is not None else x - mean
+                for i, v, m in zip(at, f, mean):
+                    out[i] = (kernels.gauss(v, sigma) if sigma and n else v) + m
             pdf["series"] = out
             yield pdf
 
@@ -160,30 +163,58 @@ def morphology(mask: DataFrame, width: int, height: int, k: int, dilate: bool =
     return mask
 
 
-def gram(rows: DataFrame, array: str, n: int) -> np.ndarray:
-    """The n x n matrix of summed products of an array column: partial sums in tasks, added by Spark; n is the fixed width."""
+def summed(rows: DataFrame, array: str, shape: tuple[int, int], of) -> np.ndarray:
+    """The sum over blocks of rows of a matrix of fixed shape: partial sums in tasks, added by Spark."""
 
     def part(batches):
         import pandas as pd
 
-        total = np.zeros((n, n))
+        total = np.zeros(shape)
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf[array].to_numpy()).astype(float)
-                total += x.T @ x
-        yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": total.ravel()})
+                total += of(np.stack(pdf[array].to_numpy()).astype(float))
+        i, j = np.indices(shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
-    out = np.zeros((n, n))
-    for r in rows.select(array).mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas().itertuples():
-        out[r.i, r.j] = r.v
+    cells = rows.select(array).mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(shape)
+    out[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("v").to_numpy()
     return out
 
 
-def truncated_svd(rows: DataFrame, key: str, array: str, n: int, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(``key, u``), singular values and right vectors of a tall matrix of width n, from its n x n products."""
-    values, vectors = np.linalg.eigh(gram(rows, array, n))
+def gram(rows: DataFrame, array: str, n: int) -> np.ndarray:
+    """The n x n matrix of summed products of an array column; n is the fixed width."""
+    return summed(rows, array, (n, n), lambda x: x.T @ x)
+
+
+def leading_axes(rows: DataFrame, array: str, n: int, k: int, centred: bool = False, exact: int = 1024, extra: int = 10, passes: int = 8) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """The ``k`` largest eigenvalues and vectors of the summed products, the number of rows and their mean (both 0 unless ``centred``).
+
+    Up to a width of ``exact`` all n x n products are summed. A wider column takes ``passes`` of subspace iteration with ``k + extra`` vectors,
+    so that a task sums n x (k + extra) cells and never n x n.
+    """
+    count, mean = 0.0, np.zeros(n)
+    if centred:
+        sums = summed(rows, array, (2, n), lambda x: np.stack([x.sum(0), np.full(n, float(len(x)))]))
+        count, mean = sums[1, 0], sums[0] / max(sums[1, 0], 1)
+    if n <= exact:
+        values, vectors = np.linalg.eigh(gram(rows, array, n) - count * np.outer(mean, mean))
+    else:
+        width = min(n, k + extra)
+        product = np.random.default_rng(0).normal(size=(n, width))
+        for _ in range(passes):
+            q = np.linalg.qr(product)[0]
+            product = summed(rows, array, (n, width), lambda x, q=q: x.T @ (x @ q)) - count * np.outer(mean, mean @ q)
+        values, inner = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
+        vectors = q @ inner
     order = np.argsort(-values)[:k]
-    s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
+    return values[order], vectors[:, order], count, mean
+
+
+def truncated_svd(rows: DataFrame, key: str, array: str, n: int, k: int, **how) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(``key, u``), singular values and right vectors of a tall matrix of width n; ``how`` goes to ``leading_axes``."""
+    values, v, _, _ = leading_axes(rows, array, n, k, **how)
+    s = np.sqrt(np.maximum(values, 0))
 
     def project(batches):
         for pdf in batches:
@@ -195,6 +226,14 @@ def truncated_svd(rows: DataFrame, key: str, array: str, n: int, k: int) -> tupl
     return rows.select(key, array).mapInPandas(project, f"{key} {dict(rows.dtypes)[key]}, u array<double>"), s, v
 
 
+def explained_variance(rows: DataFrame, array: str, s: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Share of each component: the variance of ``s * v`` over the array's places, of the summed variances of all rows."""
+    fold = lambda f: F.aggregate(F.col(array), F.lit(0.0), lambda t, x: t + f(x.cast("double")))
+    mean = fold(lambda x: x) / F.size(array)
+    total = rows.agg(F.sum(fold(lambda x: x * x) / F.size(array) - mean * mean)).first()[0]
+    return (v * s).var(0) / total if total else np.zeros(len(s))
+
+
 def reconstruct(u: DataFrame, s: DataFrame, on: str = "component") -> DataFrame:
     """``pixel, frame, value``: sum over components of ``u * s`` (long form)."""
     return u.join(s, on).groupBy("pixel", "frame").agg(F.sum(F.col("u") * F.col("s")).alias("value"))
@@ -269,11 +308,8 @@ def aligned_maps(maps: DataFrame, key: list[str], shape: tuple[int, int]) -> Dat
 
 def principal_components(rows: DataFrame, key: str, array: str, n: int, k: int) -> tuple[DataFrame, np.ndarray]:
     """(``key, pc``) of centred rows, from summed products; the largest entry of each axis is positive."""
-    m = rows.agg(F.count(F.lit(1)), *[F.avg(F.col(array)[i]) for i in range(n)]).first()
-    count, mean = m[0], np.array(m[1:], dtype=float)
-    values, vectors = np.linalg.eigh(gram(rows, array, n) - count * np.outer(mean, mean))
-    order = np.argsort(-values)[:k]
-    axes = vectors[:, order] * np.sign(vectors[np.abs(vectors[:, order]).argmax(0), order])
+    values, vectors, count, mean = leading_axes(rows, array, n, k, centred=True)
+    axes = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
 
     def project(batches):
         for pdf in batches:
@@ -282,4 +318,4 @@ def principal_components(rows: DataFrame, key: str, array: str, n: int, k: int)
             out["pc"] = list((x - mean) @ axes)
             yield out
 
-    return rows.select(key, array).mapInPandas(project, f"{key} {dict(rows.dtypes)[key]}, pc array<double>"), values[order] / max(count, 1)
+    return rows.select(key, array).mapInPandas(project, f"{key} {dict(rows.dtypes)[key]}, pc array<double>"), values / max(count, 1)

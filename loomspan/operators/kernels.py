@@ -37,29 +37,38 @@ def peaks(v: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarr
     return np.array(out, dtype=int)
 
 
-def highpass(x: np.ndarray, fs: float, cutoff: float) -> np.ndarray:
-    """Second-order Butterworth high-pass run forward and backward, with odd extension of the ends and settled initial state."""
-    k = np.tan(np.pi * cutoff / fs)
-    d = 1 + np.sqrt(2) * k + k * k
-    b = np.array([1.0, -2.0, 1.0]) / d
-    a = np.array([1.0, 2 * (k * k - 1) / d, (1 - np.sqrt(2) * k + k * k) / d])
-    n = len(x)
-    pad = min(9, n - 1)
-    if pad < 1:
-        return np.zeros(n)
+def highpass(x: np.ndarray, fs: float, cutoff: float, order: int = 2, padlen: int | None = None) -> np.ndarray:
+    """Butterworth high-pass along the last axis, forward and backward, for all series at once; ends extended oddly, state settled.
+
+    ``padlen`` is the length of the extension, by default three times ``order + 1``; series too short for it get a shorter one.
+    """
+    k, n = np.tan(np.pi * cutoff / fs), x.shape[-1]
+    if n < 2:
+        return np.zeros(x.shape)
+    sections = []
+    for i in range(order // 2):
+        damping = 2 * np.sin((2 * i + 1) * np.pi / (2 * order))
+        d = 1 + damping * k + k * k
+        sections.append((np.array([1.0, -2.0, 1.0]) / d, np.array([2 * (k * k - 1), 1 - damping * k + k * k]) / d))
+    if order % 2:
+        sections.append((np.array([1.0, -1.0, 0.0]) / (1 + k), np.array([k - 1, 0.0]) / (1 + k)))
+    pad = min(3 * (order + 1) if padlen is None else padlen, n - 1)
+    x = np.moveaxis(np.asarray(x, dtype=float), -1, 0)
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    settled = np.linalg.solve(np.eye(2) - np.array([[-a[1], 1.0], [-a[2], 0.0]]), b[1:] - a[1:] * b[0])
 
     def run(s: np.ndarray) -> np.ndarray:
-        z0, z1 = settled * s[0]
-        y = np.empty_like(s)
-        for i, u in enumerate(s):
-            y[i] = b[0] * u + z0
-            z0 = b[1] * u - a[1] * y[i] + z1
-            z1 = b[2] * u - a[2] * y[i]
-        return y
+        for i, (b, a) in enumerate(sections):
+            settled = np.linalg.solve(np.array([[1 + a[0], -1.0], [a[1], 1.0]]), b[1:] - a * b[0]) * (i == 0)  # no constant passes the first
+            z0, z1 = settled[0] * s[0], settled[1] * s[0]
+            y = np.empty_like(s)
+            for j, u in enumerate(s):
+                y[j] = b[0] * u + z0
+                z0 = b[1] * u - a[0] * y[j] + z1
+                z1 = b[2] * u - a[1] * y[j]
+            s = y
+        return s
 
-    return run(run(ext)[::-1])[::-1][pad : pad + n]
+    return np.moveaxis(run(run(ext)[::-1])[::-1][pad : pad + n], 0, -1)
 
 
 def gauss(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
@@ -113,8 +122,14 @@ def blur(img: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
     return np.apply_along_axis(gauss, 1, rows, sigma, truncate)
 
 
-def block_mean(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    return img.reshape(h, img.shape[0] // h, w, img.shape[1] // w).mean((1, 3))
+def area_mean(img: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Reduce to h x w pixels, each the mean of the area it covers; a pixel cut by a border counts in part."""
+
+    def shares(n: int, m: int) -> np.ndarray:
+        edge, at = np.arange(m + 1) * n / m, np.arange(n)
+        return np.maximum(np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at), 0) * m / n
+
+    return shares(img.shape[0], h) @ img @ shares(img.shape[1], w).T
 
 
 def student_two_sided(t: float, dof: float) -> float:

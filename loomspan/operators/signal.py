@@ -376,15 +376,15 @@ def gauss1d(df: DataFrame, key: list[str], index: str, column: str, sigma: float
     return df.join(smooth, [*key, index])
 
 
-def temporal_filter(df: DataFrame, key: list[str], index: str, column: str, fs: float = 20.0, fcutoff: float = 0.1, sigma: float = 0.0, out: str = "filtered") -> DataFrame:
-    """Zero-phase second-order high-pass per series (forward and backward), the mean removed before and put back after."""
+def temporal_filter(df: DataFrame, key: list[str], index: str, column: str, fs: float = 20.0, fcutoff: float | None = 0.1, sigma: float = 0.0, out: str = "filtered", order: int = 2, padlen: int | None = None) -> DataFrame:
+    """Zero-phase high-pass per series (forward and backward; none without ``fcutoff``), the mean removed before and put back after."""
     from .kernels import gauss, highpass
 
     def run(pdf):
         pdf = pdf.sort_values(index)
         v = pdf[column].to_numpy(dtype=float)
         m = v.mean()
-        f = highpass(v - m, fs, fcutoff)
+        f = highpass(v - m, fs, fcutoff, order, padlen) if fcutoff is not None else v - m
         pdf[out] = (gauss(f, sigma) if sigma else f) + m
         return pdf
 

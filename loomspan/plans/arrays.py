@@ -172,15 +172,18 @@ def _(s, d):
     return rounded(m.select("vec_id", F.col("m")[2].alias("tx"), F.col("m")[5].alias("ty"), F.col("m")[0].alias("a")), "tx", "ty", digits=9)
 
 
-@query("e18_affine_points", "SELECT vec_id, 2.0::DOUBLE AS x, 5.0::DOUBLE AS y, CASE WHEN label % 2 = 0 THEN 5 ELSE 2 END AS flipped FROM embeddings")
+@query(
+    "e18_affine_points",
+    """WITH m AS (SELECT vec_id, label, 1 + embedding[1]::DOUBLE * 0.1 AS a, embedding[2]::DOUBLE * 0.1 AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE * 0.1 AS d, 1 + embedding[5]::DOUBLE * 0.1 AS e, embedding[6]::DOUBLE AS f FROM embeddings)
+SELECT vec_id, round(2 * a + 5 * b + c, 6) AS x, round(2 * d + 5 * e + f, 6) AS y, round((e * (2 - c) - b * (5 - f)) / (a * e - b * d), 6) AS back_x, round((a * (5 - f) - d * (2 - c)) / (a * e - b * d), 6) AS back_y, CASE WHEN label % 2 = 0 THEN 5 ELSE 2 END AS flipped FROM m""",
+)
 def _(s, d):
     a = F.col("pixels")
     m = F.array(F.lit(1.0) + a[0] * 0.1, a[1] * 0.1, a[2], a[3] * 0.1, F.lit(1.0) + a[4] * 0.1, a[5])
     e = frames(s, d).withColumns({"m": m, "x": F.lit(2.0), "y": F.lit(5.0)}).withColumn("inv", M.invert_affine("m"))
-    tx, ty = M.apply_affine("m", "x", "y")
-    e = e.withColumns({"tx": tx, "ty": ty})
-    bx, by = M.apply_affine("inv", "tx", "ty")
-    return rounded(e.select("vec_id", bx.alias("x"), by.alias("y"), M.flip_x("x", 8, F.col("label") % 2 == 0).cast("int").alias("flipped")), "x", "y")
+    (x, y), (bx, by) = M.apply_affine("m", "x", "y"), M.apply_affine("inv", "x", "y")
+    out = e.select("vec_id", x.alias("x"), y.alias("y"), bx.alias("back_x"), by.alias("back_y"), M.flip_x("x", 8, F.col("label") % 2 == 0).cast("int").alias("flipped"))
+    return rounded(out, "x", "y", "back_x", "back_y", digits=6)
 
 
 def _rois(s):

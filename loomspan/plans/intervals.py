@@ -91,9 +91,19 @@ def _classes(s, d):
     return E.classify_subepochs(p, outs, _reach(s, d), _both(s, d).select("user_id", "epoch_id"), none, K, tol=60, exclude=7200)
 
 
-@query("d31_sub_epoch_class", "WITH " + _CLASSES + " SELECT user_id, epoch_id, class FROM cls")
+@query(
+    "d31_sub_epoch_class",
+    "WITH " + _CLASSES + """, pf AS (SELECT p.user_id, p.epoch_id, count(*) AS n FROM epochs p JOIN {events} e ON e.user_id = p.user_id AND e.i >= p.start_frame AND e.i < p.end_frame WHERE e.event_type <> 'click' GROUP BY 1, 2)
+SELECT cls.user_id, cls.epoch_id // 2 AS epoch_id, cls.epoch_id % 2 AS sub_epoch_id, CASE WHEN class = 'other' AND end_frame - start_frame = 1 THEN 'retract' ELSE class END AS class,
+  coalesce(n, 0) AS presence_frames, round(100.0 * coalesce(n, 0) / (end_frame - start_frame), 6) AS presence_pct FROM cls LEFT JOIN pf ON pf.user_id = cls.user_id AND pf.epoch_id = cls.epoch_id""",
+)
 def _(s, d):
-    return _classes(s, d).select("user_id", "epoch_id", "class")
+    e, p = _parts(s, d)
+    pairs = lambda df: df.withColumns({"sub_epoch_id": F.col("epoch_id") % 2, "epoch_id": F.floor(F.col("epoch_id") / 2)})
+    outs = e.where("event_type = 'error'").select("user_id", F.col("t").alias("t_out"))
+    present = e.where("event_type <> 'click'").select("user_id", F.col("i").alias("frame"))
+    out = E.classify_subepochs(pairs(p), outs, pairs(_reach(s, d)), pairs(_both(s, d)), pairs(p.where("end_frame - start_frame = 1")), K, tol=60, exclude=7200, present=present)
+    return rounded(out.select("user_id", "epoch_id", "sub_epoch_id", "class", "presence_frames", "presence_pct"), "presence_pct", digits=6)
 
 
 _REWARDED = "rew AS (SELECT DISTINCT user_id, epoch_id FROM (SELECT p.user_id, p.t, arg_max(e.epoch_id, e.start_time) AS epoch_id FROM {events} p JOIN epochs e ON e.user_id = p.user_id AND p.t - e.start_time > 0.01 WHERE p.event_type = 'purchase' GROUP BY 1, 2))"

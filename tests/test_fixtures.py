@@ -153,6 +153,36 @@ def test_svd_projector(spark):
     assert np.allclose(s, full[1][:3]) and np.allclose((got * s) @ v.T, (full[0][:, :3] * full[1][:3]) @ full[2][:3])
 
 
+def test_svd_of_a_wide_column_and_explained_variance(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 12)) @ np.diag(0.5 ** np.arange(12)) @ np.linalg.qr(rng.normal(size=(12, 12)))[0] + 0.3
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, a array<double>")
+    full = np.linalg.svd(x, full_matrices=False)
+    _, s, v = M.truncated_svd(df, "i", "a", 12, 3, exact=0, extra=3, passes=6)
+    assert np.allclose(s, full[1][:3], rtol=1e-4) and np.allclose(np.abs(np.sum(v * full[2][:3].T, axis=0)), 1, atol=1e-4)
+    want = (full[1][:3, None] * full[2][:3]).var(1) / x.var(1).sum()
+    assert np.allclose(M.explained_variance(df, "a", s, v), want, rtol=1e-3)
+    values, _, n, mean = M.leading_axes(df, "a", 12, 3, centred=True, exact=0, extra=3, passes=6)
+    assert n == 80 and np.allclose(mean, x.mean(0)) and np.allclose(values, np.linalg.svd(x - x.mean(0))[1][:3] ** 2, rtol=1e-4)
+
+
+def test_highpass_of_many_series_and_orders():
+    x = np.random.default_rng(7).normal(size=(3, 80)).cumsum(1)
+    for order in (1, 2, 3, 4):
+        assert np.allclose(kernels.highpass(x, 20, 1.0, order), [kernels.highpass(r, 20, 1.0, order) for r in x])
+        t = np.arange(6000) / 20  # forward and backward, a sine at the cutoff keeps half of its size whatever the order
+        middle = kernels.highpass(np.sin(2 * np.pi * t), 20, 1.0, order, padlen=0)[2500:3500]
+        assert abs(np.abs(middle).max() - 0.5) < 1e-3
+    assert kernels.highpass(np.zeros((2, 1)), 20, 1.0).shape == (2, 1)
+
+
+def test_area_resize_by_any_ratio():
+    img = np.arange(35.0).reshape(5, 7)
+    small = kernels.area_mean(img, 2, 3)
+    assert np.isclose(small.mean(), img.mean()) and np.isclose(small[0, 0], (img[:2, :2].sum() + img[:2, 2].sum() / 3 + img[2, :2].sum() / 2 + img[2, 2] / 6) / (2.5 * 7 / 3))
+    assert np.allclose(kernels.area_mean(np.arange(16.0).reshape(4, 4), 2, 2), [[2.5, 4.5], [10.5, 12.5]])
+
+
 def test_mixed_contrast_without_subject_effect_is_difference_of_means(spark):
     rng = np.random.default_rng(5)
     rows = [("r", f"m{m}", "A" if m % 2 else "B", "p", float(rng.normal() + (m % 2))) for m in range(12) for _ in range(8)]
