@@ -7,7 +7,7 @@ targets; every alpha and fold is solved from these sums, whose size is the model
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .algebra import numbered
@@ -90,12 +90,11 @@ def design_matrix(regressors: dict[str, DataFrame], key: list[str], frame: str)
     return standardise(out.withColumn("_some", some).where("_some").drop("_some"), [*key, "reg", "lag"], "x")
 
 
-def model_table(spark: SparkSession, name: str, regressors: dict[str, list[int]], shuffled: list[str] = (), n_alphas: int = 50, n_folds: int = 5, low: float = 0.0, high: float = 7.0) -> DataFrame:
-    """One row per regressor of a model: lags, whether shuffled, folds and log-spaced alphas."""
-    alphas = [float(10**x) for x in np.linspace(low, high, n_alphas)]
-    shuffled = list(regressors) if list(shuffled) == ["all"] else shuffled
-    rows = [(name, r, r in shuffled, lags, n_folds, alphas) for r, lags in regressors.items()]
-    return spark.createDataFrame(rows, "model_name string, reg_name string, shuffle boolean, lag_frames array<int>, n_folds int, alphas array<double>")
+def model_table(regressors: DataFrame, name: str, shuffled: list[str] = (), n_alphas: int = 50, n_folds: int = 5, low: float = 0.0, high: float = 7.0) -> DataFrame:
+    """One row per regressor (``reg_name, first_lag, last_lag``) of a model: lags, whether shuffled (``["all"]``: each), folds and log-spaced alphas."""
+    alphas = F.array(*[F.lit(float(10**x)) for x in np.linspace(low, high, n_alphas)])
+    mixed = F.lit(True) if list(shuffled) == ["all"] else F.col("reg_name").isin(list(shuffled))
+    return regressors.select(F.lit(name).alias("model_name"), "reg_name", mixed.alias("shuffle"), F.sequence("first_lag", "last_lag").alias("lag_frames"), F.lit(n_folds).alias("n_folds"), alphas.alias("alphas"))
 
 
 def reduced_models(full: DataFrame) -> DataFrame:

@@ -117,7 +117,8 @@ def spine(frames: DataFrame, key: list[str], n: str, out: str = "frame") -> Data
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: str, direction: str = "backward", strict: bool = False, out: str | None = None) -> DataFrame:
     """``left`` with the last (first) ``value`` of ``right`` at or before (after) its time; ``strict`` leaves equal times out.
 
-    One sort of the union of both sides by key and time; no range join. Null where there is none.
+    One sort of the union of both sides by key and time; no range join. Null where there is none. Looking forward sorts the other way round, as a
+    frame that ends with the recording would be summed anew for every row.
     """
     out = out or value
     back = direction == "backward"
@@ -126,11 +127,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     a = left.select(*names, F.col(left_on).alias("_t"), F.lit(0).alias("_tag"), F.lit(None).alias("_v"))
     b = right.select(*[F.col(c) if c in by else F.lit(None).cast(dict(left.dtypes)[c]).alias(c) for c in names], F.col(right_on).alias("_t"), F.lit(tag).alias("_tag"), F.struct(F.col(value).alias("v")).alias("_v"))
     a = a.withColumn("_v", F.lit(None).cast(dict(b.dtypes)["_v"]))
-    w = Window.partitionBy(by).orderBy("_t", "_tag")
-    if back:
-        found = F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_v", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    order = ["_t", "_tag"] if back else [F.desc("_t"), F.desc("_tag")]
+    found = F.last("_v", True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return a.unionByName(b).withColumn("_f", found).where("_tag = 0").select(*names, F.col("_f.v").alias(out))
 
 
@@ -142,11 +140,17 @@ def searchsorted(events: DataFrame, samples: DataFrame, by: list[str], event_t:
 
 
 def interp(target: DataFrame, source: DataFrame, by: list[str], t: str, value: str, method: str = "linear", out: str | None = None) -> DataFrame:
-    """``value`` of ``source`` at the times of ``target``: linear with clamped ends, or nearest with ties to the earlier sample."""
+    """``value`` of ``source`` at the times of ``target``: linear with clamped ends, or nearest with ties to the earlier sample.
+
+    Both neighbours come from one shuffle of the union of both sides; a sample at the very time is the earlier neighbour.
+    """
     out = out or value
-    knot = source.select(*by, F.col(t).alias("_k"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("_s"))
-    both = asof(target, knot, by, t, "_k", "_s", "backward", out="_a")
-    both = asof(both, knot, by, t, "_k", "_s", "forward", out="_b")
+    knot = F.struct(F.col(t).alias("t"), F.col(value).alias("v"))
+    types = dict(target.dtypes)
+    rows = source.select(*[F.col(c) if c in by else F.lit(None).cast(types[c]).alias(c) for c in target.columns], F.col(t).alias("_t"), F.lit(0).alias("_tag"), knot.alias("_s"))
+    rows = target.select(*target.columns, F.col(t).alias("_t"), F.lit(1).alias("_tag"), F.lit(None).cast(dict(rows.dtypes)["_s"]).alias("_s")).unionByName(rows)
+    near = lambda *order: F.last("_s", True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.withColumns({"_a": near("_t", "_tag"), "_b": near(F.desc("_t"), F.desc("_tag"))}).where("_tag = 1").drop("_t", "_tag", "_s")
     a, b, at = F.col("_a"), F.col("_b"), F.col(t)
     if method == "nearest":
         inside = F.when(at - a["t"] <= b["t"] - at, a["v"]).otherwise(b["v"])

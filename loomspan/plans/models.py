@@ -85,11 +85,13 @@ def _(s, d):
     return rounded(L.design_matrix({"value": lagged, "click": click, "never": e.select("user_id", "i", F.lit(0.0).alias("x"))}, K, "i"), "x", digits=6)
 
 
-@query("g9_model_table", "SELECT 'full_without_' || r.reg AS model_name, v.reg AS reg_name, v.reg = r.reg AS shuffle, v.lo AS lag, e.n AS users FROM (VALUES ('cue', -60), ('reach', -60), ('pupil', 0)) v(reg, lo) CROSS JOIN (VALUES ('cue'), ('reach'), ('pupil')) r(reg) CROSS JOIN (SELECT count(DISTINCT user_id) AS n FROM events) e")
+@query("g9_model_table", "WITH v AS (SELECT event_type AS reg, -(count(*) % 60) AS lo, CASE WHEN event_type IN ('click', 'view') THEN count(*) % 60 ELSE 0 END AS hi FROM events GROUP BY 1) SELECT 'full_without_' || r.reg AS model_name, v.reg AS reg_name, v.reg = r.reg AS shuffle, v.lo AS first_lag, v.hi - v.lo + 1 AS n_lags, round(pow(10, 7.0 / 49), 9) AS second_alpha FROM v CROSS JOIN v r")
 def _(s, d):
-    full = L.model_table(s, "full", {"cue": list(range(-60, 61)), "reach": list(range(-60, 61)), "pupil": [0]})
-    users = T(s, d, "events").agg(F.count_distinct("user_id").alias("users"))
-    return L.reduced_models(full).crossJoin(F.broadcast(users)).select("model_name", "reg_name", "shuffle", F.col("lag_frames")[0].alias("lag"), "users")
+    n = F.count(F.lit(1)) % 60
+    regressors = T(s, d, "events").groupBy(F.col("event_type").alias("reg_name")).agg((-n).alias("first_lag"), F.when(F.col("event_type").isin("click", "view"), n).otherwise(F.lit(0)).alias("last_lag"))
+    models = L.reduced_models(L.model_table(regressors, "full"))
+    lags = F.col("lag_frames")
+    return models.select("model_name", "reg_name", "shuffle", lags[0].alias("first_lag"), F.size(lags).cast("long").alias("n_lags"), F.round(F.col("alphas")[1], 9).alias("second_alpha"))
 
 
 _FOLD = "(SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {events}))"
