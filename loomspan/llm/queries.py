@@ -16,6 +16,7 @@ MODULES = {
     "op3_simhash": "simhash",
     "op5_packing": "packing",
     "op6_token_ids": "token_output",
+    "op13_whitening": "whitening",
 }
 
 
