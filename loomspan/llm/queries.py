@@ -16,6 +16,8 @@ MODULES = {
     "op3_simhash": "simhash",
     "op5_packing": "packing",
     "op6_token_ids": "token_output",
+    "op11_mixing": "mixing",
+    "op12_phrases": "phrases",
     "op13_whitening": "whitening",
 }
 
@@ -26,3 +28,4 @@ def _query(name: str):
 
 QUERIES = {name: _query(name) for name in MODULES}
 ORACLES: dict[str, str] = {"op1_warc": import_module(f"{__package__}.warc").OP1_SQL, "op9_lines": import_module(f"{__package__}.lines").OP9_SQL}
+ORACLES |= {"op11_mixing": import_module(f"{__package__}.mixing").OP11_SQL, "op12_phrases": import_module(f"{__package__}.phrases").OP12_SQL}
