@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_of(df: DataFrame) -> str:
+    """The folder of a table made by :func:`written`."""
+    return df.inputFiles()[0].rpartition("/")[0]
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
