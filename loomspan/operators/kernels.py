@@ -134,12 +134,14 @@ def area_mean(img: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def student_two_sided(t: float, dof: float) -> float:
     """P(|T| >= |t|) of Student's t: the regularised incomplete beta function by its continued fraction; NaN for a missing value."""
-    from math import exp, inf, isnan, lgamma, log
+    from math import erfc, exp, inf, isnan, lgamma, log
 
     if t is None or dof is None or isnan(t) or isnan(dof) or dof <= 0:
         return float("nan")
     if abs(t) == inf:
         return 0.0
+    if dof == inf:
+        return erfc(abs(t) / 2**0.5)
     a, b, x = dof / 2, 0.5, dof / (dof + t * t)
     if x >= 1:
         return 1.0
@@ -156,3 +158,14 @@ def student_two_sided(t: float, dof: float) -> float:
             break
     part = exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * log(z) + q * log(1 - z)) * f / p
     return 1 - part if swap else part
+
+
+def student_limit(p: float, dof: float) -> float:
+    """The t that is passed, on either side, with probability ``p``."""
+    low, high = 0.0, 2.0
+    while student_two_sided(high, dof) > p and high < 1e12:
+        low, high = high, high * 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if student_two_sided(middle, dof) > p else (low, middle)
+    return (low + high) / 2

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,64 +127,6 @@ def flag_similar(distances: DataFrame, key: list[str], pre: Column, q: float = 0
     return distances.join(thr, key).withColumn("similar", F.col("distance") <= F.col("threshold"))
 
 
-def mixed_contrasts(df: DataFrame, by: list[str], y: str, g: str, p: str, subject: str) -> DataFrame:
-    """Pairwise group contrasts within each phase of ``y ~ g * p + (1 | subject)``, one REML fit per ``by``.
-
-    Spark reduces rows to (n, sum, sum of squares) per subject and cell; the fit sees one row per subject and cell. Inference is
-    asymptotic (normal). Columns ``by, phase, group_a, group_b, estimate, se, low, high, p_value``.
-    """
-    v = F.col(y).cast("double")
-    sums = df.groupBy(*by, subject, g, p).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-
-    def fit(pdf):
-        pdf = pdf[pdf["n"] > 0]
-        cells = sorted({(a, b) for a, b in zip(pdf[g], pdf[p])})
-        k = len(cells)
-        place = {c: i for i, c in enumerate(cells)}
-        at = np.array([place[c] for c in zip(pdf[g], pdf[p])], dtype=np.int64)
-        own, who = np.unique(pdf[subject].astype(str).to_numpy(), return_inverse=True)
-        n, s, ss = (pdf[c].to_numpy(dtype=float) for c in ("n", "s", "ss"))
-        total = n.sum()
-        x = np.zeros((len(own), k))  # rows of each subject and cell
-        np.add.at(x, (who, at), n)
-        t, m = np.bincount(who, s, len(own)), x.sum(1)
-
-        def state(ratio):
-            """Normal equations for variance ratio between/within, by Woodbury for all subjects."""
-            w = ratio / (1 + ratio * m)
-            a = np.diag(x.sum(0)) - (x * w[:, None]).T @ x
-            b = np.bincount(at, s, k) - x.T @ (w * t)
-            q = ss.sum() - float((w * t * t).sum())
-            beta = np.linalg.lstsq(a, b, rcond=None)[0]
-            sigma = max((q - b @ beta) / max(total - k, 1), 1e-12)
-            return (total - k) * np.log(sigma) + np.log1p(ratio * m).sum() + np.linalg.slogdet(a + 1e-12 * np.eye(k))[1], beta, sigma, a
-
-        grid = np.concatenate([[0.0], np.exp(np.linspace(-8, 6, 57))])
-        best = min(grid, key=lambda r: state(r)[0])
-        lo, hi = best * 0.75, best * 1.3
-        for _ in range(30 if best else 0):
-            m1, m2 = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
-            lo, hi = (lo, m2) if state(m1)[0] < state(m2)[0] else (m1, hi)
-        _, beta, sigma, a = state((lo + hi) / 2 if best else 0.0)
-        cov = sigma * np.linalg.pinv(a)
-        from math import erfc, sqrt
-
-        out = []
-        for phase in sorted({c[1] for c in cells}):
-            names = [c for c in cells if c[1] == phase]
-            for i, u in enumerate(names):
-                for w in names[i + 1 :]:
-                    c = np.zeros(k)
-                    c[cells.index(u)], c[cells.index(w)] = 1, -1
-                    e, se = float(c @ beta), float(np.sqrt(max(c @ cov @ c, 0)))
-                    out.append((*[pdf[x].iloc[0] for x in by], phase, u[0], w[0], e, se, e - 1.959964 * se, e + 1.959964 * se, erfc(abs(e / se) / sqrt(2)) if se > 0 else 1.0))
-        return pd.DataFrame(out, columns=[*by, "phase", "group_a", "group_b", "estimate", "se", "low", "high", "p_value"])
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in by) + f", phase {types[p]}, group_a {types[g]}, group_b {types[g]}, estimate double, se double, low double, high double, p_value double"
-    return sums.groupBy(by).applyInPandas(fit, schema)
-
-
 def grid_count(points: DataFrame, key: list[str], x: str = "x", y: str = "y", size: float = 300) -> DataFrame:
     return points.groupBy(*key, F.floor(F.col(x) / size).alias("ci"), (-F.ceil(F.col(y) / size)).alias("rj")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -202,8 +143,8 @@ def mirror_y(points: DataFrame, key: list[str], size: float = 300, y: str = "y")
     """Upside down about the centre of the grid cells that the key's points span, so the grid stays the same."""
     w = Window.partitionBy(key)
     row = -F.ceil(F.col(y) / size)
-    rows = points.withColumn("_twice", -size * (F.min(row).over(w) + F.max(row).over(w) + 1))
-    return rows.withColumn(y, F.col("_twice") - F.col(y)).drop("_twice")
+    middle = -size * (F.min(row).over(w) + F.max(row).over(w) + 1) / 2
+    return points.withColumn("_middle", middle).withColumn(y, F.col("_middle") + (F.col("_middle") - F.col(y))).drop("_middle")
 
 
 def mean_absent_zero(df: DataFrame, unit: str, by: list[str], cell: list[str], value: str, out: str = "mean") -> DataFrame:

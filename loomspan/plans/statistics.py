@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import mixed as X
 from ..operators import stats as H
 from .registry import query, recordings, rounded, table as T
 
@@ -12,6 +14,13 @@ def _li(s, d):
     return T(s, d, "lineitem").withColumn("day", F.datediff("l_shipdate", F.lit("1998-06-01").cast("date")))
 
 
+def _student(t: str, dof: str) -> str:
+    """SQL of the two-sided p-value: Simpson's rule over the angle whose tangent is t over the root of the degrees of freedom."""
+    angle = f"(atan(abs({t}) / sqrt({dof})) / 4000)"
+    area = f"list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({angle} * k), {dof} - 1)))"
+    return f"greatest(0, 1 - 2 * exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt(pi()) * {area} * {angle} / 3)"
+
+
 @query("h1_baseline_median", "WITH b AS (SELECT l_suppkey, median(l_quantity) AS m FROM lineitem WHERE l_shipdate < DATE '1998-06-01' GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, l.l_suppkey, l_quantity - m AS l_quantity FROM lineitem l JOIN b ON b.l_suppkey = l.l_suppkey")
 def _(s, d):
     return H.baseline(_li(s, d), ["l_suppkey"], "l_quantity", F.col("day") < 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -55,15 +64,15 @@ def _(s, d):
 @query(
     "h7_t_test",
     """WITH m AS (SELECT c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1)
-SELECT round(a.m, 6) AS mean_a, round(b.m, 6) AS mean_b, round(sqrt(a.v / a.n), 6) AS sem_a, round(sqrt(b.v / b.n), 6) AS sem_b, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)), 6) AS t, a.n + b.n - 2 AS dof FROM m a, m b WHERE a.g = 'BUILDING' AND b.g = 'MACHINERY'""",
+SELECT round(a.m, 6) AS mean_a, round(b.m, 6) AS mean_b, round(sqrt(a.v / a.n), 6) AS sem_a, round(sqrt(b.v / b.n), 6) AS sem_b, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)), 6) AS t, a.n + b.n - 2 AS dof, round({P}, 7) AS p_value FROM m a, m b WHERE a.g = 'BUILDING' AND b.g = 'MACHINERY'""".replace("{P}", _student("(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n))", "(a.n + b.n - 2)")),
 )
 def _(s, d):
-    return rounded(H.t_test(T(s, d, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY").drop("p_value"), "mean_a", "mean_b", "sem_a", "sem_b", "t", digits=6)
+    return rounded(H.t_test(T(s, d, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY").withColumn("p_value", F.round("p_value", 7)), "mean_a", "mean_b", "sem_a", "sem_b", "t", digits=6)
 
 
-@query("h8_spearman", "WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2.0 AS b FROM lineitem) SELECT l_suppkey, round(corr(a, b), 7) AS rho, count(*) AS n FROM r GROUP BY 1")
+@query("h8_spearman", "WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2.0 AS b FROM lineitem) SELECT l_suppkey, round(rho, 7) AS rho, n, round(" + _student("rho * sqrt((n - 2) / (1 - rho * rho))", "(n - 2)") + ", 7) AS p_value FROM (SELECT l_suppkey, corr(a, b) AS rho, count(*) AS n FROM r GROUP BY 1)")
 def _(s, d):
-    return rounded(H.spearman(T(s, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice").drop("p_value"), "rho")
+    return rounded(H.spearman(T(s, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice"), "rho", "p_value")
 
 
 @query("h9_pearson", "SELECT l_suppkey, round(corr(l_quantity, l_extendedprice), 7) AS r FROM lineitem GROUP BY 1")
@@ -93,10 +102,37 @@ def _(s, d):
     return rounded(H.bh_adjust(_p(s, d), "p").select("o_orderkey", "p_adjusted"), "p_adjusted", digits=9)
 
 
+def _units(s, d):
+    return T(s, d, "lineitem").select("l_linenumber", "l_suppkey", F.year("l_shipdate").alias("year"), "l_returnflag", "l_linestatus", (F.col("l_extendedprice") / 1000).alias("y"))
+
+
 @query("h12_mixed_contrasts")
 def _(s, d):
-    rows = T(s, d, "lineitem").select("l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", (F.col("l_extendedprice") / 1000).alias("y"))
-    return H.mixed_contrasts(rows, ["l_linenumber"], "y", "l_returnflag", "l_linestatus", "l_suppkey")
+    return X.mixed_contrasts(_units(s, d), ["l_linenumber"], "y", "l_returnflag", "l_linestatus", "l_suppkey")
+
+
+@query("h12_nested_contrasts")
+def _(s, d):
+    return X.mixed_contrasts(_units(s, d), ["l_linenumber"], "y", "l_returnflag", "l_linestatus", "l_suppkey", nested="year")
+
+
+@query("h12_additive_contrasts")
+def _(s, d):
+    return X.mixed_contrasts(_units(s, d), ["l_linenumber"], "y", "l_returnflag", "l_linestatus", "l_suppkey", nested="year", interaction=False)
+
+
+@query(
+    "h12_contrasts_without_subject_effect",
+    f"""WITH u AS (SELECT l_linenumber, l_returnflag AS g, l_linestatus AS p, l_extendedprice / 1000 - avg(l_extendedprice / 1000) OVER (PARTITION BY l_linenumber, l_suppkey) AS y FROM lineitem),
+c AS (SELECT l_linenumber, g, p, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM u GROUP BY 1, 2, 3),
+v AS (SELECT l_linenumber, sum(n) - count(*) AS dof, sum(w) / (sum(n) - count(*)) AS s FROM c GROUP BY 1),
+t AS (SELECT a.l_linenumber, a.p AS phase, a.g AS group_a, b.g AS group_b, a.m - b.m AS estimate, sqrt(s * (1 / a.n + 1 / b.n)) AS se, dof::DOUBLE AS dof FROM c a JOIN c b ON a.l_linenumber = b.l_linenumber AND a.p = b.p AND a.g < b.g JOIN v ON v.l_linenumber = a.l_linenumber)
+SELECT l_linenumber, phase, group_a, group_b, round(estimate, 6) AS estimate, round(se, 6) AS se, dof, round({_student("estimate / se", "dof")}, 6) AS p_value FROM t""",
+)
+def _(s, d):
+    # every supplier has the mean 0, so that REML finds no variance between suppliers and the fit is that of least squares
+    rows = _units(s, d).withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("l_linenumber", "l_suppkey")))
+    return rounded(X.mixed_contrasts(rows, ["l_linenumber"], "y", "l_returnflag", "l_linestatus", "l_suppkey").drop("low", "high"), "estimate", "se", "p_value", digits=6)
 
 
 @query("h13_bonferroni", f"SELECT o_orderkey, round(least(1.0, p * count(*) OVER (PARTITION BY g)), 7) AS p_adjusted FROM ({_P})")

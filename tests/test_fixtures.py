@@ -10,6 +10,7 @@ from loomspan.operators import epochs as E
 from loomspan.operators import glm as L
 from loomspan.operators import imaging as M
 from loomspan.operators import kernels
+from loomspan.operators import mixed as X
 from loomspan.operators import sessions as S
 from loomspan.operators import signal as G
 from loomspan.operators import stats as H
@@ -187,7 +188,7 @@ def test_mixed_contrast_without_subject_effect_is_difference_of_means(spark):
     rng = np.random.default_rng(5)
     rows = [("r", f"m{m}", "A" if m % 2 else "B", "p", float(rng.normal() + (m % 2))) for m in range(12) for _ in range(8)]
     df = spark.createDataFrame(rows, "roi string, mouse string, g string, p string, y double")
-    got = H.mixed_contrasts(df, ["roi"], "y", "g", "p", "mouse").collect()[0]
+    got = X.mixed_contrasts(df, ["roi"], "y", "g", "p", "mouse").collect()[0]
     a, b = ([r[4] for r in rows if r[2] == x] for x in "AB")
     assert abs(got.estimate - (np.mean(a) - np.mean(b))) < 0.05 and 0 <= got.p_value <= 1 and got.low < got.estimate < got.high
 
