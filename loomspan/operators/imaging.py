@@ -94,10 +94,22 @@ def spatial_process(frames: DataFrame, key: list[str], shape: tuple[int, int], s
     return frames.select(*key, "frame", "pixels", "motion", "session").mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*key, "frame"]) + ", pixels array<double>")
 
 
-def frames_to_pixels(frames: DataFrame, key: list[str]) -> DataFrame:
-    """Rows per pixel, ``series`` in frame order, from rows per frame (array ``pixels``)."""
-    long = frames.select(*key, "frame", F.posexplode("pixels").alias("pixel", "v"))
-    return long.groupBy(*key, "pixel").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("_s")).select(*key, "pixel", F.transform("_s", lambda x: x["v"]).alias("series"))
+def tiled(frames: DataFrame, key: list[str], tile: int = 64) -> DataFrame:
+    """``key, frame, tile, values``: the array ``pixels`` of each frame cut into arrays of ``tile`` pixels; an empty frame has none."""
+    size = F.size("pixels")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(size / tile).cast("int") - 1), lambda k: F.slice("pixels", k * tile + 1, tile))
+    return frames.where(size > 0).select(*key, "frame", F.posexplode(cut).alias("tile", "values"))
+
+
+def frames_to_pixels(frames: DataFrame, key: list[str], tile: int = 64) -> DataFrame:
+    """Rows per pixel, ``series`` in frame order, from rows per frame (array ``pixels``).
+
+    Tiles of frames are what is sent, so the shuffle has frames x tiles rows and not one for each pixel of each frame. A task turns a tile of all frames at a time.
+    """
+    whole = tiled(frames, key, tile).groupBy(*key, "tile").agg(F.array_sort(F.collect_list(F.struct("frame", "values"))).alias("_s"))
+    size = F.array_max(F.transform("_s", lambda x: F.size(x["values"])))
+    turned = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.transform(F.filter("_s", lambda x: F.size(x["values"]) > k), lambda x: x["values"][k]))
+    return whole.select(*key, "tile", F.posexplode(turned).alias("_k", "series")).select(*key, (F.col("tile") * tile + F.col("_k")).alias("pixel"), "series")
 
 
 def temporal_process(pixels: DataFrame, key: list[str], fs: float = 20.0, fcutoff: float | None = 0.1, sigma: float | None = 1.0, order: int = 2, padlen: int | None = None) -> DataFrame:

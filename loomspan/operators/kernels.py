@@ -37,38 +37,73 @@ def peaks(v: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarr
     return np.array(out, dtype=int)
 
 
+def butterworth(fs: float, cutoff: float, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections (b, a without its leading 1) of a Butterworth high-pass; an odd order ends in one of first order."""
+    k, sections = np.tan(np.pi * cutoff / fs), []
+    for i in range(order // 2):
+        damping = 2 * np.sin((2 * i + 1) * np.pi / (2 * order))
+        d = 1 + damping * k + k * k
+        sections.append((np.array([1.0, -2.0, 1.0]) / d, np.array([2 * (k * k - 1), 1 - damping * k + k * k]) / d))
+    if order % 2:
+        sections.append((np.array([1.0, -1.0, 0.0]) / (1 + k), np.array([k - 1, 0.0]) / (1 + k)))
+    return sections
+
+
+def settled(sections: list) -> np.ndarray:
+    """The states in which a constant 1 leaves the sections: no constant passes the first, so the others are at rest."""
+    b, a = sections[0]
+    out = np.zeros((len(sections), 2))
+    out[0] = np.linalg.solve(np.array([[1 + a[0], -1.0], [a[1], 1.0]]), b[1:] - a * b[0])
+    return out
+
+
+def through(sections: list, x: np.ndarray, state: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """One series, or the columns of several (time first), through the sections from a state (sections x 2, or x 2 x columns), and the state after it.
+
+    A section is linear: in a block of samples the output is a fixed matrix times the input plus what the state at its start leaves, so only the states go from block to block one by one.
+    """
+    flat = x.ndim == 1
+    s, ends = np.asarray(x, dtype=float).reshape(len(x), -1), []
+    for (b, a), z in zip(sections, state):
+        step, drive = np.array([[-a[0], 1.0], [-a[1], 0.0]]), np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
+        powers = [np.eye(2)]
+        for _ in range(min(block, max(len(s), 1))):
+            powers.append(step @ powers[-1])
+        z, out = z.reshape(2, -1) * np.ones((1, s.shape[1])), np.empty_like(s)
+        for start in range(0, len(s), block):
+            u = s[start : start + block]
+            n = len(u)
+            if start == 0 or n != held:
+                held, pulse = n, np.array([b[0], *[(p @ drive)[0] for p in powers[: n - 1]]])
+                reply = np.where(np.subtract.outer(np.arange(n), np.arange(n)) >= 0, pulse[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))], 0.0)
+                free, push = np.stack([p[0] for p in powers[:n]]), np.stack([p @ drive for p in powers[:n][::-1]], 1)
+            out[start : start + block] = reply @ u + free @ z
+            z = powers[n] @ z + push @ u
+        s = out
+        ends.append(z[:, 0] if flat else z)
+    return s[:, 0] if flat else s, np.array(ends)
+
+
 def highpass(x: np.ndarray, fs: float, cutoff: float, order: int = 2, padlen: int | None = None) -> np.ndarray:
     """Butterworth high-pass along the last axis, forward and backward, for all series at once; ends extended oddly, state settled.
 
     ``padlen`` is the length of the extension, by default three times ``order + 1``; series too short for it get a shorter one.
     """
-    k, n = np.tan(np.pi * cutoff / fs), x.shape[-1]
+    n = x.shape[-1]
     if n < 2:
         return np.zeros(x.shape)
-    sections = []
-    for i in range(order // 2):
-        damping = 2 * np.sin((2 * i + 1) * np.pi / (2 * order))
-        d = 1 + damping * k + k * k
-        sections.append((np.array([1.0, -2.0, 1.0]) / d, np.array([2 * (k * k - 1), 1 - damping * k + k * k]) / d))
-    if order % 2:
-        sections.append((np.array([1.0, -1.0, 0.0]) / (1 + k), np.array([k - 1, 0.0]) / (1 + k)))
-    pad = min(3 * (order + 1) if padlen is None else padlen, n - 1)
+    sections, pad = butterworth(fs, cutoff, order), extension(n, order, padlen)
     x = np.moveaxis(np.asarray(x, dtype=float), -1, 0)
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-
-    def run(s: np.ndarray) -> np.ndarray:
-        for i, (b, a) in enumerate(sections):
-            settled = np.linalg.solve(np.array([[1 + a[0], -1.0], [a[1], 1.0]]), b[1:] - a * b[0]) * (i == 0)  # no constant passes the first
-            z0, z1 = settled[0] * s[0], settled[1] * s[0]
-            y = np.empty_like(s)
-            for j, u in enumerate(s):
-                y[j] = b[0] * u + z0
-                z0 = b[1] * u - a[0] * y[j] + z1
-                z1 = b[2] * u - a[1] * y[j]
-            s = y
-        return s
-
-    return np.moveaxis(run(run(ext)[::-1])[::-1][pad : pad + n], 0, -1)
+    shape, x = x.shape, x.reshape(n, -1)
+    s = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    for _ in range(2):
+        s = through(sections, s, settled(sections)[:, :, None] * s[0])[0][::-1]
+    return np.moveaxis(s[pad : pad + n].reshape(shape), 0, -1)
+
+
+def extension(n: int, order: int, padlen: int | None) -> int:
+    """Samples that each end of a series of ``n`` gets."""
+    return min(3 * (order + 1) if padlen is None else padlen, n - 1)
 
 
 def gauss(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:

@@ -359,38 +359,3 @@ def gauss_taps(sigma: float, truncate: float = 4.0) -> list[float]:
     r = int(truncate * sigma + 0.5)
     g = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
     return [x / sum(g) for x in g]
-
-
-def gauss1d(df: DataFrame, key: list[str], index: str, column: str, sigma: float, out: str) -> DataFrame:
-    """Gaussian smoothing with mirrored ends (the end sample repeated): taps are exploded and joined on the mirrored index.
-
-    ``index`` counts from 0 without gaps.
-    """
-    taps = gauss_taps(sigma)
-    half = len(taps) // 2
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    rows = df.withColumn("_n", n)
-    tap = F.posexplode(F.lit(taps)).alias("_k", "_c")
-    shifted = rows.select(*key, index, "_n", tap).withColumn("_j", F.col(index) + F.col("_k") - half)
-    period = 2 * F.col("_n")
-    j = F.pmod(F.col("_j"), period)
-    shifted = shifted.withColumn("_j", F.when(j >= F.col("_n"), period - 1 - j).otherwise(j))
-    value = df.select(*key, F.col(index).alias("_j"), F.col(column).alias("_v"))
-    smooth = shifted.join(value, [*key, "_j"]).groupBy(*key, index).agg(F.sum(F.col("_c") * F.col("_v")).alias(out))
-    return df.join(smooth, [*key, index])
-
-
-def temporal_filter(df: DataFrame, key: list[str], index: str, column: str, fs: float = 20.0, fcutoff: float | None = 0.1, sigma: float = 0.0, out: str = "filtered", order: int = 2, padlen: int | None = None) -> DataFrame:
-    """Zero-phase high-pass per series (forward and backward; none without ``fcutoff``), the mean removed before and put back after."""
-    from .kernels import gauss, highpass
-
-    def run(pdf):
-        pdf = pdf.sort_values(index)
-        v = pdf[column].to_numpy(dtype=float)
-        m = v.mean()
-        f = highpass(v - m, fs, fcutoff, order, padlen) if fcutoff is not None else v - m
-        pdf[out] = (gauss(f, sigma) if sigma else f) + m
-        return pdf
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{out}` double"
-    return df.groupBy(key).applyInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import imaging as M
+from ..operators.signal import gauss_taps
 from .registry import query, rounded, table as T
 
 _PIX = "pix AS (SELECT vec_id, label, p - 1 AS pixel, embedding[p]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS p))"
@@ -91,6 +92,18 @@ def _(s, d):
     return M.temporal_process(M.frames_to_pixels(f, ["label"]), ["label"])
 
 
+@query(
+    "e9_smoothed",
+    f"""WITH {_PIX}, e AS (SELECT label, pixel, v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY label, pixel) AS n FROM pix WINDOW w AS (PARTITION BY label, pixel ORDER BY vec_id)),
+j AS (SELECT label, pixel, i, n, c, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS q FROM e, (VALUES {", ".join(f"({k - 4}, {c!r})" for k, c in enumerate(gauss_taps(1.0)))}) v(k, c))
+SELECT j.label, j.pixel, j.i, round(sum(c * b.v), 7) AS v FROM j JOIN e b ON b.label = j.label AND b.pixel = j.pixel AND b.i = CASE WHEN q >= n THEN 2 * n - 1 - q ELSE q END GROUP BY ALL""",
+)
+def _(s, d):
+    f = frames(s, d).select(F.col("vec_id").alias("frame"), "label", "pixels")
+    smooth = M.temporal_process(M.frames_to_pixels(f, ["label"], tile=16), ["label"], fcutoff=None, sigma=1.0)
+    return rounded(smooth.select("label", "pixel", F.posexplode("series").alias("i", "v")), "v")
+
+
 _PAIR = "pr AS (SELECT vec_id, label, i - 1 AS pixel, embedding[i]::DOUBLE AS v, embedding[(i % 64) + 1]::DOUBLE AS uv, embedding[((i + 6) % 64) + 1]::DOUBLE AS bg FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chunks as N
+from ..operators import kernels
 from ..operators import signal as G
 from .registry import query, recordings, rounded
 
@@ -182,13 +184,13 @@ _LENGTH = "sqrt(pow({0}x, 2) + pow({0}y, 2))"
     "d19_limb_features",
     f"""WITH m AS (SELECT user_id, count(*) AS n, list(value ORDER BY i)[1:7] AS first, list(value ORDER BY i)[-7:] AS last FROM {{events}} GROUP BY 1),
 r AS (SELECT *, {_SG} AS mid FROM {{events}} WINDOW w AS (PARTITION BY user_id ORDER BY i)),
-a AS (SELECT event_id, user_id, i, CASE {_HEAD} {_TAIL} ELSE mid END AS x, (CASE {_HEAD} {_TAIL} ELSE mid END) / 4 + 1 AS y FROM r JOIN m USING (user_id)),
+a AS (SELECT event_id, user_id, i, CASE {_HEAD} {_TAIL} ELSE mid END AS x, (CASE {_HEAD} {_TAIL} ELSE mid END) / 3.7 + 1 AS y FROM r JOIN m USING (user_id)),
 v AS (SELECT *, {_GRAD.format("x")} AS vx, {_GRAD.format("y")} AS vy FROM a WINDOW w AS (PARTITION BY user_id ORDER BY i)),
 c AS (SELECT *, {_GRAD.format("vx")} AS ax, {_GRAD.format("vy")} AS ay, x - 50 AS dx, y - 20 AS dy FROM v WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT event_id, {", ".join(f"round({e}, 6) AS {n}" for e, n in zip(["dx", "dy", _LENGTH.format("d"), "vx", "vy", _LENGTH.format("v"), "ax", "ay", _LENGTH.format("a")], _LIMB))} FROM c""",
 )
 def _(s, d):
-    e = recordings(s, d).withColumns({"x": F.col("value"), "y": F.col("value") / 4 + 1, "ax": F.lit(50.0), "ay": F.lit(20.0)})
+    e = recordings(s, d).withColumns({"x": F.col("value"), "y": F.col("value") / 3.7 + 1, "ax": F.lit(50.0), "ay": F.lit(20.0)})
     return rounded(G.limb_features(e, "ax", "ay", K, I, window=7).select("event_id", *_LIMB), *_LIMB, digits=6)
 
 
@@ -266,9 +268,33 @@ j AS (SELECT event_id, user_id, c, n, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS q
 SELECT j.event_id, round(sum(j.c * b.value), 7) AS smooth FROM j JOIN {{events}} b ON b.user_id = j.user_id AND b.i = CASE WHEN q >= n THEN 2 * n - 1 - q ELSE q END GROUP BY 1""",
 )
 def _(s, d):
-    return rounded(G.gauss1d(recordings(s, d), K, "i", "value", 1.0, "smooth").select("event_id", "smooth"), "smooth")
+    return rounded(N.gauss1d(recordings(s, d), K, "i", "value", 1.0, "smooth").select("event_id", "smooth"), "smooth")
 
 
-@query("d46_temporal_filter")
+(_B, _A), _S = kernels.butterworth(20.0, 0.1, 2)[0], kernels.settled(kernels.butterworth(20.0, 0.1, 2))[0]
+
+
+def _pass(name: str, rows: str) -> str:
+    """SQL of one pass of the filter over ``rows`` (user_id, j from 0, u): sample after sample, all users at once."""
+    step = lambda z0, z1: f"{float(_B[0])!r} * u + {z0} AS y, {float(_B[1])!r} * u - {float(_A[0])!r} * ({float(_B[0])!r} * u + {z0}) + {z1} AS z0, {float(_B[2])!r} * u - {float(_A[1])!r} * ({float(_B[0])!r} * u + {z0}) AS z1"
+    first = step(f"{float(_S[0])!r} * u", f"{float(_S[1])!r} * u")
+    return f"{name} AS (SELECT user_id, j, {first} FROM {rows} WHERE j = 0 UNION ALL SELECT r.user_id, r.j, {step('z0', 'z1')} FROM {name} f JOIN {rows} r ON r.user_id = f.user_id AND r.j = f.j + 1)"
+
+
+@query(
+    "d46_temporal_filter",
+    f"""WITH RECURSIVE e AS (SELECT *, count(*) OVER w AS n, least(9, count(*) OVER w - 1) AS p, first(value) OVER (w ORDER BY i) AS v0, last(value) OVER (w ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v1, avg(value) OVER w AS m
+  FROM {{events}} WINDOW w AS (PARTITION BY user_id)),
+x AS (SELECT user_id, i + p AS j, value - m AS u FROM e UNION ALL SELECT user_id, p - i, 2 * v0 - value - m FROM e WHERE i BETWEEN 1 AND p UNION ALL SELECT user_id, p + 2 * (n - 1) - i, 2 * v1 - value - m FROM e WHERE i BETWEEN n - 1 - p AND n - 2),
+{_pass("ahead", "x")},
+turned AS (SELECT user_id, max(j) OVER (PARTITION BY user_id) - j AS j, y AS u FROM ahead),
+{_pass("back", "turned")}
+SELECT e.event_id, e.user_id, round(CASE WHEN n < 2 THEN value ELSE b.y + m END, 6) AS filtered FROM e JOIN back b ON b.user_id = e.user_id AND b.j = n + p - 1 - i""",
+)
+def _(s, d):
+    return rounded(N.temporal_filter(recordings(s, d).select("event_id", "user_id", "i", "value"), K, "i", "value", fs=20.0, fcutoff=0.1).select("event_id", "user_id", "filtered"), "filtered", digits=6)
+
+
+@query("d46_filter_and_smooth")
 def _(s, d):
-    return G.temporal_filter(recordings(s, d).select("event_id", "user_id", "i", "value"), K, "i", "value", fs=20.0, fcutoff=0.1, sigma=1.0).drop("i")
+    return N.temporal_filter(recordings(s, d).select("event_id", "user_id", "i", "value"), K, "i", "value", fs=20.0, fcutoff=0.1, sigma=1.0).drop("i", "value")

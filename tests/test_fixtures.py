@@ -101,12 +101,6 @@ def test_savgol_keeps_a_parabola(spark):
     assert np.allclose(column(G.savgol(series(spark, v), ["k"], ["i"], "v", 7, 2, "s"), "s"), v)
 
 
-def test_gauss_matches_kernel(spark):
-    v = np.random.default_rng(0).normal(size=25)
-    got = column(G.gauss1d(series(spark, v.tolist()), ["k"], "i", "v", 1.5, "s"), "s")
-    assert np.allclose(got, kernels.gauss(v, 1.5))
-
-
 def test_peaks():
     v = np.array([0, 1, 0, 3, 3, 0, 2, 0, 5, 0], float)
     assert kernels.peaks(v).tolist() == [1, 3, 6, 8]
@@ -145,6 +139,18 @@ def test_ridge_equals_direct_solution(spark):
         assert np.isclose(fit["r2"][f], 1 - ((own - pred) ** 2).sum() / ((own - own.mean(0)) ** 2).sum())
 
 
+@pytest.mark.parametrize("tile", [1, 4, 5, 100])
+def test_frames_to_pixels_moves_tiles(spark, tile):
+    rng = np.random.default_rng(tile)
+    rows = [(k, f, rng.normal(size=11).tolist()) for k in ("a", "b") for f in range(6)]
+    frames = spark.createDataFrame(rows, "k string, frame int, pixels array<double>").repartition(3)
+    out = M.frames_to_pixels(frames, ["k"], tile)
+    got = {(r.k, r.pixel): list(r.series) for r in out.collect()}
+    assert got == {(k, p): [v[p] for k2, _, v in rows if k2 == k] for k in ("a", "b") for p in range(11)}
+    assert M.tiled(frames, ["k"], tile).count() == len(rows) * -(-11 // tile)
+    assert M.frames_to_pixels(frames.where("false"), ["k"]).count() == 0
+
+
 def test_svd_projector(spark):
     x = np.random.default_rng(4).normal(size=(60, 6))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, a array<double>")
