@@ -94,9 +94,9 @@ def _(s, d):
 
 @query(
     "e9_smoothed",
-    f"""WITH {_PIX}, e AS (SELECT label, pixel, v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY label, pixel) AS n FROM pix WINDOW w AS (PARTITION BY label, pixel ORDER BY vec_id)),
+    f"""WITH {_PIX}, e AS (SELECT label, pixel, v, row_number() OVER (PARTITION BY label, pixel ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label, pixel) AS n FROM pix),
 j AS (SELECT label, pixel, i, n, c, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS q FROM e, (VALUES {", ".join(f"({k - 4}, {c!r})" for k, c in enumerate(gauss_taps(1.0)))}) v(k, c))
-SELECT j.label, j.pixel, j.i, round(sum(c * b.v), 7) AS v FROM j JOIN e b ON b.label = j.label AND b.pixel = j.pixel AND b.i = CASE WHEN q >= n THEN 2 * n - 1 - q ELSE q END GROUP BY ALL""",
+SELECT j.label, j.pixel, j.i, round(sum(j.c * b.v), 7) AS v FROM j JOIN e b ON b.label = j.label AND b.pixel = j.pixel AND b.i = CASE WHEN q >= j.n THEN 2 * j.n - 1 - q ELSE q END GROUP BY ALL""",
 )
 def _(s, d):
     f = frames(s, d).select(F.col("vec_id").alias("frame"), "label", "pixels")
