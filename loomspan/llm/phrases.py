@@ -30,7 +30,7 @@ END = b"\xff"  # a byte that UTF-8 never has stands for the end of a piece
 _SIGNS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_SIGNS + b"\t" + bytes(range(65, 91)), END * len(_SIGNS) + b" " + bytes(range(97, 123)))
 STRETCH = 1 << 20  # bytes of a text that are words at a time
-FULL = 3_000_000  # words that a task counts at a time
+FULL = 5_000_000  # words that a task counts at a time
 
 
 class _Numbers(dict):
@@ -74,12 +74,12 @@ class _Buffer:
             end = data.find(b" ", at + STRETCH)
             end = len(data) if end < 0 else end
             words = data[at:end].split()
-            self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+            self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
             self.size += len(words)
             at = end
 
     def end(self) -> None:
-        self.parts.append(np.zeros(1, np.int64))
+        self.parts.append(np.zeros(1, np.int32))
 
     def take(self, carry: int) -> tuple[np.ndarray, list[bytes]]:
         """All words so far; the last ``carry`` of them stay, so that phrases over the border are counted with the next ones."""
@@ -87,7 +87,7 @@ class _Buffer:
         tail = out[0][len(out[0]) - carry :] if carry else out[0][:0]
         if len(self.numbers) > 1_000_000:
             self.numbers = _Numbers()
-            tail = np.array([self.numbers[out[1][k]] for k in tail], np.int64)
+            tail = np.array([self.numbers[out[1][k]] for k in tail], np.int32)
         self.parts, self.size = [tail], 0
         return out
 
@@ -96,16 +96,16 @@ def _stripes(lang: str, ids: np.ndarray, words: list[bytes], length: int, bitmap
     """Stripes of the prefixes of ``length`` words: ``key, lang, prefix, nexts, counts``."""
     hashes = _word_hashes(words)
     if length:
-        start = np.flatnonzero(_windows(ids > 0, length))
+        start = np.flatnonzero(_windows(ids > 0, length)).astype(np.int32)
         start = start[_known(_phrase_hashes(lang, [hashes[ids[start + j]] for j in range(length)]), bitmap)]
         good = np.zeros(len(ids) + 1, bool)
         good[start] = True
-        start = np.flatnonzero(good[:-1] & good[1:])  # the first and the last words of the phrase are known
+        start = np.flatnonzero(good[:-1] & good[1:]).astype(np.int32)  # the first and the last words of the phrase are known
     else:
         start = np.flatnonzero(ids)
     if not len(start):
         return None
-    code, width = ids[start], len(words)
+    code, width = ids[start].astype(np.int64), len(words)
     top = width
     for j in range(1, length + 1):
         if top > 2**62 // width:
