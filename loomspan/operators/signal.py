@@ -308,31 +308,6 @@ def segment(df: DataFrame, key: list[str], order: list, frame: str, t: str, flag
     return out.withColumn("epoch_id", F.row_number().over(_w(key, ["start_frame"])) - 1).drop("run_id")
 
 
-def split_at_minima(df: DataFrame, epochs: DataFrame, key: list[str], frame: str, value: str, distance: int, prominence: float) -> DataFrame:
-    """Sub-epochs between local minima of each epoch: ``key, epoch_id, sub_epoch_id, global_id, start_frame, end_frame``.
-
-    One group per epoch goes through the peak kernel; an epoch is bounded by its recording.
-    """
-    from .kernels import peaks
-
-    from .epochs import within
-
-    inside = within(df, epochs, key, frame, "start_frame", "end_frame", closed="left")
-
-    def cut(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(frame)
-        f, v = pdf[frame].to_numpy(), pdf[value].to_numpy(dtype=float)
-        at = [0, *[int(i) for i in peaks(-v, distance, prominence)], len(v) - 1]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in [*key, "epoch_id"]}, "sub_epoch_id": range(len(at) - 1), "start_frame": f[at[:-1]], "end_frame": f[at[1:]]})
-
-    types = dict(inside.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*key, "epoch_id"]) + f", sub_epoch_id int, start_frame {types[frame]}, end_frame {types[frame]}"
-    out = inside.groupBy(*key, "epoch_id").applyInPandas(cut, schema)
-    return out.withColumn("global_id", F.row_number().over(_w(key, ["epoch_id", "sub_epoch_id"])) - 1)
-
-
 def occupancy(points: DataFrame, bounds: DataFrame, key: list[str], frame: str, x: str = "x", left: float = 100, right: float = 60) -> DataFrame:
     """Labels left of, right of and inside the zone around ``bounds.x`` in each frame."""
     b = bounds.select(*key, (F.col(x) - left).cast("int").alias("_l"), (F.col(x) + right).cast("int").alias("_r"))

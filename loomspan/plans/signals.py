@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as N
 from ..operators import kernels
+from ..operators import peaks as Q
 from ..operators import signal as G
 from .registry import query, recordings, rounded
 
@@ -233,11 +234,38 @@ def _(s, d):
     return epochs(s, d)
 
 
+_RUNS = """e AS (SELECT user_id, i, -value AS x FROM {events}),
+g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS c FROM e)),
+r AS (SELECT user_id, min(i) AS a, max(i) AS b, any_value(x) AS x FROM g GROUP BY user_id, run),
+pk AS (SELECT user_id, (a + b) // 2 AS pos, x FROM (SELECT *, lag(x) OVER w AS u, lead(x) OVER w AS v FROM r WINDOW w AS (PARTITION BY user_id ORDER BY a)) WHERE u < x AND v < x),
+lo AS (SELECT p.user_id, p.pos, max(h.i) AS h FROM pk p LEFT JOIN e h ON h.user_id = p.user_id AND h.i < p.pos AND h.x > p.x GROUP BY 1, 2),
+hi AS (SELECT p.user_id, p.pos, min(h.i) AS h FROM pk p LEFT JOIN e h ON h.user_id = p.user_id AND h.i > p.pos AND h.x > p.x GROUP BY 1, 2),
+pr AS (SELECT p.user_id, p.pos, any_value(p.x) AS x, any_value(p.x) - greatest(min(e.x) FILTER (e.i <= p.pos), min(e.x) FILTER (e.i >= p.pos)) AS prominence
+  FROM pk p JOIN lo ON lo.user_id = p.user_id AND lo.pos = p.pos JOIN hi ON hi.user_id = p.user_id AND hi.pos = p.pos JOIN e ON e.user_id = p.user_id AND e.i > coalesce(lo.h, -1) AND e.i < coalesce(hi.h, 1e9) GROUP BY 1, 2)"""
+
+
+@query("d23_minima", "WITH " + _RUNS + " SELECT user_id, pos AS i, round(x, 7) AS height, round(prominence, 7) AS prominence FROM pr")
+def _(s, d):
+    e = recordings(s, d).select("user_id", "i", (-F.col("value")).alias("v"))
+    return rounded(Q.find_peaks(e, K, "i", "v", samples=16).select("user_id", F.col("frame").alias("i"), "height", "prominence"), "height", "prominence")
+
+
+@query(
+    "d23_split",
+    "WITH " + _RUNS + ", c AS (SELECT user_id, 1 AS s, pos AS i FROM pr WHERE prominence >= 20 UNION ALL SELECT user_id, 0, min(i) FROM e GROUP BY 1 UNION ALL SELECT user_id, 2, max(i) FROM e GROUP BY 1) "
+    "SELECT user_id, row_number() OVER w - 1 AS sub_epoch_id, i AS start_frame, lead(i) OVER w AS end_frame FROM c WINDOW w AS (PARTITION BY user_id ORDER BY s, i) QUALIFY end_frame IS NOT NULL",
+)
+def _(s, d):
+    return Q.split_at_minima(recordings(s, d).select("user_id", "i", "value"), _whole(s, d), K, "i", "value", distance=1, prominence=20.0).select("user_id", "sub_epoch_id", "start_frame", "end_frame")
+
+
+def _whole(s, d):
+    return recordings(s, d).groupBy(K).agg(F.lit(0).alias("epoch_id"), F.min("i").alias("start_frame"), (F.max("i") + 1).alias("end_frame"))
+
+
 @query("d23_sub_epochs")
 def _(s, d):
-    e = recordings(s, d)
-    whole = e.groupBy(K).agg(F.lit(0).alias("epoch_id"), F.min("i").alias("start_frame"), (F.max("i") + 1).alias("end_frame"))
-    return G.split_at_minima(e.select("user_id", "i", "value"), whole, K, "i", "value", distance=3, prominence=20.0)
+    return Q.split_at_minima(recordings(s, d).select("user_id", "i", "value"), _whole(s, d), K, "i", "value", distance=3, prominence=20.0)
 
 
 @query("d26_occupancy", "SELECT user_id, i // 10 AS frame, count(*) FILTER (value < CAST(trunc(55 - 20) AS INT)) AS n_left, count(*) FILTER (value > CAST(trunc(55 + 15) AS INT)) AS n_right, count(*) FILTER (value BETWEEN 35 AND 70) AS n_in FROM {events} GROUP BY 1, 2")
