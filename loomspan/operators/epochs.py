@@ -1,38 +1,43 @@
 """Intervals over time series: membership, classification, summaries and event-aligned windows.
 
-Range joins carry the recording key and a bucket of the ordered column as equalities: an interval goes to each bucket that it
-touches and a sample to its own, so a pair meets once and no nested loop over a recording is planned.
+Range joins are equi-joins on nodes of dyadic grids. An interval goes to the grid whose cells are as wide as it is or up to twice as wide, and there touches two cells at most; a sample goes to its own cell of each grid
+that some interval is in, at most one for each power of two between the shortest and the longest interval. A pair meets in one cell and cells are as narrow as the intervals are, in seconds or frames, so no width has to be chosen
+and no nested loop over a recording is planned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FINEST = -20  # the grid of 2 ** -20: intervals shorter than that share it
 
-def _bucketed(samples: DataFrame, intervals: DataFrame, on: str, start: str, end: str, bucket: float) -> tuple[DataFrame, DataFrame]:
-    s = samples.withColumn("_b", F.floor(F.col(on) / bucket))
-    spread = F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)))
-    return s, intervals.where(F.col(start) <= F.col(end)).withColumn("_b", spread)
 
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x.cast("double") / F.pow(F.lit(2.0), level))
 
-def within(samples: DataFrame, intervals: DataFrame, key: list[str], on: str, start: str, end: str, closed: str = "both", bucket: float = 1024.0, how: str = "inner") -> DataFrame:
+
+def placed(samples: DataFrame, intervals: DataFrame, on: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_level`` and ``_cell``, their rows repeated for each of their cells; intervals that end before they start, or have a null end, are left out."""
+    length = (F.col(end) - F.col(start)).cast("double")
+    level = F.greatest(F.lit(FINEST), F.coalesce(F.ceil(F.log2(length)), F.lit(FINEST))).cast("int")
+    cells = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", level)
+    levels = F.broadcast(cells.agg(F.collect_set("_level").alias("_levels")))  # one row, of no more levels than a double has exponents
+    cells = cells.withColumn("_cell", F.explode(F.sequence(_cell(F.col(start), F.col("_level")), _cell(F.col(end), F.col("_level")))))
+    own = samples.where(F.col(on).isNotNull()).crossJoin(levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+    return own.withColumn("_cell", _cell(F.col(on), F.col("_level"))), cells
+
+
+def within(samples: DataFrame, intervals: DataFrame, key: list[str], on: str, start: str, end: str, closed: str = "both") -> DataFrame:
     """Pairs of a sample and an interval that holds it; ``closed`` is both, left or right."""
-    s, i = _bucketed(samples, intervals, on, start, end, bucket)
-    low = F.col(on) >= F.col(start) if closed in ("both", "left") else F.col(on) > F.col(start)
-    high = F.col(on) <= F.col(end) if closed in ("both", "right") else F.col(on) < F.col(end)
-    a, b = s.alias("s"), i.alias("i")
-    equal = [F.col(f"s.{k}") == F.col(f"i.{k}") for k in [*key, "_b"]]
-    cond = equal[0]
-    for e in equal[1:]:
-        cond = cond & e
     shared = set(samples.columns) & set(intervals.columns) - set(key)
     if shared:
         raise ValueError(f"columns of both sides: {sorted(shared)}")
-    out = a.join(b, cond & low & high, how)
-    if how in ("left_semi", "left_anti"):
-        return out.select(*samples.columns)
-    return out.select(*[F.col(f"s.{c}") for c in samples.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in key])
+    s, i = placed(samples, intervals, on, start, end)
+    low = F.col(on) >= F.col(start) if closed in ("both", "left") else F.col(on) > F.col(start)
+    high = F.col(on) <= F.col(end) if closed in ("both", "right") else F.col(on) < F.col(end)
+    out = s.join(i, [*key, "_level", "_cell"]).where(low & high)
+    return out.select(*samples.columns, *[c for c in intervals.columns if c not in key])
 
 
 def interval_mask(samples: DataFrame, intervals: DataFrame, key: list[str], on: str, start: str, end: str, out: str = "inside", closed: str = "both") -> DataFrame:

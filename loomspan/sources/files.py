@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of ``scratch`` and read from there, so that what follows does not compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_event_log(spark: SparkSession, path: str, keys: str = "user_id long") -> DataFrame:
     """CSV without header: key columns, time, event name."""
     return spark.read.schema(f"{keys}, t double, event string").csv(path)
