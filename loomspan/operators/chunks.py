@@ -6,7 +6,7 @@ Series are in long form, ``index`` counting from 0 without gaps within a key. A
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,24 @@ def _schema(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in names)
 
 
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """Dealt by the columns of a group, into as many parts as the session shuffles to: small tables of many short series keep all cores busy."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def ordered(table: pa.Table, column: str) -> pa.Table:
+    return table.take(pa.array(np.argsort(table.column(column).to_numpy(), kind="stable")))
+
+
+def numbers(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype(float)
+
+
+def with_key(table: pa.Table, key: list[str], columns: dict) -> pa.Table:
+    """One row of the group's key and the given values."""
+    return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, **{c: v if isinstance(v, pa.Array) else pa.array([v]) for c, v in columns.items()}})
+
+
 def gauss1d(df: DataFrame, key: list[str], index: str, column: str, sigma: float, out: str, samples: int = SAMPLES, counted: DataFrame | None = None) -> DataFrame:
     """Gaussian smoothing with mirrored ends (the end sample repeated). ``counted``: a cheaper table with the same rows, to count.
 
@@ -38,13 +56,13 @@ def gauss1d(df: DataFrame, key: list[str], index: str, column: str, sigma: float
     taps /= taps.sum()
     names = df.columns
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p")
-        own = pdf.loc[pdf["_own"], names]
-        own[out] = np.convolve(pdf[column].to_numpy(dtype=float), taps, "valid")
-        return own
+    def smooth(table: pa.Table) -> pa.Table:
+        table = ordered(table, "_p")
+        own = table.filter(table.column("_own")).select(names)
+        return own.append_column(out, pa.array(np.convolve(numbers(table, column), taps, "valid")))
 
-    return rows.select(*df.columns, "_p", "_chunk", "_own").groupBy(*key, "_chunk").applyInPandas(smooth, _schema(df, df.columns) + f", `{out}` double")
+    by = [*key, "_chunk"]
+    return dealt(rows.select(*df.columns, "_p", "_chunk", "_own"), by).groupBy(by).applyInArrow(smooth, _schema(df, df.columns) + f", `{out}` double")
 
 
 def temporal_filter(df: DataFrame, key: list[str], index: str, column: str, fs: float = 20.0, fcutoff: float | None = 0.1, sigma: float = 0.0, out: str = "filtered", order: int = 2, padlen: int | None = None, samples: int = SAMPLES) -> DataFrame:
@@ -66,32 +84,33 @@ def temporal_filter(df: DataFrame, key: list[str], index: str, column: str, fs:
 def _highpass(df: DataFrame, key: list[str], index: str, column: str, sections: list, out: str, order: int, padlen: int | None, samples: int) -> DataFrame:
     m, most = 2 * len(sections), 3 * (order + 1) if padlen is None else padlen
     rest, names = np.zeros((len(sections), 2)), df.columns
-    rows = df.withColumn("_chunk", F.floor(F.col(index) / samples))
+    by = [*key, "_chunk"]
+    rows = dealt(df.withColumn("_chunk", F.floor(F.col(index) / samples)), by)
 
     def backward(y: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, state = kernels.through(sections, y[::-1], state)
         return y[::-1], state
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(index)[column].to_numpy(dtype=float)
+    def summary(table: pa.Table) -> pa.Table:
+        x = numbers(ordered(table, index), column)
         y, after = kernels.through(sections, x, rest)
-        own = {"_n": len(x), "_sum": x.sum(), "_after": [after.ravel()], "_before": [backward(y, rest)[1].ravel()], "_head": [x[: most + 1]], "_tail": [x[-most - 1 :]]}
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in [*key, "_chunk"]}, **own})
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        n = int(pdf["_n"].sum())
-        mean = pdf["_sum"].sum() / n
-        found = pdf[[*key, "_chunk"]].assign(_mean=mean, _forward=None, _backward=None)
+        own = {"_n": len(x), "_sum": x.sum(), "_after": after.ravel(), "_before": backward(y, rest)[1].ravel(), "_head": x[: most + 1], "_tail": x[-most - 1 :]}
+        return with_key(table, by, own)
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = ordered(table, "_chunk")
+        length, after, before = table.column("_n").to_pylist(), table.column("_after").to_pylist(), table.column("_before").to_pylist()
+        n = sum(length)
+        mean = pa.array(np.full(len(length), numbers(table, "_sum").sum() / n))
         if n < 2:
-            return found
+            return table.select(by).append_column("_mean", mean).append_column("_forward", pa.array([None], pa.list_(pa.float64()))).append_column("_backward", pa.array([None], pa.list_(pa.float64())))
         # ends of the recording, from as many chunks as they span
         pad, head, tail = kernels.extension(n, order, padlen), np.zeros(0), np.zeros(0)
-        for x in pdf["_head"]:
+        for x in table.column("_head").to_pylist():
             head = np.concatenate([head, x])
             if len(head) > pad:
                 break
-        for x in pdf["_tail"].iloc[::-1]:
+        for x in table.column("_tail").to_pylist()[::-1]:
             tail = np.concatenate([x, tail])
             if len(tail) > pad:
                 break
@@ -99,29 +118,30 @@ def _highpass(df: DataFrame, key: list[str], index: str, column: str, sections:
         first = left[0] if pad else head[0]
         state = kernels.through(sections, left, kernels.settled(sections) * first)[1]
         maps, forward = {}, []
-        for length in {int(v) for v in pdf["_n"]}:
-            y, after = kernels.through(sections, np.zeros((length, m)), np.eye(m).reshape(len(sections), 2, m))
-            maps[length] = after.reshape(m, m), kernels.through(sections, y[::-1], np.zeros((len(sections), 2, m)))[1].reshape(m, m)
-        for length, after in zip(pdf["_n"], pdf["_after"]):
+        for k in set(length):
+            y, moved = kernels.through(sections, np.zeros((k, m)), np.eye(m).reshape(len(sections), 2, m))
+            maps[k] = moved.reshape(m, m), kernels.through(sections, y[::-1], np.zeros((len(sections), 2, m)))[1].reshape(m, m)
+        for k, own in zip(length, after):
             forward.append(state.ravel())
-            state = (maps[length][0] @ state.ravel() + after).reshape(rest.shape)
+            state = (maps[k][0] @ state.ravel() + own).reshape(rest.shape)
         y = kernels.through(sections, right, state)[0]
         if not pad or not len(y):
             raise ValueError("a filter needs an extension of at least one sample")
         state, back = backward(y, kernels.settled(sections) * y[-1])[1], []
-        for length, before, start in zip(pdf["_n"].iloc[::-1], pdf["_before"].iloc[::-1], forward[::-1]):
+        for k, own, start in zip(length[::-1], before[::-1], forward[::-1]):
             back.append(state.ravel())
-            state = (maps[length][0] @ state.ravel() + before + maps[length][1] @ start).reshape(rest.shape)
-        return found.assign(_forward=forward, _backward=back[::-1])
-
-    def run(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        pdf, at = pdf.sort_values(index)[names], states.iloc[0]
-        if at["_forward"] is None:
-            return pdf.assign(**{out: at["_mean"]})
-        y = kernels.through(sections, pdf[column].to_numpy(dtype=float), np.reshape(at["_forward"], rest.shape))[0]
-        return pdf.assign(**{out: backward(y, np.reshape(at["_backward"], rest.shape))[0] + at["_mean"]})
-
-    by = _schema(rows, [*key, "_chunk"])
-    summaries = rows.groupBy(*key, "_chunk").applyInPandas(summary, f"{by}, _n long, _sum double, _after array<double>, _before array<double>, _head array<double>, _tail array<double>")
-    states = summaries.groupBy(key).applyInPandas(scan, f"{by}, _mean double, _forward array<double>, _backward array<double>")
-    return rows.groupBy(*key, "_chunk").cogroup(states.groupBy(*key, "_chunk")).applyInPandas(run, _schema(df, df.columns) + f", `{out}` double")
+            state = (maps[k][0] @ state.ravel() + own + maps[k][1] @ start).reshape(rest.shape)
+        return table.select(by).append_column("_mean", mean).append_column("_forward", pa.array(forward)).append_column("_backward", pa.array(back[::-1]))
+
+    def run(table: pa.Table, states: pa.Table) -> pa.Table:
+        table, at = ordered(table, index).select(names), states.to_pylist()[0]
+        y = np.zeros(table.num_rows)
+        if at["_forward"] is not None:
+            y = kernels.through(sections, numbers(table, column), np.reshape(at["_forward"], rest.shape))[0]
+            y = backward(y, np.reshape(at["_backward"], rest.shape))[0]
+        return table.append_column(out, pa.array(y + at["_mean"]))
+
+    known = _schema(rows, by)
+    summaries = rows.groupBy(by).applyInArrow(summary, f"{known}, _n long, _sum double, _after array<double>, _before array<double>, _head array<double>, _tail array<double>")
+    states = dealt(summaries, key).groupBy(key).applyInArrow(scan, f"{known}, _mean double, _forward array<double>, _backward array<double>")
+    return rows.groupBy(by).cogroup(dealt(states, by).groupBy(by)).applyInArrow(run, _schema(df, df.columns) + f", `{out}` double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -57,6 +59,19 @@ def settled(sections: list) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=512)
+def _block(b: tuple[float, ...], a: tuple[float, ...], n: int) -> tuple[np.ndarray, ...]:
+    """Of a section and ``n`` samples: output from input, output from the state, state from input, state from the state."""
+    step, drive = np.array([[-a[0], 1.0], [-a[1], 0.0]]), np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
+    powers = np.empty((n + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for k in range(n):
+        powers[k + 1] = step @ powers[k]
+    pulse = np.concatenate([[b[0]], powers[: n - 1, 0] @ drive])
+    lag = np.subtract.outer(np.arange(n), np.arange(n))
+    return np.where(lag >= 0, pulse[np.abs(lag)], 0.0), powers[:n, 0], (powers[n - 1 :: -1] @ drive).T if n else np.zeros((2, 0)), powers[n]
+
+
 def through(sections: list, x: np.ndarray, state: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """One series, or the columns of several (time first), through the sections from a state (sections x 2, or x 2 x columns), and the state after it.
 
@@ -65,20 +80,12 @@ def through(sections: list, x: np.ndarray, state: np.ndarray, block: int = 64) -
     flat = x.ndim == 1
     s, ends = np.asarray(x, dtype=float).reshape(len(x), -1), []
     for (b, a), z in zip(sections, state):
-        step, drive = np.array([[-a[0], 1.0], [-a[1], 0.0]]), np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
-        powers = [np.eye(2)]
-        for _ in range(min(block, max(len(s), 1))):
-            powers.append(step @ powers[-1])
         z, out = z.reshape(2, -1) * np.ones((1, s.shape[1])), np.empty_like(s)
         for start in range(0, len(s), block):
             u = s[start : start + block]
-            n = len(u)
-            if start == 0 or n != held:
-                held, pulse = n, np.array([b[0], *[(p @ drive)[0] for p in powers[: n - 1]]])
-                reply = np.where(np.subtract.outer(np.arange(n), np.arange(n)) >= 0, pulse[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))], 0.0)
-                free, push = np.stack([p[0] for p in powers[:n]]), np.stack([p @ drive for p in powers[:n][::-1]], 1)
+            reply, free, push, step = _block(tuple(map(float, b)), tuple(map(float, a)), len(u))
             out[start : start + block] = reply @ u + free @ z
-            z = powers[n] @ z + push @ u
+            z = step @ z + push @ u
         s = out
         ends.append(z[:, 0] if flat else z)
     return s[:, 0] if flat else s, np.array(ends)

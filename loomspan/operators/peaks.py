@@ -10,14 +10,17 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import SAMPLES, _schema
+from .chunks import SAMPLES, _schema, dealt, numbers, ordered, with_key
 from .epochs import within
 
 
+_ARROW = {"start": pa.int64(), "total": pa.int64(), "run": pa.int64(), "value": pa.float64(), "least": pa.float64(), "stack": pa.list_(pa.float64()), "low": pa.list_(pa.float64())}
+
+
 def seen_from_right(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Heights of the maxima that stand out from the right end, from the nearest on, and the lowest value between each and that end.
 
@@ -81,24 +84,24 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
     As ``kernels.peaks``: a maximum is the middle of a run of equal values with lower ones on both sides; of maxima closer than ``distance`` samples the higher stays; then those of less ``prominence`` go.
     Frames must be unique in a series; they need not be without gaps.
     """
-    rows = df.select(*ids, F.col(frame).alias("frame"), F.col(value).cast("double").alias("v"), F.floor(F.col(frame) / samples).alias("_chunk"))
     by = [*ids, "_chunk"]
+    rows = dealt(df.select(*ids, F.col(frame).alias("frame"), F.col(value).cast("double").alias("v"), F.floor(F.col(frame) / samples).alias("_chunk")), by)
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("frame")["v"].to_numpy(dtype=float)
+    def summary(table: pa.Table) -> pa.Table:
+        v = numbers(ordered(table, "frame"), "v")
         step = np.flatnonzero(v[1:] != v[:-1])
         one = not len(step)
         right, left = seen_from_right(v), seen_from_right(v[::-1])
         own = {"n": len(v), "first": v[0], "last": v[-1], "lead": len(v) if one else step[0] + 1, "trail": len(v) if one else len(v) - 1 - step[-1]}
         own |= {"after_lead": np.nan if one else v[step[0] + 1], "before_trail": np.nan if one else v[step[-1]], "top": np.fmax.reduce(v), "bottom": np.fmin.reduce(v)}
-        own |= {"right": [right[0]], "right_low": [right[1]], "left": [left[0]], "left_low": [left[1]]}
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, **own})
+        own |= {"right": right[0], "right_low": right[1], "left": left[0], "left_low": left[1]}
+        return with_key(table, by, own)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk").reset_index(drop=True)
-        out = pdf[by].copy()
-        chunks, ends = pdf.to_dict("records"), np.cumsum(pdf["n"])
-        total = int(ends.iloc[-1])
+    def scan(table: pa.Table) -> pa.Table:
+        table = ordered(table, "_chunk")
+        chunks = table.to_pylist()
+        ends = np.cumsum([c["n"] for c in chunks])
+        total = int(ends[-1])
 
         def walk(order, first, last, lead, trail, before_trail, stack):
             """Per chunk, in one direction: samples passed, start of the run that its first sample is in, the value before that run, and the stack and lowest value so far."""
@@ -117,17 +120,16 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
 
         ahead = walk(range(len(chunks)), "first", "last", "lead", "trail", "before_trail", "right")
         back = walk(range(len(chunks) - 1, -1, -1), "last", "first", "trail", "lead", "after_lead", "left")
-        out["start"], out["total"] = ends - pdf["n"], total
+        columns = {k: table.column(k) for k in by} | {"start": ends - [c["n"] for c in chunks], "total": np.full(len(chunks), total)}
         for name, side in (("before", ahead), ("after", back)):
-            out[f"{name}_run"] = [side[k][0] if name == "before" else total - 1 - side[k][0] for k in out.index]
-            out[f"{name}_value"] = [side[k][1] for k in out.index]
-            out[f"{name}_stack"], out[f"{name}_low"] = [side[k][2][0] for k in out.index], [side[k][2][1] for k in out.index]
-            out[f"{name}_least"] = [side[k][3] for k in out.index]
-        return out
-
-    def peaks(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        pdf, at = pdf.sort_values("frame"), states.iloc[0]
-        v, start, n = pdf["v"].to_numpy(dtype=float), int(at["start"]), len(pdf)
+            found = [side[k] for k in range(len(chunks))]
+            columns[f"{name}_run"] = [run if name == "before" else total - 1 - run for run, *_ in found]
+            columns |= {f"{name}_value": [v for _, v, _, _ in found], f"{name}_stack": [list(s[0]) for *_, s, _ in found], f"{name}_low": [list(s[1]) for *_, s, _ in found], f"{name}_least": [float(v) for *_, v in found]}
+        return pa.table(columns, schema=pa.schema([*[table.schema.field(k) for k in by], *[(c, _ARROW[c.split("_")[-1]]) for c in columns if c not in by]]))
+
+    def peaks(table: pa.Table, states: pa.Table) -> pa.Table:
+        table, at = ordered(table, "frame"), states.to_pylist()[0]
+        v, start, n = numbers(table, "v"), int(at["start"]), table.num_rows
         first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))  # of each run
         begin, end = start + first, start + np.append(first[1:], n) - 1
         begin[0], end[-1] = at["before_run"], at["after_run"]
@@ -147,27 +149,27 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
             rank = np.searchsorted(seen, height, side="right")  # the stack rises
             outer = np.append(lows, at[f"{side}_least"])[rank]
             deepest = np.maximum(deepest, np.where(higher, low, np.fmin(low, outer)))
-        out = pd.DataFrame({"frame": pdf["frame"].to_numpy()[pos - start], "pos": pos, "height": height, "prominence": height - deepest, "undecided": unknown})
-        for k in ids[::-1]:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+        own = table.take(pa.array(pos - start)).select([*ids, "frame"])
+        for name, column in (("pos", pos.astype(np.int64)), ("height", height), ("prominence", height - deepest), ("undecided", unknown)):
+            own = own.append_column(name, pa.array(column))
+        return own
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pdf[spaced(pdf["pos"].to_numpy(), pdf["height"].to_numpy(dtype=float), distance)[0]]
+    def decide(table: pa.Table) -> pa.Table:
+        table = ordered(table, "pos")
+        return table.filter(pa.array(spaced(table.column("pos").to_numpy(), numbers(table, "height"), distance)[0])).drop_columns("_near")
 
-    known, numbers, arrays = _schema(rows, by), "first double, last double, lead long, trail long, after_lead double, before_trail double, top double, bottom double", "right array<double>, right_low array<double>, left array<double>, left_low array<double>"
-    summaries = rows.groupBy(by).applyInPandas(summary, f"{known}, n long, {numbers}, {arrays}")
+    known, values, arrays = _schema(rows, by), "first double, last double, lead long, trail long, after_lead double, before_trail double, top double, bottom double", "right array<double>, right_low array<double>, left array<double>, left_low array<double>"
+    summaries = rows.groupBy(by).applyInArrow(summary, f"{known}, n long, {values}, {arrays}")
     sides = ", ".join(f"{s}_run long, {s}_value double, {s}_stack array<double>, {s}_low array<double>, {s}_least double" for s in ("before", "after"))
-    states = summaries.groupBy(ids).applyInPandas(scan, f"{known}, start long, total long, {sides}")
+    states = dealt(summaries, ids).groupBy(ids).applyInArrow(scan, f"{known}, start long, total long, {sides}")
     made = f"{_schema(rows, [*ids, 'frame'])}, pos long, height double, prominence double, undecided boolean"
-    found = rows.groupBy(by).cogroup(states.groupBy(by)).applyInPandas(peaks, made)
+    found = rows.groupBy(by).cogroup(dealt(states, by).groupBy(by)).applyInArrow(peaks, made)
     if distance > 1:
         # undecided peaks depend only on undecided ones nearby, so that those with a gap of the distance between them are apart
         order = Window.partitionBy(ids).orderBy("pos")
         open_ones = found.where("undecided").withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(order) >= distance).cast("int"), F.lit(0)))
         open_ones = open_ones.withColumn("_near", F.sum("_new").over(order)).drop("_new")
-        closed = open_ones.groupBy(*ids, "_near").applyInPandas(lambda pdf: decide(pdf).drop(columns="_near"), made)
+        closed = open_ones.groupBy(*ids, "_near").applyInArrow(decide, made)
         found = found.where(~F.col("undecided")).unionByName(closed)
     found = found.drop("undecided")
     return found.where(F.col("prominence") >= prominence) if prominence > 0 else found
