@@ -1,16 +1,18 @@
 """Encoding models: regressors on a frame clock, lagged design matrices, and cross-validated ridge from per-fold Gram matrices.
 
 Design columns are long: ``key, frame, col, x``. A fit is one pass that sums, per fold, the products of a row's columns and
-targets; every alpha and fold is solved from these sums, whose size is the model's and not the recording's.
+targets; every alpha and fold is solved from these sums, whose size is the model's and not the recording's. Lagged designs need no lagged rows: ``lagged_ridge_cv``.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .algebra import numbered
+from .gram import fold_grams, lagged_grams, stacked
 from .signal import interp, searchsorted
 
 
@@ -117,41 +119,27 @@ def kfold(df: DataFrame, key: list[str], order: list, k: int, out: str = "fold")
     return rows.withColumn(out, fold.cast("int")).drop("_i", "_n")
 
 
-def fold_grams(rows: DataFrame, p: int, q: int, fold: str = "fold") -> dict[int, np.ndarray]:
-    """For each fold the (1 + p + q)-square sums of products of [1, x, y] (arrays ``x`` and ``y``)."""
-    d = 1 + p + q
-
-    def part(batches):
-        import pandas as pd
+def ridge_cv(rows: DataFrame, p: int, q: int, alphas: list[float], fit_intercept: bool = True) -> dict:
+    """Ridge of arrays ``y`` on ``x`` by ``fold``: see ``ridge_of_grams``."""
+    return ridge_of_grams(fold_grams(rows, p, q), p, alphas, fit_intercept)
 
-        held: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for f, own in pdf.groupby(fold):
-                z = np.hstack([np.ones((len(own), 1)), np.stack(own["x"].to_numpy()), np.stack(own["y"].to_numpy())])
-                held[f] = held.get(f, 0) + z.T @ z
-        for f, g in held.items():
-            yield pd.DataFrame({"fold": f, "i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d), "v": g.ravel()})
 
-    sums = rows.select(fold, "x", "y").mapInPandas(part, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
-    out: dict[int, np.ndarray] = {}
-    for f, own in sums.groupby("fold"):
-        g = np.zeros((d, d))
-        g[own["i"], own["j"]] = own["v"]
-        out[int(f)] = g
-    return out
+def lagged_ridge_cv(rows: DataFrame, key: list[str], frame: str, x: str, y: str, lags: list[list[int]], folds: int, alphas: list[float], fit_intercept: bool = True) -> dict:
+    """Ridge of arrays ``y`` on circularly lagged signals ``x`` over contiguous folds of a recording, without lagged rows; ``lags`` of each signal give the columns in their order."""
+    grams, p, _ = lagged_grams(rows, key, frame, x, y, lags, folds)
+    return ridge_of_grams(grams, p, alphas, fit_intercept)
 
 
-def ridge_cv(rows: DataFrame, p: int, q: int, alphas: list[float], fit_intercept: bool = True) -> dict:
-    """Ridge of arrays ``y`` on ``x`` by ``fold``: the alpha of the best mean test R2, its scores, and a fit per fold.
+def ridge_of_grams(grams: dict[int, np.ndarray], p: int, alphas: list[float], fit_intercept: bool = True) -> dict:
+    """Ridge from sums of products of [1, x, y] in each fold, ``p`` columns x: the alpha of the best mean test R2, its scores, and a fit per fold.
 
     Returns ``alpha, scores`` (alpha x fold), ``coefficients`` (fold -> p x q) and ``intercepts``. R2 is variance-weighted.
     """
-    grams = fold_grams(rows, p, q)
     total = sum(grams.values())
     scores, fits = np.zeros((len(alphas), len(grams))), {}
     for k, (f, test) in enumerate(sorted(grams.items())):
         train = total - test
-        n = train[0, 0]
+        n, q = train[0, 0], len(test) - 1 - p
         mx, my = (train[0, 1 : 1 + p] / n, train[0, 1 + p :] / n) if fit_intercept else (np.zeros(p), np.zeros(q))
         xx = train[1 : 1 + p, 1 : 1 + p] - n * np.outer(mx, mx)
         xy = train[1 : 1 + p, 1 + p :] - n * np.outer(mx, my)
@@ -164,7 +152,7 @@ def ridge_cv(rows: DataFrame, p: int, q: int, alphas: list[float], fit_intercept
         for a, alpha in enumerate(alphas):
             b = v @ (half / (w + alpha)[:, None])
             c = my - mx @ b
-            sse = (tyy - 2 * (b * txy).sum(0) - 2 * c * sy + np.einsum("iq,ij,jq->q", b, txx, b) + 2 * c * (sx @ b) + m * c * c).sum()
+            sse = (tyy - 2 * (b * txy).sum(0) - 2 * c * sy + (b * (txx @ b)).sum(0) + 2 * c * (sx @ b) + m * c * c).sum()
             scores[a, k] = 1 - sse / sst if sst > 0 else 0.0
             fits[f, a] = (b, c)
     best = int(scores.mean(1).argmax())
@@ -174,19 +162,41 @@ def ridge_cv(rows: DataFrame, p: int, q: int, alphas: list[float], fit_intercept
 
 def predict(rows: DataFrame, fitted: dict, subset: list[int] | None = None, include_intercept: bool = True) -> DataFrame:
     """Out-of-fold predictions (array ``predicted``) from all design columns or some of them."""
+    out = parts_of_prediction(rows, fitted, {"predicted": list(range(len(next(iter(fitted["coefficients"].values()))))) if subset is None else subset})
+    if include_intercept:
+        out = out.withColumn("predicted", F.zip_with("predicted", "intercept", lambda a, b: a + b))
+    return out.drop("intercept", "total")
+
+
+def parts_of_prediction(rows: DataFrame, fitted: dict, groups: dict[str, list[int]], y: str | None = None, baseline: str | None = None) -> DataFrame:
+    """``rows`` with out-of-fold predictions as arrays: one for the design columns of each group, ``intercept``, and their ``total`` over all columns; with ``y`` also ``true``.
+
+    ``baseline``: the outputs less their baseline at rest; what it takes away from ``y`` is then part of ``intercept`` and ``total``. Rows of a fold that the fit does not know have null parts.
+    """
     b, c = fitted["coefficients"], fitted["intercepts"]
+    names = [*groups, "intercept", "total"]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for f, x in zip(pdf["fold"], pdf["x"]):
-                x = np.asarray(x)
-                y = x @ b[f] if subset is None else x[subset] @ b[f][subset]
-                out.append(y + c[f] if include_intercept else y)
-            pdf["predicted"] = out
-            yield pdf
-
-    return rows.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", predicted array<double>")
+        for batch in batches:
+            table = pa.table(batch.columns, names=batch.schema.names)
+            folds, x = np.array(table.column("fold").to_pylist(), dtype=object), stacked(table.column("x"))
+            made = {n: [None] * batch.num_rows for n in names}
+            shift = stacked(table.column(baseline)) - stacked(table.column(y)) if baseline else np.zeros((batch.num_rows, 1))
+            for f in b:
+                at = np.flatnonzero(folds == f)
+                if not len(at):
+                    continue
+                start = shift[at] + c[f]
+                found = {n: x[at][:, own] @ b[f][own] for n, own in groups.items()} | {"intercept": start, "total": x[at] @ b[f] + start}
+                for n, v in found.items():
+                    for i, row in zip(at, v):
+                        made[n][i] = row
+            for n in names:
+                table = table.append_column(n, pa.array(made[n], pa.list_(pa.float64())))
+            yield from table.to_batches()
+
+    out = rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + "".join(f", `{n}` array<double>" for n in names))
+    return out.withColumn("true", F.col(y)) if y else out
 
 
 def long_predict(design: DataFrame, coefficients: DataFrame, by: list[str], frame: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
+from .gram import packed, partial_sums, stacked, tree_sum, unpacked
 
 
 def deinterleave(frames: DataFrame, frame: str = "frame") -> DataFrame:
@@ -175,28 +176,15 @@ def morphology(mask: DataFrame, width: int, height: int, k: int, dilate: bool =
     return mask
 
 
-def summed(rows: DataFrame, array: str, shape: tuple[int, int], of) -> np.ndarray:
-    """The sum over blocks of rows of a matrix of fixed shape: partial sums in tasks, added by Spark."""
-
-    def part(batches):
-        import pandas as pd
-
-        total = np.zeros(shape)
-        for pdf in batches:
-            if len(pdf):
-                total += of(np.stack(pdf[array].to_numpy()).astype(float))
-        i, j = np.indices(shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    cells = rows.select(array).mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(shape)
-    out[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("v").to_numpy()
-    return out
+def summed(rows: DataFrame, array: str, shape: tuple[int, ...], of) -> np.ndarray:
+    """The sum over blocks of rows of an array of fixed shape: tasks send packed blocks of partial sums, which are added in a tree."""
+    total = tree_sum(partial_sums(rows.select(array), lambda batch: {0: of(stacked(batch.column(0))).ravel()}))
+    return total[0].reshape(shape) if total else np.zeros(shape)
 
 
 def gram(rows: DataFrame, array: str, n: int) -> np.ndarray:
-    """The n x n matrix of summed products of an array column; n is the fixed width."""
-    return summed(rows, array, (n, n), lambda x: x.T @ x)
+    """The n x n matrix of summed products of an array column; n is the fixed width. Its upper half is what is sent."""
+    return unpacked(summed(rows, array, (n * (n + 1) // 2,), lambda x: packed(x.T @ x)), n)
 
 
 def leading_axes(rows: DataFrame, array: str, n: int, k: int, centred: bool = False, exact: int = 1024, extra: int = 10, passes: int = 8) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:

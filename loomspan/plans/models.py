@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import glm as L
+from ..operators import gram as R
 from ..operators import imaging as M
 from .arrays import pixels
 from .registry import query, recordings, rounded, table as T
@@ -85,6 +86,18 @@ def _(s, d):
     return rounded(L.design_matrix({"value": lagged, "click": click, "never": e.select("user_id", "i", F.lit(0.0).alias("x"))}, K, "i"), "x", digits=6)
 
 
+_SHIFTED = "x AS (SELECT user_id, i, n, (SELECT max(k) FROM (SELECT unnest([0, 1, 2, 3]) AS k) WHERE i >= k * (n // 4) + least(k, n % 4)) AS fold FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {events})), l AS (" + _LAG + "), z AS (SELECT x.user_id, x.i, fold, lag + 3 AS col, l.x AS v FROM x JOIN l ON l.user_id = x.user_id AND l.i = x.i UNION ALL SELECT x.user_id, x.i, fold, 7, CASE WHEN e.event_type = 'click' THEN 1.0 ELSE 0.0 END FROM x JOIN {events} e ON e.user_id = x.user_id AND e.i = x.i)"
+
+
+@query("g8_lagged_sums", "WITH " + _SHIFTED + " SELECT a.fold, a.col AS a, b.col AS b, round(sum(a.v * b.v), 4) AS v FROM z a JOIN z b ON a.user_id = b.user_id AND a.i = b.i AND a.col <= b.col GROUP BY ALL")
+def _(s, d):
+    # sums of products of seven lags of the value and of clicks, of the four folds of every recording
+    rows = recordings(s, d).select("user_id", "i", F.array("value").alias("x"), F.array(F.when(F.col("event_type") == "click", 1.0).otherwise(0.0)).alias("y"))
+    grams, p, q = R.lagged_grams(rows, K, "i", "x", "y", [list(range(-3, 4))], 4)
+    cells = [(f, a, b, float(g[a + 1, b + 1])) for f, g in grams.items() for a in range(p + q) for b in range(a, p + q)]
+    return rounded(s.createDataFrame(cells, "fold long, a long, b long, v double"), "v", digits=4)
+
+
 @query("g9_model_table", "WITH v AS (SELECT event_type AS reg, -(count(*) % 60) AS lo, CASE WHEN event_type IN ('click', 'view') THEN count(*) % 60 ELSE 0 END AS hi FROM events GROUP BY 1) SELECT 'full_without_' || r.reg AS model_name, v.reg AS reg_name, v.reg = r.reg AS shuffle, v.lo AS first_lag, v.hi - v.lo + 1 AS n_lags, round(pow(10, 7.0 / 49), 9) AS second_alpha FROM v CROSS JOIN v r")
 def _(s, d):
     n = F.count(F.lit(1)) % 60
@@ -131,6 +144,44 @@ def _(s, d):
     return rounded(rows.select("fold").distinct().join(table, "fold"), "coefficient", "intercept")
 
 
+_TWO = """xy AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[2]::DOUBLE * 0.5 + embedding[1]::DOUBLE - embedding[3]::DOUBLE AS y, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)),
+m AS (SELECT f.fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) * count(*) + 3.0 AS s11, var_pop(x2) * count(*) + 3.0 AS s22, covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS s1, covar_pop(x2, y) * count(*) AS s2
+  FROM xy JOIN (SELECT DISTINCT fold FROM xy) f ON f.fold <> xy.fold GROUP BY 1),
+co AS (SELECT *, my - b1 * m1 - b2 * m2 AS c, my - b * m1 AS c0 FROM (SELECT *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) AS b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) AS b2, s1 / s11 AS b FROM m)),
+r2 AS (SELECT fold, 1 - sum(pow(y - c - b1 * x1 - b2 * x2, 2)) / (var_pop(y) * count(*)) AS r_full, 1 - sum(pow(y - c0 - b * x1, 2)) / (var_pop(y) * count(*)) AS r_less FROM xy JOIN co USING (fold) GROUP BY fold)"""
+
+
+def _two(s, d):
+    v = F.col("v")
+    return _xy(s, d).select("vec_id", "fold", F.array(v[0], v[2]).alias("x"), F.array(v[1] * 0.5 + v[0] - v[2]).alias("y"))
+
+
+@query("g11_ridge_two_columns", "WITH " + _TWO + " SELECT fold, round(b1, 7) AS first, round(b2, 7) AS second, round(c, 7) AS intercept, round(r_full, 7) AS r2 FROM co JOIN r2 USING (fold)")
+def _(s, d):
+    rows = _two(s, d)
+    fit = L.ridge_cv(rows, 2, 1, [3.0])
+    table = s.createDataFrame([(f, float(b[0, 0]), float(b[1, 0]), float(fit["intercepts"][f][0]), float(r)) for (f, b), r in zip(fit["coefficients"].items(), fit["r2"])], "fold int, first double, second double, intercept double, r2 double")
+    return rounded(rows.select("fold").distinct().join(table, "fold"), "first", "second", "intercept", "r2")
+
+
+@query("g14_parts", "WITH " + _TWO + " SELECT vec_id, round(b1 * x1, 7) AS first, round(b2 * x2, 7) AS second, round(c - 0.25, 7) AS intercept, round(c - 0.25 + b1 * x1 + b2 * x2, 7) AS total, round(y, 7) AS \"true\" FROM xy JOIN co USING (fold)")
+def _(s, d):
+    rows = _two(s, d)
+    out = L.parts_of_prediction(rows.withColumn("still", F.transform("y", lambda y: y - 0.25)), L.ridge_cv(rows, 2, 1, [3.0]), {"first": [0], "second": [1]}, "y", "still")
+    parts = ["first", "second", "intercept", "total", "true"]
+    return rounded(out.select("vec_id", *[F.col(c)[0].alias(c) for c in parts]), *parts)
+
+
+@query("g18_delta_r2", "WITH " + _TWO + " SELECT fold, round(r_full - r_less, 7) AS delta_r2 FROM r2")
+def _(s, d):
+    # a full model of two columns and one without the second
+    rows = _two(s, d)
+    fits = [L.ridge_cv(df, p, 1, [3.0]) for df, p in ((rows, 2), (rows.withColumn("x", F.slice("x", 1, 1)), 1))]
+    full, less = (s.createDataFrame([(f, float(r)) for f, r in zip(fit["coefficients"], fit["r2"])], "fold int, r2 double") for fit in fits)
+    return rounded(L.unique_contribution(full, less, ["fold"]).select("fold", "delta_r2"), "delta_r2")
+
+
 @query("g11_ridge_alphas")
 def _(s, d):
     rows = _xy(s, d).select("vec_id", "fold", F.slice("v", 1, 4).alias("x"), F.transform(F.slice("v", 1, 8), lambda x, i: x + F.col("v")[0] * i).alias("y"))
@@ -171,10 +222,10 @@ def _(s, d):
     return rounded(L.predict(rows, fit).select("vec_id", F.col("predicted")[0].alias("predicted")), "predicted")
 
 
-@query("g15_coefficient_map", "WITH c AS (SELECT unnest([0.5, -1.0, 2.0]::DOUBLE[]) AS c, unnest([0, 1, 2]) AS component) SELECT vec_id AS pixel, round(sum(embedding[component + 1]::DOUBLE * c), 9) AS value FROM embeddings CROSS JOIN c GROUP BY 1")
+@query("g15_coefficient_map", "SELECT vec_id AS pixel, round(sum(embedding[k + 1]::DOUBLE * (k % 7 - 3) / 2), 9) AS value FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1")
 def _(s, d):
-    u = pixels(s, d).where("pixel < 3").select(F.col("vec_id").alias("pixel"), F.col("pixel").alias("component"), F.col("v").alias("u"))
-    c = s.createDataFrame([(0, 0, 0.5), (1, 0, -1.0), (2, 0, 2.0)], "component int, frame int, s double")
+    u = pixels(s, d).select(F.col("vec_id").alias("pixel"), F.col("pixel").alias("component"), F.col("v").alias("u"))
+    c = s.createDataFrame([(k, 0, (k % 7 - 3) / 2) for k in range(64)], "component int, frame int, s double")
     return rounded(M.reconstruct(u, c).select("pixel", "value"), "value", digits=9)
 
 
