@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,15 +112,50 @@ def p_text(p: str) -> Column:
     return F.when(F.col(p) < 0.001, "< 0.001").otherwise(F.format_string("%.3f", F.col(p)))
 
 
-def sbd_to_template(events: DataFrame, template: DataFrame, key: list[str], event: str, offset: str, value: str) -> DataFrame:
-    """``key, event, distance``: 1 less the largest normalised cross-correlation with the key's template over all lags."""
-    e = events.select(*key, event, F.col(offset).alias("_i"), F.col(value).alias("_x"))
-    t = template.select(*key, F.col(offset).alias("_j"), F.col(value).alias("_y"))
-    norm_e = e.groupBy(*key, event).agg(F.sqrt(F.sum(F.col("_x") ** 2)).alias("_nx"))
-    norm_t = t.groupBy(key).agg(F.sqrt(F.sum(F.col("_y") ** 2)).alias("_ny"))
-    cc = e.join(t, key).groupBy(*key, event, (F.col("_i") - F.col("_j")).alias("_lag")).agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
-    best = cc.groupBy(*key, event).agg(F.max("_c").alias("_best"))
-    return best.join(norm_e, [*key, event]).join(norm_t, key).select(*key, event, (1 - F.try_divide(F.col("_best"), F.col("_nx") * F.col("_ny"))).alias("distance"))
+def sbd_to_template(events: DataFrame, template: DataFrame, key: list[str], event: str, offset: str, values: str | list[str]) -> DataFrame:
+    """``key, event, distance``: 1 less the largest normalised cross-correlation with the key's template over all lags; of several channels the mean of their distances.
+
+    Offsets are whole numbers; a missing or null sample counts as 0. An event or template without length in some channel has a null distance; events whose key has no template are left out.
+    A row is an event with its samples as arrays, and a batch of rows is correlated by one Fourier transform.
+    """
+    values = [values] if isinstance(values, str) else list(values)
+    sample = F.struct(F.col(offset).cast("long").alias("at"), F.array(*[F.col(c).cast("double") for c in values]).alias("v"))
+    whole = F.array_sort(F.collect_list(sample))
+    rows = events.groupBy(*key, event).agg(whole.alias("_e")).join(template.groupBy(key).agg(whole.alias("_t")), key)
+
+    def run(batches):
+        for batch in batches:
+            (x, nx), (y, ny) = (_placed(batch.column(batch.schema.get_field_index(c)), len(values)) for c in ("_e", "_t"))
+            size = max(1, x.shape[2] + y.shape[2] - 1)
+            cc = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)  # of each row and channel
+            lag = np.arange(size)
+            lag = np.where(lag < x.shape[2], lag, lag - size)
+            own = (lag < nx[:, None]) & (lag > -ny[:, None])  # lags at which a row's samples meet
+            cc = np.where(own[:, None], cc, -np.inf)
+            norm = np.sqrt((x * x).sum(2) * (y * y).sum(2))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                distance = (1 - cc.max(2) / norm).mean(1)
+            fine = (norm > 0).all(1)
+            kept = batch.select([c for c in batch.schema.names if c not in ("_e", "_t")])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(distance, mask=~fine)], names=[*kept.schema.names, "distance"])
+
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in [*key, event]) + ", distance double")
+
+
+def _placed(column: pa.Array, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows x channels x samples of arrays of (place, values), from each row's first place on, zeros where there is none; and how far each row goes."""
+    place, v = column.flatten().field("at").to_numpy(zero_copy_only=False), column.flatten().field("v").flatten().to_numpy(zero_copy_only=False)
+    length = np.asarray(column.value_lengths())
+    row = np.repeat(np.arange(len(column)), length)
+    first = np.zeros(len(column), dtype=np.int64)
+    first[length > 0] = place[(np.cumsum(length) - length)[length > 0]]
+    at = (place - first[row]).astype(np.int64)
+    out = np.zeros((len(column), channels, int(at.max(initial=-1)) + 1))
+    out[row, :, at] = np.nan_to_num(v.astype(float).reshape(-1, channels))
+    span = np.zeros(len(column), dtype=np.int64)
+    np.maximum.at(span, row, at + 1)
+    return out, span
 
 
 def flag_similar(distances: DataFrame, key: list[str], pre: Column, q: float = 0.5) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import algebra as A
+from ..operators.incremental import populate_each
+from ..sources.files import scratch
 from .registry import query, rounded, table as T
 
 PK = ["c_custkey"]
@@ -131,6 +134,25 @@ def _(s, d):
     return A.populate(every, done, ["custkey"], lambda ks: make(ks, False))
 
 
+@query("a20_populate_each", "SELECT o_custkey AS custkey, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total, o_custkey % 5 = 0 AS again FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1")
+def _(s, d):
+    # the first run fails for every fifth and every seventh customer, the second for the latter alone
+    _, o, _, _ = _keyed(s, d)
+    path = scratch(s, "customers")
+
+    def make(bad, again):
+        def run(key, rows):
+            if any(key["custkey"] % b == 0 for b in bad):
+                raise ValueError("refused")
+            return pd.DataFrame({"n": [len(rows)], "total": [rows["o_totalprice"].sum()], "again": [again]})
+
+        return run
+
+    for bad, again in (((5, 7), False), ((7,), True)):
+        out, _ = populate_each(A.keys(o, ["custkey"]), o.select("custkey", "o_totalprice"), ["custkey"], make(bad, again), "n long, total double, again boolean", f"{path}/rows", f"{path}/errors", suppress_errors=True)
+    return out.withColumn("total", F.round("total", 2))
+
+
 @query("a21_key_source", "SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def _(s, d):
     _, o, _, _ = _keyed(s, d)

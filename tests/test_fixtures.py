@@ -199,6 +199,25 @@ def test_mixed_contrast_without_subject_effect_is_difference_of_means(spark):
     assert abs(got.estimate - (np.mean(a) - np.mean(b))) < 0.05 and 0 <= got.p_value <= 1 and got.low < got.estimate < got.high
 
 
+@pytest.mark.parametrize("channels", [1, 3])
+def test_shape_distance_equals_the_direct_sum(spark, channels):
+    rng = np.random.default_rng(channels)
+    template = {k: rng.normal(size=(n, channels)).cumsum(0) for k, n in (("a", 200), ("b", 7))}
+    events = {(k, e): rng.normal(size=(n, channels)) - 3 * (e == 2) for k, n in (("a", 200), ("b", 12)) for e in range(4)}
+    events["b", 9] = np.zeros((5, channels))
+    names = [f"v{c}" for c in range(channels)]
+    schema = ", ".join(f"{n} double" for n in names)
+    t = spark.createDataFrame([(k, i, *map(float, v)) for k, x in template.items() for i, v in enumerate(x)], f"k string, at int, {schema}")
+    e = spark.createDataFrame([(k, j, i - 3, *map(float, v)) for (k, j), x in events.items() for i, v in enumerate(x)] + [("z", 0, 0, *[1.0] * channels)], f"k string, e int, at int, {schema}").repartition(3)
+    got = {(r.k, r.e): r.distance for r in H.sbd_to_template(e, t, ["k"], "e", "at", names if channels > 1 else "v0").collect()}
+    assert got.pop(("b", 9)) is None and got.keys() == set(events) - {("b", 9)}
+    for (k, j), d in got.items():
+        x, y = events[k, j], template[k]
+        each = [1 - np.correlate(x[:, c], y[:, c], "full").max() / np.sqrt((x[:, c] ** 2).sum() * (y[:, c] ** 2).sum()) for c in range(channels)]
+        assert abs(d - np.mean(each)) < 1e-9
+    assert H.sbd_to_template(e.where("false"), t, ["k"], "e", "at", "v0").count() == 0
+
+
 def test_readers(spark, tmp_path):
     from loomspan.sources import files as B
 
