@@ -7,10 +7,13 @@ array). The change from frames to pixels is the one shuffle.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import materialised
 from . import kernels
+from .chunks import with_key
 from .gram import packed, partial_sums, stacked, tree_sum, unpacked
 
 
@@ -245,6 +248,61 @@ def baseline_still(pixels: DataFrame, still: DataFrame, key: list[str], frame: s
     return pixels.join(base, [*key, pixel], "left").withColumn(value, F.col(value) - F.coalesce("_base", F.lit(0.0))).drop("_base")
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, where both sides of a cogroup come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def baseline_components(components: DataFrame, u: DataFrame, still: DataFrame, key: list[str], mask: DataFrame | None = None, tile: int = 1024, frames: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Components less the baseline at rest, projected anew: (``key, frame, sv``) and the baseline (``key, pixel, baseline``).
+
+    ``components``: ``key, frame, sv`` (array of k numbers). ``u``: ``key, pixel, u`` (array of k). The stack is ``u @ sv``; its baseline is each pixel's median over the frames of ``still`` (``key, frame``); the difference is 0 outside ``mask``
+    (``pixel, valid``; without one all pixels are valid) and is projected on ``u``. As that is linear, ``u' M (u sv - b) = (u' M u) sv - u' M b``, frames that are not at rest never become images: tiles of pixels give the median and
+    their share of both matrices, which are summed over tiles. A session without a frame at rest, or a frame without ``sv``, has no row; not-a-number counts as 0 in ``u``.
+    """
+    known = ", ".join(f"`{k}` {dict(components.dtypes)[k]}" for k in key)
+    pixels = u.select(*key, "pixel", "u") if mask is None else u.join(mask.select("pixel", "valid"), "pixel", "left").select(*key, "pixel", F.when(F.coalesce("valid", F.lit(False)), F.col("u")).alias("u"), F.col("u").alias("_whole"))
+    pixels = (pixels.withColumn("_whole", F.col("u")) if mask is None else pixels).withColumn("_tile", F.floor(F.col("pixel") / tile))
+    tiles, by = pixels.select(*key, "_tile").distinct(), [*key, "_tile"]
+    rest = components.where(F.col("sv").isNotNull()).join(still.select(*key, "frame").distinct(), [*key, "frame"], "left_semi")
+    rest = (rest.join(tiles, key) if key else rest.crossJoin(F.broadcast(tiles))).select(*by, "sv")
+
+    def medians(own: pa.Table, sv: pa.Table) -> pa.Table:
+        made = {"pixel": pa.array([], pa.int64()), "baseline": pa.array([], pa.float64()), "a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))}
+        if not own.num_rows or not sv.num_rows:
+            return pa.table({**{k: own.column(k).slice(0, 0) for k in by}, **made})
+        whole = np.nan_to_num(stacked(own.column("_whole")))
+        base = np.median(whole @ stacked(sv.column("sv")).T, axis=1)
+        kept = np.array([v.is_valid for v in own.column("u")])
+        m, n = whole[kept], own.num_rows
+        sums = lambda v: pa.array([v.ravel().tolist(), *[None] * (n - 1)], pa.list_(pa.float64()))
+        return pa.table({**{k: own.column(k) for k in by}, "pixel": own.column("pixel").cast(pa.int64()), "baseline": pa.array(base), "a": sums(m.T @ m), "b": sums(m.T @ base[kept])})
+
+    found = pixels.groupBy(by).cogroup(_apart(rest).groupBy(by)).applyInArrow(medians, (known + ", " if key else "") + "_tile long, pixel long, baseline double, a array<double>, b array<double>")
+    found = materialised(found, "baselines")
+
+    def add(table: pa.Table) -> pa.Table:
+        return with_key(table, key, {c: stacked(table.column(c)).sum(0) for c in ("a", "b")})
+
+    shares = found.where(F.col("a").isNotNull())
+    sums = shares.groupBy(key).applyInArrow(add, (known + ", " if key else "") + "a array<double>, b array<double>")
+    chunks = components.where(F.col("sv").isNotNull()).withColumn("_chunk", F.floor(F.col("frame") / frames))
+    places = chunks.select(*key, "_chunk").distinct()
+    wanted = places.join(sums, key) if key else places.crossJoin(F.broadcast(sums))
+
+    def project(own: pa.Table, at: pa.Table) -> pa.Table:
+        if not at.num_rows:
+            return own.slice(0, 0).select([*key, "frame", "sv"])
+        b = stacked(at.column("b"))[0]
+        sv = stacked(own.column("sv")) @ stacked(at.column("a"))[0].reshape(len(b), len(b)).T - b
+        return own.select([*key, "frame"]).append_column("sv", pa.array(list(sv), pa.list_(pa.float64())))
+
+    by = [*key, "_chunk"]
+    kind = dict(components.dtypes)["frame"]
+    out = chunks.groupBy(by).cogroup(_apart(wanted).groupBy(by)).applyInArrow(project, (known + ", " if key else "") + f"frame {kind}, sv array<double>")
+    return out, found.select(*key, "pixel", "baseline")
+
+
 def rescale_affine(m: str, ratio: float) -> Column:
     return F.array(*[F.col(m)[k] * (ratio if k in (2, 5) else 1.0) for k in range(6)])
 

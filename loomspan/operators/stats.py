@@ -16,11 +16,30 @@ def baseline(df: DataFrame, key: list[str], value: str, pre: Column, how: str =
     return df.join(base, key).withColumn(value, F.col(value) - F.col("_base")).drop("_base")
 
 
-def map_average(df: DataFrame, by: list[str], array: str, how: str = "mean") -> DataFrame:
-    """Per place of an array column, the mean or median over rows; NaN and null are ignored."""
-    v = F.when(~F.isnan("v"), F.col("v"))
-    long = df.select(*by, F.posexplode(array).alias("pixel", "v"))
-    return long.groupBy(*by, "pixel").agg((F.avg(v) if how == "mean" else F.median(v)).alias(how))
+def map_average(df: DataFrame, by: list[str], array: str, how: str = "mean", tile: int = 16) -> DataFrame:
+    """Per place of an array column, the mean or median over rows; NaN and null are ignored.
+
+    Means are combined inside tasks. For medians a map is cut into tiles of places, and the tiles are what is sent.
+    """
+    if how == "mean":
+        v = F.when(~F.isnan("v"), F.col("v"))
+        return df.select(*by, F.posexplode(array).alias("pixel", "v")).groupBy(*by, "pixel").agg(F.avg(v).alias(how))
+    size, types = F.size(array), dict(df.dtypes)
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(size / tile).cast("int") - 1), lambda k: F.slice(F.col(array).cast("array<double>"), k * tile + 1, tile))
+    tiles = df.where(size > 0).select(*by, F.posexplode(cut).alias("_tile", "_v"))
+
+    def middle(table: pa.Table) -> pa.Table:
+        rows = table.column("_v").combine_chunks()
+        length = np.asarray(rows.value_lengths())
+        held = np.full((len(rows), int(length.max())), np.nan)
+        held[np.repeat(np.arange(len(rows)), length), np.concatenate([np.arange(n) for n in length])] = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+        some = ~np.isnan(held).all(0)
+        found = np.full(held.shape[1], np.nan)
+        found[some] = np.nanmedian(held[:, some], axis=0)
+        n, first = len(found), table.slice(0, 1).take(pa.array(np.zeros(len(found), int)))
+        return pa.table({**{k: first.column(k) for k in by}, "pixel": pa.array(table.column("_tile")[0].as_py() * tile + np.arange(n), pa.int32()), how: pa.array(found, mask=~some)})
+
+    return tiles.groupBy(*by, "_tile").applyInArrow(middle, "".join(f"`{c}` {types[c]}, " for c in by) + f"pixel int, `{how}` double")
 
 
 def nested_mean(df: DataFrame, first: list[str], then: list[str], value: str) -> DataFrame:

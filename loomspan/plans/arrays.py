@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import imaging as M
@@ -46,6 +48,16 @@ def _(s, d):
     return M.frame_shifts(f, t, ["label"], (8, 8), upsample=4)
 
 
+@query("e4_whole_shifts", "SELECT label, vec_id AS frame, -(vec_id % 7 - 3)::DOUBLE AS dx, -(vec_id % 5 - 2)::DOUBLE AS dy FROM embeddings")
+def _(s, d):
+    # every frame is its label's first vector, moved around by whole pixels
+    first = frames(s, d).groupBy("label").agg(F.min_by("pixels", "vec_id").alias("template"))
+    x, y = F.col("frame") % 7 - 3, F.col("frame") % 5 - 2
+    moved = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.element_at("template", (F.pmod(F.floor(p / 8) - y, F.lit(8)) * 8 + F.pmod(p % 8 - x, F.lit(8)) + 1).cast("int")))
+    f = frames(s, d).select("label", F.col("vec_id").alias("frame")).join(first, "label").select("label", "frame", moved.alias("pixels"))
+    return rounded(M.frame_shifts(f, first, ["label"], (8, 8), upsample=1), "dx", "dy")
+
+
 _SHIFTS = "sh AS (SELECT label, vec_id % 2 AS channel, vec_id // 2 AS frame, vec_id // 2 % 2 AS part, embedding[1]::DOUBLE AS dx, embedding[2]::DOUBLE AS dy FROM embeddings)"
 
 
@@ -86,6 +98,25 @@ def _(s, d):
     return rounded(out.select(F.col("frame").alias("vec_id"), F.posexplode("pixels").alias("pixel", "v")), "v")
 
 
+_BLUR = ", ".join(f"({k - 5}, {math.exp(-0.5 * (k - 5) ** 2) / sum(math.exp(-0.5 * j * j) for j in range(-5, 6))!r})" for k in range(11))
+_MIRROR = "CASE WHEN ({0} + k + 16) % 16 >= 8 THEN 15 - ({0} + k + 16) % 16 ELSE ({0} + k + 16) % 16 END"
+
+
+@query(
+    "e8_blur_and_move",
+    f"""WITH {_PIX}, taps AS (SELECT * FROM (VALUES {_BLUR}) t(k, c)),
+mo AS (SELECT a.vec_id, y.y * 8 + x.x AS pixel, coalesce(l.v, 0) / 2 + CASE WHEN x.x < 8 THEN coalesce(a.v, 0) END / 2 AS v FROM (SELECT unnest(range(8)) AS y) y CROSS JOIN (SELECT unnest(range(8)) AS x) x JOIN pix a ON a.pixel = y.y * 8 + x.x LEFT JOIN pix l ON l.vec_id = a.vec_id AND x.x > 0 AND l.pixel = y.y * 8 + x.x - 1),
+up AS (SELECT vec_id, pixel, {_MIRROR.format("pixel // 8")} AS q, c FROM mo CROSS JOIN taps), v1 AS (SELECT up.vec_id, up.pixel, sum(c * mo.v) AS v FROM up JOIN mo ON mo.vec_id = up.vec_id AND mo.pixel = q * 8 + up.pixel % 8 GROUP BY 1, 2),
+ac AS (SELECT vec_id, pixel, {_MIRROR.format("pixel % 8")} AS q, c FROM v1 CROSS JOIN taps), v2 AS (SELECT ac.vec_id, ac.pixel, sum(c * v1.v) AS v FROM ac JOIN v1 ON v1.vec_id = ac.vec_id AND v1.pixel = ac.pixel // 8 * 8 + q GROUP BY 1, 2)
+SELECT vec_id, (pixel // 8 // 2) * 4 + pixel % 8 // 2 AS pixel, round(avg(v), 7) AS v FROM v2 GROUP BY 1, 2""",
+)
+def _(s, d):
+    half, same = (F.array(*[F.lit(float(x)) for x in m]) for m in ((1, 0, 0.5, 0, 1, 0), (1, 0, 0, 0, 1, 0)))
+    f = frames(s, d).select(F.col("vec_id").alias("frame"), "label", "pixels").withColumns({"motion": half, "session": same})
+    out = M.spatial_process(f, ["label"], (8, 8), 1.0, (4, 4))
+    return rounded(out.select(F.col("frame").alias("vec_id"), F.posexplode("pixels").alias("pixel", "v")), "v")
+
+
 @query("e9_temporal")
 def _(s, d):
     f = frames(s, d).select(F.col("vec_id").alias("frame"), "label", "pixels")
@@ -160,6 +191,13 @@ def _(s, d):
     return u
 
 
+@query("e14_lengths", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 6) AS squares FROM embeddings")
+def _(s, d):
+    # all 64 components together keep every row's length
+    u, values, _ = M.truncated_svd(frames(s, d), "vec_id", "pixels", 64, 64)
+    return u.select("vec_id", F.round(F.aggregate(F.zip_with("u", F.lit([float(v) for v in values]), lambda a, b: a * a * b * b), F.lit(0.0), lambda t, x: t + x), 6).alias("squares"))
+
+
 _COMP = "WITH " + _PIX + ", u AS (SELECT pixel, vec_id AS component, v AS u FROM pix WHERE vec_id < 5), sv AS (SELECT pixel AS component, vec_id AS frame, v AS s FROM pix WHERE pixel < 5)"
 
 
@@ -179,6 +217,23 @@ def _(s, d):
     return rounded(M.baseline_still(pixels(s, d), still, ["label"], "vec_id", "pixel", "v").select("vec_id", "pixel", "v"), "v")
 
 
+@query(
+    "e16_components",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+st AS (SELECT u.label, u.vec_id AS pixel, f.vec_id AS frame, u.v[4] AS u0, u.v[5] AS u1, u.v[4] * f.v[1] + u.v[5] * f.v[2] AS x FROM e u JOIN e f ON f.label = u.label),
+b AS (SELECT label, pixel, median(x) AS b FROM st WHERE frame % 3 = 0 GROUP BY 1, 2)
+SELECT label, frame, round(sum(CASE WHEN pixel % 4 <> 1 THEN u0 * (x - b) ELSE 0 END), 7) AS first, round(sum(CASE WHEN pixel % 4 <> 1 THEN u1 * (x - b) ELSE 0 END), 7) AS second FROM st JOIN b USING (label, pixel) GROUP BY 1, 2""",
+)
+def _(s, d):
+    # a label is a session; its vectors are both its frames (two numbers) and its pixels (two others)
+    e = frames(s, d)
+    comp = e.select("label", F.col("vec_id").alias("frame"), F.slice("pixels", 1, 2).alias("sv"))
+    u = e.select("label", F.col("vec_id").alias("pixel"), F.slice("pixels", 4, 2).alias("u"))
+    mask = e.select(F.col("vec_id").alias("pixel"), (F.col("vec_id") % 4 != 1).alias("valid"))
+    out, _ = M.baseline_components(comp, u, comp.where("frame % 3 = 0").select("label", "frame"), ["label"], mask, tile=16)
+    return rounded(out.select("label", "frame", F.col("sv")[0].alias("first"), F.col("sv")[1].alias("second")), "first", "second")
+
+
 @query("e17_rescale_affine", "SELECT vec_id, round(embedding[3]::DOUBLE * 0.25, 9) AS tx, round(embedding[6]::DOUBLE * 0.25, 9) AS ty, embedding[1]::DOUBLE AS a FROM embeddings")
 def _(s, d):
     m = frames(s, d).withColumn("m", M.rescale_affine("pixels", 0.25))
@@ -241,6 +296,22 @@ def _(s, d):
     return rounded(long.where(~empty), "v")
 
 
+@query(
+    "e24_half_pixel",
+    "WITH " + _PIX + ", m AS (SELECT label, pixel, avg(v) AS v FROM pix GROUP BY 1, 2) SELECT a.label, a.pixel, round((a.v + coalesce(b.v, 0)) / 2, 7) AS v FROM m a LEFT JOIN m b ON b.label = a.label AND a.pixel % 8 > 0 AND b.pixel = a.pixel - 1",
+)
+def _(s, d):
+    mean = pixels(s, d).groupBy("label", "pixel").agg(F.avg("v").alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pixel", "v"))), lambda x: x["v"]).alias("pixels"))
+    moved = M.aligned_maps(mean.withColumns({"affine": F.array(*[F.lit(float(x)) for x in (1, 0, 0.5, 0, 1, 0)]), "flip": F.lit(False)}), ["label"], (8, 8))
+    return rounded(moved.select("label", F.posexplode("pixels").alias("pixel", "v")), "v")
+
+
+@query("e25_lengths", "WITH " + _PIX + ", c AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY pixel) AS v FROM pix) SELECT vec_id, round(sum(v * v), 6) AS squares FROM c GROUP BY 1")
+def _(s, d):
+    pc = M.principal_components(frames(s, d), "vec_id", "pixels", 64, 64)[0]
+    return pc.select("vec_id", F.round(F.aggregate("pc", F.lit(0.0), lambda t, x: t + x * x), 6).alias("squares"))
+
+
 @query("e25_principal_components")
 def _(s, d):
     return M.principal_components(frames(s, d), "vec_id", "pixels", 64, 10)[0]

@@ -218,6 +218,41 @@ def test_shape_distance_equals_the_direct_sum(spark, channels):
     assert H.sbd_to_template(e.where("false"), t, ["k"], "e", "at", "v0").count() == 0
 
 
+@pytest.mark.parametrize("key", [["k"], []])
+def test_baseline_of_components(spark, key):
+    rng = np.random.default_rng(len(key))
+    want_sv, want_base, comp, us, still = {}, {}, [], [], []
+    valid = {p: p % 5 != 1 for p in range(23)}
+    for k in ("a", "b") if key else ("a",):
+        u, sv = rng.normal(size=(23, 3)), rng.normal(size=(3, 17)) + 2
+        rest = [f for f in range(17) if f % 3 == 0]
+        base = np.median((u @ sv)[:, rest], axis=1)
+        diff = (u @ sv - base[:, None]) * np.array([valid[p] for p in range(23)])[:, None]
+        out = u.T @ diff
+        want_sv |= {(k, f): out[:, f] for f in range(17)}
+        want_base |= {(k, p): base[p] for p in range(23)}
+        comp += [(k, f, sv[:, f].tolist()) for f in range(17)]
+        us += [(k, p, u[p].tolist()) for p in range(23)]
+        still += [(k, f) for f in rest]
+    comp, us, still = (spark.createDataFrame(r, s).repartition(3) for r, s in ((comp, "k string, frame int, sv array<double>"), (us, "k string, pixel int, u array<double>"), (still, "k string, frame int")))
+    mask = spark.createDataFrame(list(valid.items()), "pixel int, valid boolean")
+    drop = (lambda df: df) if key else (lambda df: df.drop("k"))
+    out, base = M.baseline_components(drop(comp), drop(us), drop(still), key, mask, tile=10, frames=4)
+    name = lambda r: r.k if key else "a"
+    got = {(name(r), r.frame): r.sv for r in out.collect()}
+    assert got.keys() == want_sv.keys() and all(np.allclose(got[k], v) for k, v in want_sv.items())
+    got = {(name(r), r.pixel): r.baseline for r in base.collect()}
+    assert got.keys() == want_base.keys() and all(np.isclose(got[k], v) for k, v in want_base.items())
+    if key:
+        assert M.baseline_components(comp, us, still.where("false"), key, mask)[0].count() == 0
+
+
+def test_map_median_of_tiles(spark):
+    rows = [("a", [1.0, None, float("nan"), 4.0, 5.0]), ("a", [3.0, 2.0, float("nan"), 8.0]), ("a", None), ("b", []), ("b", [7.0])]
+    got = sorted((r.k, r.pixel, r["median"]) for r in H.map_average(spark.createDataFrame(rows, "k string, v array<double>"), ["k"], "v", "median", tile=2).collect())
+    assert got == [("a", 0, 2.0), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 6.0), ("a", 4, 5.0), ("b", 0, 7.0)]
+
+
 def test_readers(spark, tmp_path):
     from loomspan.sources import files as B
 
