@@ -146,6 +146,8 @@ def satterthwaite(model: Reml, outer: float, inner: float, contrasts: np.ndarray
         return s * np.einsum("ci,ij,cj->c", contrasts, model.solved(o, i)[0], contrasts)
 
     x = np.log(np.array([noise, *ratios[free]]))
+    if not free:  # least squares
+        return contrasts @ beta, spread(x), np.full(len(contrasts), model.rows - model.rank)
     curve = slopes(lambda x: model.deviance(*point(x)), x)[1]
     variance = spread(x)
     steps, unit = 1e-3, np.eye(len(x))
