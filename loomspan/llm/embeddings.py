@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one class first, so a vector that a third of all rows share is hashed once. A class's home
 bucket in a table is the pair of nearest signed axes after two pseudo-random rotations; it also visits the buckets of the
-next-nearest axes. Only a class's number and a sketch of 128 signs are dealt to the buckets, not its vector. In a bucket homes meet homes and
+next-nearest axes. Only a class's number and a sketch of 256 signs are dealt to the buckets, not its vector. In a bucket homes meet homes and
 visitors; pairs with near sketches are candidates, of which a spanning forest leaves the task. Buckets with many homes or visitors are cut into
 blocks of both, each of which meets the others in a task of its own.
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .forest import Forest
 
-SIGNS, APART = 128, 26  # at a cosine of 0.98, 8 signs of 128 differ on average (standard deviation 3)
+#: at a cosine of 0.98, 16 signs of 256 differ on average (standard deviation 4), and at one of 0.7, as vectors with a common mean have, 64 (standard deviation 7)
+SIGNS, APART = 256, 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -64,11 +65,11 @@ def bucket_keys(x: np.ndarray, tables: int, probes: int, seed: int = 11) -> np.n
 
 
 def sketches(x: np.ndarray, seed: int = 23) -> np.ndarray:
-    """128 signs of each row after pseudo-random rotations, as two numbers; zeros where there are too few dimensions to rotate."""
+    """256 signs of each row after pseudo-random rotations, as four numbers; zeros where there are too few dimensions to rotate."""
     n, d = x.shape
     width = 1 << max(1, (d - 1).bit_length())
     if width < 16:
-        return np.zeros((n, 2), np.uint64)
+        return np.zeros((n, SIGNS // 64), np.uint64)
     x, out = np.pad(x, ((0, 0), (0, width - d))), []
     for r in range(-(-SIGNS // width)):
         y, rng = x, np.random.default_rng((seed, r))
@@ -196,8 +197,8 @@ def _candidates(classes: DataFrame, tables: int, probes: int, block: int) -> Dat
         for table in C.whole_shards(batches, 3):
             starts, sizes = _runs(table, 3)
             cls, forest = table.column("cls").to_numpy(), Forest(table.num_rows)
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, 2)
-            close = lambda i, j: (np.bitwise_count(sketch[i, 0] ^ sketch[j, 0]) + np.bitwise_count(sketch[i, 1] ^ sketch[j, 1])) <= APART  # noqa: B023, E731
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, SIGNS // 64)
+            close = lambda i, j: sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int16) for s in sketch.T) <= APART  # noqa: B023, E731
             for i, j in near_pairs(starts, sizes, *_roles(table), close):
                 forest.add(i, j)
             child, root = forest.roots()

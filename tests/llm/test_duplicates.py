@@ -146,6 +146,33 @@ def slow_alignment(a, b):
     return best
 
 
+@pytest.mark.parametrize("mean", [0.5, 0.7])
+def test_vectors_with_a_common_mean(spark, mean):
+    """Isolated pairs at a cosine of 0.9801 are found, and vectors that only share a mean are hardly ever measured against each other."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=64)
+    m /= np.linalg.norm(m)
+    rows = rng.normal(size=(900, 64))
+    rows -= (rows @ m)[:, None] * m
+    rows = np.sqrt(mean) * m + np.sqrt(1 - mean) * rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    aside = rng.normal(size=(300, 64))
+    aside -= (aside * rows[:300]).sum(1, keepdims=True) * rows[:300]
+    pairs = 0.9801 * rows[:300] + np.sqrt(1 - 0.9801**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    every = np.concatenate([rows, pairs])
+    near = V.sketches(every).view("u1")
+    apart = np.array([np.bitwise_count(near ^ x).sum(1) for x in near])
+    alike = (apart <= V.APART) & ~np.eye(len(every), dtype=bool)
+    assert alike[:300, 900:].diagonal().mean() > 0.995
+    alike[np.arange(300), 900 + np.arange(300)] = alike[900 + np.arange(300), np.arange(300)] = False
+    assert alike.mean() < 1e-3
+    got = V.embedding_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")).collect()
+    found = {r.vec_id: r for r in got}
+    cos = every @ every.T
+    np.fill_diagonal(cos, 0)
+    assert all(r.n_links <= (cos[i] >= 0.98).sum() for i, r in found.items())
+    assert sum(found[900 + i].component_id == found[i].component_id for i in range(300)) >= 0.99 * 300
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = random.Random(4)
     a, b = ([[rng.randint(0, 4) for _ in range(rng.randint(1, n))] for _ in range(80)] for n in (30, 12))
