@@ -165,7 +165,7 @@ def blur(img: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
 
 
 def area_mean(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Reduce to h x w pixels, each the mean of the area it covers; a pixel cut by a border counts in part."""
+    """h x w pixels, fewer or more, each the mean of the area it covers; a pixel cut by a border counts in part."""
 
     def shares(n: int, m: int) -> np.ndarray:
         edge, at = np.arange(m + 1) * n / m, np.arange(n)

@@ -188,6 +188,7 @@ def test_area_resize_by_any_ratio():
     small = kernels.area_mean(img, 2, 3)
     assert np.isclose(small.mean(), img.mean()) and np.isclose(small[0, 0], (img[:2, :2].sum() + img[:2, 2].sum() / 3 + img[2, :2].sum() / 2 + img[2, 2] / 6) / (2.5 * 7 / 3))
     assert np.allclose(kernels.area_mean(np.arange(16.0).reshape(4, 4), 2, 2), [[2.5, 4.5], [10.5, 12.5]])
+    assert np.allclose(kernels.area_mean(np.arange(4.0).reshape(2, 2), 3, 4), [[0, 0, 1, 1], [1, 1, 2, 2], [2, 2, 3, 3]])  # larger: a row in between is half of each
 
 
 def test_mixed_contrast_without_subject_effect_is_difference_of_means(spark):
