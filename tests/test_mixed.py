@@ -110,6 +110,30 @@ def test_normal_inference_nulls_and_small_groups(spark):
     assert len(got(spark, rows, interaction=False)) == 6 and len(got(spark, rows)) == 4
 
 
+@pytest.mark.parametrize(("nested", "interaction"), [("day", True), (None, False)])
+def test_blocks_of_large_groups_give_the_fit_of_one_task(spark, nested, interaction):
+    """A group of 30 cells or more is fitted from blocks of subjects, the smaller ones, one of them without a name, in tasks."""
+    rows = unbalanced() + [("big", *r[1:]) for r in unbalanced(6) * 2] + [(None, *r[1:]) for r in unbalanced(7)[:25]]
+    df = spark.createDataFrame(rows, "roi string, mouse string, day int, g string, p string, y double")
+    fit = lambda **how: {(r.roi, r.phase, r.group_a, r.group_b): r[4:] for r in X.mixed_contrasts(df, ["roi"], "y", "g", "p", "mouse", nested=nested, interaction=interaction, **how).collect()}
+    whole, blocks = fit(), fit(task=26, block=8)
+    assert whole.keys() == blocks.keys() and len({k[0] for k in whole}) == 3
+    assert all(np.allclose(whole[k], blocks[k], rtol=1e-4, atol=1e-7) for k in whole)
+
+
+@pytest.mark.parametrize("outer", [0.0, 0.7])
+def test_memory_of_the_sums_grows_with_the_units_alone(outer):
+    """60,000 subjects of two units: a matrix of subjects by units would be 58 GB."""
+    k = 60_000
+    unit = np.arange(2 * k)
+    block = X.Block(2, unit % 2, unit, unit // 2, np.full(2 * k, 3.0), np.tile([1.0, -1.0], k), 5.0 * k)
+    a, q = block.sums([(outer, 0.5)])[0, :4].reshape(2, 2), block.sums([(outer, 0.5)])[0, -2]
+    # one subject by whole matrices
+    z = np.kron(np.eye(2), np.ones((3, 1)))
+    inv = np.linalg.inv(np.eye(6) + 0.5 * z @ z.T + outer * np.ones((6, 6)))
+    assert np.allclose(a, k * z.T @ inv @ z) and np.isclose(q, k * (5 - 2 / 3 + (z @ [1 / 3, -1 / 3]) @ inv @ (z @ [1 / 3, -1 / 3])))
+
+
 def test_limits_of_student():
     assert abs(kernels.student_limit(0.05, 10) - 2.228138852) < 1e-8 and abs(kernels.student_limit(0.05, float("inf")) - 1.959963985) < 1e-8
     assert abs(kernels.student_limit(0.01, 1) - 63.65674116) < 1e-6
