@@ -343,8 +343,10 @@ def merge_rois(rois: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return rois.withColumn("roi", name).distinct()
 
 
-def centre_of_mass(rois: DataFrame, width: int, pixel: str = "pixel") -> DataFrame:
-    return rois.groupBy("roi").agg(F.avg(F.col(pixel) % width).alias("x"), F.avg(F.floor(F.col(pixel) / width)).alias("y"))
+def centre_of_mass(rois: DataFrame, width: int, pixel: str = "pixel", names: DataFrame | None = None) -> DataFrame:
+    """``roi, x, y``. With ``names`` (``roi``) each of these regions has a row, of nulls where it has no pixel."""
+    out = rois.groupBy("roi").agg(F.avg(F.col(pixel) % width).alias("x"), F.avg(F.floor(F.col(pixel) / width)).alias("y"))
+    return out if names is None else names.join(out, "roi", "left")
 
 
 def aligned_maps(maps: DataFrame, key: list[str], shape: tuple[int, int]) -> DataFrame:

@@ -284,7 +284,8 @@ def _(s, d):
 
 @query("e23_centre", "WITH " + _PIX + ", " + _BRIGHT + " SELECT 'bright' AS roi, round(avg(pixel % 8), 7) AS x, round(avg(pixel // 8), 7) AS y FROM br WHERE valid")
 def _(s, d):
-    return rounded(M.centre_of_mass(_bright(s, d).where("valid").select(F.lit("bright").alias("roi"), "pixel"), 8), "x", "y")
+    names = s.createDataFrame([("bright",)], "roi string")
+    return rounded(M.centre_of_mass(_bright(s, d).where("valid").select(F.lit("bright").alias("roi"), "pixel"), 8, names=names), "x", "y")
 
 
 @query("e24_aligned_maps", "WITH " + _PIX + " SELECT label, (pixel // 8) * 8 + CASE WHEN label % 2 = 1 THEN 7 - (pixel % 8 + 1) ELSE pixel % 8 + 1 END AS pixel, round(avg(v), 7) AS v FROM pix WHERE pixel % 8 < 7 GROUP BY 1, 2")
