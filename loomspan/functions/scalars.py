@@ -24,7 +24,9 @@ def parse_day(c: Column, pattern: str = "yyyy-MM-dd") -> Column:
 
 
 def from_epoch(seconds: Column) -> Column:
-    return F.timestamp_micros((seconds * 1e6).cast("long"))
+    """The timestamp to the nearest microsecond. Whole seconds are multiplied as integers: a double holds microseconds exactly only up to the year 2255."""
+    whole = F.floor(seconds)
+    return F.timestamp_micros(whole * 1_000_000 + F.round((seconds - whole) * 1e6).cast("long"))
 
 
 def log_spaced(low: float, high: float, n: int) -> Column:

@@ -21,3 +21,11 @@ def plan(df):
 def test_centre_of_a_region_without_pixels(spark, tmp_path):
     spark.range(4).selectExpr("id vec_id", "array_repeat(cast(-1 as float), 64) embedding", "cast(id % 2 as int) label").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in registry.queries()["e23_centre"](spark, str(tmp_path)).collect()] == [("bright", None, None)]
+
+
+@pytest.mark.parametrize("day", [0, 3_300_001, 8_999_999, -40_000])
+def test_epochs_far_from_now_are_exact(spark, day):
+    at = scalars.from_epoch(F.col("id") * 86400 + F.lit(0.5))
+    assert spark.range(day, day + 1).select(F.unix_micros(at)).first()[0] == day * 86_400_000_000 + 500_000
+    exact = spark.sql("select 1704067211.172425D s").select(F.unix_micros(scalars.from_epoch(F.col("s")))).first()[0]
+    assert exact == 1_704_067_211_172_425
