@@ -87,7 +87,18 @@ def session_start(files: DataFrame, durations: DataFrame, on: str) -> DataFrame:
     return files.join(durations, on).withColumn("start", F.col("modified") - F.make_dt_interval(secs=F.col("duration").cast("decimal(18,6)")))
 
 
-def export_bundle(tables: dict[str, DataFrame], path: str, by: list[str]) -> None:
-    """One partitioned dataset per table, a folder per session."""
+def export_bundle(tables: dict[str, DataFrame], path: str, by: list[str], rows: int = 500_000) -> None:
+    """One partitioned dataset per table, a folder per session; sessions of more than some ``rows`` rows are dealt over tasks, a file each."""
     for name, df in tables.items():
-        df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+        spread = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)  # at most one for every ``rows`` rows
+        sizes = sizes.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.ceil(F.col("_n") / rows).alias("_files"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)])
+        parts = df.join(F.broadcast(sizes), same, "left").withColumn("_file", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_files")), F.lit(0)))
+        parts = parts.repartition(_parts(df, rows), *by, "_file")
+        parts.select(df.columns).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+
+
+def _parts(df: DataFrame, rows: int) -> int:
+    """Into how many parts to deal a table so that a part has some ``rows`` rows, as many as the session shuffles to at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))

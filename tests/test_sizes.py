@@ -29,3 +29,11 @@ def test_epochs_far_from_now_are_exact(spark, day):
     assert spark.range(day, day + 1).select(F.unix_micros(at)).first()[0] == day * 86_400_000_000 + 500_000
     exact = spark.sql("select 1704067211.172425D s").select(F.unix_micros(scalars.from_epoch(F.col("s")))).first()[0]
     assert exact == 1_704_067_211_172_425
+
+
+def test_a_large_session_is_exported_by_several_tasks(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "case when id < 900 then 'a' when id < 950 then 'b' end s", "map('k', id) m")
+    B.export_bundle({"t": df}, str(tmp_path), ["s"], rows=100)
+    parts = {d: len([f for f in os.listdir(tmp_path / "t" / d) if f.endswith(".parquet")]) for d in os.listdir(tmp_path / "t") if d.startswith("s=")}
+    assert parts["s=a"] > 4 and parts["s=b"] == 1 and len(parts) == 3
+    assert sorted((r.id, r.s, r.m["k"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == sorted((r.id, r.s, r.m["k"]) for r in df.collect())
