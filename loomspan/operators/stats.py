@@ -78,10 +78,13 @@ def t_test(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Correlation of average ranks within each group, ``rho, n, p_value``; ties share their mean rank. The p-value is two-sided, by t with n - 2 degrees."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 1_000_000))
+    rows = rows.repartition(parts, *by)  # a task's sorts do not grow with the table; both windows and the correlation keep this order
     for c in (x, y):
-        tie = F.count(F.lit(1)).over(Window.partitionBy(*by, c))
-        rows = rows.withColumn(f"_r_{c}", F.rank().over(Window.partitionBy(by).orderBy(c)) + (tie - 1) / 2)
+        order = Window.partitionBy(by).orderBy(c)
+        through = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # the rank of the last of equal values
+        rows = rows.withColumn(f"_r_{c}", (F.rank().over(order) + through) / 2)
     out = rows.groupBy(by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
     t = F.when(F.abs("rho") >= 1, F.lit(float("inf"))).otherwise(F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
     return out.withColumn("p_value", F.when(F.col("n") > 2, t_p_value(t, F.col("n") - 2)))

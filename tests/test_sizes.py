@@ -37,3 +37,13 @@ def test_a_large_session_is_exported_by_several_tasks(spark, tmp_path):
     parts = {d: len([f for f in os.listdir(tmp_path / "t" / d) if f.endswith(".parquet")]) for d in os.listdir(tmp_path / "t") if d.startswith("s=")}
     assert parts["s=a"] > 4 and parts["s=b"] == 1 and len(parts) == 3
     assert sorted((r.id, r.s, r.m["k"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == sorted((r.id, r.s, r.m["k"]) for r in df.collect())
+
+
+def test_ranks_of_both_columns_take_one_shuffle(spark):
+    rows = [("a", x, y) for x, y in [(1, 5.0), (1, 4.0), (2, 4.0), (3, 1.0), (3, None), (None, 1.0), (4, 0.0)]]
+    out = H.spearman(spark.createDataFrame(rows, "g string, x int, y double"), ["g"], "x", "y")
+    assert plan(out).count("Exchange") == 1
+    r = out.first()
+    a, b = [1.5, 1.5, 3, 4, 5], [5, 3.5, 3.5, 2, 1]
+    dot = sum((p - 3) * (q - 3) for p, q in zip(a, b))
+    assert r.n == 5 and abs(r.rho - dot / math.sqrt(sum((p - 3) ** 2 for p in a) * sum((q - 3) ** 2 for q in b))) < 1e-12
