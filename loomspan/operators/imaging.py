@@ -238,8 +238,13 @@ def explained_variance(rows: DataFrame, array: str, s: np.ndarray, v: np.ndarray
 
 
 def reconstruct(u: DataFrame, s: DataFrame, on: str = "component") -> DataFrame:
-    """``pixel, frame, value``: sum over components of ``u * s`` (long form)."""
-    return u.join(s, on).groupBy("pixel", "frame").agg(F.sum(F.col("u") * F.col("s")).alias("value"))
+    """``pixel, frame, value``: sum over components of ``u * s`` (long form). ``u``, which is as large as an image for each component, goes to all tasks, tile by tile; a frame's numbers meet once and no product is shuffled."""
+    of = lambda df, key, v: df.where(F.col(on).isNotNull()).groupBy(key, on).agg(F.sum(v).alias(v)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(on, v))).alias(v))
+    pairs = of(s, "frame", "s").crossJoin(F.broadcast(of(u, "pixel", "u")))
+    both = F.filter(F.map_keys("u"), lambda c: F.map_contains_key("s", c))
+    add = lambda t, p: F.when(p.isNull(), t).otherwise(F.coalesce(t, F.lit(0.0)) + p)
+    value = F.aggregate(F.transform(both, lambda c: F.col("u")[c] * F.col("s")[c]), F.lit(None).cast("double"), add)
+    return pairs.where(F.size(both) > 0).select("pixel", "frame", value.alias("value"))
 
 
 def baseline_still(pixels: DataFrame, still: DataFrame, key: list[str], frame: str, pixel: str, value: str) -> DataFrame:

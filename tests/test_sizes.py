@@ -47,3 +47,13 @@ def test_ranks_of_both_columns_take_one_shuffle(spark):
     a, b = [1.5, 1.5, 3, 4, 5], [5, 3.5, 3.5, 2, 1]
     dot = sum((p - 3) * (q - 3) for p, q in zip(a, b))
     assert r.n == 5 and abs(r.rho - dot / math.sqrt(sum((p - 3) ** 2 for p in a) * sum((q - 3) ** 2 for q in b))) < 1e-12
+
+
+def test_products_of_a_reconstruction_are_not_shuffled(spark):
+    u = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0), (1, 1, None), (2, 7, 1.0), (0, 0, 1.0)], "pixel int, component int, u double")
+    s = spark.createDataFrame([(0, 0, 5.0), (1, 0, 7.0), (0, 1, None), (1, 2, 4.0), (None, 3, 1.0)], "component int, frame int, s double")
+    out = M.reconstruct(u, s)
+    assert "SortMergeJoin" not in plan(out)
+    join = u.join(s, "component").groupBy("pixel", "frame").agg(F.sum(F.col("u") * F.col("s")).alias("value"))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, join.collect()), key=key)
