@@ -267,8 +267,11 @@ def baseline_components(components: DataFrame, u: DataFrame, still: DataFrame, k
     """
     known = ", ".join(f"`{k}` {dict(components.dtypes)[k]}" for k in key)
     pixels = u.select(*key, "pixel", "u") if mask is None else u.join(mask.select("pixel", "valid"), "pixel", "left").select(*key, "pixel", F.when(F.coalesce("valid", F.lit(False)), F.col("u")).alias("u"), F.col("u").alias("_whole"))
-    pixels = (pixels.withColumn("_whole", F.col("u")) if mask is None else pixels).withColumn("_tile", F.floor(F.col("pixel") / tile))
-    tiles, by = pixels.select(*key, "_tile").distinct(), [*key, "_tile"]
+    pixels = (pixels.withColumn("_whole", F.col("u")) if mask is None else pixels)
+    # pixels are dealt by number, not by place: a session's frames go to each of its parts, so their number is kept low
+    sizes, by = u.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / max(tile, 1024)).alias("_parts")), [*key, "_tile"]
+    pixels = (pixels.join(sizes, key) if key else pixels.crossJoin(F.broadcast(sizes))).withColumn("_tile", F.pmod(F.xxhash64("pixel"), F.col("_parts"))).drop("_parts")
+    tiles = sizes.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_tile"))
     rest = components.where(F.col("sv").isNotNull()).join(still.select(*key, "frame").distinct(), [*key, "frame"], "left_semi")
     rest = (rest.join(tiles, key) if key else rest.crossJoin(F.broadcast(tiles))).select(*by, "sv")
 
@@ -277,7 +280,8 @@ def baseline_components(components: DataFrame, u: DataFrame, still: DataFrame, k
         if not own.num_rows or not sv.num_rows:
             return pa.table({**{k: own.column(k).slice(0, 0) for k in by}, **made})
         whole = np.nan_to_num(stacked(own.column("_whole")))
-        base = np.median(whole @ stacked(sv.column("sv")).T, axis=1)
+        rest, step = stacked(sv.column("sv")).T, max(1, min(tile, 4_000_000 // sv.num_rows))
+        base = np.concatenate([np.median(whole[i : i + step] @ rest, axis=1) for i in range(0, len(whole), step)])
         kept = np.array([v.is_valid for v in own.column("u")])
         m, n = whole[kept], own.num_rows
         sums = lambda v: pa.array([v.ravel().tolist(), *[None] * (n - 1)], pa.list_(pa.float64()))

@@ -57,3 +57,14 @@ def test_products_of_a_reconstruction_are_not_shuffled(spark):
     join = u.join(s, "component").groupBy("pixel", "frame").agg(F.sum(F.col("u") * F.col("s")).alias("value"))
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, join.collect()), key=key)
+
+
+def test_frames_at_rest_are_sent_once_for_many_pixels(spark, monkeypatch):
+    """300 pixels of each session, far apart: their frames at rest go to one part of a session, not to each stretch of 16 pixels."""
+    sent = []
+    apart = M._apart
+    monkeypatch.setattr(M, "_apart", lambda df: (sent.append(df), apart(df))[1])
+    e = spark.range(600).selectExpr("id % 2 label", "id frame", "array(id * 1.0D, sin(id)) sv")
+    u = spark.range(600).selectExpr("id % 2 label", "id pixel", "array(cos(id), id * 0.1D) u")
+    M.baseline_components(e, u, e.where("frame % 3 = 0").select("label", "frame"), ["label"], tile=16)
+    assert sent[0].count() == 200
