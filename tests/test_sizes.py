@@ -68,3 +68,20 @@ def test_frames_at_rest_are_sent_once_for_many_pixels(spark, monkeypatch):
     u = spark.range(600).selectExpr("id % 2 label", "id pixel", "array(cos(id), id * 0.1D) u")
     M.baseline_components(e, u, e.where("frame % 3 = 0").select("label", "frame"), ["label"], tile=16)
     assert sent[0].count() == 200
+
+
+def test_keys_of_a_batch_do_not_meet(spark, tmp_path):
+    """Two keys' columns, whole numbers that a double cannot hold in a key of which others give nulls, and one failure among them."""
+    import pandas as pd
+
+    rows = spark.createDataFrame([(k, f"x{k % 2}", v) for k in range(6) for v in range(k + 1)], "k long, g string, v long")
+
+    def make(key, own):
+        assert set(own["k"]) <= {key["k"]} and list(own.index) == list(range(len(own)))
+        if key["k"] == 4:
+            raise ValueError("no")
+        return pd.DataFrame({"n": [None if key["k"] % 3 == 0 else 2**60 + len(own)], "t": [f"{key['g']}:{own['v'].sum()}"]})
+
+    made, errors = populate_each(rows.select("k", "g").distinct().unionByName(spark.createDataFrame([(9, "z")], "k long, g string")), rows, ["k", "g"], make, "n long, t string", f"file://{tmp_path}/t", f"file://{tmp_path}/e", suppress_errors=True, keys_of_a_batch=100)
+    want = [(k, f"x{k % 2}", None if k % 3 == 0 else 2**60 + k + 1, f"x{k % 2}:{k * (k + 1) // 2}") for k in (0, 1, 2, 3, 5)] + [(9, "z", None, "z:0")]
+    assert sorted((r.k, r.g, r.n, r.t) for r in made.collect()) == want and [(r.k, r.kind, r.message) for r in errors.collect()] == [(4, "ValueError", "no")]
