@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FINEST = -20  # the grid of 2 ** -20: intervals shorter than that share it
+STEP = 4  # a grid is 2 ** STEP times as wide as the next finer one, so that intervals from 1 s to 10 days need five or six
 
 
 def _cell(x: Column, level: Column) -> Column:
@@ -20,7 +21,7 @@ def _cell(x: Column, level: Column) -> Column:
 def placed(samples: DataFrame, intervals: DataFrame, on: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_level`` and ``_cell``, their rows repeated for each of their cells; intervals that end before they start, or have a null end, are left out."""
     length = (F.col(end) - F.col(start)).cast("double")
-    level = F.greatest(F.lit(FINEST), F.coalesce(F.ceil(F.log2(length)), F.lit(FINEST))).cast("int")
+    level = (F.ceil(F.greatest(F.lit(FINEST), F.coalesce(F.ceil(F.log2(length)), F.lit(FINEST))) / STEP) * STEP).cast("int")  # few levels, as each costs a copy of the samples
     cells = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", level)
     levels = F.broadcast(cells.agg(F.collect_set("_level").alias("_levels")))  # one row, of no more levels than a double has exponents
     cells = cells.withColumn("_cell", F.explode(F.sequence(_cell(F.col(start), F.col("_level")), _cell(F.col(end), F.col("_level")))))

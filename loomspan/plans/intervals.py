@@ -74,7 +74,7 @@ tr AS (SELECT user_id, i // 16 AS trial_id, min(t) AS t0, max(t) AS t1 FROM {eve
 SELECT tr.user_id, trial_id, round(min(t), 3) AS first, round(max(t), 3) AS last FROM tr JOIN b USING (user_id) JOIN {events} e ON e.user_id = tr.user_id AND e.t BETWEEN t0 AND t1 AND e.value < base - 0.2 * abs(base - 10) GROUP BY 1, 2""",
 )
 def _(s, d):
-    e = recordings(s, d)
+    e = materialised(recordings(s, d).select("user_id", "i", "t", "value"), "recordings")  # read four times
     w = e.groupBy("user_id", F.floor(F.col("i") / 8).alias("window_id")).agg(F.min("t").alias("w_start"), F.max("t").alias("w_end"))
     tr = e.groupBy("user_id", F.floor(F.col("i") / 16).alias("trial_id")).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
     out = E.presence(e.select("user_id", "t", "value"), w, tr, K, "t", "value", reference=10.0)

@@ -85,3 +85,14 @@ def test_keys_of_a_batch_do_not_meet(spark, tmp_path):
     made, errors = populate_each(rows.select("k", "g").distinct().unionByName(spark.createDataFrame([(9, "z")], "k long, g string")), rows, ["k", "g"], make, "n long, t string", f"file://{tmp_path}/t", f"file://{tmp_path}/e", suppress_errors=True, keys_of_a_batch=100)
     want = [(k, f"x{k % 2}", None if k % 3 == 0 else 2**60 + k + 1, f"x{k % 2}:{k * (k + 1) // 2}") for k in (0, 1, 2, 3, 5)] + [(9, "z", None, "z:0")]
     assert sorted((r.k, r.g, r.n, r.t) for r in made.collect()) == want and [(r.k, r.kind, r.message) for r in errors.collect()] == [(4, "ValueError", "no")]
+
+
+def test_samples_have_few_copies(spark):
+    """Intervals of 21 widths, each twice as wide as the last: a copy of the samples for each width before."""
+    from loomspan.operators import epochs as E
+
+    iv = spark.range(21).selectExpr("1 k", "id", "id * 3.0D a", "id * 3.0D + pow(2.0D, id) b")
+    s = spark.range(100).selectExpr("1 k", "id * 0.7D t")
+    assert E.placed(s, iv, "t", "a", "b")[0].count() <= 7 * 100
+    want = sorted((round(t * 0.7, 6), i) for t in range(100) for i in range(21) if i * 3.0 <= t * 0.7 <= i * 3.0 + 2.0**i)
+    assert sorted((round(r.t, 6), r.id) for r in E.within(s, iv, ["k"], "t", "a", "b").collect()) == want
