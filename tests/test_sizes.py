@@ -39,10 +39,10 @@ def test_a_large_session_is_exported_by_several_tasks(spark, tmp_path):
     assert sorted((r.id, r.s, r.m["k"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == sorted((r.id, r.s, r.m["k"]) for r in df.collect())
 
 
-def test_ranks_of_both_columns_take_one_shuffle(spark):
+def test_ranks_of_both_columns_take_one_shuffle_and_a_window_each(spark):
     rows = [("a", x, y) for x, y in [(1, 5.0), (1, 4.0), (2, 4.0), (3, 1.0), (3, None), (None, 1.0), (4, 0.0)]]
     out = H.spearman(spark.createDataFrame(rows, "g string, x int, y double"), ["g"], "x", "y")
-    assert plan(out).count("Exchange") == 1
+    assert plan(out).count("Exchange") == 1 and plan(out).count("Window [") == 2
     r = out.first()
     a, b = [1.5, 1.5, 3, 4, 5], [5, 3.5, 3.5, 2, 1]
     dot = sum((p - 3) * (q - 3) for p, q in zip(a, b))
