@@ -5,9 +5,11 @@ Series are in long form, ``index`` counting from 0 without gaps within a key. A
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -25,6 +27,34 @@ def dealt(df: DataFrame, by: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def in_groups(df: DataFrame, by: list[str], order: list, make: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``make(table, starts)`` of tables that hold whole groups in order, ``starts`` the first row of each.
+
+    A table has all groups that end in a batch of Arrow, so that short groups cost no call of their own; a task holds a batch and the rows of one group.
+    """
+    names = df.columns
+    rows = dealt(df, by).withColumn("_opens", F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1)
+
+    def made(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(parts).combine_chunks()
+        if table.num_rows:
+            yield from make(table.select(names), np.flatnonzero(table.column("_opens").to_numpy())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            opens = np.flatnonzero(table.column("_opens").to_numpy())
+            if len(opens):  # the last group may go on in the next batch
+                yield from made([*held, table.slice(0, opens[-1])])
+                held, table = [], table.slice(opens[-1])
+            held.append(table)
+        if held:
+            yield from made(held)
+
+    return rows.mapInArrow(run, schema)
+
+
 def ordered(table: pa.Table, column: str) -> pa.Table:
     return table.take(pa.array(np.argsort(table.column(column).to_numpy(), kind="stable")))
 

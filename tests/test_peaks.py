@@ -1,7 +1,12 @@
 import numpy as np
+import oracle
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.operators import kernels, peaks
+from loomspan.operators.chunks import in_groups
+from loomspan.plans import registry
 
 
 def waves(seed):
@@ -70,3 +75,49 @@ def test_sub_epochs_of_an_empty_table(spark):
     epochs = spark.createDataFrame([("k", 0, 5, 14)], "k string, epoch_id int, start_frame long, end_frame long")
     assert [tuple(r)[:5] for r in peaks.split_at_minima(e, epochs, ["k"], "frame", "v", 2, 0.1).collect()] == [("k", 0, 0, 5, 13)]
     assert peaks.split_at_minima(e, epochs.where("false"), ["k"], "frame", "v", 2, 0.1).count() == 0
+
+
+def test_short_groups_share_a_call(spark):
+    """Groups of two or three rows, some over the borders of batches, and one that is longer than a batch: few calls, whole groups, in order."""
+    df = spark.range(3000).selectExpr("nullif(id % 1200, 7) k", "3000 - id i").unionByName(spark.range(900).selectExpr("5000L k", "id * 7 % 900 i")).repartition(5)
+
+    def make(table, starts):
+        ends = [*starts[1:].tolist(), table.num_rows]
+        k, i = table.column("k").to_pylist(), table.column("i").to_pylist()
+        good = [len(set(k[a:b])) == 1 and i[a:b] == sorted(i[a:b]) for a, b in zip(starts, ends)]
+        return pa.table({"k": pa.array([k[a] for a in starts], pa.int64()), "n": pa.array(np.subtract(ends, starts)), "good": good, "call": starts == 0})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    try:
+        got = in_groups(df, ["k"], ["i"], make, "k long, n long, good boolean, call boolean").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r.k: r.n for r in df.groupBy("k").agg(F.count("i").alias("n")).collect()}
+    assert {r.k: r.n for r in got} == want and len(got) == len(want) == 1201 and all(r.good for r in got)
+    assert sum(r.call for r in got) < 30
+
+
+def test_no_task_calls_python_for_each_chunk(spark):
+    e = frame_of(spark, {"k": np.arange(40.0) % 3})
+    epochs = spark.createDataFrame([("k", 0, 5, 45)], "k string, epoch_id int, start_frame long, end_frame long")
+    for out in (peaks.find_peaks(e, ["k"], "frame", "v", 3, 0.0, 4), peaks.split_at_minima(e, epochs, ["k"], "frame", "v", 3, 0.5, 4)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "GroupsInArrow" not in plan
+
+
+def test_samples_without_a_value_hide_nothing(spark, tmp_path):
+    """Single nulls and stretches of them longer than a chunk of the query."""
+    rng, rows = np.random.default_rng(3), []
+    for user in range(12):
+        v = rng.integers(0, 60, 150).astype(float).tolist()
+        for at, n in ((10, 1), (30, 40), (90, int(rng.integers(1, 30)))):
+            v[at : at + n] = [None] * n
+        rows += [(user * 1000 + i, user, "view", x) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)")).repartition(1).write.parquet(f"{tmp_path}/events.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("d23_minima", "d23_split"):
+        assert oracle.check(spark, con, registry.queries()[name], registry.oracles()[name], str(tmp_path)) > 100
