@@ -132,6 +132,12 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
     As ``kernels.peaks``: a maximum is the middle of a run of equal values with lower ones on both sides; of maxima closer than ``distance`` samples the higher stays; then those of less ``prominence`` go.
     Frames must be unique in a series; they need not be without gaps.
     """
+    found = _peaks_and_ends(df, ids, frame, value, distance, samples).where(F.col("side") == 1).drop("side")
+    return found.where(F.col("prominence") >= prominence) if prominence > 0 else found
+
+
+def _peaks_and_ends(df: DataFrame, ids: list[str], frame: str, value: str, distance: int, samples: int) -> DataFrame:
+    """Peaks of any prominence, ``side`` 1, and the first and the last sample of each series, ``side`` 0 and 2, their prominence null."""
     by = [*ids, "_chunk"]
     rows = df.select(*ids, F.col(frame).alias("frame"), F.col(value).cast("double").alias("v"), F.floor(F.col(frame) / samples).alias("_chunk"))
     in_order = F.col("frame").asc_nulls_last()
@@ -221,7 +227,12 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
                 if rank < past:
                     outer[i] = lows[rank]
             deepest = np.maximum(deepest, np.where(higher, low, np.fmin(low, outer)))
-        return with_columns(table.select([*ids, "frame"]).take(pa.array(place)), {"pos": pos.astype(np.int64), "height": height, "prominence": height - deepest, "undecided": unknown})
+        heads, tails = np.flatnonzero(start == 0), np.flatnonzero(start + ends - starts == total)
+        place = np.concatenate([place, starts[heads], ends[tails] - 1])
+        own = {"pos": np.concatenate([pos, start[heads], total[tails] - 1]), "height": v[place]}
+        more = len(heads) + len(tails)
+        own |= {"prominence": pa.array([*(height - deepest), *[None] * more], pa.float64()), "undecided": np.append(unknown, np.zeros(more, bool)), "side": np.repeat(np.array([1, 0, 2], np.int32), [len(pos), len(heads), len(tails)])}
+        return with_columns(table.select([*ids, "frame"]).take(pa.array(place)), own)
 
     def decide(table: pa.Table, starts: np.ndarray) -> pa.Table:
         pos, height, stay = table.column("pos").to_numpy(), numbers(table, "height"), np.zeros(table.num_rows, bool)
@@ -233,7 +244,7 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
     summaries = in_groups(rows, by, [in_order], summary, f"{known}, n long, {values}, {arrays}")
     sides = ", ".join(f"{s}_run long, {s}_value double, {s}_stack array<double>, {s}_low array<double>, {s}_least double" for s in ("before", "after"))
     states = in_groups(summaries, ids, [F.col("_chunk").asc_nulls_last()], scan, f"{known}, start long, total long, {sides}")
-    made = f"{_schema(rows, [*ids, 'frame'])}, pos long, height double, prominence double, undecided boolean"
+    made = f"{_schema(rows, [*ids, 'frame'])}, pos long, height double, prominence double, undecided boolean, side int"
     found = in_groups(rows.unionByName(states, allowMissingColumns=True), by, [F.col("total").isNull(), in_order], peaks, made)
     if distance > 1:
         # undecided peaks depend only on undecided ones nearby, so that those with a gap of the distance between them are apart
@@ -242,18 +253,15 @@ def find_peaks(df: DataFrame, ids: list[str], frame: str, value: str, distance:
         open_ones = open_ones.withColumn("_near", F.sum("_new").over(order)).drop("_new")
         closed = in_groups(open_ones, [*ids, "_near"], ["pos"], decide, made)
         found = found.where(~F.col("undecided")).unionByName(closed)
-    found = found.drop("undecided")
-    return found.where(F.col("prominence") >= prominence) if prominence > 0 else found
+    return found.drop("undecided")
 
 
 def split_at_minima(df: DataFrame, epochs: DataFrame, key: list[str], frame: str, value: str, distance: int, prominence: float, samples: int = SAMPLES) -> DataFrame:
     """Sub-epochs between local minima of each epoch: ``key, epoch_id, sub_epoch_id, start_frame, end_frame, global_id``."""
     inside = within(df, epochs, key, frame, "start_frame", "end_frame", closed="left")
     ids = [*key, "epoch_id"]
-    minima = find_peaks(inside.withColumn("_v", -F.col(value).cast("double")), ids, frame, "_v", distance, prominence, samples)
-    ends = inside.groupBy(ids).agg(F.min(frame).alias("_a"), F.max(frame).alias("_b"))
-    place = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("frame"))
-    points = ends.select(*ids, F.explode(F.array(place(0, "_a"), place(2, "_b"))).alias("at")).unionByName(minima.select(*ids, place(1, "frame").alias("at")))
+    found = _peaks_and_ends(inside.withColumn("_v", -F.col(value).cast("double")), ids, frame, "_v", distance, samples)
+    points = found.where((F.col("side") != 1) | (F.col("prominence") >= prominence)).select(*ids, F.struct("side", "frame").alias("at"))
     order = Window.partitionBy(ids).orderBy("at")
     out = points.select(*ids, (F.row_number().over(order) - 1).alias("sub_epoch_id"), F.col("at.frame").alias("start_frame"), F.lead("at.frame").over(order).alias("end_frame"))
     out = out.where(F.col("end_frame").isNotNull())

@@ -105,6 +105,18 @@ def test_no_task_calls_python_for_each_chunk(spark):
         assert "MapInArrow" in plan and "GroupsInArrow" not in plan
 
 
+def test_ends_of_epochs_come_with_their_minima(spark):
+    """Samples meet their epochs twice, for summaries and for peaks, and not once more for the ends."""
+    e = frame_of(spark, {"k": np.arange(40.0) % 7, "j": np.array([4.0])}, 3)
+    epochs = spark.createDataFrame([("k", 0, 5, 60), ("k", 1, 50, 125), ("k", 2, 8, 11), ("j", 0, 0, 9)], "k string, epoch_id int, start_frame long, end_frame long")
+    out = peaks.split_at_minima(e, epochs, ["k"], "frame", "v", 1, 6.0, 4)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+    got = [(r.k, r.epoch_id, r.sub_epoch_id, r.start_frame, r.end_frame, r.global_id) for r in out.orderBy("k", "global_id").collect()]
+    cuts = {0: [5, 26, 59], 1: [50, 68, 89, 122]}
+    pairs = [(n, i, *p) for n, c in cuts.items() for i, p in enumerate(zip(c, c[1:]))]
+    assert got == [("j", 0, 0, 5, 5, 0)] + [("k", *p, n) for n, p in enumerate([*pairs, (2, 0, 8, 8)])]
+
+
 def test_samples_without_a_value_hide_nothing(spark, tmp_path):
     """Single nulls and stretches of them longer than a chunk of the query."""
     rng, rows = np.random.default_rng(3), []
