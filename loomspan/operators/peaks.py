@@ -245,7 +245,9 @@ def _peaks_and_ends(df: DataFrame, ids: list[str], frame: str, value: str, dista
     sides = ", ".join(f"{s}_run long, {s}_value double, {s}_stack array<double>, {s}_low array<double>, {s}_least double" for s in ("before", "after"))
     states = in_groups(summaries, ids, [F.col("_chunk").asc_nulls_last()], scan, f"{known}, start long, total long, {sides}")
     made = f"{_schema(rows, [*ids, 'frame'])}, pos long, height double, prominence double, undecided boolean, side int"
-    found = in_groups(rows.unionByName(states, allowMissingColumns=True), by, [F.col("total").isNull(), in_order], peaks, made)
+    # empty lists, as Arrow's writer takes the square of a batch's rows for null ones in a row
+    samples_of = rows.withColumns({f"{s}_{c}": F.array().cast("array<double>") for s in ("before", "after") for c in ("stack", "low")})
+    found = in_groups(samples_of.unionByName(states, allowMissingColumns=True), by, [F.col("total").isNull(), in_order], peaks, made)
     if distance > 1:
         # undecided peaks depend only on undecided ones nearby, so that those with a gap of the distance between them are apart
         order = Window.partitionBy(ids).orderBy("pos")
